@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,7 +143,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def small_batches(batches, column: str = "text", most_bytes: int = 4 << 20):
     """Cut Arrow batches so that one holds about ``most_bytes`` of text (or one row): bounded memory for any text length."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
         at = 0
         while at < batch.num_rows:
             base = sizes[at - 1] if at else 0
