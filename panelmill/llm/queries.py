@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_text, language, quality, token_counts
+from . import bpe, chat, exact_dedup, html_text, language, quality, token_counts, toxicity
 from .common import crc_bucket, read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -26,6 +26,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    scored = toxicity.score(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"), crc_bucket("doc_id", 5) != 0)
+    return scored.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(read(spark, sf_dir, "documents", "doc_id", "text"))
 
