@@ -8,16 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_text, language, quality, token_counts, toxicity
+from . import bpe, chat, exact_dedup, html_text, language, packing, quality, token_counts, toxicity
 from .common import crc_bucket, read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE, 2048)
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
 
