@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash
+from .common import small_batches, stash, utf8
 
 #: The most frequent lengths that triples are built from.
 TRIPLE_LENGTHS = 72
@@ -177,8 +177,18 @@ def pack(pieces: DataFrame, size: int, length_col: str = "length", order_cols: t
     )
 
 
+#: ASCII marks that neither join the letter before them in a pre-token nor compose with what follows.
+MARKS = ".,;:!?|*#$%&"
+#: Words that a worker remembers at most; they change speed, never results.
+MEMO_ENTRIES = 500_000
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[list(MARKS.encode())] = True
+
+
 class WordIds:
-    """Ids by a ``tokenizers`` file whose pre-tokens never span white space: each distinct word is encoded once."""
+    """Ids by a lower-casing ``tokenizers`` file whose pre-tokens never span white space nor join letters to
+    marks: texts fall apart at both, and each distinct part is encoded once."""
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
@@ -186,48 +196,34 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words. A letter ends a pre-token where one of MARKS follows, so word and marks are encoded apart."""
-        parts = []
-        for word in words:
-            stem = word.rstrip(MARKS)
-            if not stem or not stem[-1].isalpha():
-                stem = word
-            parts.append((stem.lower() if stem.isascii() else stem, word[len(stem) :]))
-        new = list({p for pair in parts for p in pair}.difference(self.stems))
-        self.stems.update(zip(new, self._encode(new)))
-        get = self.stems.__getitem__
-        self.memo.update((word, get(stem) + get(marks)) for word, (stem, marks) in zip(words, parts))
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        for memo in (self.memo, self.stems):
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-        split = [(t or "").split() for t in texts]
-        missing = set()
+        self.memo: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def words(texts: pa.Array) -> list[list[bytes]]:
+        buf, offsets = utf8(texts)
+        buf = buf[: offsets[-1]]
+        letter = _LETTER[buf]
+        letter[1:] |= (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)  # Latin-1 letters
+        at = np.flatnonzero(letter[:-1] & _MARK[buf[1:]]) + 1
+        spaced = np.insert(buf, at, 32).tobytes().lower()
+        ends = (offsets + np.searchsorted(at, offsets)).tolist()
+        return [spaced[a:b].split() for a, b in zip(ends, ends[1:])]
+
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.clear()
+        split, memo = self.words(texts), self.memo
+        missing: set[bytes] = set()
         for words in split:
-            missing.update(set(words).difference(self.memo))
-        self._learn(list(missing))
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        # str.split also splits at four control characters that the tokenizer takes for word characters
-        odd = [i for i, t in enumerate(texts) if t and any(c in t for c in CONTROLS)]
-        for i, ids in zip(odd, self._encode([texts[i] for i in odd])):
-            out[i] = ids
-        return out
-
-
-#: ASCII marks that never join the letter before them.
-MARKS = ".,;:!?|*#$%&"
-#: Words that a worker remembers at most; they change speed, never results.
-MEMO_ENTRIES = 500_000
-CONTROLS = "\x1c\x1d\x1e\x1f"
+            missing.update(set(words).difference(memo))
+        new = list(missing)
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, coded))
+        get = memo.__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
+
 _IDS: dict[int, WordIds] = {}
 
 
@@ -244,7 +240,7 @@ def token_pieces(df: DataFrame, path: str, size: int = 2048, end_id: int = 0, id
         ids_of = _IDS.get(key) or _IDS.setdefault(key, WordIds(sent.value))
         for batch in small_batches(batches, text_col):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, coded in enumerate(ids_of.texts(batch.column(text_col).to_pylist())):
+            for i, coded in enumerate(ids_of.texts(batch.column(text_col))):
                 coded += end
                 for k, at in enumerate(range(0, len(coded), 4 * size)):
                     part = coded[at : at + 4 * size]
