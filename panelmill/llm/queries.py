@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_text, language, packing, quality, token_counts, toxicity
+from . import bpe, chat, exact_dedup, html_text, jaccard, language, packing, quality, token_counts, toxicity
 from .common import crc_bucket, read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -59,6 +59,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents", "doc_id", "text"), n_words=4, percent=85)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
