@@ -51,6 +51,21 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: More ids than this are never broadcast; they join by a shuffle then.
+MOST_IDS = 1_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has at most ``MOST_IDS`` of them."""
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+
+
+def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``gone`` (a null key matches a null key)."""
+    gone = stash(gone.select(F.col(key).alias("_gone")).distinct(), "gone")
+    return df.join(small(gone), F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df

@@ -32,10 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apart, drop, hash_spans, lower_ascii, mix, small_batches, stash, utf8, windows, word_spans
+from .common import apart, drop, hash_spans, lower_ascii, mix, small, small_batches, stash, utf8, windows, word_spans
 
-#: More ids than this are never broadcast.
-MOST_IDS = 1_000_000
 #: Partitions beyond k + 1: they set how many signatures a pair must share at least.
 SPARE, SPARE_SHARE = 8, 0.06
 #: Rounds in which the sets of a signature meet its most central one, before the rest meet each other.
@@ -158,7 +156,7 @@ def _sets(df: DataFrame, n_words: int) -> DataFrame:
 
 def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``df`` whose _id is in ``ids`` (a written table): broadcast where the ids are few, else a shuffle."""
-    return df.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "_id", "left_semi")
+    return df.join(small(ids), "_id", "left_semi")
 
 
 def components(edges: DataFrame) -> DataFrame:
