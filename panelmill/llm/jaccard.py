@@ -9,10 +9,11 @@ through their members: a pair must share as many signatures as it agrees on non-
 * a set with fewer shared signatures than that is out (a common passage alone does not get a set in), and
 * of a set's shared signatures the rarest suffice, all but the last (needed - 1), for at least one in common.
 
-Sets of one signature are compared with that signature's most central set first, and links found so join
-sets to components; only sets that are then still in different components are compared with one another.
-So a group of thousands of near copies costs a comparison or two each, while no link is lost: every pair
-under a signature was compared, or lies within one component already. Each comparison is of whole sets.
+Sets connected by signatures are a family. Each set is compared with its family's most central set, which
+joins the bulk of a group of near copies with one comparison each. What remains are pairs of which one is
+not linked to that centre c; they are found by prefixes of their elements, or of their differences from c, the
+rarest first (``_candidates``): near copies have nearly all elements in common, but hardly a difference. No
+link is lost, and every candidate pair is compared by its whole sets.
 
 Spark does the grouping, counting and joining; Python only turns texts into hashes. Only ids of a checked
 number are broadcast, beyond it they join by a shuffle.
@@ -36,8 +37,6 @@ from .common import apart, drop, hash_spans, lower_ascii, mix, small, small_batc
 
 #: Partitions beyond k + 1: they set how many signatures a pair must share at least.
 SPARE, SPARE_SHARE = 8, 0.06
-#: Rounds in which the sets of a signature meet its most central one, before the rest meet each other.
-STAR_ROUNDS = 3
 
 
 class Levels:
@@ -197,42 +196,70 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(100 * common >= percent * union).select("_a", "_b")
 
 
-def _links(rows: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame | None:
+def _families(rows: DataFrame) -> DataFrame:
+    """(_id, _centre): sets that signatures connect are a family, its centre the set with the most shared signatures."""
+    hub = rows.groupBy("_sig").agg(F.min("_id").alias("_a"))
+    edges = rows.join(hub, "_sig").where("_a != _id").select("_a", F.col("_id").alias("_b")).distinct()
+    weights = rows.groupBy("_id").agg(F.max("_weight").alias("_weight"))
+    of = components(edges).join(weights, "_id")
+    centres = of.groupBy("_c").agg(F.max(F.struct("_weight", -F.col("_id"), "_id")).getField("_id").alias("_centre"))
+    return of.join(centres, "_c").select("_id", "_centre")
+
+
+def _candidates(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a family, at least one of them not linked to its centre, that prefixes cannot rule out.
+
+    ``met``: _id, _centre, _set, _cset, _linked. With x, y, c sets, a = |x|, Dx = x without c and c without x:
+    links need |x meet y| >= p a / 100 and, as x and y differ in just what Dx and Dy differ in,
+    |Dx meet Dy| >= (|Dx| + |Dy| - q (|x| + |y|)) / 2, where q = (100 - p) / (100 + p). If one of the pair is not
+    linked to c, |D| > q (own size + |c|) for it; so the other one's D has more than (|D| + q (|c| - own size)) / 2
+    in common, and its own at least |D| - a (100 - p) / p, and at least 1. Elements go by rarity within the family,
+    so all but the last (common - 1) of them suffice. Each set searches in the cheaper space, x or Dx.
+    """
+    p, q0, q1 = percent, 100 - percent, 100 + percent
+    rows = met.withColumns({"_n": F.size("_set"), "_cn": F.size("_cset"), "_diff": F.concat(F.array_except("_set", "_cset"), F.array_except("_cset", "_set"))})
+    rows = rows.withColumn("_d", F.size("_diff"))
+    half = F.greatest(F.lit(1), F.floor((q1 * F.col("_d") + q0 * (F.col("_cn") - F.col("_n"))) / (2 * q1)) + 1)
+    long = F.greatest(F.lit(1), F.ceil((p * F.col("_d") - q0 * F.col("_n")) / p))
+    own = F.ceil(p * F.col("_n") / 100)
+    spaces = F.array(
+        F.struct(F.lit(0).alias("space"), F.col("_set").alias("es"), (F.col("_n") - own + 1).cast("int").alias("index"), (F.col("_n") - own + 1).cast("int").alias("search")),
+        F.struct(F.lit(1).alias("space"), F.col("_diff").alias("es"), (F.col("_d") - half + 1).cast("int").alias("index"), (F.col("_d") - long + 1).cast("int").alias("search")),
+    )
+    rows = rows.select("_id", "_centre", "_linked", "_n", F.explode(spaces).alias("_s")).select("_id", "_centre", "_linked", "_n", "_s.space", "_s.index", "_s.search", F.explode("_s.es").alias("_e"))
+    place, mine = Window.partitionBy("_centre", "space", "_e"), Window.partitionBy("_id", "space")
+    rows = rows.withColumn("_f", F.count("*").over(place)).withColumn("_r", F.row_number().over(mine.orderBy("_f", "_e")))
+    rows = rows.where((F.col("_f") > 1) & (F.col("_r") <= F.greatest("index", F.when(~F.col("_linked"), F.col("search")).otherwise(0))))
+    indexed = F.col("_r") <= F.col("index")
+    rows = rows.withColumn("_hits", F.count(F.when(indexed, 1)).over(place))
+    rows = stash(rows.select("_id", "_centre", "_linked", "_n", "space", "_e", "_hits", indexed.alias("_indexed"), (~F.col("_linked") & (F.col("_r") <= F.col("search"))).alias("_searches")), "elements")
+    # the space of less work; a set without rows in a space finds nothing there, so it need not look elsewhere
+    work = rows.where("_searches").groupBy("_id").agg(*[F.coalesce(F.sum(F.when(F.col("space") == k, F.col("_hits"))), F.lit(0)).alias(f"_w{k}") for k in (0, 1)])
+    chosen = work.select("_id", F.when(F.col("_w1") < F.col("_w0"), 1).otherwise(0).alias("space"))
+    search = rows.where("_searches").join(chosen, ["_id", "space"]).select("_centre", "space", "_e", F.col("_id").alias("_a"), F.col("_n").alias("_na"), F.col("_indexed").alias("_half"))
+    found = rows.where("_indexed").select("_centre", "space", "_e", F.col("_id").alias("_b"), F.col("_n").alias("_nb"), F.col("_linked").alias("_lb"))
+    ok = (F.col("_a") != F.col("_b")) & (F.col("_half") | F.col("_lb")) & (100 * F.least("_na", "_nb") >= p * F.greatest("_na", "_nb"))
+    both = search.alias("s").join(found.alias("f"), (F.col("s._centre") == F.col("f._centre")) & (F.col("s.space") == F.col("f.space")) & (F.col("s._e") == F.col("f._e")) & ok)
+    return both.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
+
+
+def _links(rows: DataFrame, texts: DataFrame, n_words: int, percent: int, repeated: bool) -> DataFrame | None:
     """Links that connect all linked sets under the signatures ``rows`` (not all links: see above); None if there are none."""
     if rows.isEmpty():
         return None
-    sets = stash(_sets(_among(texts, stash(rows.select("_id").distinct(), "candidates")), n_words).dropDuplicates(["_id"]), "sets")
-    fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    links = tested = None
-    rows = rows.withColumn("_c", F.col("_id"))
-    for turn in range(STAR_ROUNDS + 1):
-        if turn:
-            spread = Window.partitionBy("_sig")
-            rows = rows.withColumn("_apart", F.min("_c").over(spread) != F.max("_c").over(spread)).where("_apart").drop("_apart")
-            rows = stash(rows, "rows")
-            if rows.isEmpty():
-                break
-        if turn < STAR_ROUNDS:
-            # centres: by weight first, later by hash, so that each round has others
-            rank = F.struct(F.col("_weight") if turn == 0 else F.xxhash64(F.col("_id"), F.lit(turn)), -F.col("_id"), "_id", "_c", "n_shingles")
-            centre = rows.groupBy("_sig").agg(F.max(rank).alias("_centre")).select("_sig", F.col("_centre._id").alias("_a"), F.col("_centre._c").alias("_ca"), F.col("_centre.n_shingles").alias("_na"))
-            pairs = rows.join(centre, "_sig").where((F.col("_a") != F.col("_id")) & (F.col("_ca") != F.col("_c")) & fits(F.col("_na"), F.col("n_shingles")))
-            pairs = pairs.groupBy("_a", F.col("_id").alias("_b")).agg(F.count("*").alias("_times"))
-            if turn == 0:  # each set meets the centre that it shares most signatures with
-                pairs = pairs.groupBy("_b").agg(F.max_by("_a", F.struct("_times", "_a")).alias("_a")).select("_a", "_b")
-            pairs = pairs.select("_a", "_b")
-        else:
-            left = rows.select("_sig", F.col("_id").alias("_a"), F.col("_c").alias("_ca"), F.col("n_shingles").alias("_na"))
-            pairs = left.join(rows, "_sig").where((F.col("_a") < F.col("_id")) & (F.col("_ca") != F.col("_c")) & fits(F.col("_na"), F.col("n_shingles"))).select("_a", F.col("_id").alias("_b")).distinct()
-        pairs = pairs.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
-        pairs = stash(pairs.join(tested, ["_a", "_b"], "left_anti") if tested is not None else pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = stash(_verify(pairs, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        if turn < STAR_ROUNDS:
-            label = components(links)
-            rows = rows.drop("_c").join(label, "_id", "left").withColumn("_c", F.coalesce("_c", "_id"))
-    return links
+    sets = _sets(_among(texts, stash(rows.select("_id").distinct(), "candidates")), n_words)
+    sets = stash(sets.dropDuplicates(["_id"]) if repeated else sets, "sets")
+    family = stash(_families(rows), "families")
+    common = F.size(F.array_intersect("_set", "_cset"))
+    centre_sets = sets.join(family.select(F.col("_centre").alias("_id")).distinct(), "_id", "left_semi").select(F.col("_id").alias("_centre"), F.col("_set").alias("_cset"))
+    meet = lambda ids: ids.join(sets, "_id").join(centre_sets, "_centre")
+    linked = (100 * common >= percent * (F.size("_set") + F.size("_cset") - common)).alias("_linked")
+    star = stash(meet(family).select("_id", "_centre", linked), "star")
+    links = star.where(F.col("_linked") & (F.col("_id") != F.col("_centre"))).select(F.col("_centre").alias("_a"), F.col("_id").alias("_b"))
+    # families of three and more with a set that its centre does not account for
+    left = stash(star.groupBy("_centre").agg(F.count("*").alias("_n"), F.count(F.when(~F.col("_linked"), 1)).alias("_u")).where("_n > 2 and _u > 0").select("_centre"), "left")
+    pairs = stash(_candidates(meet(star.join(left, "_centre", "left_semi")), percent), "pairs")
+    return stash(links.unionByName(_verify(pairs, sets, percent)), "links")
 
 
 def join(df: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,7 +274,8 @@ def join(df: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_
     sigs = firsts.select("_id", "n_shingles", views).select("_id", F.col("n_shingles").cast("int"), "_v._view", "_v._need", F.explode("_v._sigs").alias("_sig"))
     rows = stash(_shared(sigs), "candidates")
     drop(described)
-    links = _links(rows, texts, n_words, percent)
+    repeated = not narrow.groupBy("_id").count().where("count > 1").isEmpty()
+    links = _links(rows, texts, n_words, percent, repeated)
     whole = narrow.join(nodes, keys, "left")
     if links is not None:
         whole = whole.join(components(links).select(F.col("_id").alias("_node"), "_c"), "_node", "left")
