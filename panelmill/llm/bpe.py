@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import hash_spans, mix, small_batches, utf8
+from .common import hash_spans, mix, small_batches, utf8, worker_cache
 
 #: Entries that a worker remembers at most; beyond that it starts anew. They change speed, never results.
 MEMO_ENTRIES = 500_000
@@ -201,15 +201,10 @@ class Codec:
         return pa.array([hashlib.sha256(view[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.string())
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def shared_codec(sent) -> Codec:
-    """This worker's codec for a broadcast (perfect hash, pattern); made once."""
-    if sent.value[2] not in _CODECS:
-        _CODECS.clear()
-        _CODECS[sent.value[2]] = Codec(*sent.value[:2])
-    return _CODECS[sent.value[2]]
+    """This worker's codec for a broadcast (perfect hash, pattern)."""
+    table, pattern, key = sent.value
+    return worker_cache("codec", key, make=lambda: Codec(table, pattern))
 
 
 _SENT: dict[tuple, object] = {}

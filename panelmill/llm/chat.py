@@ -28,7 +28,7 @@ def escape_text(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return F.replace(escape_text(role), F.lit(":"), F.lit("\\:"))
+    return F.replace(escape_text(role), F.lit(COLON), F.lit(":\\ "))
 
 
 def unescape(text: Column) -> Column:

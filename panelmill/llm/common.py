@@ -63,7 +63,7 @@ def small(ids: DataFrame) -> DataFrame:
 def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key is not in ``gone`` (a null key matches a null key)."""
     gone = stash(gone.select(F.col(key).alias("_gone")).distinct(), "gone")
-    return df.join(small(gone), F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    return df.join(small(gone), df[key].eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -76,6 +76,17 @@ def crc_bucket(key: str, n: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % n
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def worker_cache(*key, make):
+    """What a worker keeps between tasks: one thing at a time, so that stages do not add up in its memory."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 # --- vectorised hashing ----------------------------------------------------
 
 
@@ -165,3 +176,5 @@ def small_batches(batches, column: str = "text", most_bytes: int = 4 << 20):
             to = max(at + 1, int(np.searchsorted(sizes, base + most_bytes, "right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch
+        pa.default_memory_pool().release_unused()

@@ -75,8 +75,8 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     decided = groups(df, id_col, text_col)
     gone = stash(decided.groupBy(id_col, "text_sha256").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.unhex("text_sha256").alias("_gone_d")), "gone")
-    digest = F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    left = df.join(small(gone), F.col(id_col).eqNullSafe(F.col("_gone")) & (digest == F.col("_gone_d")), "left_anti")
+    digest = F.unhex(F.sha2(normalised(df[text_col]).cast("binary"), 256))
+    left = df.join(small(gone), df[id_col].eqNullSafe(gone["_gone"]) & (digest == gone["_gone_d"]), "left_anti")
     twice = decided.groupBy(id_col, "text_sha256").count().where("count > 1").select(F.col(id_col).alias("_gone")).limit(1)
     if not twice.isEmpty():  # repeated rows: one of each id and text
         return left.dropDuplicates([id_col, text_col])

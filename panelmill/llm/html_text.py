@@ -117,6 +117,8 @@ def _features(page: str) -> Iterator[tuple[str, int, str, str]]:
 
 #: Weight of a tag that bounds content: no run of words outweighs it.
 LANDMARK = -1e9
+#: Least weight of a word in a link or an element apart: it is left out anyway, and should not part an article.
+APART_LEAST = -1.0
 #: Labelled pages: <!--[--> and <!--]--> enclose the content.
 LABELLED = (
     """<html><head><title>t t</title></head><body><header><a href="/">Home</a> <a href="/b">News</a></header><nav><ul><li><a>one</a></li><li><a>two</a></li>
@@ -151,7 +153,7 @@ def fit(pages: tuple[str, ...] = LABELLED) -> dict[str, float]:
     weights = {}
     for feature in {*inside, *outside}:
         odds = math.log((inside[feature] + 0.5) / (n_in + 1)) - math.log((outside[feature] + 0.5) / (n_out + 1))
-        weights[feature] = max(odds, 0.1) if feature == "word" else min(odds, 0.0) if feature.startswith("tag") else odds
+        weights[feature] = max(odds, 0.1) if feature == "word" else min(odds, 0.0) if feature.startswith("tag") else max(odds, APART_LEAST)
     # Landmarks bound content; they never stand within it.
     for landmark in ("tag article", "tag main", "tag body"):
         weights[landmark] = LANDMARK

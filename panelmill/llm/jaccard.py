@@ -9,7 +9,8 @@ through their members: a pair must share as many signatures as it agrees on non-
 * a set with fewer shared signatures than that is out (a common passage alone does not get a set in), and
 * of a set's shared signatures the rarest suffice, all but the last (needed - 1), for at least one in common.
 
-Sets connected by signatures are a family. Each set is compared with its family's most central set, which
+Where a signature is shared by a few sets, their pairs are counted, and pairs that cannot share enough are out.
+Sets connected by signatures of many are a family. Each set is compared with its family's most central set, which
 joins the bulk of a group of near copies with one comparison each. What remains are pairs of which one is
 not linked to that centre c; they are found by prefixes of their elements, or of their differences from c, the
 rarest first (``_candidates``): near copies have nearly all elements in common, but hardly a difference. No
@@ -26,7 +27,7 @@ extra columns of any name are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from math import ceil
+from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,10 @@ from .common import apart, drop, hash_spans, lower_ascii, mix, small, small_batc
 
 #: Partitions beyond k + 1: they set how many signatures a pair must share at least.
 SPARE, SPARE_SHARE = 8, 0.06
+#: Jaccard distance from a family's centre, in hundredths, up to which sets are found by their differences from it.
+NEAR = 70
+#: In buckets of up to this many sets all pairs are counted: at most 16 for each row.
+SMALL_BUCKET = 32
 
 
 class Levels:
@@ -44,12 +49,16 @@ class Levels:
 
     def __init__(self, percent: int, most: int):
         low, self.lows, self.k, self.n = 1, [], [], []
-        while low <= 2 * most + 2:
+        while not self.lows or self.lows[-1] <= most:  # one level beyond the largest set
             high = max(low, low * 10_000 // percent**2)
             k = 2 * high * (100 - percent) // (100 + percent)
             self.lows.append(low)
             self.k.append(k)
-            self.n.append(k + 1 + SPARE + ceil(SPARE_SHARE * k))
+            # the smallest sets that come here still fill so many partitions more than k
+            least, n = max(1, -(-low * percent // 100)), k + 1 + SPARE + ceil(SPARE_SHARE * k)
+            while n < 4 * least and n * (1 - exp(-least / n)) < k + SPARE + SPARE_SHARE * k:
+                n += 1 + n // 64
+            self.n.append(n)
             low = high + 1
         self.lows, self.k, self.n = np.array(self.lows), np.array(self.k), np.array(self.n)
         self.percent = percent
@@ -174,18 +183,35 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("_id", "_c")
 
 
-def _shared(sigs: DataFrame) -> DataFrame:
-    """Signature rows (_sig, _id, _view, _need) that can matter, each set's rarest as far as needed; with _rows (of the signature) and _weight (of the set)."""
+def _shared(sigs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What signatures (_sig, _id, n_shingles, _view, _need) leave to compare: pairs (_a, _b) that meet in a small bucket
+    and may share enough signatures, and the rows of large buckets for sets that may share enough there alone."""
     by_sig, by_set = Window.partitionBy("_sig"), Window.partitionBy("_id", "_view")
-    rows = sigs.withColumn("_rows", F.count("*").over(by_sig)).where("_rows > 1").drop("_rows")
-    rows = stash(rows, "shared")
+    rows = sigs.withColumn("_rows", F.count("*").over(by_sig)).where("_rows > 1")
+    rows = stash(rows.drop("_rows"), "shared")
     for _ in range(2):
         rows = rows.withColumn("_weight", F.count("*").over(by_set)).where("_weight >= _need")
-        rows = rows.withColumn("_rows", F.count("*").over(by_sig)).where("_rows > 1").drop("_weight", "_rows")
+        rows = rows.withColumn("_rows", F.count("*").over(by_sig)).where("_rows > 1")
+    rows = stash(rows, "peeled")
+    large = F.col("_rows") > SMALL_BUCKET
+    facts = stash(rows.groupBy("_id").agg(F.min("_need").alias("_least"), F.count(F.when(large, 1)).alias("_large")), "facts")
+    # small buckets: count how often each pair meets; what it may share beside that is in large ones
+    small = rows.where(~large).select("_sig", F.col("_id").alias("_a"), F.col("n_shingles").alias("_na"))
+    other = small.select(F.col("_sig").alias("_sig2"), F.col("_a").alias("_b"), F.col("_na").alias("_nb"))
+    fits = 100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")
+    meet = small.join(other, (F.col("_sig") == F.col("_sig2")) & (F.col("_a") < F.col("_b")) & fits).groupBy("_a", "_b").agg(F.count("*").alias("_c"))
+    for side in ("_a", "_b"):
+        meet = meet.join(facts.select(F.col("_id").alias(side), F.col("_least").alias(f"_least{side}"), F.col("_large").alias(f"_large{side}")), side)
+    pairs = meet.where(F.col("_c") + F.least("_large_a", "_large_b") >= F.greatest("_least_a", "_least_b")).select("_a", "_b")
+    # large buckets alone: sets with enough of them, each with its rarest as far as needed
+    rows = rows.where(large).select("_sig", "_id", "n_shingles", "_view", "_need")
+    for _ in range(2):
+        rows = rows.withColumn("_weight", F.count("*").over(by_set)).where("_weight >= _need")
+        rows = rows.withColumn("_rows", F.count("*").over(by_sig)).where("_rows > 1")
     rows = rows.withColumn("_weight", F.count("*").over(by_set)).where("_weight >= _need")
-    rows = rows.withColumn("_rows", F.count("*").over(by_sig))
     rows = rows.withColumn("_r", F.row_number().over(by_set.orderBy("_rows", "_sig"))).where(F.col("_r") <= F.col("_weight") - F.col("_need") + 1)
-    return rows.withColumn("_rows", F.count("*").over(by_sig)).where("_rows > 1").select("_sig", "_id", "_weight", "n_shingles")
+    rows = rows.withColumn("_rows", F.count("*").over(by_sig)).where("_rows > 1").select("_sig", "_id", "_weight", "n_shingles")
+    return stash(pairs, "pairs"), stash(rows, "crowds")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -214,48 +240,55 @@ def _candidates(met: DataFrame, percent: int) -> DataFrame:
     |Dx meet Dy| >= (|Dx| + |Dy| - q (|x| + |y|)) / 2, where q = (100 - p) / (100 + p). If one of the pair is not
     linked to c, |D| > q (own size + |c|) for it; so the other one's D has more than (|D| + q (|c| - own size)) / 2
     in common, and its own at least |D| - a (100 - p) / p, and at least 1. Elements go by rarity within the family,
-    so all but the last (common - 1) of them suffice. Each set searches in the cheaper space, x or Dx.
+    so all but the last (common - 1) of them suffice.
+
+    Jaccard distance is a metric, so of a linked pair either both are within ``NEAR`` of c, and are found by their
+    D, or both are farther than NEAR less the distance of links, and are found by their own elements.
     """
     p, q0, q1 = percent, 100 - percent, 100 + percent
-    rows = met.withColumns({"_n": F.size("_set"), "_cn": F.size("_cset"), "_diff": F.concat(F.array_except("_set", "_cset"), F.array_except("_cset", "_set"))})
-    rows = rows.withColumn("_d", F.size("_diff"))
+    near, far = NEAR, NEAR - q0
+    rows = met.withColumns({"_n": F.size("_set"), "_cn": F.size("_cset"), "_i": F.size(F.array_intersect("_set", "_cset"))})
+    rows = rows.withColumns({"_d": F.col("_n") + F.col("_cn") - 2 * F.col("_i"), "_union": F.col("_n") + F.col("_cn") - F.col("_i")})
     half = F.greatest(F.lit(1), F.floor((q1 * F.col("_d") + q0 * (F.col("_cn") - F.col("_n"))) / (2 * q1)) + 1)
     long = F.greatest(F.lit(1), F.ceil((p * F.col("_d") - q0 * F.col("_n")) / p))
     own = F.ceil(p * F.col("_n") / 100)
-    spaces = F.array(
-        F.struct(F.lit(0).alias("space"), F.col("_set").alias("es"), (F.col("_n") - own + 1).cast("int").alias("index"), (F.col("_n") - own + 1).cast("int").alias("search")),
-        F.struct(F.lit(1).alias("space"), F.col("_diff").alias("es"), (F.col("_d") - half + 1).cast("int").alias("index"), (F.col("_d") - long + 1).cast("int").alias("search")),
-    )
-    rows = rows.select("_id", "_centre", "_linked", "_n", F.explode(spaces).alias("_s")).select("_id", "_centre", "_linked", "_n", "_s.space", "_s.index", "_s.search", F.explode("_s.es").alias("_e"))
-    place, mine = Window.partitionBy("_centre", "space", "_e"), Window.partitionBy("_id", "space")
-    rows = rows.withColumn("_f", F.count("*").over(place)).withColumn("_r", F.row_number().over(mine.orderBy("_f", "_e")))
-    rows = rows.where((F.col("_f") > 1) & (F.col("_r") <= F.greatest("index", F.when(~F.col("_linked"), F.col("search")).otherwise(0))))
-    indexed = F.col("_r") <= F.col("index")
-    rows = rows.withColumn("_hits", F.count(F.when(indexed, 1)).over(place))
-    rows = stash(rows.select("_id", "_centre", "_linked", "_n", "space", "_e", "_hits", indexed.alias("_indexed"), (~F.col("_linked") & (F.col("_r") <= F.col("search"))).alias("_searches")), "elements")
-    # the space of less work; a set without rows in a space finds nothing there, so it need not look elsewhere
-    work = rows.where("_searches").groupBy("_id").agg(*[F.coalesce(F.sum(F.when(F.col("space") == k, F.col("_hits"))), F.lit(0)).alias(f"_w{k}") for k in (0, 1)])
-    chosen = work.select("_id", F.when(F.col("_w1") < F.col("_w0"), 1).otherwise(0).alias("space"))
-    search = rows.where("_searches").join(chosen, ["_id", "space"]).select("_centre", "space", "_e", F.col("_id").alias("_a"), F.col("_n").alias("_na"), F.col("_indexed").alias("_half"))
-    found = rows.where("_indexed").select("_centre", "space", "_e", F.col("_id").alias("_b"), F.col("_n").alias("_nb"), F.col("_linked").alias("_lb"))
+    # (space, elements in all, prefix to be found by, prefix to search by)
+    limits = F.array_compact(F.array(
+        F.when(100 * F.col("_d") >= far * F.col("_union"), F.struct(F.lit(0).alias("space"), F.col("_n").alias("all"), (F.col("_n") - own + 1).alias("found"), (F.col("_n") - own + 1).alias("search"))),
+        F.when(100 * F.col("_d") <= near * F.col("_union"), F.struct(F.lit(1).alias("space"), F.col("_d").alias("all"), (F.col("_d") - half + 1).alias("found"), (F.col("_d") - long + 1).alias("search"))),
+    ))
+    rows = rows.select("_id", "_centre", "_linked", "_n", "_set", "_cset", F.explode(limits).alias("_s"))
+    elements = F.when(F.col("_s.space") == 0, F.col("_set")).otherwise(F.concat(F.array_except("_set", "_cset"), F.array_except("_cset", "_set")))
+    facts = stash(rows.select("_id", "_linked", "_n", "_s.*"), "facts")
+    # an element's key is its own within family and space
+    keys = rows.select("_id", F.col("_s.space").cast("byte").alias("space"), F.xxhash64("_centre", "_s.space").alias("_salt"), F.explode(elements).alias("_e")).select("_id", "space", F.col("_e").bitwiseXOR(F.col("_salt")).alias("_k"))
+    shared = keys.withColumn("_f", F.count("*").over(Window.partitionBy("_k"))).where("_f > 1")
+    # elements of one set alone come first in its order and are only counted
+    mine = Window.partitionBy("_id", "space")
+    shared = shared.withColumns({"_r": F.row_number().over(mine.orderBy("_f", "_k")), "_shared": F.count("*").over(mine)}).join(facts, ["_id", "space"])
+    place = F.col("all") - F.col("_shared") + F.col("_r")
+    shared = stash(shared.select("_k", "_id", "_n", "_linked", (place <= F.col("found")).alias("_found"), (~F.col("_linked") & (place <= F.col("search"))).alias("_searches")).where("_found or _searches"), "elements")
+    search = shared.where("_searches").select("_k", F.col("_id").alias("_a"), F.col("_n").alias("_na"), F.col("_found").alias("_half"))
+    found = shared.where("_found").select(F.col("_k").alias("_kb"), F.col("_id").alias("_b"), F.col("_n").alias("_nb"), F.col("_linked").alias("_lb"))
     ok = (F.col("_a") != F.col("_b")) & (F.col("_half") | F.col("_lb")) & (100 * F.least("_na", "_nb") >= p * F.greatest("_na", "_nb"))
-    both = search.alias("s").join(found.alias("f"), (F.col("s._centre") == F.col("f._centre")) & (F.col("s.space") == F.col("f.space")) & (F.col("s._e") == F.col("f._e")) & ok)
-    return both.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
+    return search.join(found, (F.col("_k") == F.col("_kb")) & ok).select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
 
 
-def _links(rows: DataFrame, texts: DataFrame, n_words: int, percent: int, repeated: bool) -> DataFrame | None:
-    """Links that connect all linked sets under the signatures ``rows`` (not all links: see above); None if there are none."""
-    if rows.isEmpty():
-        return None
-    sets = _sets(_among(texts, stash(rows.select("_id").distinct(), "candidates")), n_words)
+def _links(direct: DataFrame, rows: DataFrame, texts: DataFrame, n_words: int, percent: int, repeated: bool) -> DataFrame:
+    """Links that connect all linked sets among the pairs ``direct`` and the signature rows ``rows`` (not all links: see above)."""
+    wanted = direct.select(F.explode(F.array("_a", "_b")).alias("_id")).unionByName(rows.select("_id")).distinct()
+    sets = _sets(_among(texts, stash(wanted, "wanted")), n_words)
     sets = stash(sets.dropDuplicates(["_id"]) if repeated else sets, "sets")
+    links = _verify(direct, sets, percent)
+    if rows.isEmpty():
+        return stash(links, "links")
     family = stash(_families(rows), "families")
     common = F.size(F.array_intersect("_set", "_cset"))
     centre_sets = sets.join(family.select(F.col("_centre").alias("_id")).distinct(), "_id", "left_semi").select(F.col("_id").alias("_centre"), F.col("_set").alias("_cset"))
     meet = lambda ids: ids.join(sets, "_id").join(centre_sets, "_centre")
     linked = (100 * common >= percent * (F.size("_set") + F.size("_cset") - common)).alias("_linked")
     star = stash(meet(family).select("_id", "_centre", linked), "star")
-    links = star.where(F.col("_linked") & (F.col("_id") != F.col("_centre"))).select(F.col("_centre").alias("_a"), F.col("_id").alias("_b"))
+    links = links.unionByName(star.where(F.col("_linked") & (F.col("_id") != F.col("_centre"))).select(F.col("_centre").alias("_a"), F.col("_id").alias("_b")))
     # families of three and more with a set that its centre does not account for
     left = stash(star.groupBy("_centre").agg(F.count("*").alias("_n"), F.count(F.when(~F.col("_linked"), 1)).alias("_u")).where("_n > 2 and _u > 0").select("_centre"), "left")
     pairs = stash(_candidates(meet(star.join(left, "_centre", "left_semi")), percent), "pairs")
@@ -272,13 +305,10 @@ def join(df: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_
     views = F.explode(F.array(*[F.struct(F.lit(v).alias("_view"), F.col(f"_need{v}").alias("_need"), F.col(f"_s{v}").alias("_sigs")) for v in (0, 1)])).alias("_v")
     firsts = _among(described, stash(nodes.select(F.col("_node").alias("_id")), "firsts"))
     sigs = firsts.select("_id", "n_shingles", views).select("_id", F.col("n_shingles").cast("int"), "_v._view", "_v._need", F.explode("_v._sigs").alias("_sig"))
-    rows = stash(_shared(sigs), "candidates")
+    direct, rows = _shared(sigs, percent)
     drop(described)
     repeated = not narrow.groupBy("_id").count().where("count > 1").isEmpty()
-    links = _links(rows, texts, n_words, percent, repeated)
+    links = _links(direct, rows, texts, n_words, percent, repeated)
     whole = narrow.join(nodes, keys, "left")
-    if links is not None:
-        whole = whole.join(components(links).select(F.col("_id").alias("_node"), "_c"), "_node", "left")
-    else:
-        whole = whole.withColumn("_c", F.lit(None))
+    whole = whole.join(components(links).select(F.col("_id").alias("_node"), "_c"), "_node", "left")
     return whole.select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("_c", "_node", "_id").alias("component_id"))

@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, utf8
+from .common import small_batches, utf8, worker_cache
 
 ORDER = 3
 TRAIN_ROWS = 300
 TRAIN_CHARS = 3_000
 #: The cost table has at most this many entries; with many languages or alphabets the order shrinks.
-TABLE_ENTRIES = 48_000_000
+TABLE_ENTRIES = 32_000_000
 
 _HAS_LETTER = regex.compile(r"\p{L}").search
 _FOLD = np.full(256, 32, np.uint8)
@@ -116,14 +116,14 @@ class CostTable:
             if j:
                 back[place < j] = space
             code = code * self.size + back
-        sums = np.zeros((len(s) + 1, len(self.languages)))
-        np.cumsum(self.bits[code], axis=0, dtype=np.float64, out=sums[1:])
-        return sums[at[1:]] - sums[at[:-1]], np.diff(at)
+        # every row holds its leading space at least, so no segment is empty
+        return np.add.reduceat(self.bits[code], at[:-1], axis=0, dtype=np.float64) if len(at) > 1 else np.zeros((0, len(self.languages))), np.diff(at)
 
 
 def train(df: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, dict[int, int]]:
     """Context counts per language of the rows for which ``trains`` holds (lang not null); size bounded as documented above."""
-    rows = df.where(trains & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).withColumn("_h", F.xxhash64(F.col(id_col).cast("string")))
+    rows = df.where(trains & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(lang_col), F.col(text_col), F.xxhash64(F.col(id_col).cast("string")).alias("_h"))
     # Which rows is settled on narrow rows (each task passes on TRAIN_ROWS a language); only their texts are fetched.
     first = Window.partitionBy(lang_col).orderBy("_h")
     chosen = rows.select(lang_col, "_h").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= TRAIN_ROWS).select(lang_col, "_h").distinct()
@@ -136,9 +136,6 @@ def train(df: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str =
     return found
 
 
-_TABLES: dict[int, CostTable] = {}
-
-
 def identify(df: DataFrame, counts: dict[str, dict[int, int]], text_col: str = "text", *more: str) -> DataFrame:
     """``df``'s columns plus lang_pred, score (probability of that language) and bits_per_byte."""
     spark = df.sparkSession
@@ -148,11 +145,8 @@ def identify(df: DataFrame, counts: dict[str, dict[int, int]], text_col: str = "
     schema = T.StructType([f for f in df.schema.fields if f.name not in new] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[key] = CostTable(sent.value) if sent.value else None
-        table = _TABLES[key]
-        for batch in small_batches(batches, text_col, 1 << 20):
+        table = worker_cache("costs", key, make=lambda: CostTable(sent.value) if sent.value else None)
+        for batch in small_batches(batches, text_col, 1 << 19):
             texts = batch.column(text_col)
             letters = np.array([bool(t) and _HAS_LETTER(t) is not None for t in texts.to_pylist()], bool)
             if table is None:

@@ -28,10 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash, utf8
+from .common import small_batches, stash, utf8, worker_cache
 
 #: The most frequent lengths that triples are built from.
 TRIPLE_LENGTHS = 72
+#: The most frequent lengths that near-full pairs are built from.
+NEAR_LENGTHS = 16
+#: Weight of left-over room against misfit of the histogram.
+ROOM_WEIGHT = 6.0
 #: Pieces of one length in one ranking block, about.
 BLOCK_ROWS = 20_000
 
@@ -40,7 +44,8 @@ BLOCK_ROWS = 20_000
 
 
 def patterns(counts: np.ndarray, size: int) -> list[tuple[int, ...]]:
-    """Few-length patterns: exact singles and pairs, and exact triples over the most frequent lengths."""
+    """Few-length patterns: exact singles and pairs, exact triples over the most frequent lengths, and for each
+    length the fill that leaves least room, one piece and then another."""
     have = counts > 0
     lengths = np.flatnonzero(have)
     out = [(int(a),) for a in lengths if a == size]
@@ -51,26 +56,42 @@ def patterns(counts: np.ndarray, size: int) -> list[tuple[int, ...]]:
             c = size - a - b
             if c >= b and have[c]:
                 out.append((a, b, c))
-    return out
+    below = np.maximum.accumulate(np.where(have, np.arange(size + 1), 0))  # the longest length up to each
+    frequent = sorted(map(int, lengths), key=lambda a: (-counts[a], a))[:NEAR_LENGTHS]
+    for a in map(int, lengths):
+        b = int(below[size - a])
+        c = int(below[size - a - b]) if b else 0
+        for parts in ((a, b), (a, b, c)):
+            if size - sum(parts) < lengths[0]:  # else the residuals' stage goes on filling
+                out.append(tuple(x for x in parts if x))
+        if 2 * a > size:
+            out.append((a,))
+        out += [(a, b) for b in frequent if 0 <= size - a - b <= size // 8]
+    return list(dict.fromkeys(tuple(sorted(x)) for x in out))
 
 
 def nnls(columns: list[tuple[int, ...]], target: np.ndarray, rounds: int = 400) -> np.ndarray:
     """Non-negative least squares over sparse columns (how often a pattern uses each length), by accelerated
-    projected gradients; each row is scaled by its target so that rare lengths count as much as frequent ones."""
+    projected gradients. Each row is scaled by its target, so that rare lengths count as much as frequent ones;
+    one more row (0, which no length has) asks for no room left over, which settles ties between fits."""
     if not columns:
         return np.zeros(0)
+    size = len(target) - 1
     width = max(map(len, columns))
     index = np.array([c + (0,) * (width - len(c)) for c in columns])
     scale = 1 / np.maximum(target, 1.0)
     weight = np.where(index > 0, np.sqrt(scale)[index], 0.0)
+    room = (size - index.sum(1)) / size * ROOM_WEIGHT / np.sqrt(max(1.0, target @ np.arange(size + 1) / size))
     aim = np.sqrt(scale) * target
     aim[0] = 0
 
     def forward(x: np.ndarray) -> np.ndarray:
-        return np.bincount(index.ravel(), (weight * x[:, None]).ravel(), len(target))
+        out = np.bincount(index.ravel(), (weight * x[:, None]).ravel(), len(target))
+        out[0] = room @ x
+        return out
 
     def backward(r: np.ndarray) -> np.ndarray:
-        return (weight * r[index]).sum(1)
+        return (weight * r[index]).sum(1) + room * r[0]
 
     v = np.ones(len(columns))
     for _ in range(20):  # the largest singular value bounds the step
@@ -96,6 +117,7 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
     runs: list[tuple[int, int, int, int, int]] = []
     taken = np.zeros(size + 1, np.int64)
     sequences = 0
+    open_rooms: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> (first sequence, n)
 
     def place(length: int, n: int, first_sequence: int, offset: int) -> None:
         runs.append((length, int(taken[length]), n, first_sequence, offset))
@@ -114,9 +136,10 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
             offset += a
         for a, k in uses.items():
             left[a] -= n * k
+        if offset < size:
+            open_rooms[size - offset].append((sequences, n))
         sequences += n
-    # residuals: best fit, longest first; open sequences of one room and fill are handled together
-    open_rooms: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> (first sequence, n)
+    # residuals: best fit, longest first; open sequences of one room are handled together
     for length in range(size, 0, -1):
         n = int(left[length])
         while n:
@@ -155,6 +178,9 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
 def pack(pieces: DataFrame, size: int, length_col: str = "length", order_cols: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """``pieces`` (lengths 1 to ``size``) with sequence_id and offset. Reads its input three times: pass a written table."""
     spark = pieces.sparkSession
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    pieces = pieces.select(F.col(length_col).alias("_length"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)], F.struct(*columns).alias("_row"))
+    length_col, order_cols = "_length", tuple(f"_o{i}" for i in range(len(order_cols)))
     histogram = pieces.groupBy(length_col).count().collect()  # at most `size` rows
     runs = plan({r[0]: r["count"] for r in histogram}, size)
     most = max((r["count"] for r in histogram), default=0)
@@ -173,7 +199,7 @@ def pack(pieces: DataFrame, size: int, length_col: str = "length", order_cols: t
     found = ranked.join(F.broadcast(places), F.col(length_col) == F.col("_l"))
     run = F.filter("_runs", lambda r: (r["first"] <= F.col("_rank")) & (F.col("_rank") < r["first"] + r["n"]))[0]
     return found.withColumn("_run", run).select(
-        *pieces.columns, (F.col("_run.sequence") + F.col("_rank") - F.col("_run.first")).alias("sequence_id"), F.col("_run.at").cast("long").alias("offset")
+        "_row.*", (F.col("_run.sequence") + F.col("_rank") - F.col("_run.first")).alias("sequence_id"), F.col("_run.at").cast("long").alias("offset")
     )
 
 
@@ -218,14 +244,14 @@ class WordIds:
         for words in split:
             missing.update(set(words).difference(memo))
         new = list(missing)
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, coded))
+        for at in range(0, len(new), 4096):  # the library's results are large
+            part = new[at : at + 4096]
+            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded))
         get = memo.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
-_IDS: dict[int, WordIds] = {}
-
 
 def token_pieces(df: DataFrame, path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Each document's ids and ``end_id``, cut into pieces of at most ``size``: id, piece, start, length, ids_crc32 (and the ids)."""
@@ -237,8 +263,8 @@ def token_pieces(df: DataFrame, path: str, size: int = 2048, end_id: int = 0, id
     kept = df.select(id_col, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _IDS.get(key) or _IDS.setdefault(key, WordIds(sent.value))
-        for batch in small_batches(batches, text_col):
+        ids_of = worker_cache("words", key, make=lambda: WordIds(sent.value))
+        for batch in small_batches(batches, text_col, 2 << 20):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, coded in enumerate(ids_of.texts(batch.column(text_col))):
                 coded += end

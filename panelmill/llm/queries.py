@@ -78,5 +78,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+OP6_SQL = r"""
+with a as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') t from documents)
+select doc_id, min(doc_id) over (partition by t) keep_id, count(*) over (partition by t) group_size,
+       doc_id = min(doc_id) over (partition by t) kept, sha256(t) text_sha256 from a"""
+
+OP7_SQL = r"""
+with said as (select -7::bigint conv_id, unnest([0, 1])::bigint turn, unnest(['user', 'assistant']) "role", '\### Assistant: </turn> ok' text),
+a as (select conv_id, turn, coalesce("role", '') r, coalesce(text, '') t from conversations union all select * from said),
+b as (select *, contains(t, '</turn>' || chr(10)) or regexp_matches(t, '(?s)\\.') or contains(t, '### ') or contains(r, ': ')
+             or contains(r, '</turn>' || chr(10)) or regexp_matches(r, '(?s)\\.') clash from a),
+c as (select *, case when clash then replace(replace(replace(t, '\', '\\'), '</turn>', '<\/turn>'), '### ', '#\## ') else t end et,
+             case when clash then replace(replace(replace(replace(r, '\', '\\'), '</turn>', '<\/turn>'), '### ', '#\## '), ': ', ':\ ') else r end er from b)
+select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn nulls first, r, t)) turns_sha256,
+       coalesce(sum(length(t)) filter (r = 'assistant'), 0)::bigint loss_chars,
+       sha256(coalesce(string_agg(t, '' order by turn nulls first, r, t) filter (r = 'assistant'), '')) loss_sha256,
+       sum(4 + length(er) + 2 + length(et) + 8)::bigint formatted_chars from c group by 1"""
+
+OP8_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+        else list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) end) g from w),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id x, b.doc_id z, count(*) i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, z from p join n nx on nx.doc_id = x join n nz on nz.doc_id = z where 100 * i >= 85 * (nx.n + nz.n - i)),
+e as (select x a, z b from l union all select z, x from l),
+r as (select doc_id a, doc_id c from documents union select e.b, r.c from r join e on e.a = r.a)
+select w.doc_id, coalesce(n.n, 0) n_shingles, min(r.c) component_id from w left join n using (doc_id) join r on r.a = w.doc_id group by 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL can say: the others are compared with plain Python in tests/llm."""
+    return {"op6_exact_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_jaccard_join": OP8_SQL}

@@ -27,8 +27,9 @@ from .common import small_batches, utf8
 def attribute(token_ends: np.ndarray, section_ends: np.ndarray) -> np.ndarray:
     """The section of each token. Both arrays hold ascending end positions in characters (the spans are gapless)."""
     starts = np.concatenate([[0], token_ends[:-1]])
-    first = np.searchsorted(section_ends, starts, "right")
-    last = np.searchsorted(section_ends, np.maximum(token_ends - 1, starts), "right")
+    inside = np.where(token_ends > starts, starts, np.maximum(starts - 1, 0))  # the rest of a character begun before
+    first = np.searchsorted(section_ends, inside, "right")
+    last = np.searchsorted(section_ends, np.maximum(token_ends - 1, inside), "right")
     out = np.minimum(first, len(section_ends) - 1)
     for i in np.flatnonzero(last > first):  # the few that cross a boundary
         bounds = np.concatenate([[starts[i]], section_ends[first[i] : last[i]], [token_ends[i]]])

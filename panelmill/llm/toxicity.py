@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -265,7 +266,7 @@ def score(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc
     voters = Voters(lexicon)
     n = len(voters.names)
     counts = everything.groupBy("votes").count().toPandas()  # at most 2^n rows
-    labelled = learnt.groupby(["votes", "label"]).size().unstack(fill_value=0).reindex(columns=[0, 1], fill_value=0)
+    labelled = pd.crosstab(learnt["votes"], learnt["label"]).reindex(columns=[0, 1], fill_value=0)
     patterns = np.array(sorted({*counts["votes"], *learnt["votes"]}), np.int64)
     by_pattern = counts.set_index("votes")["count"].reindex(patterns, fill_value=0).to_numpy(float)
     by_label = labelled.reindex(patterns, fill_value=0).to_numpy(float)
