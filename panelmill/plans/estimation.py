@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import numeric
 from ..operators import clean, estimate as es, profiles as pr, transitions as tr
-from .base import PANEL, STATES, big, panel, r, table
+from .base import PANEL, STATES, panel, r, table
 from .panels import COUNTS, NEXT, pairs
 
 S, D = SparkSession, DataFrame
@@ -193,5 +193,3 @@ def belief_bootstrap(s: S, d: str) -> D:
     out = each.agg(pr.quantiles(F.col("md"), 0.05, 0.95).alias("m"), pr.quantiles(F.col("wm"), 0.05, 0.95).alias("w"))
     return out.select(*[r(F.col(c)[i], 4).alias(n) for c, i, n in (("m", 0, "median_lo"), ("m", 1, "median_hi"), ("w", 0, "mean_lo"), ("w", 1, "mean_hi"))])
 
-
-_ = big

@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..catalog import query
 from ..operators import clean, panel as pan
@@ -374,5 +373,3 @@ select k from (select k, row_number() over (order by md5(k::varchar||'_42'), k)
 def sample_ids_exact(s: S, d: str) -> D:
     return pan.sample_ids(table(s, d, "orders").select(F.col("o_custkey").alias("k")), "k", 0.1)
 
-
-_ = T

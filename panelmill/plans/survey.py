@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import clean, profiles as pr, weighted as wt
+from ..operators import profiles as pr, weighted as wt
 from .base import big, r, table, year
 
 S, D = SparkSession, DataFrame
@@ -121,5 +121,3 @@ def kde_grid(s: S, d: str) -> D:
     rows = _items(s, d)
     return pr.gaussian_density(rows, "l_discount", "w", [k * 0.005 for k in range(21)], 0.01).select("x", r(F.col("density")).alias("density"))
 
-
-_ = (Window, clean)
