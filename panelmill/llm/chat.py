@@ -57,7 +57,6 @@ def parse(formatted: Column) -> Column:
         )
 
     turns = F.transform(parts, turn)
-    none = F.array().cast("array<struct<role:string,text:string,start:int,length:int,at:int>>")
     # start so far counts from the turn's own beginning: add the lengths of the turns before it
     ends = F.aggregate(
         turns,
@@ -65,7 +64,6 @@ def parse(formatted: Column) -> Column:
         lambda so_far, t: F.struct((so_far.at + t.whole + len(END)).alias("at"), F.concat(so_far.all, F.array(so_far.at)).alias("all")),
         lambda so_far: so_far.all,
     )
-    del none
     return F.zip_with(turns, ends, lambda t, at: F.struct(t.role.alias("role"), t.text.alias("text"), (t.start + at).alias("start"), t.length.alias("length")))
 
 

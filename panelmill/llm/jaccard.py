@@ -31,7 +31,7 @@ from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import apart, drop, hash_spans, lower_ascii, mix, small, small_batches, stash, utf8, windows, word_spans
@@ -40,6 +40,8 @@ from .common import apart, drop, hash_spans, lower_ascii, mix, small, small_batc
 SPARE, SPARE_SHARE = 8, 0.06
 #: Jaccard distance from a family's centre, in hundredths, up to which sets are found by their differences from it.
 NEAR = 70
+#: Rounds of families; sets far from a centre meet around others in the next.
+ROUNDS = 3
 #: In buckets of up to this many sets all pairs are counted: at most 16 for each row.
 SMALL_BUCKET = 32
 
@@ -184,7 +186,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _shared(sigs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """What signatures (_sig, _id, n_shingles, _view, _need) leave to compare: pairs (_a, _b) that meet in a small bucket
+    """What signatures (_sig, _id, n_shingles, _view, _need, _of: the view's signatures) leave to compare: pairs (_a, _b) that meet in a small bucket
     and may share enough signatures, and the rows of large buckets for sets that may share enough there alone."""
     by_sig, by_set = Window.partitionBy("_sig"), Window.partitionBy("_id", "_view")
     rows = sigs.withColumn("_rows", F.count("*").over(by_sig)).where("_rows > 1")
@@ -204,13 +206,13 @@ def _shared(sigs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         meet = meet.join(facts.select(F.col("_id").alias(side), F.col("_least").alias(f"_least{side}"), F.col("_large").alias(f"_large{side}")), side)
     pairs = meet.where(F.col("_c") + F.least("_large_a", "_large_b") >= F.greatest("_least_a", "_least_b")).select("_a", "_b")
     # large buckets alone: sets with enough of them, each with its rarest as far as needed
-    rows = rows.where(large).select("_sig", "_id", "n_shingles", "_view", "_need")
+    rows = rows.where(large).select("_sig", "_id", "n_shingles", "_view", "_need", "_of")
     for _ in range(2):
         rows = rows.withColumn("_weight", F.count("*").over(by_set)).where("_weight >= _need")
         rows = rows.withColumn("_rows", F.count("*").over(by_sig)).where("_rows > 1")
     rows = rows.withColumn("_weight", F.count("*").over(by_set)).where("_weight >= _need")
     rows = rows.withColumn("_r", F.row_number().over(by_set.orderBy("_rows", "_sig"))).where(F.col("_r") <= F.col("_weight") - F.col("_need") + 1)
-    rows = rows.withColumn("_rows", F.count("*").over(by_sig)).where("_rows > 1").select("_sig", "_id", "_weight", "n_shingles")
+    rows = rows.withColumn("_rows", F.count("*").over(by_sig)).where("_rows > 1").select("_sig", "_id", (F.col("_weight") / F.col("_of")).alias("_weight"), "n_shingles")
     return stash(pairs, "pairs"), stash(rows, "crowds")
 
 
@@ -223,8 +225,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _families(rows: DataFrame) -> DataFrame:
-    """(_id, _centre): sets that signatures connect are a family, its centre the set with the most shared signatures."""
-    hub = rows.groupBy("_sig").agg(F.min("_id").alias("_a"))
+    """(_id, _centre): sets that signatures connect are a family, its centre the set with the largest share of its
+    signatures in crowds: of near copies, the one with the fewest edits of its own."""
+    # a signature's most central set is its hub: in a group of copies nearly all signatures have the same, so edges are few
+    hub = rows.groupBy("_sig").agg(F.max(F.struct("_weight", -F.col("_id"), "_id")).getField("_id").alias("_a"))
     edges = rows.join(hub, "_sig").where("_a != _id").select("_a", F.col("_id").alias("_b")).distinct()
     weights = rows.groupBy("_id").agg(F.max("_weight").alias("_weight"))
     of = components(edges).join(weights, "_id")
@@ -232,7 +236,11 @@ def _families(rows: DataFrame) -> DataFrame:
     return of.join(centres, "_c").select("_id", "_centre")
 
 
-def _candidates(met: DataFrame, percent: int) -> DataFrame:
+def _far(differences: Column, union: Column, percent: int) -> Column:
+    return 100 * differences >= (NEAR - 100 + percent) * union
+
+
+def _candidates(met: DataFrame, percent: int, last: bool) -> DataFrame:
     """Pairs of a family, at least one of them not linked to its centre, that prefixes cannot rule out.
 
     ``met``: _id, _centre, _set, _cset, _linked. With x, y, c sets, a = |x|, Dx = x without c and c without x:
@@ -243,10 +251,10 @@ def _candidates(met: DataFrame, percent: int) -> DataFrame:
     so all but the last (common - 1) of them suffice.
 
     Jaccard distance is a metric, so of a linked pair either both are within ``NEAR`` of c, and are found by their
-    D, or both are farther than NEAR less the distance of links, and are found by their own elements.
+    D, or both are farther than NEAR less the distance of links. Those meet around other centres in the next round;
+    in the last one they are found by their own elements.
     """
     p, q0, q1 = percent, 100 - percent, 100 + percent
-    near, far = NEAR, NEAR - q0
     rows = met.withColumns({"_n": F.size("_set"), "_cn": F.size("_cset"), "_i": F.size(F.array_intersect("_set", "_cset"))})
     rows = rows.withColumns({"_d": F.col("_n") + F.col("_cn") - 2 * F.col("_i"), "_union": F.col("_n") + F.col("_cn") - F.col("_i")})
     half = F.greatest(F.lit(1), F.floor((q1 * F.col("_d") + q0 * (F.col("_cn") - F.col("_n"))) / (2 * q1)) + 1)
@@ -254,8 +262,8 @@ def _candidates(met: DataFrame, percent: int) -> DataFrame:
     own = F.ceil(p * F.col("_n") / 100)
     # (space, elements in all, prefix to be found by, prefix to search by)
     limits = F.array_compact(F.array(
-        F.when(100 * F.col("_d") >= far * F.col("_union"), F.struct(F.lit(0).alias("space"), F.col("_n").alias("all"), (F.col("_n") - own + 1).alias("found"), (F.col("_n") - own + 1).alias("search"))),
-        F.when(100 * F.col("_d") <= near * F.col("_union"), F.struct(F.lit(1).alias("space"), F.col("_d").alias("all"), (F.col("_d") - half + 1).alias("found"), (F.col("_d") - long + 1).alias("search"))),
+        F.when(F.lit(last) & _far(F.col("_d"), F.col("_union"), p), F.struct(F.lit(0).alias("space"), F.col("_n").alias("all"), (F.col("_n") - own + 1).alias("found"), (F.col("_n") - own + 1).alias("search"))),
+        F.when(100 * F.col("_d") <= NEAR * F.col("_union"), F.struct(F.lit(1).alias("space"), F.col("_d").alias("all"), (F.col("_d") - half + 1).alias("found"), (F.col("_d") - long + 1).alias("search"))),
     ))
     rows = rows.select("_id", "_centre", "_linked", "_n", "_set", "_cset", F.explode(limits).alias("_s"))
     elements = F.when(F.col("_s.space") == 0, F.col("_set")).otherwise(F.concat(F.array_except("_set", "_cset"), F.array_except("_cset", "_set")))
@@ -279,20 +287,25 @@ def _links(direct: DataFrame, rows: DataFrame, texts: DataFrame, n_words: int, p
     wanted = direct.select(F.explode(F.array("_a", "_b")).alias("_id")).unionByName(rows.select("_id")).distinct()
     sets = _sets(_among(texts, stash(wanted, "wanted")), n_words)
     sets = stash(sets.dropDuplicates(["_id"]) if repeated else sets, "sets")
-    links = _verify(direct, sets, percent)
-    if rows.isEmpty():
-        return stash(links, "links")
-    family = stash(_families(rows), "families")
-    common = F.size(F.array_intersect("_set", "_cset"))
-    centre_sets = sets.join(family.select(F.col("_centre").alias("_id")).distinct(), "_id", "left_semi").select(F.col("_id").alias("_centre"), F.col("_set").alias("_cset"))
-    meet = lambda ids: ids.join(sets, "_id").join(centre_sets, "_centre")
-    linked = (100 * common >= percent * (F.size("_set") + F.size("_cset") - common)).alias("_linked")
-    star = stash(meet(family).select("_id", "_centre", linked), "star")
-    links = links.unionByName(star.where(F.col("_linked") & (F.col("_id") != F.col("_centre"))).select(F.col("_centre").alias("_a"), F.col("_id").alias("_b")))
-    # families of three and more with a set that its centre does not account for
-    left = stash(star.groupBy("_centre").agg(F.count("*").alias("_n"), F.count(F.when(~F.col("_linked"), 1)).alias("_u")).where("_n > 2 and _u > 0").select("_centre"), "left")
-    pairs = stash(_candidates(meet(star.join(left, "_centre", "left_semi")), percent), "pairs")
-    return stash(links.unionByName(_verify(pairs, sets, percent)), "links")
+    links, pairs = _verify(direct, sets, percent), None
+    for turn in range(1, ROUNDS + 1):
+        if rows.isEmpty():
+            break
+        family = stash(_families(rows), "families")
+        centre_sets = sets.join(family.select(F.col("_centre").alias("_id")).distinct(), "_id", "left_semi").select(F.col("_id").alias("_centre"), F.col("_set").alias("_cset"))
+        both = F.size(F.array_intersect("_set", "_cset"))
+        union = F.size("_set") + F.size("_cset") - F.col("_both")
+        met = family.join(sets, "_id").join(centre_sets, "_centre").withColumn("_both", both)
+        star = stash(met.select("_id", "_centre", (100 * F.col("_both") >= percent * union).alias("_linked"), _far(union - F.col("_both"), union, percent).alias("_is_far")), "star")
+        links = links.unionByName(star.where(F.col("_linked") & (F.col("_id") != F.col("_centre"))).select(F.col("_centre").alias("_a"), F.col("_id").alias("_b")))
+        # families of three and more with a set that its centre does not account for
+        left = stash(star.groupBy("_centre").agg(F.count("*").alias("_n"), F.count(F.when(~F.col("_linked"), 1)).alias("_u")).where("_n > 2 and _u > 0").select("_centre"), "left")
+        star = star.join(left, "_centre", "left_semi")
+        around = star.drop("_is_far").join(sets, "_id").join(centre_sets, "_centre")
+        more = stash(_candidates(around, percent, turn == ROUNDS), "pairs")
+        pairs = more if pairs is None else pairs.unionByName(more)
+        rows = stash(rows.join(star.where("_is_far").select("_id"), "_id", "left_semi"), "rows")
+    return stash(links if pairs is None else links.unionByName(_verify(pairs.distinct(), sets, percent)), "links")
 
 
 def join(df: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,7 +317,7 @@ def join(df: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_
     nodes = stash(narrow.where("n_shingles > 0").groupBy(*keys).agg(F.min("_id").alias("_node")), "nodes")
     views = F.explode(F.array(*[F.struct(F.lit(v).alias("_view"), F.col(f"_need{v}").alias("_need"), F.col(f"_s{v}").alias("_sigs")) for v in (0, 1)])).alias("_v")
     firsts = _among(described, stash(nodes.select(F.col("_node").alias("_id")), "firsts"))
-    sigs = firsts.select("_id", "n_shingles", views).select("_id", F.col("n_shingles").cast("int"), "_v._view", "_v._need", F.explode("_v._sigs").alias("_sig"))
+    sigs = firsts.select("_id", "n_shingles", views).select("_id", F.col("n_shingles").cast("int"), "_v._view", "_v._need", F.size("_v._sigs").alias("_of"), F.explode("_v._sigs").alias("_sig"))
     direct, rows = _shared(sigs, percent)
     drop(described)
     repeated = not narrow.groupBy("_id").count().where("count > 1").isEmpty()

@@ -174,7 +174,7 @@ def brute(text):
     for t in tokens:
         data += RANKS[t]
         ends.append(sum((b & 0xC0) != 0x80 for b in data))
-    lines = text.splitlines(keepends=True) if False else [x for x in text.split("\n")]
+    lines = text.split("\n")
     lines = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] or len(lines) == 1 else [])
     bounds, at = [], 0
     for line in lines:
