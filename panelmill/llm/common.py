@@ -79,6 +79,13 @@ def crc_bucket(key: str, n: int) -> Column:
 _KEPT: dict[tuple, object] = {}
 
 
+def free_worker() -> None:
+    """Lets go what an earlier stage left in this worker."""
+    if _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def worker_cache(*key, make):
     """What a worker keeps between tasks: one thing at a time, so that stages do not add up in its memory."""
     if key not in _KEPT:

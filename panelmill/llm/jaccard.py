@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apart, drop, hash_spans, lower_ascii, mix, small, small_batches, stash, utf8, windows, word_spans
+from .common import apart, drop, free_worker, hash_spans, lower_ascii, mix, small, small_batches, stash, utf8, windows, word_spans
 
 #: Partitions beyond k + 1: they set how many signatures a pair must share at least.
 SPARE, SPARE_SHARE = 8, 0.06
@@ -135,7 +135,8 @@ def _describe(df: DataFrame, n_words: int, percent: int) -> DataFrame:
     """id, n_shingles, key (two hashes of the set) and, per view, signatures and how many must be shared."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 1 << 20):
+        free_worker()
+        for batch in small_batches(batches, "text", 1 << 19):
             size = batch.num_rows
             rows, found = shingle_sets(batch.column("text"), n_words)
             sizes = np.bincount(rows, minlength=size)
@@ -157,7 +158,8 @@ def _describe(df: DataFrame, n_words: int, percent: int) -> DataFrame:
 
 def _sets(df: DataFrame, n_words: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 1 << 20):
+        free_worker()
+        for batch in small_batches(batches, "text", 1 << 19):
             rows, found = shingle_sets(batch.column("text"), n_words)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), _lists(found, np.bincount(rows, minlength=batch.num_rows))], ["_id", "_set"])
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import apart, hash_spans, mix, small_batches, stash, utf8, windows, word_spans
+from .common import apart, free_worker, hash_spans, mix, small_batches, stash, utf8, windows, word_spans
 
 WINDOW = 8
 #: Share of a group that an estimate is made from, and the number of concentration steps.
@@ -96,6 +96,7 @@ def count_base(df: DataFrame, text_col: str = "text") -> DataFrame:
     kept = [f for f in df.schema.fields if f.name != text_col and f.name not in names]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in small_batches(batches, text_col, 1 << 20):
             counts = base_counts(batch.column(text_col))
             columns = {f.name: batch.column(f.name) for f in kept} | {c: pa.array(counts[c].astype(np.int64)) for c in names}
