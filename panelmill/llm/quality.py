@@ -2,8 +2,9 @@
 
 Base rules are fixed counts. Beyond them each text becomes a vector of transformed statistics, and for
 each (language, source) a minimum-covariance-determinant estimate of centre and scatter is found by
-concentration steps over all rows: start from medians and spreads, then again and again take the ``SHARE``
-of the group nearest to the estimate and re-estimate from it. Rows whose Mahalanobis distance exceeds the
+concentration steps over all rows: start from medians and median deviations, then again and again take the
+nearer half of the group, (n + 8) / 2 rows (the share that bears most outliers, just short of half), and
+re-estimate from it, until no group's determinant falls any more. Rows whose Mahalanobis distance exceeds the
 cutoff are rejected. Spark does the steps: quantiles from counted bins, moments from sums, each combined
 map-side; only one row per group goes through Python, to factor its 7 x 7 matrix.
 
@@ -30,8 +31,10 @@ from pyspark.sql import types as T
 from .common import apart, free_worker, hash_spans, mix, small_batches, stash, utf8, windows, word_spans
 
 WINDOW = 8
-#: Share of a group that an estimate is made from, and the number of concentration steps.
-SHARE, STEPS = 0.75, 3
+#: A group has settled when a step lowers the log determinant of its scatter by no more than this; it is bounded below, so all do.
+SETTLED = 1e-3
+#: What makes the covariance of the nearer half of a 7-dimensional normal distribution consistent.
+CONSISTENT = 1.6942
 LEAST = 60
 #: log words, log characters a word, and log(1 + percent) of symbols a word, duplicate lines a line, repeated words, capitals, words
 #: equal to the one before.
@@ -119,29 +122,42 @@ def _statistics() -> dict[str, Column]:
     }
 
 
-def _quantile(rows: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
-    """The bin of ``value`` (a long) in which the share of each group is reached: counted map-side, so any group size will do."""
+def _reached(rows: DataFrame, keys: list[str], value: str, aim: Column, name: str) -> DataFrame:
+    """The first bin of ``value`` (a long) at which ``aim`` rows of each group (``_all``: its size) are reached, and as
+    ``part`` the share of that bin's rows still needed: counted map-side, so any group size will do."""
     bins = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     own = Window.partitionBy(*keys)
-    reached = bins.withColumn("_c", F.sum("_n").over(own.orderBy(value))).withColumn("_all", F.sum("_n").over(own))
-    return reached.where(F.col("_c") >= F.ceil(share * F.col("_all"))).groupBy(*keys).agg(F.min(value).alias(name))
+    reached = bins.withColumn("_c", F.sum("_n").over(own.orderBy(value))).withColumn("_all", F.sum("_n").over(own)).where(F.col("_c") >= aim)
+    part = (aim - F.col("_c") + F.col("_n")) / F.col("_n")
+    return reached.groupBy(*keys).agg(F.min(F.struct(F.col(value).alias("b"), part.alias("part"))).alias("_e")).select(*keys, F.col("_e.b").alias(name), "_e.part")
 
 
-def _factor(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Mean and inverse Cholesky factor of each group's moments, one row each."""
-    d = len(STATS)
-    upper = np.triu_indices(d)
-    for rows in batches:
-        out = []
-        for r in rows.itertuples(index=False):
-            mean = np.array(r.sums) / r.n
-            cov = np.zeros((d, d))
-            cov[upper] = np.array(r.squares) / r.n
-            cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-            cov = cov + np.diag(np.square(FLOOR))
-            inverse = np.linalg.inv(np.linalg.cholesky(cov))
-            out.append((r.g_lang, r.g_source, r.n, mean.tolist(), inverse[np.tril_indices(d)].tolist()))
-        yield pd.DataFrame(out, columns=["g_lang", "g_source", "n", "mean", "factor"])
+_FITTED = "g_lang string, g_source string, mean array<double>, factor array<double>, logdet double, moved boolean"
+
+
+def _factor(consistent: float):
+    """Mean, inverse Cholesky factor and log determinant of each group's moments, one row each; the estimate before where it is no worse."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d = len(STATS)
+        upper = np.triu_indices(d)
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                mean = np.array(r.sums) / r.n
+                cov = np.zeros((d, d))
+                cov[upper] = np.array(r.squares) / r.n
+                cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
+                cov = consistent * cov + np.diag(np.square(FLOOR))
+                lower = np.linalg.cholesky(cov)
+                logdet = 2 * float(np.log(np.diag(lower)).sum())
+                if logdet < r.before - SETTLED:
+                    out.append((r.g_lang, r.g_source, mean.tolist(), np.linalg.inv(lower)[np.tril_indices(d)].tolist(), logdet, True))
+                else:
+                    out.append((r.g_lang, r.g_source, list(r.old_mean), list(r.old_factor), r.before, False))
+            yield pd.DataFrame(out, columns=["g_lang", "g_source", "mean", "factor", "logdet", "moved"])
+
+    return run
 
 
 def _squared_distance() -> Column:
@@ -154,44 +170,58 @@ def _squared_distance() -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def _moments(rows: DataFrame) -> DataFrame:
+def _moments(rows: DataFrame, weight: Column) -> DataFrame:
     d = len(STATS)
-    return rows.groupBy("g_lang", "g_source").agg(
-        F.count("*").alias("n"),
-        F.array(*[F.sum(s) for s in STATS]).alias("sums"),
-        F.array(*[F.sum(F.col(STATS[i]) * F.col(STATS[j])) for i in range(d) for j in range(i, d)]).alias("squares"),
+    return rows.withColumn("_w", weight).groupBy("g_lang", "g_source").agg(
+        F.sum("_w").alias("n"),
+        F.array(*[F.sum(F.col("_w") * F.col(s)) for s in STATS]).alias("sums"),
+        F.array(*[F.sum(F.col("_w") * F.col(STATS[i]) * F.col(STATS[j])) for i in range(d) for j in range(i, d)]).alias("squares"),
     )
 
 
-def estimates(stats: DataFrame) -> DataFrame:
-    """g_lang, g_source (``*``: the whole language), n, mean, factor, scale (of the distances' median)."""
+def _start(fits: DataFrame) -> DataFrame:
+    """Moments, without correlations, that have each group's medians and median deviations, on a grid of hundredths."""
     keys = ["g_lang", "g_source"]
-    fits = stats.where(~F.col("base_failed")).withColumn("g_source", F.explode(F.array("g_source", F.lit("*"))))
-    # start: medians and quartile spreads of each statistic, on a grid of hundredths
     long = fits.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.floor(F.col(s) * 100).alias("b")) for i, s in enumerate(STATS)])).alias("x")).select(*keys, "x.k", "x.b")
     long = stash(long.groupBy(*keys, "k", "b").agg(F.count("*").alias("_n")), "bins")
     own = Window.partitionBy(*keys, "k")
-    long = long.withColumn("_c", F.sum("_n").over(own.orderBy("b"))).withColumn("_all", F.sum("_n").over(own))
-    at = lambda q: F.min(F.when(F.col("_c") >= q * F.col("_all"), F.col("b"))) / 100.0
-    spread = long.groupBy(*keys, "k").agg(at(0.5).alias("m"), at(0.25).alias("lo"), at(0.75).alias("hi"), F.max("_all").alias("n"))
-    spread = spread.groupBy(*keys).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("k", "m", ((F.col("hi") - F.col("lo")) / 1.349).alias("s")))).alias("v"))
+    long = long.withColumn("_all", F.sum("_n").over(own))
+    half = lambda by: F.min(F.when(2 * F.col("_c") >= F.col("_all"), F.col(by)))
+    middle = long.withColumn("_c", F.sum("_n").over(own.orderBy("b"))).withColumn("m", half("b").over(own)).withColumn("a", F.abs(F.col("b") - F.col("m")))
+    away = middle.withColumn("_c", F.sum("_n").over(own.orderBy("a"))).groupBy(*keys, "k").agg(F.max("m").alias("m"), half("a").alias("a"), F.max("_all").alias("n"))
+    v = F.struct("k", (F.col("m") / 100.0).alias("m"), (1.4826 * F.col("a") / 100.0).alias("s"))
+    away = away.where(F.col("n") >= LEAST).groupBy(*keys).agg(F.max("n").cast("double").alias("n"), F.sort_array(F.collect_list(v)).alias("v"))
     d = len(STATS)
-    # as moments with the given means and variances, without correlations
     squares = [F.col("n") * (F.col("v")[i]["m"] * F.col("v")[j]["m"] + (F.pow(F.col("v")[i]["s"], 2) if i == j else F.lit(0.0))) for i in range(d) for j in range(i, d)]
-    moments = spread.select(*keys, "n", F.array(*[F.col("n") * F.col("v")[i]["m"] for i in range(d)]).alias("sums"), F.array(*squares).alias("squares"))
-    schema = "g_lang string, g_source string, n long, mean array<double>, factor array<double>"
-    for step in range(STEPS + 1):
-        fitted = stash(moments.where(F.col("n") >= LEAST).mapInPandas(_factor, schema), "fitted")
-        binned = fits.join(fitted.drop("n"), keys).withColumn("_b", F.floor(20 * F.log(_squared_distance() + 1e-9)))
-        if step == STEPS:
-            break
-        edge = stash(_quantile(binned, keys, "_b", SHARE, "_edge"), "edges")
-        moments = _moments(binned.join(edge, keys).where(F.col("_b") <= F.col("_edge")))
-    middle = _quantile(binned, keys, "_b", 0.5, "_middle")
+    return away.select(*keys, "n", F.array(*[F.col("n") * F.col("v")[i]["m"] for i in range(d)]).alias("sums"), F.array(*squares).alias("squares"))
+
+
+def estimates(stats: DataFrame) -> DataFrame:
+    """g_lang, g_source (``*``: the whole language), n, mean, factor, scale (of the distances' median)."""
+    keys = ["g_lang", "g_source"]
+    fits = stats.where(~F.col("base_failed")).withColumn("g_source", F.explode(F.array("g_source", F.lit("*"))))
+    no = F.array().cast("array<double>")
+    binned = lambda fitted: fits.join(F.broadcast(fitted), keys).withColumn("_b", F.floor(20 * F.log(_squared_distance() + 1e-9)))
+    # the start is no estimate from a half, so any first step is better
+    worst = F.lit(float("inf"))
+    begun = _start(fits).withColumns({"old_mean": no, "old_factor": no, "before": worst})
+    moving = stash(begun.mapInPandas(_factor(1.0), _FITTED), "fitted").withColumn("logdet", worst)
+    settled: list[DataFrame] = []
+    while not moving.isEmpty():
+        rows = binned(moving)
+        nearer = stash(_reached(rows, keys, "_b", F.floor((F.col("_all") + len(STATS) + 1) / 2), "_edge"), "edges")
+        own = rows.join(F.broadcast(nearer), keys).where(F.col("_b") <= F.col("_edge"))
+        moments = _moments(own, F.when(F.col("_b") < F.col("_edge"), 1.0).otherwise(F.col("part")))
+        old = moving.select(*keys, F.col("mean").alias("old_mean"), F.col("factor").alias("old_factor"), F.col("logdet").alias("before"))
+        stepped = stash(moments.join(old, keys).mapInPandas(_factor(CONSISTENT), _FITTED), "fitted")
+        settled.append(stepped.where(~F.col("moved")))
+        moving = stepped.where("moved")
+    fitted = stash(reduce(DataFrame.unionAll, settled, moving).drop("logdet", "moved"), "fitted")
+    middle = _reached(binned(fitted), keys, "_b", F.ceil(F.col("_all") / 2), "_middle").drop("part")
     size = fits.groupBy(*keys).agg(F.count("*").alias("n"))
     # a scale below 1 would only sharpen the cutoff where the floors rule the scatter
     scale = F.greatest(F.exp((F.col("_middle") + 1) / 20.0) / MEDIAN, F.lit(1.0))
-    return stash(fitted.drop("n").join(middle, keys).join(size, keys).select(*keys, "n", "mean", "factor", scale.alias("scale")), "estimates")
+    return stash(fitted.join(middle, keys).join(size, keys).select(*keys, "n", "mean", "factor", scale.alias("scale")), "estimates")
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -301,6 +301,23 @@ def test_estimate_ignores_a_fifth_of_outliers(spark):
     assert (distance[:4000] < quality.CUTOFF).mean() > 0.999 and (distance[4000:] > quality.CUTOFF).all()
 
 
+@pytest.mark.parametrize("copied", [True, False])
+def test_estimate_ignores_a_third_of_junk(spark, copied):
+    rng = np.random.default_rng(4)
+    d = len(quality.STATS)
+    clean = rng.normal(0, 1, (660, d)) * quality.FLOOR + 5
+    bad = np.repeat(clean[:1], 340, 0) + 12 * np.eye(d)[2] * quality.FLOOR[2]
+    if not copied:
+        bad = bad + rng.normal(0, 1, bad.shape) * quality.FLOOR
+    frame = pd.DataFrame(np.vstack([clean, bad]), columns=quality.STATS).assign(g_lang="en", g_source="s", base_failed=False)
+    found = quality.estimates(spark.createDataFrame(frame)).where("g_source = 's'").first()
+    assert np.abs((np.array(found["mean"]) - clean.mean(0)) / quality.FLOOR).max() < 0.5
+    lower = np.zeros((d, d))
+    lower[np.tril_indices(d)] = found["factor"]
+    distance = (((frame[list(quality.STATS)].to_numpy() - found["mean"]) @ lower.T) ** 2).sum(1)
+    assert distance[660:].min() > np.quantile(distance[:660], 0.99)
+
+
 # --- 10: language ---------------------------------------------------------------------------
 
 
