@@ -9,11 +9,12 @@ The language of the shortest code wins.
 
 Texts are seen as lower-case bytes in which each run of non-letter bytes is one space.
 
-Training is a classifier fitted on a bounded sample: per language the ``TRAIN_ROWS`` rows with the
-smallest hash of id and text, of each at most ``TRAIN_CHARS`` characters; scoring reads whole texts.
+Training is a classifier fitted on a bounded sample of rows: per language the ``TRAIN_ROWS`` distinct texts with
+the smallest hashes, each of them whole and once however many copies it has. Contexts are counted in tasks; only
+counts reach the driver. Scoring reads whole texts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; ties go to the language
-that sorts first; repeated rows count each; no training rows at all: everything is ``und``.
+that sorts first; repeated rows are scored each; no training rows at all: everything is ``und``.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ from .common import small_batches, utf8, worker_cache
 
 ORDER = 3
 TRAIN_ROWS = 300
-TRAIN_CHARS = 3_000
 #: The cost table has at most this many entries; with many languages or alphabets the order shrinks.
 TABLE_ENTRIES = 32_000_000
 
@@ -120,20 +120,24 @@ class CostTable:
         return np.add.reduceat(self.bits[code], at[:-1], axis=0, dtype=np.float64) if len(at) > 1 else np.zeros((0, len(self.languages))), np.diff(at)
 
 
+def _count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches, "text", 1 << 20):
+        langs = np.array(batch.column("lang").to_pylist(), object)
+        for lang in sorted(set(langs)):
+            found = count_contexts(batch.column("text").filter(pa.array(langs == lang)))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["lang", "key", "n"])
+
+
 def train(df: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, dict[int, int]]:
-    """Context counts per language of the rows for which ``trains`` holds (lang not null); size bounded as documented above."""
+    """Context counts per language of the rows for which ``trains`` holds (lang not null); rows bounded as documented above."""
     rows = df.where(trains & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col), F.col(text_col), F.xxhash64(F.col(id_col).cast("string")).alias("_h"))
-    # Which rows is settled on narrow rows (each task passes on TRAIN_ROWS a language); only their texts are fetched.
-    first = Window.partitionBy(lang_col).orderBy("_h")
-    chosen = rows.select(lang_col, "_h").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= TRAIN_ROWS).select(lang_col, "_h").distinct()
-    texts = rows.join(F.broadcast(chosen), [lang_col, "_h"], "left_semi").select(F.col(lang_col).alias("lang"), "_h", F.substring(text_col, 1, TRAIN_CHARS).alias("text"))
-    # ids that repeat could exceed the bound: apply it again
-    sample = texts.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))).where(F.col("_r") <= TRAIN_ROWS).toPandas()
-    found: dict[str, dict[int, int]] = {}
-    for lang, part in sample.sort_values(["lang", "_r"]).groupby("lang"):
-        found[str(lang)] = count_contexts(pa.array(part["text"].tolist(), pa.string()))
-    return found
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_h"), F.xxhash64(F.col(id_col).cast("string")).alias("_i"))
+    # Which texts is settled on narrow rows, copies folded map-side; one row of each is fetched.
+    first = Window.partitionBy("lang").orderBy("_h")
+    chosen = rows.groupBy("lang", "_h").agg(F.min("_i").alias("_i")).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= TRAIN_ROWS).drop("_r")
+    texts = rows.join(F.broadcast(chosen), ["lang", "_h", "_i"], "left_semi").groupBy("lang", "_h").agg(F.min("text").alias("text"))  # ids may repeat
+    counts = texts.select("lang", "text").mapInArrow(_count_batches, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return {str(lang): dict(zip(part["key"].tolist(), part["n"].tolist())) for lang, part in counts.toPandas().groupby("lang")}
 
 
 def identify(df: DataFrame, counts: dict[str, dict[int, int]], text_col: str = "text", *more: str) -> DataFrame:

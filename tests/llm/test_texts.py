@@ -374,3 +374,10 @@ def test_language_of_odd_rows(odd, empty):
         assert (out[i].lang_pred != "und") == has and 0 <= out[i].score <= 1 and (has or out[i].score == 0)
     assert language.identify(empty, counts).collect() == []
     assert {r.lang_pred for r in language.identify(odd, language.train(empty, F.lit(True))).collect()} == {"und"}
+
+
+def test_training_takes_whole_and_distinct_texts(make, monkeypatch):
+    monkeypatch.setattr(language, "TRAIN_ROWS", 3)
+    texts = ["abc " * 2000 + "zq", "the copy", "one more text"]
+    data = [(i, t, "en", "s", 7, "g", "i", "s", "l") for i, t in enumerate([*texts, *["the copy"] * 20])]
+    assert language.train(make(data + data[-2:]), F.lit(True))["en"] == language.count_contexts(pa.array(texts))
