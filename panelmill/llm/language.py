@@ -4,7 +4,8 @@ For each language a byte context tree of orders 0 to ``ORDER`` holds how often e
 context. A text's exact code length in a language is the sum, over its letters' bytes, of the PPM cost
 with escapes (method C: a context with n occurrences of t distinct bytes escapes with t / (n + t)),
 from the longest seen context down to the uniform order -1. Statistics are frozen after training, so
-the costs of all contexts are laid out once as one table and a text is scored by table look-ups.
+the costs of all observed contexts are laid out once, by sorted keys, and a text is scored by look-ups with
+escapes to the shorter context. The order is the same for any number of languages and any alphabet.
 The language of the shortest code wins.
 
 Texts are seen as lower-case bytes in which each run of non-letter bytes is one space.
@@ -19,6 +20,7 @@ that sorts first; repeated rows are scored each; no training rows at all: everyt
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,8 +34,6 @@ from .common import small_batches, utf8, worker_cache
 
 ORDER = 3
 TRAIN_ROWS = 300
-#: The cost table has at most this many entries; with many languages or alphabets the order shrinks.
-TABLE_ENTRIES = 32_000_000
 
 _HAS_LETTER = regex.compile(r"\p{L}").search
 _FOLD = np.full(256, 32, np.uint8)
@@ -74,50 +74,73 @@ def count_contexts(texts: pa.Array, order: int = ORDER) -> dict[int, int]:
     return out
 
 
+Counts = dict[int, int] | tuple[np.ndarray, np.ndarray]
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in sorted ``keys``, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class _Costs:
+    """Bits of each observed (context, byte) of one language, and of the escape from each observed context, by sorted keys."""
+
+    def __init__(self, counts: Counts, order: int):
+        keys, n = (np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))) if isinstance(counts, dict) else counts
+        size, code = keys >> 40, (keys & (1 << 40) - 1).astype(np.uint64)
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        for k in range(order + 1):
+            own = np.flatnonzero(size == k + 1)
+            own = own[np.argsort(code[own])]
+            codes, times = code[own], n[own].astype(np.float64)
+            contexts, begin, back = np.unique(codes >> np.uint64(8), return_index=True, return_inverse=True)
+            total = np.add.reduceat(times, begin) if len(codes) else np.zeros(0)
+            kinds = np.diff(np.append(begin, len(codes)))
+            self.levels.append((codes, -np.log2(times / (total + kinds)[back]), contexts, -np.log2(kinds / (total + kinds))))
+
+    def bits(self, codes: np.ndarray, k: int) -> np.ndarray:
+        """Bits of the last byte of each code of ``k`` + 1 bytes after the others."""
+        if k < 0:
+            return np.full(len(codes), 8.0)  # order -1: any byte
+        seen, own, contexts, escape = self.levels[k]
+        at, there = _find(seen, codes)
+        out = own[at] if len(own) else np.zeros(len(codes))
+        rest = codes[~there]
+        if len(rest):
+            at, known = _find(contexts, rest >> np.uint64(8))
+            leave = np.where(known, escape[at], 0.0) if len(escape) else 0.0
+            out[~there] = leave + self.bits(rest & np.uint64((1 << 8 * k) - 1), k - 1)
+        return out
+
+
 class CostTable:
-    """Bits for each (context of ``order`` symbols, symbol), for all languages side by side."""
+    """Bits for each (context of ``order`` bytes, byte) in each language."""
 
-    def __init__(self, counts: dict[str, dict[int, int]], order: int = ORDER, entries: int = TABLE_ENTRIES):
+    def __init__(self, counts: dict[str, Counts], order: int = ORDER):
         self.languages = sorted(counts)
-        seen = sorted({key & 255 for c in counts.values() for key in c if key >> 40 == 1})
-        self.symbol = np.full(256, len(seen), np.int32)  # the last symbol stands for any byte never seen
-        self.symbol[seen] = np.arange(len(seen))
-        a = self.size = len(seen) + 1
-        while order > 1 and a ** (order + 1) * len(counts) > entries:
-            order -= 1
         self.order = order
-        self.bits = np.empty((a ** (order + 1), len(self.languages)), np.float32)
-        for column, language in enumerate(self.languages):
-            cost = np.full(a, 8.0)  # order -1: any byte
-            for k in range(order + 1):
-                table = np.zeros((a,) * (k + 1), np.float64)
-                keys = [(key & (1 << 40) - 1, n) for key, n in counts[language].items() if key >> 40 == k + 1]
-                if keys:
-                    code, n = np.array([x for x, _ in keys], np.uint64), np.array([x for _, x in keys], np.float64)
-                    where = tuple(self.symbol[(code >> np.uint64(8 * (k - i)) & np.uint64(255)).astype(np.int64)] for i in range(k + 1))
-                    np.add.at(table, where, n)
-                total, kinds = table.sum(-1, keepdims=True), (table > 0).sum(-1, keepdims=True)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-                    own = -np.log2(table / (total + kinds))
-                cost = np.where(table > 0, own, escape + cost[None] if k else escape + cost)
-            self.bits[:, column] = cost.reshape(-1)
+        self.costs = [_Costs(counts[language], order) for language in self.languages]
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Code lengths in bits, (rows, languages), and the number of coded bytes of each row."""
         buf, offsets = utf8(texts)
         s, at = _fold(buf[offsets[0] : offsets[-1]], offsets)
-        x = self.symbol[s].astype(np.int64)
-        space = int(self.symbol[32])
         place = np.arange(len(s)) - np.repeat(at[:-1], np.diff(at))
-        code = np.zeros(len(s), np.int64)
+        code = np.zeros(len(s), np.uint64)
         for j in range(self.order, -1, -1):
-            back = np.roll(x, j)
+            back = np.roll(s, j)
             if j:
-                back[place < j] = space
-            code = code * self.size + back
+                back[place < j] = 32
+            code = code * np.uint64(256) + back.astype(np.uint64)
+        codes, which = np.unique(code, return_inverse=True)
+        out = np.zeros((len(at) - 1, len(self.languages)))
         # every row holds its leading space at least, so no segment is empty
-        return np.add.reduceat(self.bits[code], at[:-1], axis=0, dtype=np.float64) if len(at) > 1 else np.zeros((0, len(self.languages))), np.diff(at)
+        for column, costs in enumerate(self.costs if len(out) else []):
+            out[:, column] = np.add.reduceat(costs.bits(codes, self.order)[which], at[:-1])
+        return out, np.diff(at)
 
 
 def _count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +151,7 @@ def _count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["lang", "key", "n"])
 
 
-def train(df: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, dict[int, int]]:
+def train(df: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, Counts]:
     """Context counts per language of the rows for which ``trains`` holds (lang not null); rows bounded as documented above."""
     rows = df.where(trains & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_h"), F.xxhash64(F.col(id_col).cast("string")).alias("_i"))
@@ -137,14 +160,14 @@ def train(df: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str =
     chosen = rows.groupBy("lang", "_h").agg(F.min("_i").alias("_i")).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= TRAIN_ROWS).drop("_r")
     texts = rows.join(F.broadcast(chosen), ["lang", "_h", "_i"], "left_semi").groupBy("lang", "_h").agg(F.min("text").alias("text"))  # ids may repeat
     counts = texts.select("lang", "text").mapInArrow(_count_batches, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    return {str(lang): dict(zip(part["key"].tolist(), part["n"].tolist())) for lang, part in counts.toPandas().groupby("lang")}
+    return {str(lang): (part["key"].to_numpy(), part["n"].to_numpy()) for lang, part in counts.toPandas().groupby("lang")}
 
 
-def identify(df: DataFrame, counts: dict[str, dict[int, int]], text_col: str = "text", *more: str) -> DataFrame:
+def identify(df: DataFrame, counts: dict[str, Counts], text_col: str = "text", *more: str) -> DataFrame:
     """``df``'s columns plus lang_pred, score (probability of that language) and bits_per_byte."""
     spark = df.sparkSession
-    key = hash((spark.sparkContext.applicationId, id(counts), len(counts), sum(sum(c.values()) for c in counts.values())))
     sent = spark.sparkContext.broadcast(counts)
+    key = uuid.uuid4().hex
     new = ("lang_pred", "score", "bits_per_byte")
     schema = T.StructType([f for f in df.schema.fields if f.name not in new] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 

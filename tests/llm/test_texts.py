@@ -380,4 +380,17 @@ def test_training_takes_whole_and_distinct_texts(make, monkeypatch):
     monkeypatch.setattr(language, "TRAIN_ROWS", 3)
     texts = ["abc " * 2000 + "zq", "the copy", "one more text"]
     data = [(i, t, "en", "s", 7, "g", "i", "s", "l") for i, t in enumerate([*texts, *["the copy"] * 20])]
-    assert language.train(make(data + data[-2:]), F.lit(True))["en"] == language.count_contexts(pa.array(texts))
+    found = language.train(make(data + data[-2:]), F.lit(True))["en"]
+    assert dict(zip(*(x.tolist() for x in found))) == language.count_contexts(pa.array(texts))
+
+
+def test_order_holds_for_many_languages_and_wide_alphabets():
+    rng = random.Random(5)
+    alphabet = [chr(c) for c in (*range(97, 123), *range(0x3B1, 0x3CA), *range(0x430, 0x450), *range(0x4E00, 0x4F00))]
+    train = {f"l{i}": ["".join(rng.choice([*alphabet, " "]) for _ in range(400)) for _ in range(3)] for i in range(7)}
+    table = language.CostTable({k: language.count_contexts(pa.array(v)) for k, v in train.items()})
+    assert table.order == language.ORDER == 3
+    for text in (train["l2"][0][:150], "a ω я 一"):
+        bits, _ = table.score(pa.array([text]))
+        for j, lang in enumerate(table.languages):
+            assert bits[0, j] == pytest.approx(brute_bits(train[lang], text, 3), rel=1e-4)
