@@ -159,10 +159,10 @@ dr as (select b, ('0x'||substr(md5(b||'_'||j),1,8))::ubigint::bigint % (select n
 bs as (select b, sum(n_o)::bigint n_o, sum(n_op)::bigint n_op from dr join ix using (i) join stats using (id) group by 1)"""
 
 
-def _bootstrap(s: S, d: str) -> D:
+def _bootstrap(s: S, d: str, replications: int = B) -> D:
     out, to = F.when((F.col("st") == "O") & F.col("st1").isNotNull(), 1), F.when((F.col("st") == "O") & (F.col("st1") == "P"), 1)
     stats = pairs(s, d).groupBy("id").agg(F.count(out).alias("n_o"), F.count(to).alias("n_op"))
-    return es.cluster_bootstrap(stats, "id", ["n_o", "n_op"], B)
+    return es.cluster_bootstrap(stats, "id", ["n_o", "n_op"], replications)
 
 
 @query(f"{BOOT} select b::bigint b, n_o, n_op, round(n_op / n_o, 6) rate from bs")
@@ -172,10 +172,28 @@ def cluster_bootstrap(s: S, d: str) -> D:
 
 @query(f"{BOOT}, x as (select n_op / n_o v from bs) select round(quantile_cont(v, 0.025), 6) lo, round(quantile_cont(v, 0.5), 6) mid, round(quantile_cont(v, 0.975), 6) hi from x")
 def bootstrap_ci(s: S, d: str) -> D:
-    q = _bootstrap(s, d).agg(pr.quantiles(F.col("n_op") / F.col("n_o"), 0.025, 0.5, 0.975).alias("q"))
+    return _interval(_bootstrap(s, d))
+
+
+def _interval(replications: D) -> D:
+    q = replications.agg(pr.quantiles(F.col("n_op") / F.col("n_o"), 0.025, 0.5, 0.975).alias("q"))
     return q.select(*[r(F.col("q")[i]).alias(n) for i, n in enumerate(("lo", "mid", "hi"))])
 
 
+#: Replications and draws of the reference; the queries above hold fewer because their SQL crosses each with all ids.
+WHOLE_B, WHOLE_DRAWS = 300, 2_000
+
+
+@query()
+def cluster_bootstrap_whole(s: S, d: str) -> D:
+    return _bootstrap(s, d, WHOLE_B).select("b", "n_o", "n_op", r(F.col("n_op") / F.col("n_o")).alias("rate"))
+
+
+@query()
+def bootstrap_ci_whole(s: S, d: str) -> D:
+    return _interval(_bootstrap(s, d, WHOLE_B))
+
+
 BELIEF = """x as (select row_number() over (order by ('0x'||substr(md5(c_custkey::varchar),1,4))::ubigint::bigint % 64, c_custkey) - 1 i, c_acctbal v from customer where c_nationkey = 3), k as (select count(*) n from x),
 dr as (select b, ('0x'||substr(md5(b||'_'||j),1,8))::ubigint::bigint % (select n from k) i from (select unnest(range(0, 50)) b) cross join (select unnest(range(0, (select n from k))) j)),
 d as (select b, v from dr join x using (i)), q as (select b, quantile_cont(v, 0.05) lo, quantile_cont(v, 0.95) hi, median(v) md from d group by 1),
@@ -185,9 +203,18 @@ e as (select b, md, avg(least(greatest(v, lo), hi)) wm from d join q using (b) g
 @query(f"with {BELIEF} select round(quantile_cont(md, 0.05), 4) median_lo, round(quantile_cont(md, 0.95), 4) median_hi, round(quantile_cont(wm, 0.05), 4) mean_lo, round(quantile_cont(wm, 0.95), 4) mean_hi from e")
 def belief_bootstrap(s: S, d: str) -> D:
     """Median and winsorised mean of a small sample over 50 draws of it."""
+    return _beliefs(s, d, 50)
+
+
+@query()
+def belief_bootstrap_whole(s: S, d: str) -> D:
+    return _beliefs(s, d, WHOLE_DRAWS)
+
+
+def _beliefs(s: S, d: str, replications: int) -> D:
     values = table(s, d, "customer").where("c_nationkey = 3").select("c_custkey", F.col("c_acctbal").alias("v"))
     n = values.count()
-    drawn = es.draws(s, n, 50).join(es.dense_index(values, "c_custkey"), "i").join(values, "c_custkey")
+    drawn = es.draws(s, n, replications).join(es.dense_index(values, "c_custkey"), "i").join(values, "c_custkey")
     q = drawn.groupBy("b").agg(pr.quantiles(F.col("v"), 0.05, 0.5, 0.95).alias("q"))
     each = drawn.join(q, "b").groupBy("b", F.col("q")[1].alias("md")).agg(F.avg(clean.clip(F.col("v"), F.col("q")[0], F.col("q")[2])).alias("wm"))
     out = each.agg(pr.quantiles(F.col("md"), 0.05, 0.95).alias("m"), pr.quantiles(F.col("wm"), 0.05, 0.95).alias("w"))

@@ -222,3 +222,16 @@ def test_text(spark):
     assert text.year_ranges("2016-2018, 2020") == [2016, 2017, 2018, 2020]
     with pytest.raises(ValueError):
         text.year_ranges("2019-2016")
+
+
+def test_whole_bootstraps_have_the_reference_replications(spark, sf, duck):
+    """The same draws in SQL with the replications of the reference, on the smallest tables."""
+    import oracle
+
+    from panelmill import catalog
+
+    sql = catalog.oracle_sql()
+    for name, part, whole in (("cluster_bootstrap", "range(0, 20)", "range(0, 300)"), ("bootstrap_ci", "range(0, 20)", "range(0, 300)"), ("belief_bootstrap", "range(0, 50)", "range(0, 2000)")):
+        assert part in sql[name]
+        assert oracle.difference(catalog.queries()[f"{name}_whole"](spark, sf), duck, sql[name].replace(part, whole)) == ""
+    assert catalog.queries()["cluster_bootstrap_whole"](spark, sf).count() == 300
