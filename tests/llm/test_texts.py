@@ -318,6 +318,18 @@ def test_estimate_ignores_a_third_of_junk(spark, copied):
     assert distance[660:].min() > np.quantile(distance[:660], 0.99)
 
 
+def test_duplicate_lines_alone_can_reject_and_floors_are_no_addition(spark, make):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    unique = [" ".join(rng.choice(words) for _ in range(rng.randint(60, 400))).replace(" w1", "\nw1") for _ in range(80)]
+    notice = "\n".join(f"read all\n{' '.join(rng.choice(words) for _ in range(9))}" for _ in range(60))
+    data = [(i, t, "en", "s0", 7, "g", "i", "s", "l") for i, t in enumerate([*unique, notice])]
+    out = {r.doc_id: r for r in quality.judge(make(data)).collect()}
+    assert not out[80].base_failed and not out[80].kept and sum(out[i].kept for i in range(80)) >= 79
+    wide = np.diag(np.square(quality.FLOOR)) * 4
+    assert np.allclose(quality._floored(wide), wide)
+
+
 # --- 10: language ---------------------------------------------------------------------------
 
 
