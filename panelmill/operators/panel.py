@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ordinal(year: str | Column, quarter: str | Column) -> Column:
@@ -88,3 +89,20 @@ def sample_ids(df: DataFrame, key: str, fraction: float, seed: int = 42) -> Data
     ids = df.select(key).where(F.col(key).isNotNull()).distinct()
     n = max(1, int(ids.count() * fraction + 0.5))
     return ids.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"_{seed}"))), key).limit(n)
+
+
+def positions(df: DataFrame, keys: Sequence[Column], name: str = "pos", blocks: int = 64) -> DataFrame:
+    """All rows with their place (1, 2, 3 ...) in the order of ``keys``, nulls last. Rows are numbered within ranges of the
+    whole key, shifted by the ranges before, so no task sees all rows; the ranges' edges come from a few rows by hash."""
+    key = F.struct(*[x for i, k in enumerate(keys) for x in (k.isNull().alias(f"n{i}"), k.alias(f"k{i}"))])
+    rows = df.withColumn("_key", key)
+    some = rows.select("_key").orderBy(F.xxhash64("_key")).limit(16 * blocks)
+    # collected once: the edges must be the same for the counts and for the rows
+    edges = some.agg(F.sort_array(F.collect_list("_key")).alias("e")).first()["e"][16::16]
+    bounds = df.sparkSession.createDataFrame([(edges,)], T.StructType([T.StructField("_edges", T.ArrayType(rows.schema["_key"].dataType))]))
+    rows = rows.crossJoin(F.broadcast(bounds)).withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col("_key")))).drop("_edges")
+    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    # a row a block
+    before = sizes.select("_b", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy("_key"))
+    return rows.withColumn("_own", own).join(F.broadcast(before), "_b").withColumn(name, F.col("_before") + F.col("_own")).drop("_key", "_b", "_own", "_before")

@@ -235,3 +235,15 @@ def test_whole_bootstraps_have_the_reference_replications(spark, sf, duck):
         assert part in sql[name]
         assert oracle.difference(catalog.queries()[f"{name}_whole"](spark, sf), duck, sql[name].replace(part, whole)) == ""
     assert catalog.queries()["cluster_bootstrap_whole"](spark, sf).count() == 300
+
+
+def test_positions_of_all_rows_with_a_third_in_one_person(spark):
+    from panelmill import catalog
+    from panelmill.operators import panel as pan
+
+    data = [(None if i % 7 == 0 else 3 if i % 3 == 0 else i % 50, i * 37 % 101, i) for i in range(3000)]
+    out = pan.positions(spark.createDataFrame(data, "id int, t int, k int"), [F.col("id"), F.col("t"), F.col("k")]).collect()
+    want = sorted(data, key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2]))
+    assert [tuple(r)[:3] for r in sorted(out, key=lambda r: r.pos)] == want and sorted(r.pos for r in out) == list(range(1, 3001))
+    assert pan.positions(spark.createDataFrame([], "id int, t int"), [F.col("id"), F.col("t")]).collect() == []
+    assert "sorted_panel_whole" in catalog.queries()
