@@ -1,33 +1,36 @@
-"""Operator 8: similarity join of word n-gram sets by PartEnum signatures, exact.
+"""Operator 8: similarity join of word n-gram sets by PartEnum signatures.
 
-Texts become sets of shingle hashes; equal sets are one node from then on. Sets are put in size bands, and
-two sets that can link meet at the level of the larger one's band. There they differ in at most k shingles, so
-when the shingle domain is dealt to n > k partitions, they agree on at least n - k of them. A set's signatures
-are its projections on the partitions. Instead of hashing every subset of n - k partitions, subsets are met
-through their members: a pair must share as many signatures as it agrees on non-empty partitions, so
+Texts become sets of 64-bit shingle hashes; equal sets (two more 64-bit hashes agree) are one node from then on.
+Beside those hashes nothing is approximate: every link is found, and every pair is compared by its whole texts.
 
-* a set with fewer shared signatures than that is out (a common passage alone does not get a set in), and
-* of a set's shared signatures the rarest suffice, all but the last (needed - 1), for at least one in common.
+**Signatures.** A pair belongs to a size band by the sum of both sizes; sets of a band that link differ in at most
+k shingles. The band deals the shingle domain to n1 groups of n2 cells with n1 * (n2 - 1) > k, so in one group at
+least two cells hold the same shingles in both sets. A set's signatures are its projections on the two-cell subsets
+of each group; linked sets share one. A set is in at most two bands.
 
-Where a signature is shared by a few sets, their pairs are counted, and pairs that cannot share enough are out.
-Sets connected by signatures of many are a family. Each set is compared with its family's most central set, which
-joins the bulk of a group of near copies with one comparison each. What remains are pairs of which one is
-not linked to that centre c; they are found by prefixes of their elements, or of their differences from c, the
-rarest first (``_candidates``): near copies have nearly all elements in common, but hardly a difference. No
-link is lost, and every candidate pair is compared by its whole sets.
+**Only what can match is enumerated.** A subset that holds a cell no other set has cannot be shared. So a first
+pass ships (cell, id) alone and drops cells of one set; sets left with fewer cells in common than n - k are out
+too, as a linked pair agrees on n - k cells. Signatures are enumerated from the cells that remain. Cells found
+in many of a bounded sample of sets (``HOT_SAMPLE``) are dealt to salted keys; this changes speed only.
 
-Spark does the grouping, counting and joining; Python only turns texts into hashes. Only ids of a checked
-number are broadcast, beyond it they join by a shuffle.
+**Buckets.** The sets of one signature are compared with its hub, the set with the largest share of its cells in
+common, so a group of near copies takes about one comparison each. Sets meet in hub groups from then on. Where a
+group's sets are not yet all connected, pairs of small groups are compared; in large groups pairs are found by
+prefixes of the sets' differences from the hub, the rarest first (``_candidates``), and sets far from their hub
+meet around other hubs in the next round. Each pair is checked by a lower bound of its distance (parity bits of
+the cells of a finer partition), and what is left by the texts. No group or bucket is capped.
+
+Spark does the grouping, counting and joining; Python only turns texts into hashes. Only tables of a checked
+size are broadcast, beyond it they join by a shuffle.
 
 Defined cases: a text of fewer words than n is one shingle, a null or wordless text is the empty set and
-links with nothing; repeated rows are equal sets; ids name texts (rows with one id must have one text);
-extra columns of any name are ignored; an empty table gives no rows.
+links with nothing; repeated rows are equal sets; ids name texts (rows with one id must have one text); a text of
+any length is one set in one task's memory; extra columns of any name are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
@@ -36,40 +39,40 @@ from pyspark.sql import functions as F
 
 from .common import apart, drop, free_worker, hash_spans, lower_ascii, mix, small, small_batches, stash, utf8, windows, word_spans
 
-#: Partitions beyond k + 1: they set how many signatures a pair must share at least.
-SPARE, SPARE_SHARE = 8, 0.06
-#: Jaccard distance from a family's centre, in hundredths, up to which sets are found by their differences from it.
+#: Cells of a group (n2); bands of small sets have smaller groups.
+WIDE = 5
+#: Bits of a cell's key for its group; six more tell bands apart, the rest is the hash of its shingles.
+GROUP_BITS = 14
+#: Cells in at least ``HOT_LEAST`` of about ``HOT_SAMPLE`` sets are salted ``SALTS``-fold.
+HOT_SAMPLE, HOT_LEAST, SALTS = 4_000, 20, 64
+#: Jaccard distance from a hub, in hundredths, up to which sets are found by their differences from it.
 NEAR = 70
-#: Rounds of families; sets far from a centre meet around others in the next.
+#: Rounds of hubs; sets far from a hub meet around others in the next.
 ROUNDS = 3
-#: In buckets of up to this many sets all pairs are counted: at most 16 for each row.
-SMALL_BUCKET = 32
+#: In hub groups of up to this many sets all pairs that are not connected yet are compared: at most 16 for each row.
+SMALL_GROUP = 32
 
 
-class Levels:
-    """Size bands, and for each its k and number of partitions. ``percent``: the least similarity, in hundredths."""
+class Bands:
+    """Bands of the sum of two sets' sizes, and for each its k, n1 and n2. ``percent``: the least similarity, in hundredths."""
 
     def __init__(self, percent: int, most: int):
-        low, self.lows, self.k, self.n = 1, [], [], []
-        while not self.lows or self.lows[-1] <= most:  # one level beyond the largest set
-            high = max(low, low * 10_000 // percent**2)
-            k = 2 * high * (100 - percent) // (100 + percent)
-            self.lows.append(low)
-            self.k.append(k)
-            # the smallest sets that come here still fill so many partitions more than k
-            least, n = max(1, -(-low * percent // 100)), k + 1 + SPARE + ceil(SPARE_SHARE * k)
-            while n < 4 * least and n * (1 - exp(-least / n)) < k + SPARE + SPARE_SHARE * k:
-                n += 1 + n // 64
-            self.n.append(n)
-            low = high + 1
-        self.lows, self.k, self.n = np.array(self.lows), np.array(self.k), np.array(self.n)
-        self.percent = percent
+        low, tops = 2, []
+        while not tops or tops[-1] < most + most * 100 // percent:
+            tops.append(max(low, low * 10_000 // percent**2))
+            low = tops[-1] + 1
+        self.tops, self.percent = np.array(tops), percent
+        self.k = self.tops * (100 - percent) // (100 + percent)
+        self.n2 = np.minimum(WIDE, self.k + 2)
+        self.n1 = -(-(self.k + 1) // (self.n2 - 1))
+        self.n = self.n1 * self.n2
 
     def views(self, sizes: np.ndarray) -> list[np.ndarray]:
-        """The level of each set's own band, and the next level where larger partners may be; -1: none."""
-        own = np.searchsorted(self.lows, sizes, "right") - 1
-        up = np.where(100 * sizes >= self.percent * self.lows[own + 1], own + 1, -1)
-        return [np.where((level >= 0) & (sizes > 0) & (self.k[level] > 0), level, -1) for level in (own, up)]
+        """The bands of the smallest and of the largest possible partner; -1: none, the same, or one where only equal sets link."""
+        first = np.searchsorted(self.tops, sizes - (-sizes * self.percent // 100))
+        last = np.searchsorted(self.tops, sizes + sizes * 100 // self.percent)
+        bands = [first, np.where(last > first, last, -1)]
+        return [np.where((b >= 0) & (sizes > 0) & (self.k[b] > 0), b, -1) for b in bands]
 
 
 def shingle_sets(texts: pa.Array, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,62 +101,117 @@ def shingle_sets(texts: pa.Array, n_words: int) -> tuple[np.ndarray, np.ndarray]
     return rows[first], found[first]
 
 
-def signatures(rows: np.ndarray, found: np.ndarray, sizes: np.ndarray, level: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, their number per row, number a partner must share) at one level per row (-1: none)."""
-    n = np.where(level >= 0, levels.n[level], 0)
-    base = np.concatenate([[0], np.cumsum(n)])
-    use = level[rows] >= 0
-    r, g = rows[use], found[use]
-    salt = mix(level.astype(np.uint64) + np.uint64(77))
-    cell = base[r] + (mix(g ^ salt[r]) % np.maximum(n[r], 1).astype(np.uint64)).astype(np.int64)
-    total = np.zeros(base[-1], np.uint64)
-    np.add.at(total, cell, mix(g + np.uint64(0x632BE59BD9B4E019)))
-    count = np.bincount(cell, minlength=base[-1])
-    row_of = np.repeat(np.arange(len(n)), n)
-    place = (np.arange(base[-1]) - base[row_of]).astype(np.uint64)
-    sig = mix(total + mix(count.astype(np.uint64) + (place << np.uint64(20)) + salt[row_of]))
-    filled = count > 0
-    per_row = np.bincount(row_of[filled], minlength=len(n))
-    need = np.where(level >= 0, n - levels.k[level] - (n - per_row), 0)
-    # Sets so uneven that agreeing on empty partitions could suffice: they also meet in one bucket a level.
-    odd = np.flatnonzero((level >= 0) & (need <= 0))
-    sigs, owner = sig[filled], row_of[filled]
-    if len(odd):
-        sigs = np.concatenate([sigs, mix(salt[odd] ^ np.uint64(0x5851F42D4C957F2D))])
-        owner = np.concatenate([owner, odd])
-        order = np.argsort(owner, kind="stable")
-        sigs, owner = sigs[order], owner[order]
-        need[odd] = 1
-    return sigs, np.bincount(owner, minlength=len(n)), need
+class Cells:
+    """The cells of each row's set in one band per row (-1: none): keys, owners and which hold shingles."""
+
+    def __init__(self, rows: np.ndarray, found: np.ndarray, band: np.ndarray, bands: Bands):
+        self.band, self.size = band, np.where(band >= 0, bands.n[band], 0)
+        base = np.concatenate([[0], np.cumsum(self.size)])
+        use = band[rows] >= 0
+        r, g = rows[use], found[use]
+        salt = mix(band.astype(np.uint64) + np.uint64(77))
+        cell = base[r] + (mix(g ^ salt[r]) % np.maximum(self.size[r], 1).astype(np.uint64)).astype(np.int64)
+        total = np.zeros(base[-1], np.uint64)
+        np.add.at(total, cell, mix(g + np.uint64(0x632BE59BD9B4E019)))
+        count = np.bincount(cell, minlength=base[-1])
+        self.owner = np.repeat(np.arange(len(band)), self.size)
+        place = np.arange(base[-1]) - base[self.owner]
+        own = band[self.owner]
+        h = mix(total + mix(count.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(20)) + salt[self.owner]))
+        group = place // np.maximum(bands.n2[own], 1)
+        self.key = self._key(own, group, h)
+        self.filled = count > 0
+        per_row = np.bincount(self.owner[self.filled], minlength=len(band))
+        # how many filled cells a linked pair has in common at least
+        self.need = np.where(band >= 0, per_row - bands.k[band], 0)
+        # sets so uneven that agreeing on empty cells could suffice meet in one more key a band
+        self.odd = np.flatnonzero((band >= 0) & (self.need <= 0))
+        self.odd_key = self._key(band[self.odd], np.zeros(len(self.odd), np.int64), mix(salt[self.odd] ^ np.uint64(0x5851F42D4C957F2D)))
+        self.need[self.odd] = 1
+
+    @staticmethod
+    def _key(band: np.ndarray, group: np.ndarray, h: np.ndarray) -> np.ndarray:
+        tag = (band.astype(np.uint64) & np.uint64(63)) << np.uint64(GROUP_BITS) | group.astype(np.uint64) & np.uint64((1 << GROUP_BITS) - 1)
+        return tag << np.uint64(58 - GROUP_BITS) | h >> np.uint64(6 + GROUP_BITS)
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def _parity(rows: np.ndarray, found: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """A set's parity bits: each shingle flips one of 2 to 4 bits a shingle, a power of two in number."""
+    words = np.int64(1) << np.ceil(np.log2(np.maximum(sizes, 32) / 32)).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(words)])
+    at = mix(found + np.uint64(0x9E3779B97F4A7C15)) & (words[rows].astype(np.uint64) * np.uint64(64) - np.uint64(1))
+    bits = np.zeros(base[-1], np.uint64)
+    np.bitwise_xor.at(bits, base[rows] + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return _lists(bits, words)
+
+
+def _batches(batches: Iterable[pa.RecordBatch], n_words: int, percent: int):
+    """(batch, rows, shingles, sizes, bands) of small batches of texts."""
+    free_worker()
+    for batch in small_batches(batches, "text", 1 << 19):
+        rows, found = shingle_sets(batch.column("text"), n_words)
+        sizes = np.bincount(rows, minlength=batch.num_rows)
+        yield batch, rows, found, sizes, Bands(percent, int(sizes.max(initial=0)))
+
+
+def _type(df: DataFrame) -> str:
+    return df.schema["_id"].dataType.simpleString()
+
+
 def _describe(df: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """id, n_shingles, key (two hashes of the set) and, per view, signatures and how many must be shared."""
+    """id, n_shingles, key (two hashes of the set) and, per view, the band and how many filled cells must be shared."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_worker()
-        for batch in small_batches(batches, "text", 1 << 19):
-            size = batch.num_rows
-            rows, found = shingle_sets(batch.column("text"), n_words)
-            sizes = np.bincount(rows, minlength=size)
-            levels = Levels(percent, int(sizes.max(initial=0)))
-            keys = []
+        for batch, rows, found, sizes, bands in _batches(batches, n_words, percent):
+            columns = [batch.column("_id"), pa.array(sizes.astype(np.int64))]
             for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47):
-                total = np.zeros(size, np.uint64)
+                total = np.zeros(len(sizes), np.uint64)
                 np.add.at(total, rows, mix(found ^ np.uint64(salt)))
-                keys.append(pa.array(total.view(np.int64)))
-            columns = [batch.column("_id"), pa.array(sizes.astype(np.int64)), *keys]
-            for level in levels.views(sizes):
-                sigs, counts, need = signatures(rows, found, sizes, level, levels)
-                columns += [_lists(sigs, counts), pa.array(need.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["_id", "n_shingles", "_k1", "_k2", "_s0", "_need0", "_s1", "_need1"])
+                columns.append(pa.array(total.view(np.int64)))
+            for band in bands.views(sizes):
+                columns += [pa.array(band.astype(np.int32)), pa.array(Cells(rows, found, band, bands).need.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "n_shingles", "_k1", "_k2", "_band0", "_need0", "_band1", "_need1"])
+
+    return df.mapInArrow(run, f"_id {_type(df)}, n_shingles long, _k1 long, _k2 long, _band0 int, _need0 int, _band1 int, _need1 int")
 
-    id_type = df.schema["_id"].dataType.simpleString()
-    return df.mapInArrow(run, f"_id {id_type}, n_shingles long, _k1 long, _k2 long, _s0 array<long>, _need0 int, _s1 array<long>, _need1 int")
+
+def _cell_rows(n_words: int, percent: int):
+    """(_cell, _id) of every filled cell of every set."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows, found, sizes, bands in _batches(batches, n_words, percent):
+            for band in bands.views(sizes):
+                cells = Cells(rows, found, band, bands)
+                owner = np.concatenate([cells.owner[cells.filled], cells.odd])
+                keys = np.concatenate([cells.key[cells.filled], cells.odd_key])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("_id").take(pa.array(owner))], ["_cell", "_id"])
+
+    return run
+
+
+def _profiles(df: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """id, text, size, number of filled cells, keys of empty cells, most cells of one tag, parity bits."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows, found, sizes, bands in _batches(batches, n_words, percent):
+            filled, wide = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+            keys, owners = [], []
+            for band in bands.views(sizes):
+                cells = Cells(rows, found, band, bands)
+                filled += np.bincount(cells.owner[cells.filled], minlength=len(sizes))
+                wide = np.maximum(wide, np.where(band >= 0, bands.n2[band] * -(-bands.n1[band] >> GROUP_BITS), 1))
+                keys.append(cells.key[~cells.filled])
+                owners.append(cells.owner[~cells.filled])
+            keys, owners = np.concatenate(keys), np.concatenate(owners)
+            empty = _lists(keys[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(sizes)))
+            columns = [batch.column("_id"), batch.column("text"), pa.array(sizes.astype(np.int32)), pa.array(filled.astype(np.int32)), empty, pa.array(wide.astype(np.int32)), _parity(rows, found, sizes)]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "text", "_n", "_filled", "_empty", "_wide", "_bits"])
+
+    return df.mapInArrow(run, f"_id {_type(df)}, text string, _n int, _filled int, _empty array<long>, _wide int, _bits array<long>")
 
 
 def _sets(df: DataFrame, n_words: int) -> DataFrame:
@@ -163,7 +221,7 @@ def _sets(df: DataFrame, n_words: int) -> DataFrame:
             rows, found = shingle_sets(batch.column("text"), n_words)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), _lists(found, np.bincount(rows, minlength=batch.num_rows))], ["_id", "_set"])
 
-    return df.mapInArrow(run, f"_id {df.schema['_id'].dataType.simpleString()}, _set array<long>")
+    return df.mapInArrow(run, f"_id {_type(df)}, _set array<long>")
 
 
 def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -171,6 +229,9 @@ def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(small(ids), "_id", "left_semi")
 
 
+# --- components --------------------------------------------------------------
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(_id, _c): the smallest id that each endpoint of ``edges`` (_a, _b) reaches. Labels spread and jump in rounds; each round is a written table."""
     both = stash(edges.select(F.col("_a").alias("_id"), F.col("_b").alias("_to")).unionByName(edges.select(F.col("_b").alias("_id"), F.col("_a").alias("_to"))).distinct(), "edges")
@@ -184,79 +245,122 @@ def components(edges: DataFrame) -> DataFrame:
         drop(labels)
         labels = after
         if after.where("_c != _old").isEmpty():
+            drop(both)
             return labels.select("_id", "_c")
 
 
-def _shared(sigs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """What signatures (_sig, _id, n_shingles, _view, _need, _of: the view's signatures) leave to compare: pairs (_a, _b) that meet in a small bucket
-    and may share enough signatures, and the rows of large buckets for sets that may share enough there alone."""
-    by_sig, by_set = Window.partitionBy("_sig"), Window.partitionBy("_id", "_view")
-    rows = sigs.withColumn("_rows", F.count("*").over(by_sig)).where("_rows > 1")
-    rows = stash(rows.drop("_rows"), "shared")
-    for _ in range(2):
-        rows = rows.withColumn("_weight", F.count("*").over(by_set)).where("_weight >= _need")
-        rows = rows.withColumn("_rows", F.count("*").over(by_sig)).where("_rows > 1")
-    rows = stash(rows, "peeled")
-    large = F.col("_rows") > SMALL_BUCKET
-    facts = stash(rows.groupBy("_id").agg(F.min("_need").alias("_least"), F.count(F.when(large, 1)).alias("_large")), "facts")
-    # small buckets: count how often each pair meets; what it may share beside that is in large ones
-    small = rows.where(~large).select("_sig", F.col("_id").alias("_a"), F.col("n_shingles").alias("_na"))
-    other = small.select(F.col("_sig").alias("_sig2"), F.col("_a").alias("_b"), F.col("_na").alias("_nb"))
-    fits = 100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")
-    meet = small.join(other, (F.col("_sig") == F.col("_sig2")) & (F.col("_a") < F.col("_b")) & fits).groupBy("_a", "_b").agg(F.count("*").alias("_c"))
+def roots(parents: DataFrame) -> DataFrame:
+    """(_id, _c): the root above each id of a forest (_id, _parent; a root is its own parent), in rounds that double the reach."""
+    labels = stash(parents.select("_id", F.col("_parent").alias("_c")), "labels")
+    while True:
+        above = labels.select(F.col("_id").alias("_c"), F.col("_c").alias("_up"))
+        after = stash(labels.join(above, "_c").select("_id", F.col("_c").alias("_old"), F.col("_up").alias("_c")), "labels")
+        drop(labels)
+        labels = after
+        if after.where("_c != _old").isEmpty():
+            return labels.select("_id", "_c")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (_id, _c) after joining what ``links`` (_a, _b) connect: only edges between labels are spread."""
+    ends = links
     for side in ("_a", "_b"):
-        meet = meet.join(facts.select(F.col("_id").alias(side), F.col("_least").alias(f"_least{side}"), F.col("_large").alias(f"_large{side}")), side)
-    pairs = meet.where(F.col("_c") + F.least("_large_a", "_large_b") >= F.greatest("_least_a", "_least_b")).select("_a", "_b")
-    # large buckets alone: sets with enough of them, each with its rarest as far as needed
-    rows = rows.where(large).select("_sig", "_id", "n_shingles", "_view", "_need", "_of")
-    for _ in range(2):
-        rows = rows.withColumn("_weight", F.count("*").over(by_set)).where("_weight >= _need")
-        rows = rows.withColumn("_rows", F.count("*").over(by_sig)).where("_rows > 1")
-    rows = rows.withColumn("_weight", F.count("*").over(by_set)).where("_weight >= _need")
-    rows = rows.withColumn("_r", F.row_number().over(by_set.orderBy("_rows", "_sig"))).where(F.col("_r") <= F.col("_weight") - F.col("_need") + 1)
-    rows = rows.withColumn("_rows", F.count("*").over(by_sig)).where("_rows > 1").select("_sig", "_id", (F.col("_weight") / F.col("_of")).alias("_weight"), "n_shingles")
-    return stash(pairs, "pairs"), stash(rows, "crowds")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (_a, _b) whose sets are similar enough."""
-    sized = pairs.join(sets.select(F.col("_id").alias("_b"), F.col("_set").alias("_sb")), "_b").join(sets.select(F.col("_id").alias("_a"), F.col("_set").alias("_sa")), "_a")
-    common = F.size(F.array_intersect("_sa", "_sb"))
-    union = F.size("_sa") + F.size("_sb") - common
-    return sized.where(100 * common >= percent * union).select("_a", "_b")
-
-
-def _families(rows: DataFrame) -> DataFrame:
-    """(_id, _centre): sets that signatures connect are a family, its centre the set with the largest share of its
-    signatures in crowds: of near copies, the one with the fewest edits of its own."""
-    # a signature's most central set is its hub: in a group of copies nearly all signatures have the same, so edges are few
-    hub = rows.groupBy("_sig").agg(F.max(F.struct("_weight", -F.col("_id"), "_id")).getField("_id").alias("_a"))
-    edges = rows.join(hub, "_sig").where("_a != _id").select("_a", F.col("_id").alias("_b")).distinct()
-    weights = rows.groupBy("_id").agg(F.max("_weight").alias("_weight"))
-    of = components(edges).join(weights, "_id")
-    centres = of.groupBy("_c").agg(F.max(F.struct("_weight", -F.col("_id"), "_id")).getField("_id").alias("_centre"))
-    return of.join(centres, "_c").select("_id", "_centre")
+        ends = ends.join(labels.select(F.col("_id").alias(side), F.col("_c").alias(f"_c{side}")), side)
+    ends = stash(ends.where("_c_a != _c_b").select(F.least("_c_a", "_c_b").alias("_a"), F.greatest("_c_a", "_c_b").alias("_b")).distinct(), "ends")
+    if ends.isEmpty():
+        return labels
+    new = components(ends).select(F.col("_id").alias("_c"), F.col("_c").alias("_new"))
+    return stash(labels.join(new, "_c", "left").select("_id", F.coalesce("_new", "_c").alias("_c")), "labels")
 
 
-def _far(differences: Column, union: Column, percent: int) -> Column:
-    return 100 * differences >= (NEAR - 100 + percent) * union
+# --- candidates --------------------------------------------------------------
+
+
+def _band_of(cell: Column) -> Column:
+    return F.shiftrightunsigned(cell, 58).cast("int")
+
+
+def _shared_cells(cells: DataFrame, sampled: DataFrame, keys: DataFrame) -> DataFrame:
+    """(_id, _cells): for each set the cells that other sets have too, in bands where it has enough of them.
+
+    ``cells`` (_cell, _id) of all sets, and of the sample from which hot cells are told."""
+    hot = stash(sampled.groupBy("_cell").count().where(F.col("count") >= HOT_LEAST).select("_cell", F.lit(True).alias("_hot")), "hot")
+    # at most the sample's cells / HOT_LEAST rows, whatever the input
+    salted = cells.join(F.broadcast(hot), "_cell", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("byte"))
+    # hot cells are in others for certain
+    shared = salted.withColumn("_rows", F.count("*").over(Window.partitionBy("_cell", "_salt"))).where((F.col("_rows") > 1) | F.col("_hot"))
+    by_set = shared.groupBy("_id").agg(F.collect_list("_cell").alias("_cells")).join(keys, "_id")
+
+    def enough(view: int) -> Column:
+        band, need = F.col(f"_band{view}"), F.col(f"_need{view}")
+        own = F.filter("_cells", lambda c: _band_of(c) == band % 64)
+        return F.when((band >= 0) & (F.size(own) >= need), own).otherwise(F.array().cast("array<long>"))
+
+    return by_set.select("_id", F.concat(enough(0), enough(1)).alias("_cells")).where(F.size("_cells") > 0)
+
+
+def _signatures(shared: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(_sig, _id, _w): the two-cell subsets of each group, from shared and empty cells; _w: a set's share of shared cells, in thousandths."""
+    rows = shared.join(profiles.select("_id", "_filled", "_empty", "_wide"), "_id")
+    bands = F.array_distinct(F.transform("_cells", _band_of))
+    empty = F.filter("_empty", lambda e: F.array_contains(F.col("_bands"), _band_of(e)))
+    rows = rows.withColumn("_bands", bands).withColumn("_all", F.sort_array(F.concat("_cells", empty)))
+    tag = lambda c: F.shiftrightunsigned(c, 58 - GROUP_BITS)
+    # sorted cells of one group stand together
+    pairs = F.flatten(F.transform("_all", lambda x, i: F.transform(F.filter(F.slice("_all", i + 2, F.col("_wide")), lambda y: tag(x) == tag(y)), lambda y: F.xxhash64(x, y))))
+    weight = F.floor(1000 * F.size("_cells") / F.greatest("_filled", F.lit(1))).cast("short")
+    return rows.select(F.explode(pairs).alias("_sig"), "_id", weight.alias("_w"))
+
+
+def _compare(pairs: DataFrame, profiles: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """The pairs (_a, _b) that link, as a written table: first by a lower bound of the distance, then by whole texts."""
+    for side in ("_a", "_b"):
+        pairs = pairs.join(profiles.select(F.col("_id").alias(side), F.col("_n").alias(f"_n{side}"), F.col("_bits").alias(f"_bits{side}")), side)
+    half = lambda bits: F.shiftright(F.size(bits), 1)
+    fold = lambda bits: F.zip_with(F.slice(bits, 1, half(bits)), F.slice(bits, half(bits) + 1, half(bits)), lambda x, y: x.bitwiseXOR(y))
+    a, b = F.col("_bits_a"), F.col("_bits_b")
+    narrow = lambda x, y: F.when(F.size(x) > F.size(y), fold(x)).otherwise(x)
+    # a shingle in one of the two sets flips one bit, so they differ in as many shingles at least as in bits
+    differ = F.aggregate(F.zip_with(narrow(a, b), narrow(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda so_far, x: so_far + x)
+    total = F.col("_n_a") + F.col("_n_b")
+    pairs = pairs.where(100 * F.least("_n_a", "_n_b") >= percent * F.greatest("_n_a", "_n_b"))
+    near = stash(pairs.where((100 + percent) * differ <= (100 - percent) * total).select("_a", "_b"), "near")
+    for side in ("_a", "_b"):
+        near = near.join(profiles.select(F.col("_id").alias(side), F.col("text").alias(f"_text{side}")), side)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
+        for large in small_batches(batches, "_text_a", 1 << 19):
+            for batch in small_batches([large], "_text_b", 1 << 20):
+                sides = [shingle_sets(batch.column(c), n_words) for c in ("_text_a", "_text_b")]
+                size = np.bincount(np.concatenate([rows for rows, _ in sides]), minlength=batch.num_rows)
+                rows, found = (np.concatenate(x) for x in zip(*sides))
+                order = np.lexsort((found, rows))
+                rows, found = rows[order], found[order]
+                twice = (rows[1:] == rows[:-1]) & (found[1:] == found[:-1])
+                common = np.bincount(rows[1:][twice], minlength=batch.num_rows)
+                yield batch.select(["_a", "_b"]).filter(pa.array(100 * common >= percent * (size - common)))
+
+    kind = _type(profiles)
+    return stash(near.select("_a", "_b", "_text_a", "_text_b").mapInArrow(run, f"_a {kind}, _b {kind}"), "links")
 
 
 def _candidates(met: DataFrame, percent: int, last: bool) -> DataFrame:
-    """Pairs of a family, at least one of them not linked to its centre, that prefixes cannot rule out.
+    """Pairs of a hub group, at least one of them not connected with the hub, that prefixes cannot rule out.
 
-    ``met``: _id, _centre, _set, _cset, _linked. With x, y, c sets, a = |x|, Dx = x without c and c without x:
-    links need |x meet y| >= p a / 100 and, as x and y differ in just what Dx and Dy differ in,
-    |Dx meet Dy| >= (|Dx| + |Dy| - q (|x| + |y|)) / 2, where q = (100 - p) / (100 + p). If one of the pair is not
-    linked to c, |D| > q (own size + |c|) for it; so the other one's D has more than (|D| + q (|c| - own size)) / 2
-    in common, and its own at least |D| - a (100 - p) / p, and at least 1. Elements go by rarity within the family,
-    so all but the last (common - 1) of them suffice.
+    ``met``: _id, _hub, _set, _cset (the hub's), _linked (connected with the hub; if not, it is known not to link with it).
+    With x, y, c sets, a = |x|, Dx = x without c and c without x: links need |x meet y| >= p a / 100 and, as x and
+    y differ in just what Dx and Dy differ in, |Dx meet Dy| >= (|Dx| + |Dy| - q (|x| + |y|)) / 2, where
+    q = (100 - p) / (100 + p). If one of the pair does not link with c, |D| > q (own size + |c|) for it; so the other
+    one's D has more than (|D| + q (|c| - own size)) / 2 in common, and its own at least |D| - a (100 - p) / p, and at
+    least 1. Elements go by rarity within the group, so all but the last (common - 1) of them suffice.
 
     Jaccard distance is a metric, so of a linked pair either both are within ``NEAR`` of c, and are found by their
-    D, or both are farther than NEAR less the distance of links. Those meet around other centres in the next round;
+    D, or both are farther than NEAR less the distance of links. Those meet around other hubs in the next round;
     in the last one they are found by their own elements.
     """
     p, q0, q1 = percent, 100 - percent, 100 + percent
+    own_key = ["_id", "_hub", "space"]
     rows = met.withColumns({"_n": F.size("_set"), "_cn": F.size("_cset"), "_i": F.size(F.array_intersect("_set", "_cset"))})
     rows = rows.withColumns({"_d": F.col("_n") + F.col("_cn") - 2 * F.col("_i"), "_union": F.col("_n") + F.col("_cn") - F.col("_i")})
     half = F.greatest(F.lit(1), F.floor((q1 * F.col("_d") + q0 * (F.col("_cn") - F.col("_n"))) / (2 * q1)) + 1)
@@ -267,15 +371,15 @@ def _candidates(met: DataFrame, percent: int, last: bool) -> DataFrame:
         F.when(F.lit(last) & _far(F.col("_d"), F.col("_union"), p), F.struct(F.lit(0).alias("space"), F.col("_n").alias("all"), (F.col("_n") - own + 1).alias("found"), (F.col("_n") - own + 1).alias("search"))),
         F.when(100 * F.col("_d") <= NEAR * F.col("_union"), F.struct(F.lit(1).alias("space"), F.col("_d").alias("all"), (F.col("_d") - half + 1).alias("found"), (F.col("_d") - long + 1).alias("search"))),
     ))
-    rows = rows.select("_id", "_centre", "_linked", "_n", "_set", "_cset", F.explode(limits).alias("_s"))
+    rows = rows.select("_id", "_hub", "_linked", "_n", "_set", "_cset", F.explode(limits).alias("_s"))
     elements = F.when(F.col("_s.space") == 0, F.col("_set")).otherwise(F.concat(F.array_except("_set", "_cset"), F.array_except("_cset", "_set")))
-    facts = stash(rows.select("_id", "_linked", "_n", "_s.*"), "facts")
-    # an element's key is its own within family and space
-    keys = rows.select("_id", F.col("_s.space").cast("byte").alias("space"), F.xxhash64("_centre", "_s.space").alias("_salt"), F.explode(elements).alias("_e")).select("_id", "space", F.col("_e").bitwiseXOR(F.col("_salt")).alias("_k"))
+    facts = stash(rows.select("_id", "_hub", "_linked", "_n", "_s.*"), "facts")
+    # an element's key is its own within group and space
+    keys = rows.select("_id", "_hub", "_s.space", F.xxhash64("_hub", "_s.space").alias("_salt"), F.explode(elements).alias("_e")).select(*own_key, F.col("_e").bitwiseXOR(F.col("_salt")).alias("_k"))
     shared = keys.withColumn("_f", F.count("*").over(Window.partitionBy("_k"))).where("_f > 1")
     # elements of one set alone come first in its order and are only counted
-    mine = Window.partitionBy("_id", "space")
-    shared = shared.withColumns({"_r": F.row_number().over(mine.orderBy("_f", "_k")), "_shared": F.count("*").over(mine)}).join(facts, ["_id", "space"])
+    mine = Window.partitionBy(*own_key)
+    shared = shared.withColumns({"_r": F.row_number().over(mine.orderBy("_f", "_k")), "_shared": F.count("*").over(mine)}).join(facts, own_key)
     place = F.col("all") - F.col("_shared") + F.col("_r")
     shared = stash(shared.select("_k", "_id", "_n", "_linked", (place <= F.col("found")).alias("_found"), (~F.col("_linked") & (place <= F.col("search"))).alias("_searches")).where("_found or _searches"), "elements")
     search = shared.where("_searches").select("_k", F.col("_id").alias("_a"), F.col("_n").alias("_na"), F.col("_found").alias("_half"))
@@ -284,46 +388,81 @@ def _candidates(met: DataFrame, percent: int, last: bool) -> DataFrame:
     return search.join(found, (F.col("_k") == F.col("_kb")) & ok).select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
 
 
-def _links(direct: DataFrame, rows: DataFrame, texts: DataFrame, n_words: int, percent: int, repeated: bool) -> DataFrame:
-    """Links that connect all linked sets among the pairs ``direct`` and the signature rows ``rows`` (not all links: see above)."""
-    wanted = direct.select(F.explode(F.array("_a", "_b")).alias("_id")).unionByName(rows.select("_id")).distinct()
-    sets = _sets(_among(texts, stash(wanted, "wanted")), n_words)
-    sets = stash(sets.dropDuplicates(["_id"]) if repeated else sets, "sets")
-    links, pairs = _verify(direct, sets, percent), None
+def _far(differences: Column, union: Column, percent: int) -> Column:
+    return 100 * differences >= (NEAR - 100 + percent) * union
+
+
+def _connect(rows: DataFrame, profiles: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """(_id, _c): sets with one _c are those that links connect. ``rows``: _sig, _id, _w."""
+    compare = lambda pairs: _compare(pairs, profiles, n_words, percent)
+    with_label = lambda df, side, name: df.join(labels.select(F.col("_id").alias(side), F.col("_c").alias(name)), side)
+    pair = (F.least("_id", "_hub").alias("_a"), F.greatest("_id", "_hub").alias("_b"))
+    labels = stash(profiles.select("_id", F.col("_id").alias("_c")), "labels")
     for turn in range(1, ROUNDS + 1):
-        if rows.isEmpty():
+        hub = F.max(F.struct("_w", (-F.hash("_id")).alias("_o"), "_id"))
+        hubs = stash(rows.groupBy("_sig").agg(hub.getField("_id").alias("_hub"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows"), "hubs")
+        met = rows.join(hubs, "_sig").where("_id != _hub").groupBy("_id", "_hub").agg(F.count("*").alias("_sigs"))
+        met = stash(met, "met")
+        if met.isEmpty():
+            break
+        # each set with the hub it shares most signatures with; a hub outranks its sets, so these links make a forest
+        best = met.groupBy("_id").agg(F.max(F.struct("_sigs", "_hub")).getField("_hub").alias("_hub"))
+        best = stash(with_label(with_label(best, "_id", "_ci"), "_hub", "_ch").where("_ci != _ch").select("_id", "_hub", *pair), "best")
+        linked = compare(best.select("_a", "_b"))
+        up = best.join(linked, ["_a", "_b"]).select("_id", F.col("_hub").alias("_parent"))
+        if turn == 1:
+            labels = roots(labels.join(up, "_id", "left").select("_id", F.coalesce("_parent", "_id").alias("_parent")))
+        else:
+            labels = _merged(labels, linked)
+        # then the other hubs, as far as sets are not connected with them
+        rest = with_label(with_label(met, "_id", "_ci"), "_hub", "_ch").where("_ci != _ch").join(best.select("_id", "_hub"), ["_id", "_hub"], "left_anti")
+        labels = _merged(labels, compare(rest.select(*pair).distinct()))
+        # groups with a set that is not connected with the hub, and another that it could link with
+        groups = stash(with_label(with_label(met, "_id", "_ci"), "_hub", "_ch").select("_id", "_hub", "_ci", (F.col("_ci") == F.col("_ch")).alias("_linked")), "groups")
+        counts = groups.groupBy("_hub").agg(F.count("*").alias("_all"), F.count(F.when(~F.col("_linked"), 1)).alias("_loose")).where("_all > 1 and _loose > 0")
+        counts = stash(counts, "counts")
+        few = groups.join(counts.where(F.col("_all") <= SMALL_GROUP).select("_hub"), "_hub", "left_semi")
+        one, other = few.where("not _linked").select("_hub", F.col("_id").alias("_x"), F.col("_ci").alias("_cx")), few.select(F.col("_hub").alias("_hub2"), F.col("_id").alias("_y"), F.col("_ci").alias("_cy"))
+        pairs = one.join(other, (F.col("_hub") == F.col("_hub2")) & (F.col("_cx") != F.col("_cy"))).select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct()
+        labels = _merged(labels, compare(pairs))
+        crowds = counts.where(F.col("_all") > SMALL_GROUP).select("_hub")
+        if crowds.isEmpty():
+            break
+        many = stash(groups.join(crowds, "_hub", "left_semi").select("_id", "_hub", "_linked"), "many")
+        wanted = stash(many.select("_id").unionByName(crowds.select(F.col("_hub").alias("_id"))).distinct(), "wanted")
+        sets = stash(_sets(_among(profiles.select("_id", "text"), wanted), n_words), "sets")
+        hub_sets = sets.join(crowds.select(F.col("_hub").alias("_id")), "_id", "left_semi").select(F.col("_id").alias("_hub"), F.col("_set").alias("_cset"))
+        around = many.join(sets, "_id").join(hub_sets, "_hub")
+        labels = _merged(labels, compare(_candidates(around, percent, turn == ROUNDS)))
+        union = F.size("_set") + F.size("_cset") - F.col("_i")
+        far = around.withColumn("_i", F.size(F.array_intersect("_set", "_cset"))).where(_far(union - F.col("_i"), union, percent))
+        far = stash(far.select("_id", "_hub"), "far")
+        if far.isEmpty():
             break
-        family = stash(_families(rows), "families")
-        centre_sets = sets.join(family.select(F.col("_centre").alias("_id")).distinct(), "_id", "left_semi").select(F.col("_id").alias("_centre"), F.col("_set").alias("_cset"))
-        both = F.size(F.array_intersect("_set", "_cset"))
-        union = F.size("_set") + F.size("_cset") - F.col("_both")
-        met = family.join(sets, "_id").join(centre_sets, "_centre").withColumn("_both", both)
-        star = stash(met.select("_id", "_centre", (100 * F.col("_both") >= percent * union).alias("_linked"), _far(union - F.col("_both"), union, percent).alias("_is_far")), "star")
-        links = links.unionByName(star.where(F.col("_linked") & (F.col("_id") != F.col("_centre"))).select(F.col("_centre").alias("_a"), F.col("_id").alias("_b")))
-        # families of three and more with a set that its centre does not account for
-        left = stash(star.groupBy("_centre").agg(F.count("*").alias("_n"), F.count(F.when(~F.col("_linked"), 1)).alias("_u")).where("_n > 2 and _u > 0").select("_centre"), "left")
-        star = star.join(left, "_centre", "left_semi")
-        around = star.drop("_is_far").join(sets, "_id").join(centre_sets, "_centre")
-        more = stash(_candidates(around, percent, turn == ROUNDS), "pairs")
-        pairs = more if pairs is None else pairs.unionByName(more)
-        rows = stash(rows.join(star.where("_is_far").select("_id"), "_id", "left_semi"), "rows")
-    return stash(links if pairs is None else links.unionByName(_verify(pairs.distinct(), sets, percent)), "links")
+        rows = stash(_among(rows, stash(far.select("_id").distinct(), "far")).join(hubs, "_sig").join(far, ["_id", "_hub"], "left_semi").drop("_hub"), "rows")
+        drop(sets)
+    return labels
 
 
 def join(df: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: id, n_shingles, component_id (the smallest id that links lead to)."""
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     described = stash(_describe(texts, n_words, percent), "described")
-    narrow = stash(described.select("_id", "n_shingles", "_k1", "_k2"), "keys")
     keys = ["n_shingles", "_k1", "_k2"]
-    nodes = stash(narrow.where("n_shingles > 0").groupBy(*keys).agg(F.min("_id").alias("_node")), "nodes")
-    views = F.explode(F.array(*[F.struct(F.lit(v).alias("_view"), F.col(f"_need{v}").alias("_need"), F.col(f"_s{v}").alias("_sigs")) for v in (0, 1)])).alias("_v")
-    firsts = _among(described, stash(nodes.select(F.col("_node").alias("_id")), "firsts"))
-    sigs = firsts.select("_id", "n_shingles", views).select("_id", F.col("n_shingles").cast("int"), "_v._view", "_v._need", F.size("_v._sigs").alias("_of"), F.explode("_v._sigs").alias("_sig"))
-    direct, rows = _shared(sigs, percent)
-    drop(described)
-    repeated = not narrow.groupBy("_id").count().where("count > 1").isEmpty()
-    links = _links(direct, rows, texts, n_words, percent, repeated)
-    whole = narrow.join(nodes, keys, "left")
-    whole = whole.join(components(links).select(F.col("_id").alias("_node"), "_c"), "_node", "left")
-    return whole.select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("_c", "_node", "_id").alias("component_id"))
+    nodes = stash(described.where("n_shingles > 0").groupBy(*keys).agg(F.min("_id").alias("_node")), "nodes")
+    firsts = stash(nodes.select(F.col("_node").alias("_id")), "firsts")
+    sampled = F.pmod(F.xxhash64("_id"), F.lit(max(1, firsts.count() // HOT_SAMPLE))) == 0
+    repeated = described.select("_id").distinct().count() < described.count()
+    once = lambda rows: rows.dropDuplicates(["_id"]) if repeated else rows
+    narrow = once(described.select("_id", "_band0", "_need0", "_band1", "_need1"))
+    cells = lambda rows: once(_among(rows, firsts)).mapInArrow(_cell_rows(n_words, percent), f"_cell long, _id {_type(texts)}")
+    shared = stash(_shared_cells(cells(texts), cells(texts.where(sampled)), narrow), "shared")
+    profiles = stash(once(_profiles(_among(texts, stash(shared.select("_id"), "ids")), n_words, percent)), "profiles")
+    signatures = stash(_signatures(shared, profiles), "signatures")
+    labels = _connect(signatures, profiles, n_words, percent)
+    for done in (shared, signatures, profiles):
+        drop(done)
+    least = labels.groupBy("_c").agg(F.min("_id").alias("_least"))
+    found = labels.join(least, "_c").select(F.col("_id").alias("_node"), "_least")
+    whole = described.select("_id", *keys).join(nodes, keys, "left").join(found, "_node", "left")
+    return whole.select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("_least", "_node", "_id").alias("component_id"))
