@@ -325,8 +325,11 @@ def _compare(pairs: DataFrame, profiles: DataFrame, n_words: int, percent: int)
     total = F.col("_n_a") + F.col("_n_b")
     pairs = pairs.where(100 * F.least("_n_a", "_n_b") >= percent * F.greatest("_n_a", "_n_b"))
     near = stash(pairs.where((100 + percent) * differ <= (100 - percent) * total).select("_a", "_b"), "near")
+    if near.isEmpty():
+        return near
+    texts = _among(profiles.select("_id", "text"), stash(near.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct(), "ids"))
     for side in ("_a", "_b"):
-        near = near.join(profiles.select(F.col("_id").alias(side), F.col("text").alias(f"_text{side}")), side)
+        near = near.join(texts.select(F.col("_id").alias(side), F.col("text").alias(f"_text{side}")), side)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
