@@ -15,9 +15,9 @@ in many of a bounded sample of sets (``HOT_SAMPLE``) are dealt to salted keys; t
 
 **Buckets.** The sets of one signature are compared with its hub, the set with the largest share of its cells in
 common, so a group of near copies takes about one comparison each. Sets meet in hub groups from then on. Where a
-group's sets are not yet all connected, pairs of small groups are compared; in large groups pairs are found by
-prefixes of the sets' differences from the hub, the rarest first (``_candidates``), and sets far from their hub
-meet around other hubs in the next round. Each pair is checked by a lower bound of its distance (parity bits of
+group's sets are not yet all connected, pairs of small groups are compared; large groups with connected hubs are
+joined around one of them, pairs are found by prefixes of the sets' differences from it, the rarest first
+(``_candidates``), and sets far from it meet around other hubs in the next round. Each pair is checked by a lower bound of its distance (parity bits of
 the cells of a finer partition), and what is left by the texts. No group or bucket is capped.
 
 Spark does the grouping, counting and joining; Python only turns texts into hashes. Only tables of a checked
@@ -428,22 +428,31 @@ def _connect(rows: DataFrame, profiles: DataFrame, n_words: int, percent: int) -
         one, other = few.where("not _linked").select("_hub", F.col("_id").alias("_x"), F.col("_ci").alias("_cx")), few.select(F.col("_hub").alias("_hub2"), F.col("_id").alias("_y"), F.col("_ci").alias("_cy"))
         pairs = one.join(other, (F.col("_hub") == F.col("_hub2")) & (F.col("_cx") != F.col("_cy"))).select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct()
         labels = _merged(labels, compare(pairs))
-        crowds = counts.where(F.col("_all") > SMALL_GROUP).select("_hub")
+        # large groups whose hubs are connected are one group around one of these hubs
+        crowds = groups.join(counts.where(F.col("_all") > SMALL_GROUP).select("_hub"), "_hub", "left_semi").select("_id", "_hub")
+        crowds = stash(with_label(crowds, "_hub", "_ch"), "crowds")
         if crowds.isEmpty():
             break
-        many = stash(groups.join(crowds, "_hub", "left_semi").select("_id", "_hub", "_linked"), "many")
-        wanted = stash(many.select("_id").unionByName(crowds.select(F.col("_hub").alias("_id"))).distinct(), "wanted")
+        centres = crowds.groupBy("_ch", "_hub").count().groupBy("_ch").agg(F.max(F.struct("count", "_hub")).getField("_hub").alias("_centre"))
+        places = stash(crowds.select("_hub", "_ch").distinct().join(centres, "_ch").select("_hub", "_centre"), "places")
+        members = stash(crowds.join(places, "_hub").select("_id", "_centre").where("_id != _centre").distinct(), "members")
+        loose = with_label(with_label(members, "_id", "_ci"), "_centre", "_cc").where("_ci != _cc")
+        labels = _merged(labels, compare(loose.select(F.least("_id", "_centre").alias("_a"), F.greatest("_id", "_centre").alias("_b")).distinct()))
+        members = with_label(with_label(members, "_id", "_ci"), "_centre", "_cc").select("_id", F.col("_centre").alias("_hub"), (F.col("_ci") == F.col("_cc")).alias("_linked"))
+        left = members.groupBy("_hub").agg(F.count("*").alias("_all"), F.count(F.when(~F.col("_linked"), 1)).alias("_loose")).where("_all > 1 and _loose > 0")
+        many = stash(members.join(left.select("_hub"), "_hub", "left_semi"), "many")
+        wanted = stash(many.select("_id").unionByName(many.select(F.col("_hub").alias("_id"))).distinct(), "wanted")
         sets = stash(_sets(_among(profiles.select("_id", "text"), wanted), n_words), "sets")
-        hub_sets = sets.join(crowds.select(F.col("_hub").alias("_id")), "_id", "left_semi").select(F.col("_id").alias("_hub"), F.col("_set").alias("_cset"))
-        around = many.join(sets, "_id").join(hub_sets, "_hub")
+        around = many.join(sets, "_id").join(sets.select(F.col("_id").alias("_hub"), F.col("_set").alias("_cset")), "_hub")
         labels = _merged(labels, compare(_candidates(around, percent, turn == ROUNDS)))
         union = F.size("_set") + F.size("_cset") - F.col("_i")
         far = around.withColumn("_i", F.size(F.array_intersect("_set", "_cset"))).where(_far(union - F.col("_i"), union, percent))
-        far = stash(far.select("_id", "_hub"), "far")
+        far = stash(far.select("_id", F.col("_hub").alias("_centre")), "far")
+        drop(sets)
         if far.isEmpty():
             break
-        rows = stash(_among(rows, stash(far.select("_id").distinct(), "far")).join(hubs, "_sig").join(far, ["_id", "_hub"], "left_semi").drop("_hub"), "rows")
-        drop(sets)
+        rows = _among(rows, stash(far.select("_id").distinct(), "far")).join(hubs, "_sig").join(places, "_hub")
+        rows = stash(rows.join(far, ["_id", "_centre"], "left_semi").drop("_hub", "_centre"), "rows")
     return labels
 
 
