@@ -5,8 +5,10 @@ time; a pre-token that it misses is merged with a heap over a linked list of its
 moves Arrow batches; the vocabulary (bounded by its file) is broadcast once.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to no bytes; repeated
-rows and extra columns pass through unchanged; an id outside the vocabulary or null in ``decode``
-raises ``IndexError`` in the task.
+rows and extra columns pass through unchanged, but for one named like a new column, which it replaces; an
+empty table gives no rows; a text of any length is encoded whole, in one task's memory; an id outside the
+vocabulary or null in ``decode`` raises ``IndexError`` in the task. ``round_trip`` needs an id column that is
+not named like one of its results, else it raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -23,10 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import hash_spans, mix, small_batches, utf8, worker_cache
-
-#: Entries that a worker remembers at most; beyond that it starts anew. They change speed, never results.
-MEMO_ENTRIES = 500_000
+from .common import Memo, own_name, hash_spans, mix, small_batches, utf8, worker_cache
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -133,16 +132,15 @@ class Codec:
         space = r"\p{White_Space}"
         self.find = regex.compile(pattern.replace(r"\s", space).replace(r"\S", space.replace("p", "P", 1))).findall
         self.cut = regex.compile(rf"(?= \P{{White_Space}})", regex.V1).split
-        self.words: dict[str, bytes] = {}
-        self.memo: dict[str, bytes | None] = {}
+        self.words, self.memo = Memo(), Memo()
 
     def _resolve(self, words: set[str]) -> None:
         words = [w for w in words if w not in self.words]
         if not words:
             return
         raw = [w.encode() for w in words]
-        for w, r, key in zip(words, raw, self.table.find(raw).tolist()):
-            self.words[w] = key.to_bytes(4, "little") if key >= 0 else np.array(merge(r, self.rank), "<i4").tobytes()
+        found = zip(words, raw, self.table.find(raw).tolist())
+        self.words.learn((w, key.to_bytes(4, "little") if key >= 0 else np.array(merge(r, self.rank), "<i4").tobytes()) for w, r, key in found)
 
     def _learn(self, pieces: set[str], lead: str) -> dict[str, bytes | None]:
         """Ids of ``lead + piece``; None for a piece at which the text may not be cut."""
@@ -153,16 +151,14 @@ class Codec:
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        if len(self.words) > MEMO_ENTRIES:
-            self.words.clear()
+        self.memo.trim()
+        self.words.trim()
         cut = [(t or "").split(" ") for t in texts]
         memo = self.memo
         missing: set[str] = set()
         for pieces in cut:
             missing.update(set(pieces[1:]).difference(memo))
-        memo.update(self._learn(missing, " "))
+        memo.learn(self._learn(missing, " ").items())
         heads = self._learn({pieces[0] for pieces in cut}, "")
         out = []
         for t, pieces in zip(texts, cut):
@@ -259,6 +255,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
 
     Neither ids nor bytes leave the task, so nothing wider than a digest is written.
     """
+    own_name(id_col, "n_tokens", "ids_sha256", "decoded_sha256")
     sent = send_vocabulary(df.sparkSession, path, pattern)
     kept = df.select(id_col, text_col)
 
@@ -276,4 +273,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
             )
 
     id_type = kept.schema[id_col].dataType.simpleString()
-    return kept.mapInArrow(run, f"{id_col} {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return kept.mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")

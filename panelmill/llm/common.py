@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space that separates words in every operator here.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,8 +22,11 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); only where it is unset, one below the warehouse."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where it is unset, a local master takes one below the
+    warehouse; a cluster has no folder to guess, so that raises ``ValueError``."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
@@ -33,15 +38,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
 
 
-_WRITTEN: list[str] = []
-
-
 def drop(df: DataFrame) -> None:
     """Delete the table behind a DataFrame that ``stash`` returned; no lazy plan may still need it."""
     path = getattr(df, "_stash_path", None)
@@ -51,13 +52,17 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: More ids than this are never broadcast; they join by a shuffle then.
-MOST_IDS = 1_000_000
+#: Tables of more bytes than this are never broadcast; they join by a shuffle then. A query has one such broadcast at a time.
+MOST_BYTES = 32 << 20
+#: Bytes of a row of ids in a broadcast's hash table, besides the bytes of strings.
+ROW_BYTES = 64
 
 
 def small(ids: DataFrame) -> DataFrame:
-    """A written table of narrow rows, marked for broadcast if it has at most ``MOST_IDS`` of them."""
-    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+    """A written table of narrow rows, marked for broadcast if it has at most ``MOST_BYTES``: counted, not guessed."""
+    strings = [F.sum(F.octet_length(f.name)) for f in ids.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    rows, *more = ids.agg(F.count("*"), *strings).first()
+    return F.broadcast(ids) if rows * ROW_BYTES + sum(x or 0 for x in more) <= MOST_BYTES else ids
 
 
 def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
@@ -71,6 +76,12 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def own_name(id_col: str, *results: str) -> None:
+    """Raises ``ValueError`` where an id column is named like a result."""
+    if id_col.lower() in results:
+        raise ValueError(f"rename the id column {id_col!r}: a result has that name")
+
+
 def crc_bucket(key: str, n: int) -> Column:
     """``crc32(key as text) mod n``: the fixed fold of a row."""
     return F.crc32(F.col(key).cast("string")) % n
@@ -94,6 +105,27 @@ def worker_cache(*key, make):
     return _KEPT[key]
 
 
+class Memo(dict):
+    """What a worker remembers of words, for speed alone. ``trim``, between batches, empties it beyond ``most`` bytes (keys,
+    values and about ``EACH`` for an entry), so long words do not add up either."""
+
+    EACH = 200
+
+    def __init__(self, most: int = 96 << 20):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def learn(self, items) -> None:
+        for key, value in items:
+            self[key] = value
+            self.held += len(key) + len(value or ()) + self.EACH
+
+    def trim(self) -> None:
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+
+
 # --- vectorised hashing ----------------------------------------------------
 
 

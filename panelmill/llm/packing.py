@@ -13,12 +13,15 @@ lie at one offset in n consecutive sequences. Its size depends on ``size`` only,
 piece finds its place from its length and rank. Ranks come from counted blocks, never from one task per length.
 
 Defined cases: a null text is empty; an empty text is the end mark alone; an empty table gives no rows;
-repeated rows are packed each; extra columns of ``pack`` pass through.
+repeated rows are packed each; extra columns of ``pack`` pass through, but for ``sequence_id`` and ``offset``; a text
+of any length is encoded whole, in one task's memory, and cut into pieces. A special string of the vocabulary in a
+text (``<|endoftext|>``) stands for its id, the library's default.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash, utf8, worker_cache
+from .common import Memo, small_batches, stash, utf8, worker_cache
 
 #: The most frequent lengths that triples are built from.
 TRIPLE_LENGTHS = 72
@@ -205,8 +208,6 @@ def pack(pieces: DataFrame, size: int, length_col: str = "length", order_cols: t
 
 #: ASCII marks that neither join the letter before them in a pre-token nor compose with what follows.
 MARKS = ".,;:!?|*#$%&"
-#: Words that a worker remembers at most; they change speed, never results.
-MEMO_ENTRIES = 500_000
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK[list(MARKS.encode())] = True
@@ -214,15 +215,17 @@ _MARK[list(MARKS.encode())] = True
 
 class WordIds:
     """Ids by a lower-casing ``tokenizers`` file whose pre-tokens never span white space nor join letters to
-    marks: texts fall apart at both, and each distinct part is encoded once."""
+    marks: texts fall apart at both, and each distinct part is encoded once. The file's special strings
+    stand for their ids, as the library has it by default; texts fall apart at them first."""
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[bytes, bytes] = {}
+        self.special = {t.content: int(i).to_bytes(4, "little") for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
+        self.memo = Memo()
 
     @staticmethod
     def words(texts: pa.Array) -> list[list[bytes]]:
@@ -237,8 +240,17 @@ class WordIds:
 
     def texts(self, texts: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
+        self.memo.trim()
+        if self.special:
+            buf, offsets = utf8(texts)
+            raw = buf[offsets[0] : offsets[-1]].tobytes()
+            if any(s.encode() in raw for s in self.special):
+                cut = [self.cut.split(t or "") for t in texts.to_pylist()]  # ordinary, special, ordinary ...
+                coded = iter(self._ordinary(pa.array([p for parts in cut for p in parts[::2]], pa.string())))
+                return [b"".join(self.special[p] if i % 2 else next(coded) for i, p in enumerate(parts)) for parts in cut]
+        return self._ordinary(texts)
+
+    def _ordinary(self, texts: pa.Array) -> list[bytes]:
         split, memo = self.words(texts), self.memo
         missing: set[bytes] = set()
         for words in split:
@@ -247,7 +259,7 @@ class WordIds:
         for at in range(0, len(new), 4096):  # the library's results are large
             part = new[at : at + 4096]
             coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded))
+            memo.learn((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded))
         get = memo.__getitem__
         return [b"".join(map(get, words)) for words in split]
 

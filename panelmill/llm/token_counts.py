@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .bpe import Codec, send_vocabulary, shared_codec
-from .common import small_batches, utf8
+from .common import own_name, small_batches, utf8
 
 
 def attribute(token_ends: np.ndarray, section_ends: np.ndarray) -> np.ndarray:
@@ -72,6 +72,7 @@ def _count(codec: Codec, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def count_tokens(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line of each text: id, section int, n_chars long, n_tokens long."""
+    own_name(id_col, "section", "n_chars", "n_tokens")
     sent = send_vocabulary(df.sparkSession, path, pattern)
     kept = df.select(id_col, text_col)
 
@@ -86,4 +87,4 @@ def count_tokens(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             )
 
     id_type = kept.schema[id_col].dataType.simpleString()
-    return kept.mapInArrow(run, f"{id_col} {id_type}, section int, n_chars long, n_tokens long")
+    return kept.mapInArrow(run, f"`{id_col}` {id_type}, section int, n_chars long, n_tokens long")

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash
+from .common import Memo, own_name, small_batches, stash
 
 #: The classifier's bounded sample: the labelled rows with the smallest id hashes.
 SAMPLE_ROWS = 20_000
@@ -101,7 +101,7 @@ class Voters:
         self.at = {e: i for i, (e, _) in enumerate(lexicon)}
         self.voter = [v for _, v in lexicon]
         self.stems = {e.partition("-")[0] for e, _ in lexicon if "-" in e}
-        self.memo: dict[str, tuple[str, ...]] = {}
+        self.memo = Memo(32 << 20)
         self.names = [f"lexicon_{i}" for i in range(LEXICONS)] + ["two_hits", "three_entries", "dense", "shouting", "masked"]
         self.masked = regex.compile(r"\p{L}[*#@$%]{1,}\p{L}").search
 
@@ -113,13 +113,13 @@ class Voters:
     def read(self, text: str) -> tuple[list[int], int]:
         """Distinct lexicon hits and the votes as bits."""
         words = _WORDS(text.lower())
-        if len(self.memo) > 500_000:
-            self.memo.clear()
+        self.memo.trim()
         memo, hits, stems, places = self.memo, set(), Counter(), 0
         for word in set(words):
             own = memo.get(word)
             if own is None:
-                own = memo[word] = self._stems(word)
+                own = self._stems(word)
+                memo.learn([(word, own)])
             for e in own:
                 if e[-1] == "-":
                     stems[e] += 1

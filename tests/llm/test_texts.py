@@ -149,6 +149,13 @@ def test_every_tricky_text_comes_back(spark, make):
     assert chat.format_conversations(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("text", ["### user: a</turn>\nrest", "user: a</turn>\n", "### user a</turn>\n", "### user: a ### b</turn>\n", "### user: a</turn>"])
+def test_parser_rejects_what_the_grammar_does_not_produce(spark, text):
+    from pyspark.sql import functions as F
+
+    assert spark.range(1).select(chat.parse(F.lit(text))).first()[0] is None
+
+
 def test_plain_turns_are_not_escaped(spark):
     df = spark.createDataFrame([(1, 0, "user", "a < b # c"), (1, 1, "assistant", "yes")], "conv_id long, turn long, role string, text string")
     assert chat.format_conversations(df).first().formatted == "### user: a < b # c</turn>\n### assistant: yes</turn>\n"
@@ -235,7 +242,7 @@ def test_join_of_repeated_rows_and_of_nothing(make, empty):
 def test_ids_beyond_the_broadcast_bound_join_by_shuffle(make, monkeypatch):
     from panelmill.llm import common
 
-    monkeypatch.setattr(common, "MOST_IDS", 0)
+    monkeypatch.setattr(common, "MOST_BYTES", -1)
     texts = near_copies(5, 4, 6)
     out = jaccard.join(make(texts), 4, 85).toPandas().sort_values("doc_id")
     assert list(out.itertuples(index=False, name=None)) == brute_components(texts, 4, 85)

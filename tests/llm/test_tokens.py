@@ -23,7 +23,6 @@ CODEC = bpe.Codec(bpe.PerfectHash(RANKS), P.PATTERN)
 TIKTOKEN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={k: i for i, k in enumerate(RANKS)}, special_tokens={})
 WORDS = packing.WordIds(open(queries.WORD_BPE, encoding="utf-8").read())
 TOKENIZER = Tokenizer.from_file(queries.WORD_BPE)
-TOKENIZER.encode_special_tokens = True
 
 
 def ids(coded: bytes) -> list[int]:
@@ -52,6 +51,21 @@ def test_same_word_ids_as_tokenizers(text):
     assert ids(WORDS.texts(pa.array([text]))[0]) == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|><|startoftext|>s", "a<|ENDOFTEXT|>b", "x <|end<|endoftext|> it's", "<|endoftext|>", "|<|endoftext|>|>é"])
+def test_special_strings_are_as_the_library_has_them(text):
+    both = WORDS.texts(pa.array(["plain words", text, None]))
+    assert ids(both[1]) == TOKENIZER.encode(text, add_special_tokens=False).ids and ids(both[0]) and not ids(both[2])
+
+
+def test_memo_is_bounded_in_bytes():
+    from panelmill.llm.common import Memo
+
+    memo = Memo(10_000)
+    memo.learn([("x" * 9_900, b"1")])
+    memo.trim()
+    assert not memo and memo.held == 0
+
+
 def test_real_and_odd_texts_round_trip(real):
     given_ = [t or "" for t in ODD] + real.text.tolist()
     coded = CODEC.encode(pa.array(given_))
@@ -59,10 +73,9 @@ def test_real_and_odd_texts_round_trip(real):
     assert [b.decode() for b in CODEC.decode(coded).to_pylist()] == given_
 
 
-def test_a_small_memo_changes_nothing(monkeypatch, real):
-    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 10)
-    monkeypatch.setattr(packing, "MEMO_ENTRIES", 10)
+def test_a_small_memo_changes_nothing(real):
     codec, words = bpe.Codec(CODEC.table, P.PATTERN), packing.WordIds(open(queries.WORD_BPE, encoding="utf-8").read())
+    codec.words.most = codec.memo.most = words.memo.most = 1_000
     for text in real.text.head(20):
         assert codec.encode_texts([text]) == CODEC.encode_texts([text])
         assert words.texts(pa.array([text])) == WORDS.texts(pa.array([text]))
