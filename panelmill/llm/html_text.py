@@ -75,32 +75,26 @@ class Run:
         self.block, self.around, self.link, self.text, self.words = block, around, link, text, len(text.split())
 
 
-def pieces(page: str) -> Iterator[Run | str]:
+def pieces(page: str, weighed: frozenset[str] | None = None) -> Iterator[Run | str]:
     """Runs of text, tags (by name, with / for an end tag) and comments (whole) in page order. A run's features are those of
-    the elements open around it, counted once each."""
+    the elements open around it, counted once each; only the ``weighed`` ones where given, so their number is bounded."""
     at, end, block = 0, len(page), 0
-    stack: list[tuple[str, frozenset[str]]] = []
-    named, open_features = Counter(), Counter()
-    around: frozenset[str] | None = frozenset()
+    nothing: frozenset[str] = frozenset()
+    stack: list[tuple[str, frozenset[str]]] = []  # open elements, each with all features so far
+    named = Counter()
+    joined: dict[tuple[frozenset[str], frozenset[str]], frozenset[str]] = {}
+    known: dict[tuple[str, str, bool], frozenset[str]] = {}
 
     def close(to: int) -> None:
-        nonlocal around
-        while len(stack) > to:
-            name, features = stack.pop()
+        for name, _ in stack[to:]:
             named[name] -= 1
-            for f in features:
-                open_features[f] -= 1
-                if not open_features[f]:
-                    del open_features[f]
-            around = None
+        del stack[to:]
 
     while at < end:
         found = _TAG.search(page, at)
         stop = found.start() if found else end
         if stop > at:
-            if around is None:
-                around = frozenset(open_features)
-            yield Run(block, around, named["a"] > 0, page[at:stop])
+            yield Run(block, stack[-1][1] if stack else nothing, named["a"] > 0, page[at:stop])
         if not found:
             return
         at = found.end()
@@ -131,11 +125,15 @@ def pieces(page: str) -> Iterator[Run | str]:
                 if stack[i][0] in BLOCK:
                     break
         if name not in VOID and not found[3].rstrip().endswith("/"):
-            features = element_features(name, found[3], named["article"] + named["main"] > 0)
-            stack.append((name, features))
+            key = name, found[3], named["article"] + named["main"] > 0
+            if key not in known:
+                found_here = element_features(*key)
+                known[key] = found_here if weighed is None else found_here & weighed
+            both = stack[-1][1] if stack else nothing, known[key]
+            if both not in joined:
+                joined[both] = both[0] | both[1]
+            stack.append((name, joined[both]))
             named[name] += 1
-            open_features.update(features)
-            around = None
         yield name
 
 
@@ -321,7 +319,7 @@ def fitted() -> tuple[dict[str, float], float, dict[str, float]]:
 def scored(page: str) -> list[tuple[Run | str, float]]:
     """The pieces of a page with the score of each tag and of each word of a run."""
     weights, bias, tags = fitted()
-    found = list(pieces(page))
+    found = list(pieces(page, frozenset(weights)))
     of = block_features([p for p in found if isinstance(p, Run)])
     known: dict[frozenset[str], float] = {}
     out: list[tuple[Run | str, float]] = []

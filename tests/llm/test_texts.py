@@ -92,15 +92,15 @@ def test_without_the_scan_more_than_the_article_comes_back(monkeypatch):
     assert html_text.main_text(page) == "a blurb in passing words\n" + story
 
 
-@pytest.mark.parametrize("piece", ["<" + "a" * 4_000 + ' "', "<div>" * 4_000 + "</p>" * 4_000, "<span>" * 4_000 + "</b>" * 4_000, '<a "', "<", "<!--", "<p ", "<div class='", "<x a=b", "<script>", "</p>", "<p>x"])
+@pytest.mark.parametrize("piece", ["<" + "a" * 4_000 + ' "', "<div>" * 4_000 + "</p>" * 4_000, "<span>" * 4_000 + "</b>" * 4_000, '<a "', "<", "<!--", "<p ", "<div class='", "<x a=b", "<script>", "</p>", "<div class=a{i}>", "<div id='n{i} x'>w", "<p>x"])
 def test_malformed_megabyte_takes_a_moment(piece):
     import time
 
-    page = piece * (1_000_000 // len(piece))
+    page = "".join(piece.replace("{i}", str(i)) for i in range(1_000_000 // len(piece)))
     html_text.fitted()
     began = time.process_time()
     html_text.main_text(page)
-    assert time.process_time() - began < 3  # a megabyte takes less than a second on an idle core
+    assert time.process_time() - began < 5  # 0.1 to 2 s where the core is idle: linear in the number of elements
 
 
 @pytest.mark.parametrize("page", list(PAGES))
