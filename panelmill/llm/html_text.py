@@ -316,9 +316,12 @@ def fitted() -> tuple[dict[str, float], float, dict[str, float]]:
     return dict(zip(names, w[:-1].tolist())), float(w[-1]), tags
 
 
-def scored(page: str) -> list[tuple[Run | str, float]]:
+Model = tuple[dict[str, float], float, dict[str, float]]
+
+
+def scored(page: str, model: Model | None = None) -> list[tuple[Run | str, float]]:
     """The pieces of a page with the score of each tag and of each word of a run."""
-    weights, bias, tags = fitted()
+    weights, bias, tags = model or fitted()
     found = list(pieces(page, frozenset(weights)))
     of = block_features([p for p in found if isinstance(p, Run)])
     known: dict[frozenset[str], float] = {}
@@ -348,11 +351,11 @@ def best_region(page: list[tuple[Run | str, float]]) -> tuple[int, int]:
     return region
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, model: Model | None = None) -> str:
     """The text of the best region of a page."""
     if not page:
         return ""
-    all_pieces = scored(page)
+    all_pieces = scored(page, model)
     begin, end = best_region(all_pieces)
     blocks, block = [], []
     for piece, score in all_pieces[begin:end]:
@@ -375,9 +378,11 @@ def extract(df: DataFrame, html_col: str = "html", text_col: str = "text") -> Da
     passed = [f for f in df.schema.fields if f.name not in (html_col, *new)]
     schema = T.StructType(passed + [T.StructField(text_col, T.StringType()), T.StructField("n_chars", T.LongType())])
 
+    sent = df.sparkSession.sparkContext.broadcast(fitted())  # fitted once, some hundred weights
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, html_col):
-            texts = [main_text(p) for p in batch.column(html_col).to_pylist()]
+            texts = [main_text(p, sent.value) for p in batch.column(html_col).to_pylist()]
             columns = [batch.column(f.name) for f in passed] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 

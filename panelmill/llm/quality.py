@@ -2,19 +2,25 @@
 
 Base rules are fixed counts. Beyond them each text becomes a vector of transformed statistics, and for
 each (language, source) a minimum-covariance-determinant estimate of centre and scatter is found by
-concentration steps over all rows: start from medians and median deviations, then again and again take the
-nearer half of the group, (n + 8) / 2 rows (the share that bears most outliers, just short of half), and
-re-estimate from it, until no group's determinant falls any more. Rows whose Mahalanobis distance exceeds the
-cutoff are rejected. Spark does the steps: quantiles from counted bins, moments from sums, each combined
-map-side; only one row per group goes through Python, to factor its 7 x 7 matrix.
-
-The scatter is bounded below by ``FLOOR``, the least spread taken as natural for each statistic: statistics
-of clean text are often constant. It is a lower bound in every direction, not an addition: where a group's own
-scatter is wider, it stands as it is. Groups of fewer than ``LEAST`` rows use their language's estimate; where that
-has too few as well, base rules alone decide.
+concentration steps over all rows, from two starts: medians with median deviations, and the moments of all rows. Each
+start is followed on its own: again and again take the nearer half of the group, (n + 8) / 2 rows (the share that bears
+most outliers, just short of half), and re-estimate from it, until its determinant does not fall any more; the start
+that ends with the smaller determinant counts. As usual the estimate is then reweighted: taken once more from all rows
+within its 0.975 quantile. Rows whose Mahalanobis distance exceeds the cutoff, a quantile of the
+chi-square distribution, are rejected. Spark does the steps: quantiles from counted bins, moments from sums, each
+combined map-side; only one row per group and start goes through Python, to factor its 7 x 7 matrix.
+
+Rates of a short text are noisy, so all but two are those of the text followed by ``PRIOR_WORDS`` ordinary words.
+Symbols, duplicate lines and repeated words are 0 in most texts: the determinant of their scatter within the nearer
+half would be 0 and any text with one of them an outlier, so the method alone can't give right results there. The
+scatter therefore has the lower bound ``FLOOR`` in every direction. It is wide for those three (and echoes), what counts
+as natural for them, and for the others only guards against singular matrices: length of text and words and capitals
+are judged by the group's own scatter and correlations. It is a bound, not an addition. Groups of fewer than
+``LEAST`` rows use their language's estimate; where that has too few as well, base rules alone decide.
 
 Defined cases: null text has no words and fails the base rules; null lang or source form a group of their
-own; rows that fail the base rules shape no estimate; repeated rows count each.
+own; rows that fail the base rules shape no estimate; repeated rows count each; extra columns of any name are ignored;
+an empty table gives no rows; a text of any length is counted whole, in one task's memory.
 """
 
 from __future__ import annotations
@@ -40,11 +46,15 @@ LEAST = 60
 #: log words, log characters a word, and log(1 + percent) of symbols a word, duplicate lines a line, repeated words, capitals, words
 #: equal to the one before.
 STATS = ("s_words", "s_length", "s_symbols", "s_lines", "s_repeats", "s_capitals", "s_echoes")
-FLOOR = (0.8, 0.1, 0.5, 0.7, 0.7, 0.3, 0.5)
-#: Correlation of the floors of duplicate lines and repeated words: a line of eight words said twice counts in both (0.93 measured on clean texts).
-TOGETHER = 0.8
+FLOOR = (0.1, 0.02, 0.5, 0.7, 0.7, 0.02, 0.3)
+#: Correlation of the floors of duplicate lines and repeated words: a line of eight words said twice counts in both.
+TOGETHER = 0.5
+#: Ordinary words that rates count with: of so many characters, this share of them capitals, without echoes or repeats.
+PRIOR_WORDS, PRIOR_LENGTH, PRIOR_CAPITALS = 150, 5, 0.02
 #: The median and the cutoff of the chi-square distribution with 7 degrees of freedom (the cutoff: probability 1e-4 beyond).
 MEDIAN, CUTOFF = 6.346, 29.88
+#: Its 0.975 quantile, and what makes the covariance of the rows within it consistent.
+NATURAL, NATURAL_CONSISTENT = 16.01, 1.0446
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _SYMBOL = np.zeros(256, np.int8)
@@ -112,16 +122,16 @@ def count_base(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _statistics() -> dict[str, Column]:
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    percent = lambda a, b: F.log1p(100.0 * F.col(a) / b)
+    words, more, letters = F.greatest(F.col("n_words"), F.lit(1)), F.col("n_words") + PRIOR_WORDS, F.col("word_chars") + PRIOR_WORDS * PRIOR_LENGTH
+    percent = lambda a, b: F.log1p(100.0 * a / b)
     return {
         "s_words": F.log1p(F.col("n_words")),
-        "s_length": F.log(F.greatest(F.col("word_chars") / words, F.lit(0.1))),
-        "s_symbols": percent("n_symbols", words),
-        "s_lines": percent("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))),
-        "s_repeats": percent("n_repeat_words", words),
-        "s_capitals": percent("n_capitals", F.greatest(F.col("word_chars"), F.lit(1))),
-        "s_echoes": percent("n_echoes", words),
+        "s_length": F.log(letters / more),
+        "s_symbols": percent(F.col("n_symbols"), words),
+        "s_lines": percent(F.col("n_dup_lines"), F.greatest(F.col("n_lines"), F.lit(1))),
+        "s_repeats": percent(F.col("n_repeat_words"), more),
+        "s_capitals": percent(F.col("n_capitals") + PRIOR_WORDS * PRIOR_LENGTH * PRIOR_CAPITALS, letters),
+        "s_echoes": percent(F.col("n_echoes"), more),
     }
 
 
@@ -135,7 +145,8 @@ def _reached(rows: DataFrame, keys: list[str], value: str, aim: Column, name: st
     return reached.groupBy(*keys).agg(F.min(F.struct(F.col(value).alias("b"), part.alias("part"))).alias("_e")).select(*keys, F.col("_e.b").alias(name), "_e.part")
 
 
-_FITTED = "g_lang string, g_source string, mean array<double>, factor array<double>, logdet double, moved boolean"
+GROUP = ["g_lang", "g_source"]
+_FITTED = "g_lang string, g_source string, g_start int, mean array<double>, factor array<double>, logdet double, moved boolean"
 
 
 def _floored(cov: np.ndarray) -> np.ndarray:
@@ -165,10 +176,10 @@ def _factor(consistent: float):
                 lower = np.linalg.cholesky(_floored(consistent * cov))
                 logdet = 2 * float(np.log(np.diag(lower)).sum())
                 if logdet < r.before - SETTLED:
-                    out.append((r.g_lang, r.g_source, mean.tolist(), np.linalg.inv(lower)[np.tril_indices(d)].tolist(), logdet, True))
+                    out.append((r.g_lang, r.g_source, r.g_start, mean.tolist(), np.linalg.inv(lower)[np.tril_indices(d)].tolist(), logdet, True))
                 else:
-                    out.append((r.g_lang, r.g_source, list(r.old_mean), list(r.old_factor), r.before, False))
-            yield pd.DataFrame(out, columns=["g_lang", "g_source", "mean", "factor", "logdet", "moved"])
+                    out.append((r.g_lang, r.g_source, r.g_start, list(r.old_mean), list(r.old_factor), r.before, False))
+            yield pd.DataFrame(out, columns=["g_lang", "g_source", "g_start", "mean", "factor", "logdet", "moved"])
 
     return run
 
@@ -185,7 +196,7 @@ def _squared_distance() -> Column:
 
 def _moments(rows: DataFrame, weight: Column) -> DataFrame:
     d = len(STATS)
-    return rows.withColumn("_w", weight).groupBy("g_lang", "g_source").agg(
+    return rows.withColumn("_w", weight).groupBy(*GROUP, "g_start").agg(
         F.sum("_w").alias("n"),
         F.array(*[F.sum(F.col("_w") * F.col(s)) for s in STATS]).alias("sums"),
         F.array(*[F.sum(F.col("_w") * F.col(STATS[i]) * F.col(STATS[j])) for i in range(d) for j in range(i, d)]).alias("squares"),
@@ -211,13 +222,21 @@ def _start(fits: DataFrame) -> DataFrame:
 
 def estimates(stats: DataFrame) -> DataFrame:
     """g_lang, g_source (``*``: the whole language), n, mean, factor, scale (of the distances' median)."""
-    keys = ["g_lang", "g_source"]
+    keys = [*GROUP, "g_start"]
     fits = stats.where(~F.col("base_failed")).withColumn("g_source", F.explode(F.array("g_source", F.lit("*"))))
     no = F.array().cast("array<double>")
-    binned = lambda fitted: fits.join(F.broadcast(fitted), keys).withColumn("_b", F.floor(20 * F.log(_squared_distance() + 1e-9)))
-    # the start is no estimate from a half, so any first step is better
+
+    def scaled(fitted: DataFrame) -> DataFrame:
+        middle = _reached(binned(fitted), GROUP, "_b", F.ceil(F.col("_all") / 2), "_middle")
+        # a scale below 1 would only sharpen the cutoff where the floors rule the scatter
+        scale = F.greatest(F.exp((F.col("_middle") + 1) / 20.0) / MEDIAN, F.lit(1.0))
+        return stash(fitted.join(middle, GROUP).select(*GROUP, "mean", "factor", scale.alias("scale")), "scaled")
+
+    binned = lambda fitted: fits.join(F.broadcast(fitted), GROUP).withColumn("_b", F.floor(20 * F.log(_squared_distance() + 1e-9)))
+    # a start is no estimate from a half, so any first step is better
     worst = F.lit(float("inf"))
-    begun = _start(fits).withColumns({"old_mean": no, "old_factor": no, "before": worst})
+    starts = _start(fits).withColumn("g_start", F.lit(0)).unionByName(_moments(fits.withColumn("g_start", F.lit(1)), F.lit(1.0)).where(F.col("n") >= LEAST))
+    begun = starts.withColumns({"old_mean": no, "old_factor": no, "before": worst})
     moving = stash(begun.mapInPandas(_factor(1.0), _FITTED), "fitted").withColumn("logdet", worst)
     settled: list[DataFrame] = []
     while not moving.isEmpty():
@@ -229,12 +248,15 @@ def estimates(stats: DataFrame) -> DataFrame:
         stepped = stash(moments.join(old, keys).mapInPandas(_factor(CONSISTENT), _FITTED), "fitted")
         settled.append(stepped.where(~F.col("moved")))
         moving = stepped.where("moved")
-    fitted = stash(reduce(DataFrame.unionAll, settled, moving).drop("logdet", "moved"), "fitted")
-    middle = _reached(binned(fitted), keys, "_b", F.ceil(F.col("_all") / 2), "_middle").drop("part")
-    size = fits.groupBy(*keys).agg(F.count("*").alias("n"))
-    # a scale below 1 would only sharpen the cutoff where the floors rule the scatter
-    scale = F.greatest(F.exp((F.col("_middle") + 1) / 20.0) / MEDIAN, F.lit(1.0))
-    return stash(fitted.join(middle, keys).join(size, keys).select(*keys, "n", "mean", "factor", scale.alias("scale")), "estimates")
+    ended = reduce(DataFrame.unionAll, settled, moving)
+    fitted = ended.groupBy(*GROUP).agg(F.min(F.struct("logdet", "g_start", "mean", "factor")).alias("_f")).select(*GROUP, "_f.g_start", "_f.mean", "_f.factor")
+    raw = scaled(stash(fitted, "fitted"))
+    # reweighting: every row within the 0.975 quantile shapes the final estimate, which small groups need
+    inner = fits.join(F.broadcast(raw), GROUP).where(_squared_distance() <= NATURAL * F.col("scale"))
+    begun = _moments(inner.withColumn("g_start", F.lit(2)), F.lit(1.0)).withColumns({"old_mean": no, "old_factor": no, "before": worst})
+    final = scaled(stash(begun.mapInPandas(_factor(NATURAL_CONSISTENT), _FITTED), "fitted"))
+    size = fits.groupBy(*GROUP).agg(F.count("*").alias("n"))
+    return stash(final.join(size, GROUP).select(*GROUP, "n", "mean", "factor", "scale"), "estimates")
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
