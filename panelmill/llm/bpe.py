@@ -135,7 +135,7 @@ class Codec:
         self.words, self.memo = Memo(), Memo()
 
     def _resolve(self, words: set[str]) -> None:
-        words = [w for w in words if w not in self.words]
+        words = [w for w in words if w not in self.words.known]
         if not words:
             return
         raw = [w.encode() for w in words]
@@ -146,7 +146,7 @@ class Codec:
         """Ids of ``lead + piece``; None for a piece at which the text may not be cut."""
         found = {p: self.find(lead + p) for p in pieces if not lead or (p and not p[0].isspace())}
         self._resolve({w for ws in found.values() for w in ws})
-        get = self.words.__getitem__
+        get = self.words.known.__getitem__
         return {p: b"".join(map(get, found[p])) if p in found else None for p in pieces}
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
@@ -154,11 +154,11 @@ class Codec:
         self.memo.trim()
         self.words.trim()
         cut = [(t or "").split(" ") for t in texts]
-        memo = self.memo
+        memo = self.memo.known
         missing: set[str] = set()
         for pieces in cut:
             missing.update(set(pieces[1:]).difference(memo))
-        memo.learn(self._learn(missing, " ").items())
+        self.memo.learn(self._learn(missing, " ").items())
         heads = self._learn({pieces[0] for pieces in cut}, "")
         out = []
         for t, pieces in zip(texts, cut):

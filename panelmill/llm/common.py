@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 
@@ -90,39 +92,48 @@ def crc_bucket(key: str, n: int) -> Column:
 _KEPT: dict[tuple, object] = {}
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, as far as the allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def free_worker() -> None:
     """Lets go what an earlier stage left in this worker."""
-    if _KEPT:
-        _KEPT.clear()
-        pa.default_memory_pool().release_unused()
+    _KEPT.clear()
+    _give_back()
 
 
 def worker_cache(*key, make):
     """What a worker keeps between tasks: one thing at a time, so that stages do not add up in its memory."""
     if key not in _KEPT:
-        _KEPT.clear()
+        free_worker()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
-class Memo(dict):
-    """What a worker remembers of words, for speed alone. ``trim``, between batches, empties it beyond ``most`` bytes (keys,
-    values and about ``EACH`` for an entry), so long words do not add up either."""
+class Memo:
+    """What a worker remembers of words (``known``), for speed alone. ``trim``, between batches, empties it beyond ``most``
+    bytes (keys, values and about ``EACH`` for an entry), so long words do not add up either."""
 
     EACH = 200
 
-    def __init__(self, most: int = 96 << 20):
-        super().__init__()
+    def __init__(self, most: int = 64 << 20):
+        self.known: dict = {}  # a plain one: sets are compared with it by look-up
         self.most, self.held = most, 0
 
     def learn(self, items) -> None:
         for key, value in items:
-            self[key] = value
+            self.known[key] = value
             self.held += len(key) + len(value or ()) + self.EACH
 
     def trim(self) -> None:
         if self.held > self.most:
-            self.clear()
+            self.known.clear()
             self.held = 0
 
 

@@ -140,8 +140,8 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 
 
 def _parity(rows: np.ndarray, found: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    """A set's parity bits: each shingle flips one of 2 to 4 bits a shingle, a power of two in number."""
-    words = np.int64(1) << np.ceil(np.log2(np.maximum(sizes, 32) / 32)).astype(np.int64)
+    """A set's parity bits: each shingle flips one of 4 to 8 bits a shingle, a power of two in number."""
+    words = np.int64(1) << np.ceil(np.log2(np.maximum(sizes, 16) / 16)).astype(np.int64)
     base = np.concatenate([[0], np.cumsum(words)])
     at = mix(found + np.uint64(0x9E3779B97F4A7C15)) & (words[rows].astype(np.uint64) * np.uint64(64) - np.uint64(1))
     bits = np.zeros(base[-1], np.uint64)
@@ -312,19 +312,27 @@ def _signatures(shared: DataFrame, profiles: DataFrame) -> DataFrame:
     return rows.select(F.explode(pairs).alias("_sig"), "_id", weight.alias("_w"))
 
 
-def _compare(pairs: DataFrame, profiles: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The pairs (_a, _b) that link, as a written table: first by a lower bound of the distance, then by whole texts."""
-    for side in ("_a", "_b"):
+def _bounded(pairs: DataFrame, profiles: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` of ids with both sizes (``_n`` and the id's name) and ``_differ``: a lower bound of how many shingles they differ in."""
+    for side in (a, b):
         pairs = pairs.join(profiles.select(F.col("_id").alias(side), F.col("_n").alias(f"_n{side}"), F.col("_bits").alias(f"_bits{side}")), side)
     half = lambda bits: F.shiftright(F.size(bits), 1)
     fold = lambda bits: F.zip_with(F.slice(bits, 1, half(bits)), F.slice(bits, half(bits) + 1, half(bits)), lambda x, y: x.bitwiseXOR(y))
-    a, b = F.col("_bits_a"), F.col("_bits_b")
-    narrow = lambda x, y: F.when(F.size(x) > F.size(y), fold(x)).otherwise(x)
-    # a shingle in one of the two sets flips one bit, so they differ in as many shingles at least as in bits
-    differ = F.aggregate(F.zip_with(narrow(a, b), narrow(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda so_far, x: so_far + x)
-    total = F.col("_n_a") + F.col("_n_b")
+    x, y = F.col(f"_bits{a}"), F.col(f"_bits{b}")
+    narrow = lambda x, y: F.when(F.size(x) == 2 * F.size(y), fold(x)).otherwise(x)
+    # a shingle in one of the two sets flips one bit, so they differ in as many shingles at least as in bits; sets of very
+    # unequal sizes (one more fold would be needed) differ in as many as their sizes do
+    bits = F.aggregate(F.zip_with(narrow(x, y), narrow(y, x), lambda u, v: F.coalesce(F.bit_count(u.bitwiseXOR(v)), F.lit(0))), F.lit(0), lambda so_far, n: so_far + n)
+    alike = (F.size(x) <= 2 * F.size(y)) & (F.size(y) <= 2 * F.size(x))
+    by_size = F.abs(F.col(f"_n{a}") - F.col(f"_n{b}"))
+    return pairs.withColumn("_differ", F.when(alike, F.greatest(bits, by_size)).otherwise(by_size)).drop(f"_bits{a}", f"_bits{b}")
+
+
+def _compare(pairs: DataFrame, profiles: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """The pairs (_a, _b) that link, as a written table: first by a lower bound of the distance, then by whole texts."""
+    pairs = _bounded(pairs, profiles, "_a", "_b")
     pairs = pairs.where(100 * F.least("_n_a", "_n_b") >= percent * F.greatest("_n_a", "_n_b"))
-    near = stash(pairs.where((100 + percent) * differ <= (100 - percent) * total).select("_a", "_b"), "near")
+    near = stash(pairs.where((100 + percent) * F.col("_differ") <= (100 - percent) * (F.col("_n_a") + F.col("_n_b"))).select("_a", "_b"), "near")
     if near.isEmpty():
         return near
     texts = _among(profiles.select("_id", "text"), stash(near.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct(), "ids"))
@@ -348,10 +356,35 @@ def _compare(pairs: DataFrame, profiles: DataFrame, n_words: int, percent: int)
     return stash(near.select("_a", "_b", "_text_a", "_text_b").mapInArrow(run, f"_a {kind}, _b {kind}"), "links")
 
 
-def _candidates(met: DataFrame, percent: int, last: bool) -> DataFrame:
+def _spaces(around: DataFrame, percent: int, last: bool) -> DataFrame:
+    """What ``_candidates`` works on, from _id, _hub, _set, _cset (the hub's), _linked: a row for each space (1: differences from
+    the hub, 0: own elements) in which a set is looked for, with its elements and prefixes; and far: sets far from the hub."""
+    p, q0, q1 = percent, 100 - percent, 100 + percent
+    rows = around.withColumns({"_n": F.size("_set"), "_cn": F.size("_cset"), "_i": F.size(F.array_intersect("_set", "_cset"))})
+    rows = rows.withColumns({"_d": F.col("_n") + F.col("_cn") - 2 * F.col("_i"), "_union": F.col("_n") + F.col("_cn") - F.col("_i")})
+    half = F.greatest(F.lit(1), F.floor((q1 * F.col("_d") + q0 * (F.col("_cn") - F.col("_n"))) / (2 * q1)) + 1)
+    long = F.greatest(F.lit(1), F.ceil((p * F.col("_d") - q0 * F.col("_n")) / p))
+    own = F.col("_n") - F.ceil(p * F.col("_n") / 100) + 1
+    differences = F.concat(F.array_except("_set", "_cset"), F.array_except("_cset", "_set"))
+    nothing = F.array().cast("array<long>")
+    far = 100 * F.col("_d") >= (NEAR - 100 + p) * F.col("_union")
+
+    def space(number: int, size: Column, found: Column, search: Column, elements: Column) -> Column:
+        names = ("space", "all", "found", "search", "elements")
+        return F.struct(*[c.cast("array<long>" if n == "elements" else "long").alias(n) for n, c in zip(names, (F.lit(number), size, found, search, elements))])
+
+    # (space, elements in all, prefix to be found by, prefix to search by)
+    spaces = F.array_compact(F.array(
+        F.when(far, space(0, F.col("_n"), own, own, F.col("_set")) if last else space(-1, F.lit(0), F.lit(0), F.lit(0), nothing)),
+        F.when(100 * F.col("_d") <= NEAR * F.col("_union"), space(1, F.col("_d"), F.col("_d") - half + 1, F.col("_d") - long + 1, differences)),
+    ))
+    return rows.select("_id", "_hub", "_linked", F.col("_n").cast("int").alias("_n"), F.explode(spaces).alias("_s")).select("_id", "_hub", "_linked", "_n", "_s.*")
+
+
+def _candidates(met: DataFrame, percent: int) -> DataFrame:
     """Pairs of a hub group, at least one of them not connected with the hub, that prefixes cannot rule out.
 
-    ``met``: _id, _hub, _set, _cset (the hub's), _linked (connected with the hub; if not, it is known not to link with it).
+    ``met``: see ``_spaces``; _linked: connected with the hub; if not, the set is known not to link with it.
     With x, y, c sets, a = |x|, Dx = x without c and c without x: links need |x meet y| >= p a / 100 and, as x and
     y differ in just what Dx and Dy differ in, |Dx meet Dy| >= (|Dx| + |Dy| - q (|x| + |y|)) / 2, where
     q = (100 - p) / (100 + p). If one of the pair does not link with c, |D| > q (own size + |c|) for it; so the other
@@ -362,23 +395,11 @@ def _candidates(met: DataFrame, percent: int, last: bool) -> DataFrame:
     D, or both are farther than NEAR less the distance of links. Those meet around other hubs in the next round;
     in the last one they are found by their own elements.
     """
-    p, q0, q1 = percent, 100 - percent, 100 + percent
+    p = percent
     own_key = ["_id", "_hub", "space"]
-    rows = met.withColumns({"_n": F.size("_set"), "_cn": F.size("_cset"), "_i": F.size(F.array_intersect("_set", "_cset"))})
-    rows = rows.withColumns({"_d": F.col("_n") + F.col("_cn") - 2 * F.col("_i"), "_union": F.col("_n") + F.col("_cn") - F.col("_i")})
-    half = F.greatest(F.lit(1), F.floor((q1 * F.col("_d") + q0 * (F.col("_cn") - F.col("_n"))) / (2 * q1)) + 1)
-    long = F.greatest(F.lit(1), F.ceil((p * F.col("_d") - q0 * F.col("_n")) / p))
-    own = F.ceil(p * F.col("_n") / 100)
-    # (space, elements in all, prefix to be found by, prefix to search by)
-    limits = F.array_compact(F.array(
-        F.when(F.lit(last) & _far(F.col("_d"), F.col("_union"), p), F.struct(F.lit(0).alias("space"), F.col("_n").alias("all"), (F.col("_n") - own + 1).alias("found"), (F.col("_n") - own + 1).alias("search"))),
-        F.when(100 * F.col("_d") <= NEAR * F.col("_union"), F.struct(F.lit(1).alias("space"), F.col("_d").alias("all"), (F.col("_d") - half + 1).alias("found"), (F.col("_d") - long + 1).alias("search"))),
-    ))
-    rows = rows.select("_id", "_hub", "_linked", "_n", "_set", "_cset", F.explode(limits).alias("_s"))
-    elements = F.when(F.col("_s.space") == 0, F.col("_set")).otherwise(F.concat(F.array_except("_set", "_cset"), F.array_except("_cset", "_set")))
-    facts = stash(rows.select("_id", "_hub", "_linked", "_n", "_s.*"), "facts")
+    facts = met.select("_id", "_hub", "_linked", "_n", "space", "all", "found", "search")
     # an element's key is its own within group and space
-    keys = rows.select("_id", "_hub", "_s.space", F.xxhash64("_hub", "_s.space").alias("_salt"), F.explode(elements).alias("_e")).select(*own_key, F.col("_e").bitwiseXOR(F.col("_salt")).alias("_k"))
+    keys = met.select("_id", "_hub", "space", F.xxhash64("_hub", "space").alias("_salt"), F.explode("elements").alias("_e")).select(*own_key, F.col("_e").bitwiseXOR(F.col("_salt")).alias("_k"))
     shared = keys.withColumn("_f", F.count("*").over(Window.partitionBy("_k"))).where("_f > 1")
     # elements of one set alone come first in its order and are only counted
     mine = Window.partitionBy(*own_key)
@@ -391,10 +412,6 @@ def _candidates(met: DataFrame, percent: int, last: bool) -> DataFrame:
     return search.join(found, (F.col("_k") == F.col("_kb")) & ok).select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
 
 
-def _far(differences: Column, union: Column, percent: int) -> Column:
-    return 100 * differences >= (NEAR - 100 + percent) * union
-
-
 def _connect(rows: DataFrame, profiles: DataFrame, n_words: int, percent: int) -> DataFrame:
     """(_id, _c): sets with one _c are those that links connect. ``rows``: _sig, _id, _w."""
     compare = lambda pairs: _compare(pairs, profiles, n_words, percent)
@@ -441,14 +458,19 @@ def _connect(rows: DataFrame, profiles: DataFrame, n_words: int, percent: int) -
         members = with_label(with_label(members, "_id", "_ci"), "_centre", "_cc").select("_id", F.col("_centre").alias("_hub"), (F.col("_ci") == F.col("_cc")).alias("_linked"))
         left = members.groupBy("_hub").agg(F.count("*").alias("_all"), F.count(F.when(~F.col("_linked"), 1)).alias("_loose")).where("_all > 1 and _loose > 0")
         many = stash(members.join(left.select("_hub"), "_hub", "left_semi"), "many")
-        wanted = stash(many.select("_id").unionByName(many.select(F.col("_hub").alias("_id"))).distinct(), "wanted")
+        # what is too far from the hub for its differences to tell goes on to the next round, without its set
+        bound = stash(_bounded(many, profiles, "_id", "_hub").withColumn("_is_far", (200 - NEAR) * F.col("_differ") > NEAR * (F.col("_n_id") + F.col("_n_hub"))).select("_id", "_hub", "_linked", "_is_far"), "bound")
+        close = bound if turn == ROUNDS else bound.where("not _is_far")
+        wanted = stash(close.select("_id").unionByName(close.select(F.col("_hub").alias("_id"))).distinct(), "wanted")
         sets = stash(_sets(_among(profiles.select("_id", "text"), wanted), n_words), "sets")
-        around = many.join(sets, "_id").join(sets.select(F.col("_id").alias("_hub"), F.col("_set").alias("_cset")), "_hub")
-        labels = _merged(labels, compare(_candidates(around, percent, turn == ROUNDS)))
-        union = F.size("_set") + F.size("_cset") - F.col("_i")
-        far = around.withColumn("_i", F.size(F.array_intersect("_set", "_cset"))).where(_far(union - F.col("_i"), union, percent))
-        far = stash(far.select("_id", F.col("_hub").alias("_centre")), "far")
+        around = close.drop("_is_far").join(sets, "_id").join(sets.select(F.col("_id").alias("_hub"), F.col("_set").alias("_cset")), "_hub")
+        spaces = stash(_spaces(around, percent, turn == ROUNDS), "spaces")
         drop(sets)
+        labels = _merged(labels, compare(_candidates(spaces.where("space >= 0"), percent)))
+        if turn == ROUNDS:
+            break
+        far = stash(spaces.where("space = -1").select("_id", "_hub").unionByName(bound.where("_is_far").select("_id", "_hub")).withColumnRenamed("_hub", "_centre"), "far")
+        drop(spaces)
         if far.isEmpty():
             break
         rows = _among(rows, stash(far.select("_id").distinct(), "far")).join(hubs, "_sig").join(places, "_hub")

@@ -251,7 +251,7 @@ class WordIds:
         return self._ordinary(texts)
 
     def _ordinary(self, texts: pa.Array) -> list[bytes]:
-        split, memo = self.words(texts), self.memo
+        split, memo = self.words(texts), self.memo.known
         missing: set[bytes] = set()
         for words in split:
             missing.update(set(words).difference(memo))
@@ -259,7 +259,7 @@ class WordIds:
         for at in range(0, len(new), 4096):  # the library's results are large
             part = new[at : at + 4096]
             coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            memo.learn((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded))
+            self.memo.learn((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded))
         get = memo.__getitem__
         return [b"".join(map(get, words)) for words in split]
 

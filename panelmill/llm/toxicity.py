@@ -114,12 +114,12 @@ class Voters:
         """Distinct lexicon hits and the votes as bits."""
         words = _WORDS(text.lower())
         self.memo.trim()
-        memo, hits, stems, places = self.memo, set(), Counter(), 0
+        memo, hits, stems, places = self.memo.known, set(), Counter(), 0
         for word in set(words):
             own = memo.get(word)
             if own is None:
                 own = self._stems(word)
-                memo.learn([(word, own)])
+                self.memo.learn([(word, own)])
             for e in own:
                 if e[-1] == "-":
                     stems[e] += 1

@@ -63,7 +63,7 @@ def test_memo_is_bounded_in_bytes():
     memo = Memo(10_000)
     memo.learn([("x" * 9_900, b"1")])
     memo.trim()
-    assert not memo and memo.held == 0
+    assert not memo.known and memo.held == 0
 
 
 def test_real_and_odd_texts_round_trip(real):
