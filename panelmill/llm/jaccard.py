@@ -4,8 +4,8 @@ Texts become sets of 64-bit shingle hashes; equal sets (two more 64-bit hashes a
 Beside those hashes nothing is approximate: every link is found, and every pair is compared by its whole texts.
 
 **Signatures.** A pair belongs to a size band by the sum of both sizes; sets of a band that link differ in at most
-k shingles. The band deals the shingle domain to n1 groups of n2 cells with n1 * (n2 - 1) > k, so in one group at
-least two cells hold the same shingles in both sets. A set's signatures are its projections on the two-cell subsets
+k shingles. The band deals the shingle domain to n1 groups of n2 cells with n1 * (n2 - 2) > k, so in one group at
+least three cells hold the same shingles in both sets. A set's signatures are its projections on the three-cell subsets
 of each group; linked sets share one. A set is in at most two bands.
 
 **Only what can match is enumerated.** A subset that holds a cell no other set has cannot be shared. So a first
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import apart, drop, free_worker, hash_spans, lower_ascii, mix, small, small_batches, stash, utf8, windows, word_spans
 
 #: Cells of a group (n2); bands of small sets have smaller groups.
-WIDE = 5
+WIDE = 6
 #: Bits of a cell's key for its group; six more tell bands apart, the rest is the hash of its shingles.
 GROUP_BITS = 14
 #: Cells in at least ``HOT_LEAST`` of about ``HOT_SAMPLE`` sets are salted ``SALTS``-fold.
@@ -63,8 +63,8 @@ class Bands:
             low = tops[-1] + 1
         self.tops, self.percent = np.array(tops), percent
         self.k = self.tops * (100 - percent) // (100 + percent)
-        self.n2 = np.minimum(WIDE, self.k + 2)
-        self.n1 = -(-(self.k + 1) // (self.n2 - 1))
+        self.n2 = np.minimum(WIDE, self.k + 3)
+        self.n1 = -(-(self.k + 1) // (self.n2 - 2))
         self.n = self.n1 * self.n2
 
     def views(self, sizes: np.ndarray) -> list[np.ndarray]:
@@ -140,8 +140,8 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 
 
 def _parity(rows: np.ndarray, found: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    """A set's parity bits: each shingle flips one of 4 to 8 bits a shingle, a power of two in number."""
-    words = np.int64(1) << np.ceil(np.log2(np.maximum(sizes, 16) / 16)).astype(np.int64)
+    """A set's parity bits: each shingle flips one of 2 to 4 bits a shingle, a power of two in number."""
+    words = np.int64(1) << np.ceil(np.log2(np.maximum(sizes, 32) / 32)).astype(np.int64)
     base = np.concatenate([[0], np.cumsum(words)])
     at = mix(found + np.uint64(0x9E3779B97F4A7C15)) & (words[rows].astype(np.uint64) * np.uint64(64) - np.uint64(1))
     bits = np.zeros(base[-1], np.uint64)
@@ -300,16 +300,21 @@ def _shared_cells(cells: DataFrame, sampled: DataFrame, keys: DataFrame) -> Data
 
 
 def _signatures(shared: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(_sig, _id, _w): the two-cell subsets of each group, from shared and empty cells; _w: a set's share of shared cells, in thousandths."""
+    """(_sig, _id, _w): the three-cell subsets of each group, from shared and empty cells; _w: a set's share of shared cells, in thousandths."""
     rows = shared.join(profiles.select("_id", "_filled", "_empty", "_wide"), "_id")
     bands = F.array_distinct(F.transform("_cells", _band_of))
     empty = F.filter("_empty", lambda e: F.array_contains(F.col("_bands"), _band_of(e)))
     rows = rows.withColumn("_bands", bands).withColumn("_all", F.sort_array(F.concat("_cells", empty)))
     tag = lambda c: F.shiftrightunsigned(c, 58 - GROUP_BITS)
     # sorted cells of one group stand together
-    pairs = F.flatten(F.transform("_all", lambda x, i: F.transform(F.filter(F.slice("_all", i + 2, F.col("_wide")), lambda y: tag(x) == tag(y)), lambda y: F.xxhash64(x, y))))
+    after = lambda cells, i, x, most: F.filter(F.slice(cells, i + 2, most), lambda y: tag(x) == tag(y))
+
+    def subsets(x: Column, i: Column) -> Column:
+        rest = after(F.col("_all"), i, x, F.col("_wide"))
+        return F.flatten(F.transform(rest, lambda y, j: F.transform(after(rest, j, y, F.col("_wide")), lambda z: F.xxhash64(x, y, z))))
+
     weight = F.floor(1000 * F.size("_cells") / F.greatest("_filled", F.lit(1))).cast("short")
-    return rows.select(F.explode(pairs).alias("_sig"), "_id", weight.alias("_w"))
+    return rows.select(F.explode(F.flatten(F.transform("_all", subsets))).alias("_sig"), "_id", weight.alias("_w"))
 
 
 def _bounded(pairs: DataFrame, profiles: DataFrame, a: str, b: str) -> DataFrame:
