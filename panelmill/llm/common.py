@@ -9,7 +9,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,7 +121,7 @@ class Memo:
 
     EACH = 200
 
-    def __init__(self, most: int = 64 << 20):
+    def __init__(self, most: int = 40 << 20):
         self.known: dict = {}  # a plain one: sets are compared with it by look-up
         self.most, self.held = most, 0
 
@@ -219,7 +218,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def small_batches(batches, column: str = "text", most_bytes: int = 4 << 20):
     """Cut Arrow batches so that one holds about ``most_bytes`` of text (or one row): bounded memory for any text length."""
     for batch in batches:
-        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+        _, offsets = utf8(batch.column(column))
+        sizes = offsets[1:] - offsets[0]
         at = 0
         while at < batch.num_rows:
             base = sizes[at - 1] if at else 0
@@ -228,3 +228,4 @@ def small_batches(batches, column: str = "text", most_bytes: int = 4 << 20):
             at = to
         del batch
         pa.default_memory_pool().release_unused()
+    _give_back()

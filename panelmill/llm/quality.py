@@ -29,7 +29,6 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,23 +162,27 @@ def _floored(cov: np.ndarray) -> np.ndarray:
 def _factor(consistent: float):
     """Mean, inverse Cholesky factor and log determinant of each group's moments, one row each; the estimate before where it is no worse."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = len(STATS)
         upper = np.triu_indices(d)
-        for rows in batches:
+        names = ["g_lang", "g_source", "g_start", "mean", "factor", "logdet", "moved"]
+        for batch in batches:
             out = []
-            for r in rows.itertuples(index=False):
-                mean = np.array(r.sums) / r.n
+            for r in batch.to_pylist():
+                mean = np.array(r["sums"]) / r["n"]
                 cov = np.zeros((d, d))
-                cov[upper] = np.array(r.squares) / r.n
+                cov[upper] = np.array(r["squares"]) / r["n"]
                 cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
                 lower = np.linalg.cholesky(_floored(consistent * cov))
                 logdet = 2 * float(np.log(np.diag(lower)).sum())
-                if logdet < r.before - SETTLED:
-                    out.append((r.g_lang, r.g_source, r.g_start, mean.tolist(), np.linalg.inv(lower)[np.tril_indices(d)].tolist(), logdet, True))
+                who = (r["g_lang"], r["g_source"], r["g_start"])
+                if logdet < r["before"] - SETTLED:
+                    out.append((*who, mean.tolist(), np.linalg.inv(lower)[np.tril_indices(d)].tolist(), logdet, True))
                 else:
-                    out.append((r.g_lang, r.g_source, r.g_start, list(r.old_mean), list(r.old_factor), r.before, False))
-            yield pd.DataFrame(out, columns=["g_lang", "g_source", "g_start", "mean", "factor", "logdet", "moved"])
+                    out.append((*who, r["old_mean"], r["old_factor"], r["before"], False))
+            reals = pa.list_(pa.float64())
+            kinds = (pa.string(), pa.string(), pa.int32(), reals, reals, pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)], names)
 
     return run
 
@@ -237,7 +240,7 @@ def estimates(stats: DataFrame) -> DataFrame:
     worst = F.lit(float("inf"))
     starts = _start(fits).withColumn("g_start", F.lit(0)).unionByName(_moments(fits.withColumn("g_start", F.lit(1)), F.lit(1.0)).where(F.col("n") >= LEAST))
     begun = starts.withColumns({"old_mean": no, "old_factor": no, "before": worst})
-    moving = stash(begun.mapInPandas(_factor(1.0), _FITTED), "fitted").withColumn("logdet", worst)
+    moving = stash(begun.mapInArrow(_factor(1.0), _FITTED), "fitted").withColumn("logdet", worst)
     settled: list[DataFrame] = []
     while not moving.isEmpty():
         rows = binned(moving)
@@ -245,7 +248,7 @@ def estimates(stats: DataFrame) -> DataFrame:
         own = rows.join(F.broadcast(nearer), keys).where(F.col("_b") <= F.col("_edge"))
         moments = _moments(own, F.when(F.col("_b") < F.col("_edge"), 1.0).otherwise(F.col("part")))
         old = moving.select(*keys, F.col("mean").alias("old_mean"), F.col("factor").alias("old_factor"), F.col("logdet").alias("before"))
-        stepped = stash(moments.join(old, keys).mapInPandas(_factor(CONSISTENT), _FITTED), "fitted")
+        stepped = stash(moments.join(old, keys).mapInArrow(_factor(CONSISTENT), _FITTED), "fitted")
         settled.append(stepped.where(~F.col("moved")))
         moving = stepped.where("moved")
     ended = reduce(DataFrame.unionAll, settled, moving)
@@ -254,7 +257,7 @@ def estimates(stats: DataFrame) -> DataFrame:
     # reweighting: every row within the 0.975 quantile shapes the final estimate, which small groups need
     inner = fits.join(F.broadcast(raw), GROUP).where(_squared_distance() <= NATURAL * F.col("scale"))
     begun = _moments(inner.withColumn("g_start", F.lit(2)), F.lit(1.0)).withColumns({"old_mean": no, "old_factor": no, "before": worst})
-    final = scaled(stash(begun.mapInPandas(_factor(NATURAL_CONSISTENT), _FITTED), "fitted"))
+    final = scaled(stash(begun.mapInArrow(_factor(NATURAL_CONSISTENT), _FITTED), "fitted"))
     size = fits.groupBy(*GROUP).agg(F.count("*").alias("n"))
     return stash(final.join(size, GROUP).select(*GROUP, "n", "mean", "factor", "scale"), "estimates")
 
