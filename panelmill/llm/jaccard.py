@@ -478,8 +478,10 @@ def _connect(rows: DataFrame, profiles: DataFrame, n_words: int, percent: int) -
         drop(spaces)
         if far.isEmpty():
             break
-        rows = _among(rows, stash(far.select("_id").distinct(), "far")).join(hubs, "_sig").join(places, "_hub")
-        rows = stash(rows.join(far, ["_id", "_centre"], "left_semi").drop("_hub", "_centre"), "rows")
+        # only signatures whose hub stands for such a group go on
+        onward = hubs.join(places.join(far.select("_centre").distinct(), "_centre", "left_semi"), "_hub").select("_sig", "_centre")
+        rows = _among(rows, stash(far.select("_id").distinct(), "far")).join(stash(onward, "onward"), "_sig")
+        rows = stash(rows.join(far, ["_id", "_centre"], "left_semi").drop("_centre"), "rows")
     return labels
 
 

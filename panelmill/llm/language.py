@@ -21,6 +21,7 @@ that sorts first; repeated rows are scored each; no training rows at all: everyt
 from __future__ import annotations
 
 import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -143,12 +144,26 @@ class CostTable:
         return out, np.diff(at)
 
 
+#: Counts that a task holds at most before it hands them on.
+COUNTS_HELD = 1_000_000
+
+
 def _count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, key, n), summed within the task."""
+    held: dict[str, Counter] = defaultdict(Counter)
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, found in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["lang", "key", "n"])
+        held.clear()
+
     for batch in small_batches(batches, "text", 1 << 20):
         langs = np.array(batch.column("lang").to_pylist(), object)
         for lang in sorted(set(langs)):
-            found = count_contexts(batch.column("text").filter(pa.array(langs == lang)))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["lang", "key", "n"])
+            held[lang].update(count_contexts(batch.column("text").filter(pa.array(langs == lang))))
+        if sum(map(len, held.values())) > COUNTS_HELD:
+            yield from rows()
+    yield from rows()
 
 
 def train(df: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, Counts]:
@@ -159,7 +174,8 @@ def train(df: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str =
     first = Window.partitionBy("lang").orderBy("_h")
     chosen = rows.groupBy("lang", "_h").agg(F.min("_i").alias("_i")).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= TRAIN_ROWS).drop("_r")
     texts = rows.join(F.broadcast(chosen), ["lang", "_h", "_i"], "left_semi").groupBy("lang", "_h").agg(F.min("text").alias("text"))  # ids may repeat
-    counts = texts.select("lang", "text").mapInArrow(_count_batches, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    # a bounded sample: few tasks, so that each sums up many texts
+    counts = texts.select("lang", "text").coalesce(8).mapInArrow(_count_batches, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     return {str(lang): (part["key"].to_numpy(), part["n"].to_numpy()) for lang, part in counts.toPandas().groupby("lang")}
 
 
