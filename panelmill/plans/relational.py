@@ -66,7 +66,7 @@ def scan_year_in(s: S, d: str) -> D:
 @query("select r_regionkey, r_name from region")
 def dta_source(s: S, d: str) -> D:
     """A Stata file read by the Python data source. The file is made here from ``region``, five rows whatever the scale."""
-    return readers.round_trip_dta(s, table(s, d, "region").orderBy("r_regionkey").limit(100))
+    return readers.round_trip_dta(s, table(s, d, "region").orderBy("r_regionkey"))
 
 
 @query("""with a as (select n_regionkey, count(*) n, round(sum(c_acctbal), 2) total from customer join nation on c_nationkey = n_nationkey group by 1)
@@ -353,21 +353,17 @@ def share_compare_outer(s: S, d: str) -> D:
     return a.join(b, "g", "full").fillna(0.0, ["share_a", "share_b"])
 
 
-@query("""select id, o_orderdate, row_number() over (order by id nulls last, o_orderdate, o_orderkey)::bigint pos from (select nullif(o_custkey, 5) id, o_orderdate, o_orderkey from orders) order by id nulls last, o_orderdate, o_orderkey limit 50""")
+@query("""select id, o_orderdate, row_number() over (order by id nulls last, o_orderdate, o_orderkey)::bigint pos from (select nullif(o_custkey, 5) id, o_orderdate, o_orderkey from orders)""")
 def sorted_panel(s: S, d: str) -> D:
-    """The first rows in panel order, nulls last: a bounded report, so only the sink sorts."""
-    order = [F.col("id").asc_nulls_last(), "o_orderdate", "o_orderkey"]
-    top = table(s, d, "orders").select(F.nullif(F.col("o_custkey"), F.lit(5)).alias("id"), "o_orderdate", "o_orderkey").orderBy(*order).limit(50)
-    from pyspark.sql import Window
-
-    return top.select("id", "o_orderdate", big(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).alias("pos"))
+    """Every row of the panel with its place in panel order, nulls last."""
+    rows = table(s, d, "orders").select(F.nullif(F.col("o_custkey"), F.lit(5)).alias("id"), "o_orderdate", "o_orderkey")
+    return pan.positions(rows, [F.col("id"), F.col("o_orderdate"), F.col("o_orderkey")]).select("id", "o_orderdate", big(F.col("pos")).alias("pos"))
 
 
 @query("""select id, o_orderdate, row_number() over (order by id nulls last, o_orderdate, o_orderkey)::bigint pos from (select nullif(o_custkey, 5) id, o_orderdate, o_orderkey from orders)""")
 def sorted_panel_whole(s: S, d: str) -> D:
-    """Every row of the panel with its place in panel order, nulls last."""
-    rows = table(s, d, "orders").select(F.nullif(F.col("o_custkey"), F.lit(5)).alias("id"), "o_orderdate", "o_orderkey")
-    return pan.positions(rows, [F.col("id"), F.col("o_orderdate"), F.col("o_orderkey")]).select("id", "o_orderdate", big(F.col("pos")).alias("pos"))
+    """The same under the name it had while ``sorted_panel`` was a report of 50 rows."""
+    return sorted_panel(s, d)
 
 
 @query("select p_type, count(*) n from part group by 1 order by n desc, p_type limit 3")
