@@ -85,10 +85,22 @@ def hash_share(modulus: int, *keys: str) -> Column:
 
 
 def sample_ids(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
-    """Exactly round(n * fraction) ids (1 at least), by the order of their hashes. Two passes: a count, then a top-n."""
-    ids = df.select(key).where(F.col(key).isNotNull()).distinct()
-    n = max(1, int(ids.count() * fraction + 0.5))
-    return ids.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"_{seed}"))), key).limit(n)
+    """Exactly round(n * fraction) ids (1 at least), by the order of their hashes.
+
+    Ids are counted by the first four digits of the hash (65,536 bins at most); whole bins are taken up to the one that
+    holds the last place, and only that bin's ids are ordered.
+    """
+    code = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"_{seed}")))
+    ids = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_code", code).withColumn("_bin", F.substring("_code", 1, 4))
+    bins = sorted((b, n) for b, n in ids.groupBy("_bin").count().collect())
+    left = max(1, int(sum(n for _, n in bins) * fraction + 0.5))
+    edge = ""
+    for edge, n in bins:
+        if left <= n:
+            break
+        left -= n
+    last = ids.where(F.col("_bin") == edge).orderBy("_code", key).limit(left)
+    return ids.where(F.col("_bin") < edge).unionAll(last).select(key)
 
 
 def positions(df: DataFrame, keys: Sequence[Column], name: str = "pos", blocks: int = 64) -> DataFrame:

@@ -22,15 +22,10 @@ def stacked_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def quantiles(x: Column, *ps: float) -> Column:
-    """Linear quantiles of a column in one aggregate."""
+    """Linear quantiles of a column in one aggregate, for groups of bounded size (``weighted.quantile_linear`` for any)."""
     return F.percentile(x, F.array(*[F.lit(float(p)) for p in ps]))
 
 
-def summary(x: str) -> list[Column]:
-    q = quantiles(F.col(x), 0.25, 0.5, 0.75)
-    return [F.count(x).alias("n"), F.avg(x).alias("mean"), q[1].alias("median"), q[0].alias("p25"), q[2].alias("p75")]
-
-
 def explode_band(df: DataFrame, column: str, half_width: int, low: int, high: int, out: str) -> DataFrame:
     """One row per target within ``half_width`` of a row's value: a band join as an equi-aggregation."""
     first, last = F.greatest(F.col(column) - half_width, F.lit(low)), F.least(F.col(column) + half_width, F.lit(high))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,22 +30,71 @@ def mean_ci(df: DataFrame, x: str, w: str, *by: str, z: float = 1.96) -> DataFra
     return s.select(*by, "n", "mean", "sd", "n_eff", "se", (F.col("mean") - z * F.col("se")).alias("lo"), (F.col("mean") + z * F.col("se")).alias("hi"))
 
 
-def _collapsed(df: DataFrame, x: str, w: str, by: Sequence[str]) -> DataFrame:
-    """Distinct values with their weight, cumulated: the sort is over distinct values of a group only."""
-    rows = df.where(valid(x, w)).groupBy(*by, x).agg(F.sum(w).alias("_w"))
+def _block(x: str) -> Column:
+    """A block of values: a thousandth of their size wide, rising with the value, the same at any size of the data."""
+    v = F.col(x).cast("double")
+    return F.when(F.isnan(v), F.lit(2**62)).otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v)) * 1024))
+
+
+def _collapsed(df: DataFrame, x: str, w: Column, by: Sequence[str], aims: Callable[[Column], list[Column]]) -> DataFrame:
+    """Distinct values near the wanted places, with the weight up to and with them (_cum) and in all (_all).
+
+    Values are counted map-side, blocks of values are cumulated, and only blocks that hold one of ``aims`` (places in
+    the cumulated weight, given its total) are sorted: no task sees a whole group, with or without ``by``. _first and
+    _last are the least and the greatest weight of one row, _next and _next_first are of the value that follows.
+    """
+    values = df.withColumn("_w1", w).groupBy(*by, x).agg(F.sum("_w1").alias("_w"), F.min("_w1").alias("_first"), F.max("_w1").alias("_last")).withColumn("_b", _block(x))
+    blocks = values.groupBy(*by, "_b").agg(F.sum("_w").alias("_sum"), F.min(x).alias("_least"), F.min_by("_first", x).alias("_least_first"))
+    # at most some thousand blocks a group, whatever its rows
     own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return rows.withColumns({"_cum": F.sum("_w").over(own.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_w").over(own), "_next": F.lead(x).over(own.orderBy(x))})
+    rising = own.orderBy("_b")
+    blocks = blocks.withColumns(
+        {"_before": F.sum("_sum").over(rising.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum"), "_all": F.sum("_sum").over(own), "_then": F.lead("_least").over(rising), "_then_first": F.lead("_least_first").over(rising)}
+    )
+    end = F.col("_before") + F.col("_sum") + F.coalesce("_then_first", F.lit(0))
+    slack = F.col("_all") * 1e-9
+    wanted = [(F.col("_before") <= aim + slack) & (aim <= end + slack) for aim in aims(F.col("_all"))]
+    blocks = blocks.where(functools.reduce(Column.__or__, wanted))
+    keys = [*by, "_b"]
+    blocks = blocks.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_before", "_all", "_then", "_then_first")
+    rows = values.join(blocks, functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]))
+    order = Window.partitionBy(*keys).orderBy(x)
+    return rows.select(
+        *by, x, "_w", "_first", "_last", "_all", (F.col("_before") + F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("_cum"),
+        F.coalesce(F.lead(x).over(order), "_then").alias("_next"), F.coalesce(F.lead("_first").over(order), "_then_first").alias("_next_first"),
+    )
+
+
+def quantile_linear(df: DataFrame, x: str, ps: Sequence[float], *by: str) -> DataFrame:
+    """Linear quantiles of a column (between the two nearest ranks), nulls left out; columns q0, q1, ..."""
+    rows = _collapsed(df.where(F.col(x).isNotNull()), x, F.lit(1), by, lambda n: [(n - 1) * float(p) for p in ps])
+    out = []
+    for i, p in enumerate(ps):
+        place = (F.col("_all") - 1) * float(p)
+        low = F.floor(place)
+        above = F.when(F.col("_cum") > F.ceil(place), F.col(x)).otherwise(F.col("_next"))
+        value = F.when(place == low, F.col(x).cast("double")).otherwise((low + 1 - place) * F.col(x) + (place - low) * above)
+        out.append(F.min(F.when((F.col("_cum") > low) & (F.col("_cum") - F.col("_w") <= low), value)).alias(f"q{i}"))
+    return rows.groupBy(*by).agg(*out)
+
+
+def beside(stats: DataFrame, quantiles: DataFrame, *by: str) -> DataFrame:
+    """A summary's rows with their group's quantiles, groups without a name included; without ``by`` one row each."""
+    if not by:
+        return stats.crossJoin(quantiles)
+    right = quantiles.withColumnsRenamed({k: f"_{k}" for k in by})
+    return stats.join(right, functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]), "left").drop(*[f"_{k}" for k in by])
 
 
 def quantile_reach(df: DataFrame, x: str, w: str, ps: Sequence[float], *by: str) -> DataFrame:
     """First value at which the cumulated weight reaches p of the total; columns q0, q1, ..."""
-    rows = _collapsed(df, x, w, by)
+    rows = _collapsed(df.where(valid(x, w)), x, F.col(w), by, lambda n: [n * float(p) for p in ps])
     return rows.groupBy(*by).agg(*[F.min(F.when(F.col("_cum") >= p * F.col("_all"), F.col(x))).alias(f"q{i}") for i, p in enumerate(ps)])
 
 
 def quantile_exceed(df: DataFrame, x: str, w: str, ps: Sequence[float], *by: str, tolerance: float = 1e-9) -> DataFrame:
     """First value at which the cumulated weight exceeds p of the total; on an exact tie the average with the next value."""
-    rows = _collapsed(df, x, w, by)
+    rows = _collapsed(df.where(valid(x, w)), x, F.col(w), by, lambda n: [n * float(p) for p in ps])
     out = []
     for i, p in enumerate(ps):
         aim = p * F.col("_all")
@@ -55,19 +105,23 @@ def quantile_exceed(df: DataFrame, x: str, w: str, ps: Sequence[float], *by: str
     return rows.groupBy(*by).agg(*out)
 
 
-def quantile_midpoint(df: DataFrame, x: str, w: str, ps: Sequence[float], ties: Sequence[str], *by: str) -> DataFrame:
-    """Interpolated between the midpoints (cum - w/2) / total, ends clamped. Ties stay apart, ordered by (x, w, ties)."""
-    own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    order = own.orderBy(x, w, *ties)
-    rows = df.where(valid(x, w)).withColumns({"_cum": F.sum(w).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum(w).over(own)})
-    rows = rows.withColumn("_m", (F.col("_cum") - 0.5 * F.col(w)) / F.col("_all"))
-    rows = rows.withColumns({"_x2": F.lead(x).over(order), "_m2": F.lead("_m").over(order)})
+def quantile_midpoint(df: DataFrame, x: str, w: str, ps: Sequence[float], *by: str) -> DataFrame:
+    """Interpolated between the midpoints (cum - w/2) / total of rows ordered by (x, w), ends clamped.
+
+    Rows of one value differ in their midpoints alone, so a value's first and last row say all of it.
+    """
+    rows = _collapsed(df.where(valid(x, w)), x, F.col(w), by, lambda n: [n * float(p) for p in ps])
+    total = F.col("_all")
+    rows = rows.withColumns({
+        "_m0": (F.col("_cum") - F.col("_w") + 0.5 * F.col("_first")) / total, "_m1": (F.col("_cum") - 0.5 * F.col("_last")) / total,
+        "_m2": (F.col("_cum") + 0.5 * F.col("_next_first")) / total,
+    })
     out = []
     for i, p in enumerate(ps):
-        inside = (F.col("_m") <= p) & (F.col("_m2") > p)
-        value = F.col(x) + (F.col("_x2") - F.col(x)) * (p - F.col("_m")) / (F.col("_m2") - F.col("_m"))
-        end = F.when(F.min("_m") > p, F.min(x)).otherwise(F.max(x))
-        out.append(F.coalesce(F.min(F.when(inside, value)), end).alias(f"q{i}"))
+        here = F.min(F.when((F.col("_m0") <= p) & (p < F.col("_m1")), F.col(x)))
+        between = F.min(F.when((F.col("_m1") <= p) & (p < F.col("_m2")), F.col(x) + (F.col("_next") - F.col(x)) * (p - F.col("_m1")) / (F.col("_m2") - F.col("_m1"))))
+        end = F.when(F.min("_m0") > p, F.min(x)).otherwise(F.max(x))
+        out.append(F.coalesce(here, between, end).alias(f"q{i}"))
     return rows.groupBy(*by).agg(*out)
 
 
@@ -78,13 +132,13 @@ def price_factor(df: DataFrame, nominal: str, real: str, w: str) -> DataFrame:
 
 def winsorise(df: DataFrame, x: str, low: float, high: float, *by: str, out: str | None = None) -> DataFrame:
     """Clipped at a group's linear quantiles; bounds join back by group."""
-    q = df.groupBy(*by).agg(F.percentile(F.col(x), F.array(F.lit(low), F.lit(high))).alias("_q"))
+    q = quantile_linear(df, x, (low, high), *by)
     joined = df.join(q, list(by)) if by else df.crossJoin(F.broadcast(q))
-    return joined.withColumn(out or x, clip(F.col(x), F.col("_q")[0], F.col("_q")[1])).drop("_q")
+    return joined.withColumn(out or x, clip(F.col(x), F.col("q0"), F.col("q1"))).drop("q0", "q1")
 
 
-def winsorise_weighted(df: DataFrame, x: str, w: str, low: float, high: float, ties: Sequence[str], *by: str, out: str | None = None) -> DataFrame:
-    q = quantile_midpoint(df, x, w, (low, high), ties, *by)
+def winsorise_weighted(df: DataFrame, x: str, w: str, low: float, high: float, *by: str, out: str | None = None) -> DataFrame:
+    q = quantile_midpoint(df, x, w, (low, high), *by)
     return df.join(q, list(by)).withColumn(out or x, clip(F.col(x), F.col("q0"), F.col("q1"))).drop("q0", "q1")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import numeric
-from ..operators import clean, estimate as es, profiles as pr, transitions as tr
+from ..operators import clean, estimate as es, profiles as pr, transitions as tr, weighted as wt
 from .base import PANEL, STATES, panel, r, table
 from .panels import COUNTS, NEXT, pairs
 
@@ -131,7 +131,7 @@ def threshold_by_bin(s: S, d: str) -> D:
     """Per wage bin the truncation point that gives the mean log wage of those who left for the public sector."""
     rows = pairs(s, d).where("st = 'F' and w > 0").withColumn("x", F.ln("w"))
     mu, sigma = rows.where("st1 = 'P'").agg(F.avg(F.ln("w1")), F.stddev_samp(F.ln("w1"))).first()
-    q = rows.agg(F.array_distinct(pr.quantiles(F.col("x"), *[k / 20 for k in range(21)])).alias("edges"))
+    q = wt.quantile_linear(rows, "x", [k / 20 for k in range(21)]).select(F.array_distinct(F.array(*[f"q{k}" for k in range(21)])).alias("edges"))
     k = F.greatest(F.lit(1), F.size(F.filter("edges", lambda v: v < F.col("x"))))
     bins = rows.crossJoin(F.broadcast(q)).where("st1 = 'P'").groupBy(k.cast("int").alias("bin")).agg(F.avg(F.ln("w1")).alias("m"), F.count("*").alias("n"))
     out = [(x["bin"], x["n"], x["m"], numeric.truncation_point(x["m"], mu, sigma) if sigma else None) for x in bins.orderBy("bin").collect()]

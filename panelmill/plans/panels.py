@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import clean, panel as pan, transitions as tr
+from ..operators import clean, panel as pan, transitions as tr, weighted as wt
 from .base import PANEL, STATES, big, panel, r, table
 
 S, D = SparkSession, DataFrame
@@ -163,17 +163,19 @@ from pairs where st1 is not null group by 1,2 having count(*) >= 5""")
 def wage_delta_by_transition(s: S, d: str) -> D:
     delta = F.col("w1") - F.col("w")
     share = lambda c: r(F.avg(c.cast("int")))
-    out = pairs(s, d).where("st1 is not null").groupBy("st", "st1").agg(
-        F.count("*").alias("n"), share(delta > 0).alias("gain"), share(delta < 0).alias("loss"), share(delta == 0).alias("same"), r(F.avg(delta), 4).alias("mean_delta"), r(F.percentile(delta, F.lit(0.5)), 4).alias("median_delta")
+    rows = pairs(s, d).where("st1 is not null").withColumn("x", delta)
+    out = rows.groupBy("st", "st1").agg(
+        F.count("*").alias("n"), share(delta > 0).alias("gain"), share(delta < 0).alias("loss"), share(delta == 0).alias("same"), r(F.avg(delta), 4).alias("mean_delta")
     )
-    return out.where("n >= 5")
+    return wt.beside(out.where("n >= 5"), wt.quantile_linear(rows, "x", [0.5], "st", "st1"), "st", "st1").withColumn("median_delta", r(F.col("q0"), 4)).drop("q0")
 
 
 @query(f"""{NEXT} select st, st1, count(*) n, round(avg(ln(w1) - ln(w)), 6) mean_dlog, round(median(ln(w1) - ln(w)), 6) median_dlog from pairs where st1 is not null and w > 0 and w1 > 0 group by 1,2""")
 def log_wage_delta(s: S, d: str) -> D:
     x = clean.positive_log(F.col("w1")) - clean.positive_log(F.col("w"))
     rows = pairs(s, d).where("st1 is not null").withColumn("x", x).where("x is not null")
-    return rows.groupBy("st", "st1").agg(F.count("*").alias("n"), r(F.avg("x")).alias("mean_dlog"), r(F.percentile("x", F.lit(0.5))).alias("median_dlog"))
+    out = wt.beside(rows.groupBy("st", "st1").agg(F.count("*").alias("n"), r(F.avg("x")).alias("mean_dlog")), wt.quantile_linear(rows, "x", [0.5], "st", "st1"), "st", "st1")
+    return out.select("st", "st1", "n", "mean_dlog", r(F.col("q0")).alias("median_dlog"))
 
 
 @query(f"""{NEXT}, x as (select case st1 when 'P' then 'stayed' when 'F' then 'to private' when 'O' then 'to unemployment' else 'not observed' end flow from pairs where st = 'P') select flow, count(*) n, round(count(*) / sum(count(*)) over (), 6) share from x group by 1""")

@@ -41,7 +41,7 @@ def _mid(p: float) -> str:
 
 @query("with " + MID.format(by="year(l_shipdate)::bigint y", key="y") + "select y, " + ", ".join(f"round({_mid(p)}, 4) q{i}" for i, p in enumerate(PS)) + " from e group by 1")
 def wquantile_mid(s: S, d: str) -> D:
-    return wt.quantile_midpoint(_items(s, d), "x", "w", PS, KEY, "y").select("y", *[r(F.col(f"q{i}"), 4).alias(f"q{i}") for i in range(3)])
+    return wt.quantile_midpoint(_items(s, d), "x", "w", PS, "y").select("y", *[r(F.col(f"q{i}"), 4).alias(f"q{i}") for i in range(3)])
 
 
 CUM = """a as (select year(l_shipdate)::bigint y, l_extendedprice x, sum({w}) w from lineitem group by 1,2), c as (select *, sum(w) over (partition by y order by x rows unbounded preceding) cw, sum(w) over (partition by y) tot, lead(x) over (partition by y order by x) x2 from a)"""
@@ -113,7 +113,7 @@ def winsor_two_stage(s: S, d: str) -> D:
 
 @query("with " + MID.format(by="year(l_shipdate)::bigint y", key="y") + f", q as (select y, {_mid(0.01)} lo, {_mid(0.99)} hi from e group by 1) select a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey, round(least(greatest(x, lo), hi), 4) x from a join q on a.y = q.y")
 def winsor_weighted(s: S, d: str) -> D:
-    return wt.winsorise_weighted(_items(s, d), "x", "w", 0.01, 0.99, KEY, "y").select(*KEY, r(F.col("x"), 4).alias("x"))
+    return wt.winsorise_weighted(_items(s, d), "x", "w", 0.01, 0.99, "y").select(*KEY, r(F.col("x"), 4).alias("x"))
 
 
 @query("""with g as (select unnest(range(0, 21)) k) select (k * 0.005)::double x, round(sum(l_quantity * exp(-0.5 * pow((k * 0.005 - l_discount) / 0.01, 2))) / (sum(l_quantity) * sqrt(2 * pi()) * 0.01), 6) density from lineitem, g group by 1""")

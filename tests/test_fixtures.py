@@ -46,7 +46,7 @@ def test_matrix_is_complete_and_rows_sum_to_one_or_zero(rows):
 
 def test_weighted_quantiles(spark):
     df = spark.createDataFrame([(float(i), float(i)) for i in (1, 2, 3, 4)], "x double, w double")
-    mid = weighted.quantile_midpoint(df, "x", "w", (0.1, 0.5, 0.9), []).first()
+    mid = weighted.quantile_midpoint(df, "x", "w", (0.1, 0.5, 0.9)).first()
     assert [round(v, 6) for v in mid] == [1.333333, 3.142857, 4.0]
     assert list(weighted.quantile_reach(df, "x", "w", (0.1, 0.3, 0.5, 0.9)).first()) == [1, 2, 3, 4]
     assert list(weighted.quantile_exceed(df, "x", "w", (0.1, 0.3, 0.5, 0.9)).first()) == [1.5, 2.5, 3, 4]
@@ -247,3 +247,35 @@ def test_positions_of_all_rows_with_a_third_in_one_person(spark):
     assert [tuple(r)[:3] for r in sorted(out, key=lambda r: r.pos)] == want and sorted(r.pos for r in out) == list(range(1, 3001))
     assert pan.positions(spark.createDataFrame([], "id int, t int"), [F.col("id"), F.col("t")]).collect() == []
     assert "sorted_panel_whole" in catalog.queries()
+
+
+def test_block_quantiles_equal_brute_force(spark):
+    """One group with most rows, ties, negative values, an unnamed group, missing values and weights; and no rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(["a", "a", "a", "b", None][rng.integers(5)], float(round(rng.normal() * 10 ** rng.integers(0, 4), int(rng.integers(0, 3)))), float(rng.integers(1, 9))) for _ in range(900)]
+    rows += [("a", None, 1.0), ("b", 4.0, None), ("b", 5.0, 0.0), ("c", 7.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, w double")
+    ps = (0.0, 0.013, 0.25, 0.5, 0.9, 1.0)
+    linear = {v[0]: v[1:] for v in weighted.quantile_linear(df, "x", ps, "g").collect()}
+    middle = {v[0]: v[1:] for v in weighted.quantile_midpoint(df, "x", "w", ps, "g").collect()}
+    for g in ("a", "b", "c", None):
+        x = np.array([v for k, v, _ in rows if k == g and v is not None])
+        assert np.allclose(linear[g], np.quantile(x, ps))
+        pairs = np.array(sorted((v, w) for k, v, w in rows if k == g and v is not None and w))
+        m = (pairs[:, 1].cumsum() - pairs[:, 1] / 2) / pairs[:, 1].sum()
+        assert np.allclose(middle[g], np.interp(ps, m, pairs[:, 0]))
+    every = [v for _, v, _ in rows if v is not None]
+    assert np.allclose(list(weighted.quantile_linear(df, "x", ps).first()), np.quantile(every, ps))
+    assert weighted.quantile_linear(df.where("false"), "x", ps, "g").collect() == []
+
+
+def test_sample_ids_by_hash_bins_is_the_first_share_of_all_ids(spark):
+    import hashlib
+
+    df = spark.range(5000).selectExpr("id % 1777 as k")
+    want = sorted(range(1777), key=lambda k: hashlib.md5(f"{k}_42".encode()).hexdigest())
+    for share in (0.0, 0.1, 1.0):
+        assert {v.k for v in panel.sample_ids(df, "k", share).collect()} == set(want[: max(1, int(1777 * share + 0.5))])
+    assert panel.sample_ids(df.where("false"), "k", 0.1).collect() == []
