@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import io
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,52 +37,70 @@ def year_of(column: str = "_metadata.file_name"):
     return F.regexp_extract(F.col(column), r"_(20\d{2})\.", 1).try_cast("int")
 
 
-def discover(folder: str, stem: str, years: Iterable[int], kinds: tuple[str, ...] = ("parquet", "csv", "dta")) -> dict[int, str]:
-    """The preferred file of each year; samples and empty files do not count, and a year without one is an error.
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of every file at or below a path of any store that Spark reads; empty where there is nothing.
 
-    The listing is of file names on the driver; the data stay where they are.
+    Only names and sizes are read. The list is on the driver, so it is for folders of inputs, not for a whole store.
     """
-    found: dict[int, str] = {}
-    for path in sorted(Path(folder).glob(f"{stem}*")):
-        match = re.search(r"_(20\d{2})\.(\w+)$", path.name)
-        if not match or "_sample_" in path.name or match[2] not in kinds or (path.is_file() and not path.stat().st_size):
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length") if present(spark, path) else None
+    return [] if files is None else sorted((r.path, r.length) for r in files.collect())
+
+
+def present(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path, in any store that Spark reads."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
+def discover(spark: SparkSession, folder: str, stem: str, years: Iterable[int], kinds: tuple[str, ...] = ("parquet", "csv", "dta")) -> dict[int, str]:
+    """The preferred file or table of each year, at any depth of a folder; samples and empty ones do not count, and a year without one is an error."""
+    sizes: Counter[str] = Counter()
+    for path, length in listing(spark, folder):
+        # a table is a folder of files: its name is the part of the path that carries the year
+        if found := re.match(rf"(.*/({re.escape(stem)}[^/]*_(20\d{{2}})\.(\w+)))(?:/|$)", path):
+            sizes[found[1]] += length
+    best: dict[int, str] = {}
+    for path in sorted(p for p, n in sizes.items() if n):
+        year, kind = int(re.search(r"_(20\d{2})\.\w+$", path)[1]), path.rsplit(".", 1)[1]
+        if "_sample_" in path.rsplit("/", 1)[1] or kind not in kinds:
             continue
-        year = int(match[1])
-        if year not in found or kinds.index(match[2]) < kinds.index(found[year].rsplit(".", 1)[1]):
-            found[year] = str(path)
-    missing = sorted(set(years) - set(found))
+        if year not in best or kinds.index(kind) < kinds.index(best[year].rsplit(".", 1)[1]):
+            best[year] = path
+    missing = sorted(set(years) - set(best))
     if missing:
         raise FileNotFoundError(f"no input for the years {missing}")
-    return {y: found[y] for y in years}
+    return {y: best[y] for y in years}
 
 
-def usable_files(paths: Iterable[str], essential: Iterable[str]) -> tuple[list[str], dict[str, str]]:
-    """Files that exist, hold bytes and have the essential columns in their header; and why the others do not."""
+def usable_files(spark: SparkSession, paths: Iterable[str], essential: Iterable[str]) -> tuple[list[str], dict[str, str]]:
+    """CSV files that exist, hold bytes and have the essential columns in their header; and why the others do not.
+
+    The header is read by Spark's CSV reader, so names may be quoted; one small read a file.
+    """
     good, bad = [], {}
-    for path in map(Path, paths):
-        if not path.exists():
-            bad[str(path)] = "missing"
-        elif not path.stat().st_size:
-            bad[str(path)] = "empty"
+    for path in map(str, paths):
+        if not present(spark, path):
+            bad[path] = "missing"
+        elif not sum(n for _, n in listing(spark, path)):
+            bad[path] = "empty"
+        elif lacking := sorted(set(essential) - set(read_text_columns(spark, path).columns)):
+            bad[path] = f"lacks {lacking}"
         else:
-            with path.open(encoding="utf-8-sig") as f:
-                header = f.readline().strip().split(",")
-            lacking = sorted(set(essential) - set(header))
-            if lacking:
-                bad[str(path)] = f"lacks {lacking}"
-            else:
-                good.append(str(path))
+            good.append(path)
     return good, bad
 
 
 def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
     """The table saved at ``path``; made and saved first where there is none or ``rebuild`` is set."""
-    if not rebuild:
-        try:
-            return spark.read.parquet(path)
-        except Exception as error:  # only a path that is not there means: make it
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+    # the mark of a finished job: a folder that a broken job left has none, and only ``rebuild`` replaces it
+    done = present(spark, f"{path.rstrip('/')}/_SUCCESS")
+    if done and not rebuild:
+        return spark.read.parquet(path)
     make().write.mode("overwrite" if rebuild else "errorifexists").parquet(path)
     return spark.read.parquet(path)
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .readers import listing
+
 
 def write_once(df: DataFrame, path: str, *partition_by: str, kind: str = "parquet") -> None:
     """Never overwrites; Spark's commit protocol leaves no half-written table behind."""
@@ -18,6 +22,33 @@ def write_once(df: DataFrame, path: str, *partition_by: str, kind: str = "parque
     writer.option("header", True).format(kind).save(path)
 
 
+def extract_parts(df: DataFrame, part: str, path: str, expected: Sequence) -> DataFrame:
+    """Each part (a year, a state) of an extract in its own folder below ``path``, all new ones by one job.
+
+    Parts that are there already are left alone and not read again. Returns a report, a row a part: part, status
+    (``written``, ``skipped``, ``empty``: no row for it) and n_rows. Folders appear when the job commits, so a job that
+    broke off leaves no part behind and can be run again.
+    """
+    spark = df.sparkSession
+    there = _parts(spark, path, part)
+    todo = [v for v in expected if str(v) not in there]
+    if todo:
+        rows = df.where(F.col(part).isin(todo))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    now = _parts(spark, path, part)
+    # by the folders' names, as they are: a code like 01 would be read back as a number
+    name = F.regexp_extract("_metadata.file_path", f"/{re.escape(part)}=([^/]*)/", 1)
+    saved = spark.read.option("recursiveFileLookup", True).parquet(path).groupBy(name).count().collect() if now else []
+    counts = {unquote(v): n for v, n in saved}
+    report = [(str(v), "skipped" if str(v) in there else "written" if str(v) in now else "empty", counts.get(str(v), 0)) for v in expected]
+    return spark.createDataFrame(report, "part string, status string, n_rows long")
+
+
+def _parts(spark: SparkSession, path: str, part: str) -> set[str]:
+    names = (re.search(rf"/{re.escape(part)}=([^/]*)/", file) for file, _ in listing(spark, path))
+    return {unquote(m[1]) for m in names if m}
+
+
 def stata_names(columns: Sequence[str], most: int = 32) -> dict[str, str]:
     """Names of at most 32 characters, made unique by a number."""
     out: dict[str, str] = {}

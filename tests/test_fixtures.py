@@ -188,9 +188,9 @@ def test_sources(spark, tmp_path):
     (tmp_path / "survey_2017.csv").write_text("")
     (tmp_path / "survey_sample_2017.csv").write_text("a\n1\n")
     with pytest.raises(FileNotFoundError):
-        readers.discover(str(tmp_path), "survey", [2016, 2017])
-    assert list(readers.discover(str(tmp_path), "survey", [2016])) == [2016]
-    good, bad = readers.usable_files([tmp_path / "survey_2016.csv", tmp_path / "survey_2017.csv", tmp_path / "no.csv"], ["b"])
+        readers.discover(spark, str(tmp_path), "survey", [2016, 2017])
+    assert list(readers.discover(spark, str(tmp_path), "survey", [2016])) == [2016]
+    good, bad = readers.usable_files(spark, [tmp_path / "survey_2016.csv", tmp_path / "survey_2017.csv", tmp_path / "no.csv"], ["b"])
     assert len(good) == 1 and sorted(bad.values()) == ["empty", "missing"]
     df = spark.read.option("header", True).csv(str(tmp_path / "survey_2016.csv")).select("a", readers.year_of().alias("y"))
     assert tuple(df.first()) == ("1", 2016)
@@ -205,6 +205,34 @@ def test_guarded_sink_and_cache(spark, tmp_path):
     for _ in range(2):
         out = readers.cached(spark, str(tmp_path / "c"), lambda: calls.append(1) or spark.range(2))
     assert out.count() == 2 and calls == [1]
+    # what a broken job left is neither read nor replaced unasked
+    (tmp_path / "c" / "_SUCCESS").unlink()
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        readers.cached(spark, str(tmp_path / "c"), lambda: spark.range(3))
+    assert readers.cached(spark, str(tmp_path / "c"), lambda: spark.range(3), rebuild=True).count() == 3
+
+
+def test_discovery_prefers_tables_and_reads_quoted_headers(spark, tmp_path):
+    (tmp_path / "s_2019.csv").write_text('\ufeff"a","b, c"\n1,2\n', encoding="utf-8")
+    spark.range(2).write.parquet(str(tmp_path / "s_2019.parquet"))
+    (tmp_path / "s_sample_2020.csv").write_text("a\n1\n")
+    (tmp_path / "s_2020.csv").write_text("a\n1\n")
+    found = readers.discover(spark, str(tmp_path), "s", [2019, 2020])
+    assert [p.rsplit("/", 1)[1] for p in found.values()] == ["s_2019.parquet", "s_2020.csv"]
+    good, bad = readers.usable_files(spark, [tmp_path / "s_2019.csv", tmp_path / "s_2020.csv"], ["a", "b, c"])
+    assert len(good) == 1 and list(bad.values()) == ["lacks ['b, c']"]
+    assert readers.listing(spark, str(tmp_path / "nothing")) == []
+
+
+def test_extract_by_parts_skips_what_is_there(spark, tmp_path):
+    df = spark.createDataFrame([("01", 1), ("01", 2), ("02", 3), ("a b", 4), (None, 5)], "state string, x int")
+    path = str(tmp_path / "parts")
+    first = sinks.extract_parts(df, "state", path, ["01", "03"])
+    assert sorted(map(tuple, first.collect())) == [("01", "written", 2), ("03", "empty", 0)]
+    again = sinks.extract_parts(df.where("x <> 2"), "state", path, ["01", "02", "a b"])
+    assert sorted(map(tuple, again.collect())) == [("01", "skipped", 2), ("02", "written", 1), ("a b", "written", 1)]
+    none = sinks.extract_parts(df.where("false"), "state", str(tmp_path / "none"), ["01"])
+    assert list(map(tuple, none.collect())) == [("01", "empty", 0)]
 
 
 def test_report_formats(spark):
