@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_text, jaccard, language, packing, quality, token_counts, toxicity
+from . import bpe, chat, collocation, exact_dedup, html_text, jaccard, language, minhash, packing, quality, token_counts, toxicity, whitening
 from .common import crc_bucket, read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -74,6 +74,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), n_words=3, percent=85)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(read(spark, sf_dir, "documents", "text", "lang"), max_words=3, least=10, top=2000, part=50)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), components=4, scale=256)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -107,6 +119,39 @@ r as (select doc_id a, doc_id c from documents union select e.b, r.c from r join
 select w.doc_id, coalesce(n.n, 0) n_shingles, min(r.c) component_id from w left join n using (doc_id) join r on r.a = w.doc_id group by 1, 2"""
 
 
+OP11_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+        else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end) g from w),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id x, b.doc_id z, count(*) i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, z from p join n nx on nx.doc_id = x join n nz on nz.doc_id = z where 100 * i >= 85 * (nx.n + nz.n - i)),
+e as (select x a, z b from l union all select z, x from l),
+r as (select doc_id a, doc_id c from documents union select e.b, r.c from r join e on e.a = r.a)
+select w.doc_id, coalesce(n.n, 0) n_shingles, min(r.c) component_id, w.doc_id = min(r.c) kept from w left join n using (doc_id) join r on r.a = w.doc_id group by 1, 2"""
+
+OP12_SQL = r"""
+with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') w from p),
+g as (select lang, 1 k, unnest(w) phrase from w
+      union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w
+      union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from w),
+f as (select lang, k, phrase, count(*) a from g group by all),
+n as (select lang, sum(a)::bigint n from f where k = 1 group by 1),
+c as (select * from f where k > 1 and a >= 10),
+longer as (select lang, phrase, max(a) longest from (
+      select lang, a, split_part(phrase, ' ', 1) || ' ' || split_part(phrase, ' ', 2) phrase from c where k = 3
+      union all select lang, a, split_part(phrase, ' ', 2) || ' ' || split_part(phrase, ' ', 3) from c where k = 3) group by 1, 2),
+kept as (select c.* from c left join longer using (lang, phrase) where longest is null or 100 * longest < 50 * c.a),
+cuts as (select lang, phrase, a, 1 cut, split_part(phrase, ' ', 1) lp, substr(phrase, length(split_part(phrase, ' ', 1)) + 2) rp from kept
+      union all select lang, phrase, a, 2, split_part(phrase, ' ', 1) || ' ' || split_part(phrase, ' ', 2), split_part(phrase, ' ', 3) from kept where k = 3),
+scored as (select cuts.*, lf.a l, rf.a r, 1000000::hugeint * cuts.a * cuts.a // (lf.a::hugeint * rf.a) score from cuts
+      join f lf on lf.lang = cuts.lang and lf.phrase = lp join f rf on rf.lang = cuts.lang and rf.phrase = rp),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) "rank", phrase, a, l, r, n, score::bigint score
+from best join n using (lang) qualify "rank" <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Only what SQL can say: the others are compared with plain Python in tests/llm."""
-    return {"op6_exact_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_jaccard_join": OP8_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op11_minhash": OP11_SQL, "op12_collocations": OP12_SQL}
