@@ -1,4 +1,4 @@
-"""Estimators on small aggregates: hazards, generators, moments, least squares, bootstraps."""
+"""Estimators on small aggregates: hazards, generators, moments, least squares."""
 
 from __future__ import annotations
 
@@ -64,32 +64,3 @@ def residualise(df: DataFrame, y: str, xs: Sequence[str], out: str) -> tuple[Dat
         fit = fit + F.col(x) * float(coefficient)
     rows = df.where(F.col(y).isNotNull()).na.drop(subset=list(xs))
     return rows.withColumn(out, F.col(y) - fit + float(mean)), float(r2)
-
-
-def dense_index(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """(key, i): 0, 1, 2 ... over distinct keys by (hash bucket, key). Numbered within buckets, shifted by the buckets
-    before, so no task sees all keys."""
-    ids = df.select(key).distinct().withColumn("_b", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 4), 16, 10).cast("int") % buckets)
-    sizes = ids.groupBy("_b").agg(F.count("*").alias("_n"))
-    # a row a bucket
-    before = sizes.select("_b", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_b").orderBy(key))
-    return ids.withColumn("_own", own).join(F.broadcast(before), "_b").select(key, (F.col("_before") + F.col("_own") - 1).alias("i"))
-
-
-def draws(spark, n: int, replications: int) -> DataFrame:
-    """(b, i): for each replication n draws with replacement from 0 .. n-1, by hashes (so any engine draws the same)."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("_", "b", "j")), 1, 8), 16, 10).cast("bigint") % n
-    every = spark.range(n * replications).select((F.col("id") / n).cast("bigint").alias("b"), (F.col("id") % n).alias("j"))
-    return every.select("b", u.alias("i"))
-
-
-def cluster_bootstrap(stats: DataFrame, key: str, sums: Sequence[str], replications: int) -> DataFrame:
-    """Per replication the sums of people drawn with replacement. People are reduced to their sufficient statistics
-    first, and multiplicities are counted before the join, so it moves people, not panel rows."""
-    spark = stats.sparkSession
-    index = dense_index(stats, key)
-    n = stats.select(key).distinct().count()
-    times = draws(spark, n, replications).groupBy("b", "i").agg(F.count("*").alias("_times"))
-    joined = times.join(index, "i").join(stats, key)
-    return joined.groupBy("b").agg(*[F.sum(F.col(c) * F.col("_times")).alias(c) for c in sums])

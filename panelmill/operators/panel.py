@@ -6,7 +6,8 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..sources import readers
 
 
 def ordinal(year: str | Column, quarter: str | Column) -> Column:
@@ -103,18 +104,24 @@ def sample_ids(df: DataFrame, key: str, fraction: float, seed: int = 42) -> Data
     return ids.where(F.col("_bin") < edge).unionAll(last).select(key)
 
 
-def positions(df: DataFrame, keys: Sequence[Column], name: str = "pos", blocks: int = 64) -> DataFrame:
-    """All rows with their place (1, 2, 3 ...) in the order of ``keys``, nulls last. Rows are numbered within ranges of the
-    whole key, shifted by the ranges before, so no task sees all rows; the ranges' edges come from a few rows by hash."""
-    key = F.struct(*[x for i, k in enumerate(keys) for x in (k.isNull().alias(f"n{i}"), k.alias(f"k{i}"))])
-    rows = df.withColumn("_key", key)
-    some = rows.select("_key").orderBy(F.xxhash64("_key")).limit(16 * blocks)
-    # collected once: the edges must be the same for the counts and for the rows
-    edges = some.agg(F.sort_array(F.collect_list("_key")).alias("e")).first()["e"][16::16]
-    bounds = df.sparkSession.createDataFrame([(edges,)], T.StructType([T.StructField("_edges", T.ArrayType(rows.schema["_key"].dataType))]))
-    rows = rows.crossJoin(F.broadcast(bounds)).withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col("_key")))).drop("_edges")
-    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    # a row a block
-    before = sizes.select("_b", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_b").orderBy("_key"))
-    return rows.withColumn("_own", own).join(F.broadcast(before), "_b").withColumn(name, F.col("_before") + F.col("_own")).drop("_key", "_b", "_own", "_before")
+#: Rows of a range in ``positions``: the number of ranges grows with the data.
+RANGE_ROWS = 1_000_000
+
+
+def positions(df: DataFrame, keys: Sequence[Column], name: str = "pos", range_rows: int | None = None) -> DataFrame:
+    """All rows with their place (1, 2, 3 ...) in the order of ``keys``, nulls last.
+
+    Rows are dealt to ranges of the whole key, as many as the data need, and sorted within each; the written table has every
+    row's range and place in it, and the counts of the ranges before (one number a range) make these places of the whole.
+    Rows equal in all keys stand in one range, in any order.
+    """
+    ranges = max(1, -(-df.count() // (range_rows or RANGE_ROWS)))
+    order = [k.asc_nulls_last() for k in keys]
+    sorted_ = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # the partition's number above 33 bits of the row's own
+    placed = readers.saved(sorted_.withColumn("_at", F.monotonically_increasing_id()), "positions")
+    placed = placed.withColumns({"_range": F.shiftright("_at", 33), "_own": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    # a row a range
+    before = sizes.select("_range", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_n")).alias("_before"))
+    return placed.join(before, "_range").withColumn(name, F.col("_before") + F.col("_own") + 1).drop("_range", "_at", "_own", "_before")

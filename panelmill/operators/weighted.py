@@ -30,39 +30,68 @@ def mean_ci(df: DataFrame, x: str, w: str, *by: str, z: float = 1.96) -> DataFra
     return s.select(*by, "n", "mean", "sd", "n_eff", "se", (F.col("mean") - z * F.col("se")).alias("lo"), (F.col("mean") + z * F.col("se")).alias("hi"))
 
 
+#: Rows of a bracket that are sorted; a larger one is split into ``PARTS`` and looked at again.
+BRACKET_ROWS, PARTS = 1_000_000, 4096
+
+
 def _block(x: str) -> Column:
     """A block of values: a thousandth of their size wide, rising with the value, the same at any size of the data."""
     v = F.col(x).cast("double")
-    return F.when(F.isnan(v), F.lit(2**62)).otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v)) * 1024))
+    return F.when(F.isnan(v), F.lit(800_000)).otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v)) * 1024)).cast("long")
+
+
+def _few(df: DataFrame, most: int = 100_000) -> tuple[DataFrame, list | None]:
+    """A small result as a broadcast table and its rows, at most ``most``; where there are more, as it is (the join is a shuffle then)."""
+    rows = df.limit(most + 1).collect()
+    return (F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows) if len(rows) <= most else (df, None)
 
 
 def _collapsed(df: DataFrame, x: str, w: Column, by: Sequence[str], aims: Callable[[Column], list[Column]]) -> DataFrame:
     """Distinct values near the wanted places, with the weight up to and with them (_cum) and in all (_all).
 
-    Values are counted map-side, blocks of values are cumulated, and only blocks that hold one of ``aims`` (places in
-    the cumulated weight, given its total) are sorted: no task sees a whole group, with or without ``by``. _first and
-    _last are the least and the greatest weight of one row, _next and _next_first are of the value that follows.
+    Scans, and no value column is shuffled whole. The first sums the weights of blocks of values, map-side (some thousand blocks
+    a group, whatever its rows); cumulated, they bracket each of ``aims`` (places in the cumulated weight, given its
+    total). The next reads only rows within the brackets, through a broadcast of them, and counts and sorts their values; a
+    bracket of more than ``BRACKET_ROWS`` rows is first split into narrower blocks, by a scan of its own.
+    _first and _last are the least and the greatest weight of one row, _next and _next_first are of the value that follows.
     """
-    values = df.withColumn("_w1", w).groupBy(*by, x).agg(F.sum("_w1").alias("_w"), F.min("_w1").alias("_first"), F.max("_w1").alias("_last")).withColumn("_b", _block(x))
-    blocks = values.groupBy(*by, "_b").agg(F.sum("_w").alias("_sum"), F.min(x).alias("_least"), F.min_by("_first", x).alias("_least_first"))
-    # at most some thousand blocks a group, whatever its rows
+    weighed = df.select(*by, x, w.alias("_w1")).withColumn("_b0", _block(x))
+    met = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate([*by, "_b0"])])
     own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    rising = own.orderBy("_b")
-    blocks = blocks.withColumns(
-        {"_before": F.sum("_sum").over(rising.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum"), "_all": F.sum("_sum").over(own), "_then": F.lead("_least").over(rising), "_then_first": F.lead("_least_first").over(rising)}
-    )
-    end = F.col("_before") + F.col("_sum") + F.coalesce("_then_first", F.lit(0))
-    slack = F.col("_all") * 1e-9
-    wanted = [(F.col("_before") <= aim + slack) & (aim <= end + slack) for aim in aims(F.col("_all"))]
-    blocks = blocks.where(functools.reduce(Column.__or__, wanted))
-    keys = [*by, "_b"]
-    blocks = blocks.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_before", "_all", "_then", "_then_first")
-    rows = values.join(blocks, functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]))
-    order = Window.partitionBy(*keys).orderBy(x)
-    return rows.select(
-        *by, x, "_w", "_first", "_last", "_all", (F.col("_before") + F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("_cum"),
-        F.coalesce(F.lead(x).over(order), "_then").alias("_next"), F.coalesce(F.lead("_first").over(order), "_then_first").alias("_next_first"),
-    )
+    rows, level = weighed.withColumns({"_p": F.lit(0).cast("long"), "_b": F.col("_b0"), "_from": F.lit(0.0), "_end": F.lit(None).cast("double"), "_all": F.lit(None).cast("double")}), 0
+    while True:
+        blocks = rows.groupBy(*by, "_b0", "_p", "_b").agg(
+            F.sum("_w1").alias("_sum"), F.count("*").alias("_rows"), F.min(x).alias("_least"), F.max(x).alias("_greatest"),
+            F.first("_from").alias("_from"), F.first("_end").alias("_end"), F.first("_all").alias("_all"),
+        )
+        # places within what was one block before; of a block of which only the last value is here, the end is known
+        scope = own if level == 0 else Window.partitionBy(*by, "_b0", "_p")
+        run = F.sum("_sum").over(scope.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+        blocks = blocks.withColumns({"_before": F.coalesce(F.col("_end"), F.col("_from") + run) - F.col("_sum"), "_all": F.coalesce("_all", F.sum("_sum").over(own))})
+        end, slack = F.col("_before") + F.col("_sum"), F.col("_all") * 1e-9
+        blocks = blocks.withColumn("_whole", functools.reduce(Column.__or__, [(F.col("_before") <= aim + slack) & (aim <= end + slack) for aim in aims(F.col("_all"))]))
+        # beside a wanted block the values next to it are needed: places lie between values, too
+        near = own.orderBy("_b0", "_b")
+        blocks = blocks.withColumns({"_after": F.coalesce(F.lag("_whole").over(near), F.lit(False)), "_ahead": F.coalesce(F.lead("_whole").over(near), F.lit(False))})
+        all_of_it = F.col("_whole") | (F.col("_after") & F.col("_ahead"))
+        low, high = F.when(~all_of_it & F.col("_ahead"), F.col("_greatest")), F.when(~all_of_it & F.col("_after"), F.col("_least"))
+        # a block is found again by its bounds
+        kept = blocks.where("_whole or _after or _ahead").select(
+            *[F.col(k).alias(f"_key{i}") for i, k in enumerate([*by, "_b0"])], F.coalesce(low, "_least").alias("_low"), F.coalesce(high, "_greatest").alias("_high"),
+            F.col("_before").alias("_from"), F.when(low.isNotNull(), end).alias("_end"), "_all", "_b", F.when(all_of_it & (F.col("_least") < F.col("_greatest")), F.col("_rows")).otherwise(0).alias("_many"),
+        )
+        kept, known = _few(kept)
+        found = weighed.join(kept, met & F.col(x).between(F.col("_low"), F.col("_high")))
+        wide = kept.where(F.col("_many") > BRACKET_ROWS)
+        if level == 2 or (wide.isEmpty() if known is None else all(k["_many"] <= BRACKET_ROWS for k in known)):
+            break
+        part = F.floor((F.col(x).cast("double") - F.col("_low")) / (F.col("_high").cast("double") - F.col("_low")) * (PARTS - 1))
+        rows = found.withColumns({"_p": F.col("_b"), "_b": F.col("_b") * PARTS + F.when(F.col("_many") > BRACKET_ROWS, part).otherwise(0).cast("long")})
+        level += 1
+    values = found.groupBy(*by, "_b0", "_b", x).agg(F.sum("_w1").alias("_w"), F.min("_w1").alias("_first"), F.max("_w1").alias("_last"), *[F.first(c).alias(c) for c in ("_from", "_end", "_all")])
+    within, on = Window.partitionBy(*by, "_b0", "_b").orderBy(x), own.orderBy(x)
+    cum = F.coalesce(F.col("_end"), F.col("_from") + F.sum("_w").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    return values.select(*by, x, "_w", "_first", "_last", "_all", cum.alias("_cum"), F.lead(x).over(on).alias("_next"), F.lead("_first").over(on).alias("_next_first"))
 
 
 def quantile_linear(df: DataFrame, x: str, ps: Sequence[float], *by: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import numeric
-from ..operators import clean, estimate as es, profiles as pr, transitions as tr, weighted as wt
+from ..operators import clean, estimate as es, profiles as pr, resample as rs, transitions as tr, weighted as wt
 from .base import PANEL, STATES, panel, r, table
 from .panels import COUNTS, NEXT, pairs
 
@@ -152,71 +152,65 @@ def residualize(s: S, d: str) -> D:
     return done.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "adjusted")
 
 
-B = 20
-BOOT = f"""{NEXT}, stats as (select id, count(st1) filter (st = 'O') n_o, count(*) filter (st = 'O' and st1 = 'P') n_op from pairs group by 1),
-ix as (select id, row_number() over (order by ('0x'||substr(md5(id::varchar),1,4))::ubigint::bigint % 64, id) - 1 i from stats), k as (select count(*) n from ix),
-dr as (select b, ('0x'||substr(md5(b||'_'||j),1,8))::ubigint::bigint % (select n from k) i from (select unnest(range(0, {B})) b) cross join (select unnest(range(0, (select n from k))) j)),
-bs as (select b, sum(n_o)::bigint n_o, sum(n_op)::bigint n_op from dr join ix using (i) join stats using (id) group by 1)"""
+#: Replications of the cluster bootstrap and draws of the belief bootstrap.
+REPLICATIONS, DRAWS = 300, 2_000
 
 
-def _bootstrap(s: S, d: str, replications: int = B) -> D:
+def _chain(classes: str, replications: int) -> str:
+    """SQL that deals each replication's n down the classes (i, c, w: number, size, sizes from here on): rows (b, i, x), x times class i.
+
+    As ``operators.resample``: the least k whose binomial probability up to k reaches a hashed uniform.
+    """
+    return f"""cl as materialized ({classes}), size as (select sum(c)::bigint n, count(*) kk from cl),
+chain as (select b, -1::bigint i, n m, 0::bigint x from (select unnest(range(0, {replications})) b), size
+  union all
+  select b, i, (m - x)::bigint, x from (
+    select b, i, m, case when c = w then m when m = 0 then 0 else least(hi, lo + len(list_filter(range(1, len(ps) + 1), lambda z: list_sum(ps[1:z]) < u)))::bigint end x from (
+      select *, list_transform(range(lo, hi + 1), lambda k: exp(lgamma(m + 1.0) - lgamma(k + 1.0) - lgamma(m - k + 1.0) + k * ln(q) + (m - k) * ln(1 - q))) ps from (
+        select *, greatest(0, floor(m * q - reach))::bigint lo, least(m, ceil(m * q + reach))::bigint hi from (
+          select *, 12 * sqrt(m * q * (1 - q)) + 12 reach from (
+            select chain.b, cl.i, chain.m, cl.c, cl.w, case when cl.c = cl.w then 0.5 else cl.c / cl.w end q,
+                   (('0x' || substr(md5(chain.b || '_0_' || cl.i), 1, 13))::ubigint::double + 0.5) / 4503599627370496 u
+            from chain join cl on cl.i = chain.i + 1)))))"""
+
+
+CLASSES = "select row_number() over (order by n_o, n_op) - 1 i, n_o, n_op, count(*) c, sum(count(*)) over (order by n_o desc, n_op desc) w from stats group by n_o, n_op"
+BOOT = f"""{NEXT.replace("with ", "with recursive ", 1)}, stats as (select id, count(st1) filter (st = 'O') n_o, count(*) filter (st = 'O' and st1 = 'P') n_op from pairs group by 1),
+{_chain(CLASSES, REPLICATIONS)}),
+bs as (select b, sum(x * n_o)::bigint n_o, sum(x * n_op)::bigint n_op from chain join cl using (i) group by 1)"""
+
+
+def _bootstrap(s: S, d: str) -> D:
     out, to = F.when((F.col("st") == "O") & F.col("st1").isNotNull(), 1), F.when((F.col("st") == "O") & (F.col("st1") == "P"), 1)
     stats = pairs(s, d).groupBy("id").agg(F.count(out).alias("n_o"), F.count(to).alias("n_op"))
-    return es.cluster_bootstrap(stats, "id", ["n_o", "n_op"], replications)
+    return rs.cluster_bootstrap(stats, ["n_o", "n_op"], REPLICATIONS)
 
 
 @query(f"{BOOT} select b::bigint b, n_o, n_op, round(n_op / n_o, 6) rate from bs")
 def cluster_bootstrap(s: S, d: str) -> D:
+    """A flow's rate in 300 resamples of people."""
     return _bootstrap(s, d).select("b", "n_o", "n_op", r(F.col("n_op") / F.col("n_o")).alias("rate"))
 
 
 @query(f"{BOOT}, x as (select n_op / n_o v from bs) select round(quantile_cont(v, 0.025), 6) lo, round(quantile_cont(v, 0.5), 6) mid, round(quantile_cont(v, 0.975), 6) hi from x")
 def bootstrap_ci(s: S, d: str) -> D:
-    return _interval(_bootstrap(s, d))
-
-
-def _interval(replications: D) -> D:
-    q = replications.agg(pr.quantiles(F.col("n_op") / F.col("n_o"), 0.025, 0.5, 0.975).alias("q"))
+    q = _bootstrap(s, d).agg(pr.quantiles(F.col("n_op") / F.col("n_o"), 0.025, 0.5, 0.975).alias("q"))
     return q.select(*[r(F.col("q")[i]).alias(n) for i, n in enumerate(("lo", "mid", "hi"))])
 
 
-#: Replications and draws of the reference; the queries above hold fewer because their SQL crosses each with all ids.
-WHOLE_B, WHOLE_DRAWS = 300, 2_000
-
+VALUES = "select row_number() over (order by c_acctbal) - 1 i, c_acctbal v, count(*) c, sum(count(*)) over (order by c_acctbal desc) w from customer where c_nationkey = 3 group by c_acctbal"
+BELIEF = f"""with recursive {_chain(VALUES, DRAWS)}),
+e as (select b, v, x, sum(x) over (partition by b order by i) e from chain join cl using (i) where x > 0),
+places as (select (n - 1) * 0.05 a, (n - 1) * 0.5 h, (n - 1) * 0.95 z, n from size),
+q as (select b, n, floor(a) a0, floor(z) z0, min(case when e > floor(a) then v end) va, min(case when e > ceil(a) then v end) va1, min(case when e > floor(h) then v end) vh, min(case when e > ceil(h) then v end) vh1,
+             min(case when e > floor(z) then v end) vz, min(case when e > ceil(z) then v end) vz1, sum(v * greatest(0, least(e, floor(z) + 1) - greatest(e - x, floor(a) + 1))) s, a, h, z from e, places group by all),
+o as (select b, vh + (vh1 - vh) * (h - floor(h)) md, ((va + (va1 - va) * (a - a0)) * (a0 + 1) + s + (vz + (vz1 - vz) * (z - z0)) * (n - 1 - z0)) / n wm from (select b, any_value(n) n, any_value(a0) a0, any_value(z0) z0, any_value(a) a, any_value(h) h, any_value(z) z, min(va) va, min(va1) va1, min(vh) vh, min(vh1) vh1, min(vz) vz, min(vz1) vz1, sum(s) s from q group by b))"""
 
-@query()
-def cluster_bootstrap_whole(s: S, d: str) -> D:
-    return _bootstrap(s, d, WHOLE_B).select("b", "n_o", "n_op", r(F.col("n_op") / F.col("n_o")).alias("rate"))
 
-
-@query()
-def bootstrap_ci_whole(s: S, d: str) -> D:
-    return _interval(_bootstrap(s, d, WHOLE_B))
-
-
-BELIEF = """x as (select row_number() over (order by ('0x'||substr(md5(c_custkey::varchar),1,4))::ubigint::bigint % 64, c_custkey) - 1 i, c_acctbal v from customer where c_nationkey = 3), k as (select count(*) n from x),
-dr as (select b, ('0x'||substr(md5(b||'_'||j),1,8))::ubigint::bigint % (select n from k) i from (select unnest(range(0, 50)) b) cross join (select unnest(range(0, (select n from k))) j)),
-d as (select b, v from dr join x using (i)), q as (select b, quantile_cont(v, 0.05) lo, quantile_cont(v, 0.95) hi, median(v) md from d group by 1),
-e as (select b, md, avg(least(greatest(v, lo), hi)) wm from d join q using (b) group by 1, 2)"""
-
-
-@query(f"with {BELIEF} select round(quantile_cont(md, 0.05), 4) median_lo, round(quantile_cont(md, 0.95), 4) median_hi, round(quantile_cont(wm, 0.05), 4) mean_lo, round(quantile_cont(wm, 0.95), 4) mean_hi from e")
+@query(f"{BELIEF} select round(quantile_cont(md, 0.05), 4) median_lo, round(quantile_cont(md, 0.95), 4) median_hi, round(quantile_cont(wm, 0.05), 4) mean_lo, round(quantile_cont(wm, 0.95), 4) mean_hi from o")
 def belief_bootstrap(s: S, d: str) -> D:
-    """Median and winsorised mean of a small sample over 50 draws of it."""
-    return _beliefs(s, d, 50)
-
-
-@query()
-def belief_bootstrap_whole(s: S, d: str) -> D:
-    return _beliefs(s, d, WHOLE_DRAWS)
-
-
-def _beliefs(s: S, d: str, replications: int) -> D:
-    values = table(s, d, "customer").where("c_nationkey = 3").select("c_custkey", F.col("c_acctbal").alias("v"))
-    n = values.count()
-    drawn = es.draws(s, n, replications).join(es.dense_index(values, "c_custkey"), "i").join(values, "c_custkey")
-    q = drawn.groupBy("b").agg(pr.quantiles(F.col("v"), 0.05, 0.5, 0.95).alias("q"))
-    each = drawn.join(q, "b").groupBy("b", F.col("q")[1].alias("md")).agg(F.avg(clean.clip(F.col("v"), F.col("q")[0], F.col("q")[2])).alias("wm"))
-    out = each.agg(pr.quantiles(F.col("md"), 0.05, 0.95).alias("m"), pr.quantiles(F.col("wm"), 0.05, 0.95).alias("w"))
+    """Median and winsorised mean over 2,000 resamples of a small sample's values."""
+    values = table(s, d, "customer").where("c_nationkey = 3").select("c_acctbal")
+    each = rs.winsorised_bootstrap(values, "c_acctbal", DRAWS, 0.05, 0.95)
+    out = each.agg(pr.quantiles(F.col("median"), 0.05, 0.95).alias("m"), pr.quantiles(F.col("mean"), 0.05, 0.95).alias("w"))
     return out.select(*[r(F.col(c)[i], 4).alias(n) for c, i, n in (("m", 0, "median_lo"), ("m", 1, "median_hi"), ("w", 0, "mean_lo"), ("w", 1, "mean_hi"))])
-

@@ -360,12 +360,6 @@ def sorted_panel(s: S, d: str) -> D:
     return pan.positions(rows, [F.col("id"), F.col("o_orderdate"), F.col("o_orderkey")]).select("id", "o_orderdate", big(F.col("pos")).alias("pos"))
 
 
-@query("""select id, o_orderdate, row_number() over (order by id nulls last, o_orderdate, o_orderkey)::bigint pos from (select nullif(o_custkey, 5) id, o_orderdate, o_orderkey from orders)""")
-def sorted_panel_whole(s: S, d: str) -> D:
-    """The same under the name it had while ``sorted_panel`` was a report of 50 rows."""
-    return sorted_panel(s, d)
-
-
 @query("select p_type, count(*) n from part group by 1 order by n desc, p_type limit 3")
 def topk_categories(s: S, d: str) -> D:
     return table(s, d, "part").groupBy("p_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_type").limit(3)

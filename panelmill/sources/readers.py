@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,11 +17,22 @@ from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path that driver and executors share: below the checkpoint folder if one is set, else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """A path that driver and executors share: below ``spark.checkpoint.dir``. Where that is unset a local master takes a folder
+    below the warehouse; a cluster has none to guess, so that raises ``ValueError``."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{base.rstrip('/')}/{name}"
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage is cut, and no part of it runs or is dealt twice."""
+    path = scratch(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType, encoding: str = "UTF-8") -> DataFrame:
     """CSV with a header, by an explicit schema; a byte order mark is dropped by the reader's encoding."""
     return spark.read.option("header", True).option("encoding", encoding).option("enforceSchema", False).schema(schema).csv(paths)

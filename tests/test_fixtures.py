@@ -165,13 +165,6 @@ def test_winsorised_values_stay_within_bounds(spark):
     assert out.agg(F.min("x"), F.max("x")).first()[0] > 0 and out.agg(F.max("x")).first()[0] < 999
 
 
-def test_bootstrap_draws_everybody_once_a_head(spark):
-    stats = spark.range(50).select(F.col("id").alias("k"), F.lit(1).alias("one"))
-    index = estimate.dense_index(stats, "k")
-    assert sorted(r["i"] for r in index.collect()) == list(range(50))
-    assert [r["one"] for r in estimate.cluster_bootstrap(stats, "k", ["one"], 5).collect()] == [50] * 5
-
-
 def test_residuals_have_no_slope_left(spark):
     df = spark.range(200).select(F.col("id").cast("double").alias("x"), (3 * F.col("id") + F.sin("id")).alias("y"))
     out, r2 = estimate.residualise(df, "y", ["x"], "adj")
@@ -252,21 +245,7 @@ def test_text(spark):
         text.year_ranges("2019-2016")
 
 
-def test_whole_bootstraps_have_the_reference_replications(spark, sf, duck):
-    """The same draws in SQL with the replications of the reference, on the smallest tables."""
-    import oracle
-
-    from panelmill import catalog
-
-    sql = catalog.oracle_sql()
-    for name, part, whole in (("cluster_bootstrap", "range(0, 20)", "range(0, 300)"), ("bootstrap_ci", "range(0, 20)", "range(0, 300)"), ("belief_bootstrap", "range(0, 50)", "range(0, 2000)")):
-        assert part in sql[name]
-        assert oracle.difference(catalog.queries()[f"{name}_whole"](spark, sf), duck, sql[name].replace(part, whole)) == ""
-    assert catalog.queries()["cluster_bootstrap_whole"](spark, sf).count() == 300
-
-
 def test_positions_of_all_rows_with_a_third_in_one_person(spark):
-    from panelmill import catalog
     from panelmill.operators import panel as pan
 
     data = [(None if i % 7 == 0 else 3 if i % 3 == 0 else i % 50, i * 37 % 101, i) for i in range(3000)]
@@ -274,13 +253,20 @@ def test_positions_of_all_rows_with_a_third_in_one_person(spark):
     want = sorted(data, key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2]))
     assert [tuple(r)[:3] for r in sorted(out, key=lambda r: r.pos)] == want and sorted(r.pos for r in out) == list(range(1, 3001))
     assert pan.positions(spark.createDataFrame([], "id int, t int"), [F.col("id"), F.col("t")]).collect() == []
-    assert "sorted_panel_whole" in catalog.queries()
 
 
-def test_block_quantiles_equal_brute_force(spark):
-    """One group with most rows, ties, negative values, an unnamed group, missing values and weights; and no rows."""
-    import numpy as np
+def test_a_thousand_ranges_of_bounded_size(spark):
+    df = spark.range(40_000).select(F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("k"), "id")
+    out = panel.positions(df, [F.col("k"), F.col("id")], range_rows=40)
+    want = [r.id for r in df.orderBy("k", "id").collect()]
+    assert [r.id for r in out.orderBy("pos").collect()] == want and out.where("pos < 1 or pos > 40000").isEmpty()
+
 
+@pytest.mark.parametrize("bracket, parts", [(1_000_000, 4096), (3, 4)])
+def test_block_quantiles_equal_brute_force(spark, monkeypatch, bracket, parts):
+    """One group with most rows, ties, negative values, an unnamed group, missing values and weights; and no rows. Small brackets are split again."""
+    monkeypatch.setattr(weighted, "BRACKET_ROWS", bracket)
+    monkeypatch.setattr(weighted, "PARTS", parts)
     rng = np.random.default_rng(3)
     rows = [(["a", "a", "a", "b", None][rng.integers(5)], float(round(rng.normal() * 10 ** rng.integers(0, 4), int(rng.integers(0, 3)))), float(rng.integers(1, 9))) for _ in range(900)]
     rows += [("a", None, 1.0), ("b", 4.0, None), ("b", 5.0, 0.0), ("c", 7.0, 2.0)]
@@ -294,6 +280,23 @@ def test_block_quantiles_equal_brute_force(spark):
         pairs = np.array(sorted((v, w) for k, v, w in rows if k == g and v is not None and w))
         m = (pairs[:, 1].cumsum() - pairs[:, 1] / 2) / pairs[:, 1].sum()
         assert np.allclose(middle[g], np.interp(ps, m, pairs[:, 0]))
+    # reach and exceed by their definitions
+    for f, first in ((weighted.quantile_reach, lambda cum, aim: cum >= aim), (weighted.quantile_exceed, lambda cum, aim: cum > aim + 1e-6)):
+        found = {v[0]: v[1:] for v in f(df, "x", "w", (0.013, 0.25, 0.9), "g").collect()}
+        for g in ("a", "b", "c", None):
+            pairs = sorted((v, w) for k, v, w in rows if k == g and v is not None and w)
+            total = sum(w for _, w in pairs)
+            for p, value in zip((0.013, 0.25, 0.9), found[g]):
+                cum, at = 0.0, None
+                for v, w in pairs:
+                    cum += w
+                    if abs(cum - p * total) < 1e-9 and f is weighted.quantile_exceed:
+                        at = "tie"
+                        break
+                    if first(cum, p * total):
+                        at = v
+                        break
+                assert at == "tie" or at == value, (f.__name__, g, p)
     every = [v for _, v, _ in rows if v is not None]
     assert np.allclose(list(weighted.quantile_linear(df, "x", ps).first()), np.quantile(every, ps))
     assert weighted.quantile_linear(df.where("false"), "x", ps, "g").collect() == []
@@ -307,3 +310,12 @@ def test_sample_ids_by_hash_bins_is_the_first_share_of_all_ids(spark):
     for share in (0.0, 0.1, 1.0):
         assert {v.k for v in panel.sample_ids(df, "k", share).collect()} == set(want[: max(1, int(1777 * share + 0.5))])
     assert panel.sample_ids(df.where("false"), "k", 0.1).collect() == []
+
+
+def test_quantiles_of_lognormal_values_with_narrow_brackets(spark, monkeypatch):
+    monkeypatch.setattr(weighted, "BRACKET_ROWS", 20)
+    monkeypatch.setattr(weighted, "PARTS", 8)
+    values = np.random.default_rng(8).lognormal(8, 0.01, 20_000)
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    ps = (0.01, 0.5, 0.75, 0.99)
+    assert np.allclose(list(weighted.quantile_linear(df, "x", ps).first()), np.quantile(values, ps), rtol=1e-12)
