@@ -91,6 +91,13 @@ def test_bins_agree_as_often_as_the_sets_are_similar(sizes):
     assert abs(np.mean(agree) - sizes[0] / sizes[1]) < 0.02
 
 
+@pytest.mark.parametrize("percent", [30, 50, 80, 85, 95, 100])
+@pytest.mark.parametrize("level", [0, 1])
+def test_bands_miss_as_seldom_as_stated(percent, level):
+    r, bands = minhash.bands_of(percent, level)
+    assert (1 - (min(percent, 99) / 100) ** r) ** bands <= minhash.MISS and r * bands < 40_000
+
+
 def test_densified_bins_are_filled_and_empty_sets_stay_empty():
     values = minhash.signatures(np.array([0, 0, 2]), np.array([5, 9, 11], np.uint64), 3, 50, 3)
     assert (values[1] == minhash._EMPTY).all() and len(np.unique(values[0])) == 2 and len(np.unique(values[2])) == 1

@@ -46,7 +46,7 @@ def test_against_numpy_with_copies_and_bad_rows(spark):
     rng = np.random.default_rng(3)
     scale = np.array([5.0, 3, 2, 1.2, 0.4, 0.1])
     good = [[float(c) for c in v] for v in rng.normal(size=(300, 6)) * scale + 2]
-    bad = [None, [], [1.0, None, 2, 3, 4, 5], [float("nan")] * 6, [float("inf")] + [0.0] * 5, [1e30] * 6, [1.0, 2.0], [-0.0] * 6]
+    bad = [None, [], [1.0, None, 2.0, 3.0, 4.0, 5.0], [float("nan")] * 6, [float("inf")] + [0.0] * 5, [1e30] * 6, [1.0, 2.0], [-0.0] * 6]
     vectors = good + bad + [good[0]] * 500  # one vector holds most rows
     check(spark, vectors, kept={*range(300), len(good) + len(bad) - 1, *range(len(good) + len(bad), len(vectors))})
 
