@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import apart, drop, free_worker, hash_spans, lower_ascii, mix, small_batches, stash, utf8
 
 #: Words of a shard: the larger, the fewer rows for a phrase; a word takes about 100 bytes of a worker's memory.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 500_000
 #: The most bytes of the filter that is sent to the workers, and its bits and probes for a key.
 FILTER_BYTES, BITS, PROBES = 32 << 20, 16, 3
 #: Bytes between words of a piece, and bytes that end a piece.
