@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("relational", "panels", "descriptive", "survey", "registry", "texts", "estimation")
+_MODULES = ("relational", "panels", "descriptive", "survey", "registry", "texts", "estimation", "inputs")
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:

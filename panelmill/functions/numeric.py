@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import erfc, exp, log, pi, sqrt
 from statistics import NormalDist
+from typing import NamedTuple
 
 import numpy as np
 
@@ -129,21 +130,48 @@ def truncation_point(mean_above: float, mu: float, sigma: float) -> float | None
     return bisect(lambda t: mu + sigma * mills((t - mu) / sigma) - mean_above, mu - 10 * sigma, mu + 10 * sigma)
 
 
-def truncated_lognormal(mean_log: float, var_log: float, p: float) -> dict[str, float]:
-    """The log-normal whose upper share p has the given mean and variance of logs; raises ValueError where there is none."""
-    if not 0 < p < 1:
-        raise ValueError(f"share {p:.4f} is not between 0 and 1")
+class Offers(NamedTuple):
+    """Log-normal offers, of which those whose standardised log is above ``cut`` are taken."""
+
+    mu: float
+    sigma: float
+    cut: float
+
+    def reservation(self) -> float:
+        """The least offer that is taken."""
+        return exp(self.mu + self.cut * self.sigma)
+
+    def mean(self) -> float:
+        return exp(self.mu + self.sigma**2 / 2)
+
+    def taken_mean(self) -> float:
+        """Mean of the offers taken: weighting by the offer moves the normal up by sigma."""
+        return self.mean() * upper_tail(self.cut - self.sigma) / upper_tail(self.cut)
+
+
+def above(cut: float) -> tuple[float, float]:
+    """Mean and variance of a standard normal given that it is above ``cut``."""
+    mean = mills(cut)
+    return mean, 1.0 - mean * (mean - cut)
+
+
+def offers_from_taken(mean_log: float, var_log: float, share: float) -> Offers:
+    """The offers of which the upper ``share`` has this mean and variance of logs.
+
+    A normal above its cut is the standard one above its cut, stretched by sigma and shifted by mu, so the two moments
+    are matched one after the other. Raises ``ValueError``, saying what to change, where no such offers exist.
+    """
+    if share <= 0 or share >= 1:
+        raise ValueError(f"a share of {share:.4f} of offers cannot be taken: choose an offer rate above the flow and a positive one")
     if not var_log > 0:
-        raise ValueError("the variance of logs must be positive")
-    z = upper_quantile(p)
-    ratio = density(z) / p
-    factor = 1 + z * ratio - ratio * ratio
-    if factor <= 1e-10:
-        raise ValueError("the implied variance factor is not positive")
-    sigma = sqrt(var_log / factor)
-    mu = mean_log - sigma * ratio
-    offers = exp(mu + sigma * sigma / 2)
-    return {"sigma": sigma, "mu": mu, "reservation": exp(mu + sigma * z), "offer_mean": offers, "accepted_mean": offers * upper_tail(z - sigma) / p}
+        raise ValueError("accepted wages do not vary: pool more of them")
+    cut = upper_quantile(share)
+    unit_mean, unit_var = above(cut)
+    # far out the variance is a difference of nearly equal numbers
+    if unit_var < 1e-12 * unit_mean**2:
+        raise ValueError(f"a share of {share:.4g} leaves no measurable spread above the cut: choose a lower offer rate")
+    sigma = sqrt(var_log / unit_var)
+    return Offers(mean_log - unit_mean * sigma, sigma, cut)
 
 
 def grouped_exponential(counts: list[float], edges: list[float]) -> float:

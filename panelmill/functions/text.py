@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with accents and the letters they become.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _plain_letters() -> dict[str, str]:
+    """Letters of the Latin blocks that decompose into one plain letter and marks, and that letter."""
+    pairs = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and base.isascii() and all(map(unicodedata.combining, marks)):
+            pairs[chr(code)] = base
+    return pairs
+
+
+_PLAIN = _plain_letters()
 
 
 def normalise(text: Column) -> Column:
@@ -18,12 +29,16 @@ def normalise(text: Column) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    """Latin letters without their accents, and no combining marks."""
+    return F.regexp_replace(F.translate(text, "".join(_PLAIN), "".join(_PLAIN.values())), "[\\u0300-\\u036F]", "")
 
 
 def repair_mojibake(text: Column) -> Column:
-    """UTF-8 that was read as Latin-1, put right; characters beyond Latin-1 cannot be from such a slip and go."""
-    return F.decode(F.encode(F.regexp_replace(text, r"[^\x00-\xFF]", ""), "ISO-8859-1"), "UTF-8")
+    """UTF-8 that was read as Latin-1, put right. Only a text that can be such a slip is touched: all characters are Latin-1, some are
+    beyond ASCII, and as bytes they are UTF-8. Every other text stays as it is, character for character."""
+    # in Latin-1 a character is a byte, so only such texts reach the encoder
+    slip = F.when(text.rlike(r"^[\x00-\xFF]*$") & text.rlike(r"[\x80-\xFF]"), F.encode(text, "ISO-8859-1").cast("string"))
+    return F.coalesce(F.when(F.is_valid_utf8(slip), slip), text)
 
 
 def replace_all(text: Column, table: Mapping[str, str]) -> Column:

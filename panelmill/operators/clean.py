@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,12 +164,56 @@ def first_usable(df: DataFrame, candidates: Sequence[str]) -> str | None:
     return next((c for c in present if row[c]), None)
 
 
-def decode(df: DataFrame, dictionary: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Adds ``<column>_label`` from a small dictionary (nome_coluna, chave, valor), joined by broadcast."""
-    for column in columns:
-        own = dictionary.where(F.lower("nome_coluna") == column.lower()).select(F.trim("chave").alias("_k"), F.col("valor").alias(f"{column}_label"))
-        df = df.join(F.broadcast(own), F.col(column).cast("string") == F.col("_k"), "left").drop("_k")
-    return df
+#: Suffixes of lagged and led columns, which share the labels of the column they come from.
+LAGGED = ("_t1", "_t2", "_f1")
+#: Entries of a dictionary that are sent to every task as one map; a larger one is joined column by column.
+MOST_LABELS = 200_000
+
+
+def base_name(column: str) -> str:
+    return next((column[: -len(s)] for s in LAGGED if column.lower().endswith(s)), column).lower()
+
+
+def code(value: Column) -> Column:
+    """A code as text: numbers in one spelling (1, 1.0 and 01 are one code), other text trimmed."""
+    text = F.trim(value.cast("string"))
+    number = num(text)
+    return F.coalesce(number.cast("string"), text)
+
+
+def labels_of(df: DataFrame) -> DataFrame:
+    """(nome_coluna, chave, valor) harvested from columns that have a ``<column>_label`` beside them: one pass for all columns."""
+    names = {c.lower() for c in df.columns}
+    bases = [c[:-6] for c in df.columns if c.lower().endswith("_label") and c[:-6].lower() in names]
+    pairs = [F.struct(F.lit(b.lower()).alias("nome_coluna"), F.col(b).cast("string").alias("chave"), F.col(f"{b}_label").cast("string").alias("valor")) for b in bases]
+    found = df.select(F.explode(F.array(*pairs) if pairs else F.array().cast("array<struct<nome_coluna:string,chave:string,valor:string>>")).alias("p")).select("p.*")
+    return found.where("chave is not null and valor is not null").distinct()
+
+
+def decode(df: DataFrame, dictionary: DataFrame, columns: Iterable[str], suffix: str = "_label", fallback: bool = False) -> DataFrame:
+    """Adds ``<column><suffix>`` for all columns in one projection, from a dictionary (nome_coluna, chave, valor).
+
+    Lagged and led columns (``LAGGED``) take the labels of their base column. Where a code has several labels the first in order
+    counts; where it has none the result is null, or with ``fallback`` the code as it is. A dictionary of up to
+    ``MOST_LABELS`` entries becomes one map (base name -> code -> label) in a broadcast row; counted, not guessed.
+    """
+    columns = list(columns)
+    wanted = sorted({base_name(c) for c in columns})
+    entries = dictionary.select(F.lower("nome_coluna").alias("_base"), code(F.col("chave")).alias("_code"), F.col("valor").alias("_label")).where(F.col("_base").isin(wanted))
+    entries = entries.groupBy("_base", "_code").agg(F.min("_label").alias("_label")).where("_code is not null and _label is not null")
+    if entries.limit(MOST_LABELS + 1).count() <= MOST_LABELS:
+        by_base = entries.groupBy("_base").agg(F.map_from_entries(F.collect_list(F.struct("_code", "_label"))).alias("_map"))
+        maps = by_base.agg(F.map_from_entries(F.collect_list(F.struct("_base", "_map"))).alias("_labels"))
+        df = df.crossJoin(F.broadcast(maps))
+        found = {c: F.try_element_at(F.try_element_at("_labels", F.lit(base_name(c))), code(F.col(c))) for c in columns}
+    else:
+        found = {}
+        for i, c in enumerate(columns):
+            own = entries.where(F.col("_base") == base_name(c)).select(F.col("_code").alias(f"_code{i}"), F.col("_label").alias(f"_label{i}"))
+            df = df.join(own, code(F.col(c)) == F.col(f"_code{i}"), "left").drop(f"_code{i}")
+            found[c] = F.col(f"_label{i}")
+    shown = {f"{c}{suffix}": F.coalesce(v, F.col(c).cast("string")) if fallback else v for c, v in found.items()}
+    return df.withColumns(shown).drop("_labels", *[f"_label{i}" for i in range(len(columns))])
 
 
 def deflate(df: DataFrame, factor: str, prefixes: Sequence[str], suffix: str) -> DataFrame:
@@ -197,6 +241,17 @@ def many_to_one(df: DataFrame, dim: DataFrame, *keys: str, check: bool = True) -
     return df.join(dim, list(keys), "left")
 
 
+def matched(df: DataFrame, dim: DataFrame, *keys: str) -> tuple[DataFrame, Observation]:
+    """Rows of ``df`` with their row of ``dim`` (unique keys), and an observation: ``n`` rows seen and ``n_unmatched`` dropped.
+
+    The counts travel with the rows, in the scan that the next action makes anyway; ``get`` waits for that action.
+    """
+    seen = Observation()
+    joined = df.join(dim.withColumn("_met", F.lit(True)), list(keys), "left")
+    counted = joined.observe(seen, F.count("*").alias("n"), F.count(F.when(F.col("_met").isNull(), 1)).alias("n_unmatched"))
+    return counted.where("_met").drop("_met"), seen
+
+
 def gate(df: DataFrame, condition: Column, message: str) -> DataFrame:
     """Raises unless some row satisfies the condition."""
     if df.where(condition).isEmpty():

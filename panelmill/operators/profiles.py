@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,11 @@ def shares(df: DataFrame, column: str, *, nulls: bool = False, by: Sequence[str]
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))))
 
 
+def coverage(expected: DataFrame, there: DataFrame, key: str) -> DataFrame:
+    """Every expected key with its count ``n`` (0 where there is none) and whether it is ``missing``; keys beyond the expected ones are left out."""
+    return expected.join(there.select(key, "n"), key, "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.col("n").isNull().alias("missing"))
+
+
 def stacked_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Shares of several variables, one under another: one pass over unpivoted columns."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")) for c in columns])).alias("v")).select("v.*")
@@ -41,10 +47,88 @@ def histogram(df: DataFrame, x: str, low: float, high: float, bins: int) -> Data
     return n.withColumn("density", F.col("n") / (F.sum("n").over(Window.partitionBy(F.lit(0))) * step))
 
 
-def gaussian_density(df: DataFrame, x: str, w: str, points: Sequence[float], bandwidth: float) -> DataFrame:
-    """Weighted kernel density on a fixed grid: one aggregate with one sum a grid point, no join."""
-    total = F.sum(w)
-    norm = (2 * 3.141592653589793) ** 0.5 * bandwidth
-    sums = [F.sum(F.col(w) * F.exp(-0.5 * F.pow((F.lit(float(p)) - F.col(x)) / bandwidth, 2))) for p in points]
-    row = df.where(F.col(x).isNotNull() & F.col(w).isNotNull()).agg(F.array(*[F.struct(F.lit(float(p)).alias("x"), (s / (total * norm)).alias("density")) for p, s in zip(points, sums)]).alias("v"))
-    return row.select(F.inline("v"))
+#: Bins of a bandwidth, terms of the expansion within a bin, and bandwidths from a bin that its weight reaches. Together the
+#: density is off by less than 1e-10 of its largest possible value.
+BINS, TERMS, REACH = 4, 8, 9
+
+
+def spread(df: DataFrame, x: str, w: str) -> dict[str, float]:
+    """n, least and greatest value, effective n and weighted standard deviation (for weights that say reliability) of a column."""
+    rows = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")) & (F.col(w) > 0)).select(F.col(x).cast("double").alias("x"), F.col(w).cast("double").alias("w"))
+    one = rows.agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sw2"), F.sum(F.col("w") * F.col("x")).alias("swx")).first().asDict()
+    if not one["n"]:
+        return {"n": 0}
+    mean = one["swx"] / one["sw"]
+    square = rows.agg(F.sum(F.col("w") * (F.col("x") - mean) ** 2)).first()[0] / one["sw"]
+    part = one["sw2"] / one["sw"] ** 2
+    return {"n": one["n"], "low": one["low"], "high": one["high"], "sum_w": one["sw"], "n_eff": 1 / part, "sd": (square / (1 - part)) ** 0.5 if part < 1 else 0.0}
+
+
+def scott(found: dict[str, float]) -> float:
+    """Scott's bandwidth, by the effective number of rows."""
+    return found["sd"] * found["n_eff"] ** -0.2 if found["n"] else 0.0
+
+
+def gaussian_density(df: DataFrame, x: str, w: str, points: int = 512, bandwidth: float | None = None, least: int = 5) -> DataFrame:
+    """(x, density): weighted Gaussian density at points from the least to the greatest value; none for fewer than ``least`` rows or one value.
+
+    A fast Gauss transform: rows are reduced, map-side, to the first moments of narrow bins (a quarter of a bandwidth), and each bin
+    adds to the points within its reach by a Hermite expansion. Cost does not depend on rows x points, and nothing is
+    rounded to bin centres.
+    """
+    found = spread(df, x, w)
+    empty = df.sparkSession.createDataFrame([], "x double, density double")
+    h = bandwidth or scott(found)
+    if found["n"] < least or found["low"] == found["high"] or not h > 0:
+        return empty
+    low, step, width = found["low"], (found["high"] - found["low"]) / (points - 1), h / BINS
+    value, weight = F.col(x).cast("double"), F.col(w).cast("double")
+    bin_ = F.floor((value - low) / width)
+    rows = df.where(value.isNotNull() & ~F.isnan(value) & (weight > 0)).select(bin_.alias("_bin"), weight.alias("_w"), ((value - low - (bin_ + 0.5) * width) / h).alias("_t"))
+    bins = rows.groupBy("_bin").agg(*[F.sum(F.col("_w") * F.pow("_t", F.lit(k))).alias(f"_m{k}") for k in range(TERMS)])
+    centre = (F.col("_bin") + 0.5) * width
+    first = F.greatest(F.lit(0), F.ceil((centre - REACH * h) / step))
+    last = F.least(F.lit(points - 1), F.floor((centre + REACH * h) / step))
+    near = bins.where(first <= last).withColumn("_at", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    z = (F.col("_at") * step - centre) / h
+    near = near.withColumn("_z", z)
+    # the kernel at z - t is the kernel at z times the sum of Hermite polynomials of z over k!, times t to the k
+    polynomials, factorial, terms = [F.lit(1.0), F.col("_z")], 1.0, F.col("_m0")
+    for k in range(1, TERMS):
+        factorial *= k
+        terms = terms + polynomials[k] * F.col(f"_m{k}") / factorial
+        polynomials.append(F.col("_z") * polynomials[k] - k * polynomials[k - 1])
+    norm = found["sum_w"] * h * (2 * math.pi) ** 0.5
+    sums = near.groupBy("_at").agg((F.sum(F.exp(-0.5 * F.col("_z") * F.col("_z")) * terms) / norm).alias("density"))
+    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("_at"), (low + F.col("id") * step).alias("x"))
+    # far from all values an expansion may end in a tiny negative number
+    return grid.join(sums, "_at", "left").select("x", F.greatest(F.coalesce("density", F.lit(0.0)), F.lit(0.0)).alias("density"))
+
+
+def people(df: DataFrame, person: str, groups: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """(group, *by, n_rows, n_people): exact counts of rows and of distinct people over groups that may overlap, for every
+    level of ``by`` and over all of them (null), in one pass: pairs of person and level are made distinct, once, then marked."""
+    flags = {f"_g{i}": F.coalesce(c, F.lit(False)).cast("int") for i, c in enumerate(groups.values())}
+    each = df.withColumns(flags).groupBy(person, *by).agg(*[F.sum(f).alias(f) for f in flags])
+    sets = each.groupingSets([[F.col(person), *map(F.col, by)], [F.col(person)]] if by else [[F.col(person)]], person, *by).agg(*[F.sum(f).alias(f) for f in flags], F.grouping_id().alias("_level"))
+    cells = F.array(*[F.struct(F.lit(g).alias("group"), F.col(f).alias("n")) for g, f in zip(groups, flags)])
+    long = sets.select(person, *by, "_level", F.explode(F.filter(cells, lambda c: c.n > 0)).alias("c"))
+    out = long.groupBy("c.group", *by, "_level").agg(F.sum("c.n").alias("n_rows"), F.count(person).alias("n_people"))
+    return out.select("group", *by, "n_rows", "n_people")
+
+
+def sketch_error(lg_k: int) -> float:
+    """Standard error, relative, of a count from a sketch of 2^lg_k registers."""
+    return 1.04 / 2 ** (lg_k / 2)
+
+
+def people_sketches(df: DataFrame, person: str, by: Sequence[str], lg_k: int = 12) -> DataFrame:
+    """(*by, n_rows, sketch): a mergeable sketch of the people of each cell, a few kilobytes whatever their number."""
+    return df.groupBy(*by).agg(F.count("*").alias("n_rows"), F.hll_sketch_agg(person, lg_k).alias("sketch"))
+
+
+def people_from_sketches(cells: DataFrame, groups: dict[str, Column]) -> DataFrame:
+    """(group, n_rows, n_people): counts over groups of cells that may overlap, from the cells' sketches alone; a count is
+    within three times ``sketch_error`` of the truth in about 997 of 1,000 cases."""
+    tags = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(g)) for g, c in groups.items()]), lambda t: t.isNotNull())
+    return cells.withColumn("group", F.explode(tags)).groupBy("group").agg(F.sum("n_rows").alias("n_rows"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_people"))

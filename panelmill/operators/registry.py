@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .clean import is_true
@@ -15,6 +15,15 @@ def apply_filters(df: DataFrame, steps: Mapping[str, Column]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, map(is_true, steps.values())))
 
 
+def observed_filters(df: DataFrame, steps: Mapping[str, Column]) -> tuple[DataFrame, Observation]:
+    """The rows that pass all predicates, and an observation of how many were left after each: no scan beside the one for the rows."""
+    seen, so_far, counts = Observation(), F.lit(True), [F.count("*").alias("read")]
+    for name, condition in steps.items():
+        so_far = so_far & is_true(condition)
+        counts.append(F.count(F.when(so_far, 1)).alias(name))
+    return apply_filters(df.observe(seen, *counts), steps), seen
+
+
 def funnel(df: DataFrame, steps: Mapping[str, Column]) -> DataFrame:
     """(step, name, n): rows left after each predicate and all before it, in one pass."""
     so_far, sums = F.lit(True), [F.count("*").alias("n0")]

@@ -76,14 +76,19 @@ def tenure_bins(s: S, d: str) -> D:
     return _tenure(s, d)
 
 
-@query()
+@query(f"""{TENURE.replace("with ", "with recursive ", 1)}, n as (select st, count(*) filter (k < 1) n0, count(*) filter (k >= 1 and k < 4) n1, count(*) filter (k >= 4 and k < 8) n2, count(*) filter (k >= 8) n3, count(*) n from a group by 1),
+step as (select st, n0, n1, n2, n3, -30.0::double lo, 5.0::double hi, 0 i from n where n >= 40 union all
+  select st, n0, n1, n2, n3, case when slope > 0 then (lo + hi) / 2 else lo end, case when slope > 0 then hi else (lo + hi) / 2 end, i + 1 from (
+    select *, n0 * exp(-x) / (1 - exp(-x)) + n1 * (4 * exp(-4*x) - exp(-x)) / (exp(-x) - exp(-4*x)) + n2 * (8 * exp(-8*x) - 4 * exp(-4*x)) / (exp(-4*x) - exp(-8*x)) - 8.0 * n3 slope
+    from (select *, exp((lo + hi) / 2) x from step where i < 60)))
+select st, round(exp((lo + hi) / 2), 5) rate from step where i = 60""")
 def tenure_hazard(s: S, d: str) -> D:
     """Exponential rates from the tenure bins, for states of 40 and more."""
     found: dict[str, dict[str, int]] = {}
     for x in _tenure(s, d).collect():
         found.setdefault(x["st"], {})[x["band"]] = x["n"]
     rows = [(st, numeric.grouped_exponential([b.get(k, 0) for k in ("0", "1-3", "4-7", "8+")], [0, 1, 4, 8])) for st, b in sorted(found.items()) if sum(b.values()) >= 40]
-    return s.createDataFrame(rows, "st string, rate double")
+    return s.createDataFrame(rows, "st string, rate double").withColumn("rate", r(F.col("rate"), 5))
 
 
 GMM = f"""{NEXT} select round(avg((st1 = 'O')::int) filter (st = 'P' and st1 is not null), 6) delta_p, round(avg((st1 = 'O')::int) filter (st = 'F' and st1 is not null), 6) delta_f,
@@ -117,8 +122,8 @@ def gmm_grid(s: S, d: str) -> D:
     for alpha, rate in product((0.3, 0.5, 0.7), (0.8, 1.2, 2.0)):
         row: list = [alpha, rate]
         try:
-            both = [numeric.truncated_lognormal(m[f"mean_log_{k}"], m[f"var_log_{k}"], m[f"m_{k}"] / (rate * share)) for k, share in (("up", alpha), ("uf", 1 - alpha))]
-            row += ["ok", *(x[k] for x in both for k in ("mu", "sigma", "reservation", "offer_mean", "accepted_mean")), both[1]["reservation"] - both[0]["reservation"]]
+            both = [numeric.offers_from_taken(m[f"mean_log_{k}"], m[f"var_log_{k}"], m[f"m_{k}"] / (rate * share)) for k, share in (("up", alpha), ("uf", 1 - alpha))]
+            row += ["ok", *(v for x in both for v in (x.mu, x.sigma, x.reservation(), x.mean(), x.taken_mean())), both[1].reservation() - both[0].reservation()]
         except (ValueError, TypeError) as error:
             row += [str(error), *[None] * 11]
         rows.append(tuple(row))
@@ -144,12 +149,16 @@ def ols_slope(s: S, d: str) -> D:
     return table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("g")).agg(r(F.regr_slope(y, x), 4).alias("slope"), r(F.regr_intercept(y, x), 4).alias("intercept"), r(F.regr_r2(y, x)).alias("r2"), F.count("*").alias("n"))
 
 
-@query()
+@query("""with a as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, ln(l_extendedprice) z, l_quantity q, l_quantity * l_quantity q2, s_nationkey k from lineitem join supplier on l_suppkey = s_suppkey where l_extendedprice > 0),
+b as (select *, z - avg(z) over g dz, q - avg(q) over g d1, q2 - avg(q2) over g d2, avg(z) over () mean from a window g as (partition by k)),
+s as (select sum(d1*d1) a11, sum(d1*d2) a12, sum(d2*d2) a22, sum(d1*dz) b1, sum(d2*dz) b2 from b)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(dz - d1 * (b1*a22 - b2*a12) / (a11*a22 - a12*a12) - d2 * (b2*a11 - b1*a12) / (a11*a22 - a12*a12) + mean, 4) adjusted from b, s""")
 def residualize(s: S, d: str) -> D:
-    """Log price net of quantity, its square and flags (one dummy dropped)."""
-    rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", clean.positive_log(F.col("l_extendedprice")).alias("y"), F.col("l_quantity").alias("q"), (F.col("l_quantity") ** 2).alias("q2"), (F.col("l_returnflag") == "R").cast("double").alias("d_r"), (F.col("l_returnflag") == "A").cast("double").alias("d_a"))
-    done, _ = es.residualise(rows, "y", ["q", "q2", "d_r", "d_a"], "adjusted")
-    return done.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "adjusted")
+    """Log price net of quantity, its square and the supplier's nation, a factor whose levels the data name."""
+    rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", clean.positive_log(F.col("l_extendedprice")).alias("y"), F.col("l_quantity").alias("q"), (F.col("l_quantity") ** 2).alias("q2"))
+    rows = rows.join(table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation")), "l_suppkey")
+    done, _ = es.residualise(rows, "y", ["q", "q2"], "adjusted", ["nation"])
+    return done.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r(F.col("adjusted"), 4).alias("adjusted"))
 
 
 #: Replications of the cluster bootstrap and draws of the belief bootstrap.

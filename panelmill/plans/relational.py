@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -192,9 +192,10 @@ def decode_labels(s: S, d: str) -> D:
 select p_partkey, coalesce(label, (p_size % 6)::varchar) shown from part left join m on (p_size % 6)::varchar = code""")
 def decode_from_data(s: S, d: str) -> D:
     """Labels harvested from the data; the raw code where there is none. The map has a few rows, by its DISTINCT."""
-    found = table(s, d, "orders").where("o_orderpriority <> '5-LOW'").select(F.substring("o_orderpriority", 1, 1).alias("code"), F.expr("substr(o_orderpriority, 3)").alias("label")).distinct()
-    code = (F.col("p_size") % 6).cast("string")
-    return table(s, d, "part").select("p_partkey", code.alias("code")).join(found, "code", "left").select("p_partkey", F.coalesce("label", "code").alias("shown"))
+    priority = F.col("o_orderpriority")
+    found = clean.labels_of(table(s, d, "orders").where("o_orderpriority <> '5-LOW'").select(F.substring(priority, 1, 1).alias("code"), F.expr("substr(o_orderpriority, 3)").alias("code_label")))
+    rows = table(s, d, "part").select("p_partkey", (F.col("p_size") % 6).alias("code"))
+    return clean.decode(rows, found, ["code"], "_shown", fallback=True).select("p_partkey", F.col("code_shown").alias("shown"))
 
 
 @query("""select case when l_linestatus = 'F' then case when l_tax > 0.06 then 0 when coalesce(nullif(l_linenumber, 7) = 1, false) or (l_linenumber in (2,3) and l_quantity < 25) or (l_linenumber = 4 and l_returnflag = 'A') then 1 else 0 end end flag, count(*) n from lineitem group by 1""")
@@ -297,12 +298,14 @@ def roster_semi(s: S, d: str) -> D:
 @query("""with m as (select s_suppkey, s_nationkey from supplier where s_nationkey <> 7), j as (select l_suppkey, s_nationkey from lineitem left join m on l_suppkey = s_suppkey)
 select n_name, count(*) n, (select count(*) from j where s_nationkey is null)::bigint n_unmatched from j join nation on s_nationkey = n_nationkey group by 1""")
 def region_lookup_join(s: S, d: str) -> D:
-    """m:1 look-up; unmatched rows are dropped and counted in the same pass."""
+    """m:1 look-up; unmatched rows are dropped and counted in the same pass: they are the group without a place."""
     key = table(s, d, "supplier").where("s_nationkey <> 7").select("s_suppkey", "s_nationkey")
     j = table(s, d, "lineitem").select("l_suppkey").join(key, F.col("l_suppkey") == F.col("s_suppkey"), "left")
     by = j.groupBy("s_nationkey").agg(F.count("*").alias("n"))
-    missing = by.where("s_nationkey is null").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_unmatched"))
-    return by.join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).crossJoin(F.broadcast(missing)).select("n_name", "n", "n_unmatched")
+    # a row a nation
+    lost = F.coalesce(F.sum(F.when(F.col("s_nationkey").isNull(), F.col("n"))).over(Window.partitionBy(F.lit(0))), F.lit(0)).cast("bigint")
+    by = by.withColumn("n_unmatched", lost).where("s_nationkey is not null")
+    return by.join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", "n", "n_unmatched")
 
 
 @query("""select a::double alpha, l::double rate, round(a * l, 6) z from (values (0.5), (1.0), (2.0)) t(a) cross join (values (0.1), (0.2)) u(l)""")

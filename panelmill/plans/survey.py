@@ -116,8 +116,10 @@ def winsor_weighted(s: S, d: str) -> D:
     return wt.winsorise_weighted(_items(s, d), "x", "w", 0.01, 0.99, "y").select(*KEY, r(F.col("x"), 4).alias("x"))
 
 
-@query("""with g as (select unnest(range(0, 21)) k) select (k * 0.005)::double x, round(sum(l_quantity * exp(-0.5 * pow((k * 0.005 - l_discount) / 0.01, 2))) / (sum(l_quantity) * sqrt(2 * pi()) * 0.01), 6) density from lineitem, g group by 1""")
+@query("""with m as (select min(l_extendedprice) low, max(l_extendedprice) high, sum(l_quantity) sw, sum(l_quantity * l_quantity) sw2, sum(l_quantity * l_extendedprice) / sum(l_quantity) mean from lineitem),
+v as (select low, high, sw, sqrt(sum(l_quantity * pow(l_extendedprice - mean, 2)) / sw / (1 - sw2 / (sw * sw))) * pow(sw * sw / sw2, -0.2) h from lineitem, m group by low, high, sw, sw2),
+g as (select low + k * ((high - low) / 511) x, h, sw from v, (select unnest(range(0, 512)) k))
+select round(x, 4) x, round(sum(l_quantity * exp(-0.5 * pow((x - l_extendedprice) / h, 2))) / (sw * sqrt(2 * pi()) * h), 12) density from lineitem, g group by x, sw, h""")
 def kde_grid(s: S, d: str) -> D:
-    rows = _items(s, d)
-    return pr.gaussian_density(rows, "l_discount", "w", [k * 0.005 for k in range(21)], 0.01).select("x", r(F.col("density")).alias("density"))
-
+    """Weighted density of prices at 512 points, with a bandwidth from the data."""
+    return pr.gaussian_density(_items(s, d), "x", "w").select(r(F.col("x"), 4).alias("x"), r(F.col("density"), 12).alias("density"))

@@ -22,10 +22,10 @@ def strip_accents(s: S, d: str) -> D:
     return table(s, d, "documents").select("doc_id", F.md5(tx.strip_accents(F.col("text"))).alias("h"))
 
 
-@query("""select doc_id, md5(regexp_replace(text, '[^\\x00-\\xFF]', '', 'g')) h from documents""")
+@query("select doc_id, md5(text) h from documents")
 def mojibake_repair(s: S, d: str) -> D:
-    """Texts are first broken (UTF-8 bytes read as Latin-1) and then repaired."""
-    broken = F.decode(F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", ""), "UTF-8"), "ISO-8859-1")
+    """Two texts in three are broken first (UTF-8 bytes read as Latin-1); repaired, all are whole again, and the sound ones untouched."""
+    broken = F.when(F.col("doc_id") % 3 != 0, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text"))
     return table(s, d, "documents").select("doc_id", F.md5(tx.repair_mojibake(broken)).alias("h"))
 
 

@@ -34,19 +34,44 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType, encoding: str = "UTF-8") -> DataFrame:
-    """CSV with a header, by an explicit schema; a byte order mark is dropped by the reader's encoding."""
-    return spark.read.option("header", True).option("encoding", encoding).option("enforceSchema", False).schema(schema).csv(paths)
+    """CSV with a header, by an explicit schema; columns that a header lacks are null, others than the schema's are not read.
+
+    Columns go by name, whatever their order and case; a byte order mark before the first name is none of it.
+    """
+    raw = read_text_columns(spark, paths, encoding)
+    have = {c.lower(): c for c in raw.columns}
+    return raw.select(*[(F.col(f"`{have[f.name.lower()]}`").try_cast(f.dataType) if f.name.lower() in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
 
 
-def read_text_columns(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_text_columns(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8") -> DataFrame:
     """CSV with every column as text (dictionaries, raw extracts): types come from later coercion, never from inference."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(paths)
-    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+    df = spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding).csv(paths)
+    # a mark read as Latin-1 is three characters
+    return df.toDF(*[c.removeprefix("\ufeff").removeprefix("\u00ef\u00bb\u00bf") for c in df.columns])
+
+
+def header(spark: SparkSession, path: str, kind: str) -> list[str]:
+    """Column names of a CSV or Parquet input: the header or footer is read, no row."""
+    return read_text_columns(spark, path).columns if kind == "csv" else spark.read.format(kind).load(path).columns
+
+
+def read_warehouse(spark: SparkSession, url: str, table: str, key: str | None = None, partition_rows: int = 1_000_000, **options: str) -> DataFrame:
+    """A table of an SQL warehouse, by JDBC. Filters and columns of the query that follows travel to the warehouse, so a year's rows are
+    all that leaves it; with a numeric ``key`` it is read in ranges of the key, as many as the rows need, side by side."""
+    source = spark.read.format("jdbc").option("url", url).options(**options)
+    if key is None:
+        return source.option("dbtable", table).load()
+    quoted = '"' + key + '"'
+    low, high, n = source.option("dbtable", f"(select min({quoted}) low, max({quoted}) high, count(*) n from {table}) bounds").load().first()
+    if not n or low is None:
+        return source.option("dbtable", table).load()
+    parts = max(1, -(-n // partition_rows))
+    return source.option("dbtable", table).option("partitionColumn", key).option("lowerBound", int(low)).option("upperBound", int(high) + 1).option("numPartitions", parts).load()
 
 
 def year_of(column: str = "_metadata.file_name"):
     """The year in a file's name, as in ``survey_2019.parquet``."""
-    return F.regexp_extract(F.col(column), r"_(20\d{2})\.", 1).try_cast("int")
+    return F.regexp_extract(F.col(column), r"_((?:19|20)\d{2})\.", 1).try_cast("int")
 
 
 def listing(spark: SparkSession, path: str) -> list[tuple[str, int]]:
@@ -74,11 +99,11 @@ def discover(spark: SparkSession, folder: str, stem: str, years: Iterable[int],
     sizes: Counter[str] = Counter()
     for path, length in listing(spark, folder):
         # a table is a folder of files: its name is the part of the path that carries the year
-        if found := re.match(rf"(.*/({re.escape(stem)}[^/]*_(20\d{{2}})\.(\w+)))(?:/|$)", path):
+        if found := re.match(rf"(.*/({re.escape(stem)}[^/]*_((?:19|20)\d{{2}})\.(\w+)))(?:/|$)", path):
             sizes[found[1]] += length
     best: dict[int, str] = {}
     for path in sorted(p for p, n in sizes.items() if n):
-        year, kind = int(re.search(r"_(20\d{2})\.\w+$", path)[1]), path.rsplit(".", 1)[1]
+        year, kind = int(re.search(r"_((?:19|20)\d{2})\.\w+$", path)[1]), path.rsplit(".", 1)[1]
         if "_sample_" in path.rsplit("/", 1)[1] or kind not in kinds:
             continue
         if year not in best or kinds.index(kind) < kinds.index(best[year].rsplit(".", 1)[1]):

@@ -4,22 +4,102 @@ from __future__ import annotations
 
 import io
 import re
-from collections.abc import Mapping, Sequence
-from urllib.parse import unquote
+import uuid
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import quote, unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import listing
 
 
-def write_once(df: DataFrame, path: str, *partition_by: str, kind: str = "parquet") -> None:
-    """Never overwrites; Spark's commit protocol leaves no half-written table behind."""
-    writer = df.write.mode("errorifexists").option("compression", "zstd" if kind == "parquet" else "none")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.option("header", True).format(kind).save(path)
+class Half(RuntimeError):
+    """What was written is not what was read."""
+
+
+def _fs(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def commit(df: DataFrame, path: str, *partition_by: str, kind: str = "parquet", overwrite: bool = False, counts: Mapping[str, Column] | None = None) -> dict[str, int]:
+    """Writes a table so that it is there whole or not at all; returns ``n``, its rows, and the ``counts`` of rows that meet conditions.
+
+    Rows go to a staging folder beside ``path`` and are counted on their way; what can be read back must be as many. Then
+    the folder is renamed by the file system that holds it. An existing table is an error unless ``overwrite``, and is
+    replaced only after the new one is complete. Whatever breaks, the staging folder goes and the old table stays.
+    """
+    spark = df.sparkSession
+    fs, target = _fs(spark, path)
+    if fs.exists(target) and not overwrite:
+        raise FileExistsError(f"PATH_ALREADY_EXISTS: {path} is not overwritten")
+    tag = uuid.uuid4().hex
+    staging, aside = f"{path.rstrip('/')}.tmp-{tag}", f"{path.rstrip('/')}.old-{tag}"
+    as_path = lambda p: _fs(spark, p)[1]
+    seen = Observation()
+    sums = [F.count(F.when(c, 1)).alias(name) for name, c in (counts or {}).items()]
+    try:
+        writer = df.observe(seen, F.count("*").alias("n"), *sums).write.option("compression", "zstd" if kind == "parquet" else "none").option("header", True)
+        (writer.partitionBy(*partition_by) if partition_by else writer).format(kind).save(staging)
+        found = dict(seen.get)
+        back = spark.read.option("header", True).format(kind).schema(df.schema).load(staging).count()
+        if back != found["n"]:
+            raise Half(f"{found['n']} rows were written to {path}, {back} can be read")
+        fs.mkdirs(target.getParent())
+        if fs.exists(target):
+            if not fs.rename(target, as_path(aside)):
+                raise Half(f"{path} could not be moved aside")
+        if not fs.rename(as_path(staging), target):
+            fs.rename(as_path(aside), target)
+            raise Half(f"the staged table could not be renamed to {path}")
+        fs.delete(as_path(aside), True)
+    finally:
+        if fs.exists(as_path(staging)):
+            fs.delete(as_path(staging), True)
+    return found
+
+
+def write_once(df: DataFrame, path: str, *partition_by: str, kind: str = "parquet") -> int:
+    """Never overwrites and leaves no half-written table behind; returns the number of rows."""
+    return commit(df, path, *partition_by, kind=kind)["n"]
+
+
+def extract_each(spark: SparkSession, read: Callable[[str], DataFrame], parts: Sequence[str], path: str, *, workers: int = 4, retries: int = 0, kind: str = "parquet", must: Column | None = None) -> DataFrame:
+    """One job a part (a state, a year), ``workers`` at a time, each committed on its own to ``path/<part>``.
+
+    ``read`` gives a part's rows, as a warehouse query with that part's filter would. A part that is there is skipped, unread; one
+    that fails is tried again ``retries`` times and then reported, and the others go on. Run it again, and only what is missing is read.
+    Returns a report, a row a part: part, status (``written``, ``skipped``, ``failed``), n_rows, n_must (rows that meet the
+    condition ``must``, of which a sound extract has some) and error.
+    """
+
+    def one(part: str) -> tuple:
+        target = f"{path.rstrip('/')}/{quote(part, safe='')}"
+        try:
+            fs, where = _fs(spark, target)
+            if fs.exists(where):
+                return part, "skipped", None, None, None
+        except Exception as error:  # noqa: BLE001  a part's failure is its own
+            return part, "failed", None, None, _said(error)
+        for left in range(retries, -1, -1):
+            try:
+                found = commit(read(part), target, kind=kind, counts={"n_must": must} if must is not None else None)
+                return part, "written", found["n"], found.get("n_must"), None
+            except Exception as error:  # noqa: BLE001
+                if not left:
+                    return part, "failed", None, None, _said(error)
+        raise AssertionError
+
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        report = list(pool.map(one, map(str, parts)))
+    return spark.createDataFrame(report, "part string, status string, n_rows long, n_must long, error string")
+
+
+def _said(error: Exception) -> str:
+    return f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"[:300]
 
 
 def extract_parts(df: DataFrame, part: str, path: str, expected: Sequence) -> DataFrame:

@@ -103,13 +103,24 @@ def test_grouped_exponential():
     assert round(numeric.grouped_exponential([20, 300, 500, 4000], [0, 1 / 12, 1, 2]), 6) == pytest.approx(0.0920566, abs=1e-4)
 
 
-def test_truncated_lognormal():
-    a = numeric.truncated_lognormal(8.0, 0.25, 0.4)
-    assert [round(a[k], 4) for k in ("sigma", "mu", "reservation", "offer_mean", "accepted_mean")] == [0.8954, 7.1352, 1575.009, 1874.3974, 3465.6762]
-    b = numeric.truncated_lognormal(7.5, 0.2, 0.7)
-    assert round(b["accepted_mean"], 4) == 2022.7768
-    with pytest.raises(ValueError):
-        numeric.truncated_lognormal(8.0, 0.25, 1.2)
+def test_offers_from_taken_ones():
+    a = numeric.offers_from_taken(8.0, 0.25, 0.4)
+    assert [round(v, 4) for v in (a.sigma, a.mu, a.reservation(), a.mean(), a.taken_mean())] == [0.8954, 7.1352, 1575.009, 1874.3974, 3465.6762]
+    assert round(numeric.offers_from_taken(7.5, 0.2, 0.7).taken_mean(), 4) == 2022.7768
+    for mean, var, share, said in ((8.0, 0.25, 1.2, "offer rate"), (8.0, 0.0, 0.4, "pool more"), (8.0, 0.25, 0.0, "offer rate")):
+        with pytest.raises(ValueError, match=said):
+            numeric.offers_from_taken(mean, var, share)
+
+
+@pytest.mark.parametrize("share", [0.02, 0.3, 0.9, 0.999])
+def test_offers_have_the_moments_they_were_solved_for(share):
+    """Numerically: the logs of the upper share of the offers found have the mean and variance asked for."""
+    found = numeric.offers_from_taken(7.0, 0.09, share)
+    z = np.linspace(found.cut, found.cut + 40, 2_000_001)
+    weight = np.exp(-z * z / 2 + found.cut**2 / 2)
+    x = found.mu + found.sigma * z
+    mean = (x * weight).sum() / weight.sum()
+    assert mean == pytest.approx(7.0, abs=1e-4) and ((x - mean) ** 2 * weight).sum() / weight.sum() == pytest.approx(0.09, rel=1e-3)
 
 
 def test_truncation_point():
