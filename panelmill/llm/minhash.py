@@ -3,17 +3,16 @@
 **Signatures.** One hash deals a set's shingles to bins and another ranks them; a bin's value is its least rank. An empty bin takes
 the value of the first filled one in a hashed order of bins that depends on the bin alone (optimal densification), so the
 bins of two sets agree with a probability near their similarity, for small sets too. Bands of r bins give a set's buckets, by the
-least similarity (``bands_of``): at 0.85 the first level has 36 bands of 6, so two sets of similarity s share none with
-probability (1 - s^6)^36, 4e-8 at s = 0.85.
+least similarity (``bands_of``): at 0.85 there are 36 bands of 6, so two sets of similarity s share none with probability
+(1 - s^6)^36, 4e-8 at s = 0.85.
 
 **Stars.** Equal sets are one node beforehand. A bucket's sets are compared with its hub alone, the set whose buckets hold most others,
-so a bucket of any size gives one edge a set. Where the sets of a bucket are not yet all connected afterwards,
-up to ``SMALL_GROUP`` sets are compared with each other, and larger crowds go to the second level: at 0.85 157 bands of 14, which part sets that are
-merely similar and miss a link as seldom. What still is a crowd there is peeled: up to ``HUBS`` of the sets
-outside its largest connected part are hubs of a round, all others are compared with them, and they are taken out, until every bucket is connected or small. No bucket is capped.
+so a bucket of any size gives one edge a set, and a group of near copies costs about one comparison each. What is not connected after that is
+joined as in operator 8, which has the same problem once its signatures are there: pairs of small groups, and in crowds
+those that prefixes of the sets' differences from a hub, the rarest first, cannot rule out. This is exact; no bucket is capped.
 
 Each pair is checked by a lower bound of its distance (parity bits) and then by whole texts, so no link is false; one that
-shares no bucket is missed with the probabilities above, however many sets there are.
+shares no bucket is missed with the probability above, however many sets there are.
 
 Defined cases: a text of fewer words than n is one shingle, a null or wordless text is the empty set and links with nothing; repeated
 rows are equal sets; ids name texts (rows with one id must have one text); a text of any length is one set in one task's
@@ -23,7 +22,7 @@ memory; extra columns of any name are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, free_worker, mix, own_name, small_batches, stash, without
-from .jaccard import _among, _compare, _lists, _merged, _parity, _type, roots, shingle_sets
+from .jaccard import _among, _connect, _lists, _parity, _type, shingle_sets
 
-#: How often, about, two sets at the least similarity agree on a band, by level; and how often they may share no bucket.
-AGREE, MISS = (0.38, 0.103), 4e-8
+#: How often, about, two sets at the least similarity agree on a band; and how often they may share no bucket.
+AGREE, MISS = 0.38, 4e-8
 #: Bins tried for an empty one before it takes the next filled one.
 TRIES = 256
-#: In buckets of up to this many sets, those that are not connected are compared with each other: at most 16 for each row.
-SMALL_GROUP = 32
-#: Hubs of a crowd in one round of peeling.
-HUBS = 64
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -68,19 +63,19 @@ def signatures(rows: np.ndarray, found: np.ndarray, n: int, bins: int, seed: int
     return values
 
 
-def buckets(values: np.ndarray, r: int, level: int) -> np.ndarray:
+def buckets(values: np.ndarray, r: int) -> np.ndarray:
     """The key of each band (n x bands)."""
     bands = values.shape[1] // r
-    keys = np.broadcast_to(mix(np.arange(bands, dtype=np.uint64) + np.uint64(level << 20)), (len(values), bands))
+    keys = np.broadcast_to(mix(np.arange(bands, dtype=np.uint64)), (len(values), bands))
     for i in range(r):
         keys = mix(keys * np.uint64(0xC2B2AE3D27D4EB4F) + values[:, i::r])
     return keys
 
 
-def bands_of(percent: int, level: int) -> tuple[int, int]:
+def bands_of(percent: int) -> tuple[int, int]:
     """Bins of a band (r) and number of bands: at a similarity of s, (1 - s^r)^bands is at most ``MISS``."""
     s = min(percent, 99) / 100
-    r = max(1, round(math.log(AGREE[level]) / math.log(s)))
+    r = max(1, round(math.log(AGREE) / math.log(s)))
     return r, math.ceil(math.log(MISS) / math.log1p(-(s**r)))
 
 
@@ -89,13 +84,13 @@ def least_size(percent: int) -> int:
     return -(-100 // (100 - percent)) - 1 if percent < 100 else 1 << 62
 
 
-def _keys(rows: np.ndarray, found: np.ndarray, sizes: np.ndarray, percent: int, level: int) -> pa.ListArray:
-    r, bands = bands_of(percent, level)
+def _keys(rows: np.ndarray, found: np.ndarray, sizes: np.ndarray, percent: int) -> pa.ListArray:
+    r, bands = bands_of(percent)
     use = sizes >= least_size(percent)
     place = np.cumsum(use) - 1
     mine = use[rows]
-    values = signatures(place[rows[mine]], found[mine], int(use.sum()), r * bands, 0x1F83D9ABFB41BD6B + level)
-    return _lists(buckets(values, r, level).reshape(-1), np.where(use, bands, 0))
+    values = signatures(place[rows[mine]], found[mine], int(use.sum()), r * bands, 0x1F83D9ABFB41BD6B)
+    return _lists(buckets(values, r).reshape(-1), np.where(use, bands, 0))
 
 
 def _batches(batches: Iterable[pa.RecordBatch], n_words: int):
@@ -106,7 +101,7 @@ def _batches(batches: Iterable[pa.RecordBatch], n_words: int):
 
 
 def _describe(df: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """id, n_shingles, two hashes of the set, and its buckets of the first level."""
+    """id, n_shingles, two hashes of the set, and its buckets."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows, found, sizes in _batches(batches, n_words):
@@ -115,21 +110,11 @@ def _describe(df: DataFrame, n_words: int, percent: int) -> DataFrame:
                 total = np.zeros(len(sizes), np.uint64)
                 np.add.at(total, rows, mix(found ^ np.uint64(salt)))
                 columns.append(pa.array(total.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*columns, _keys(rows, found, sizes, percent, 0)], ["_id", "n_shingles", "_k1", "_k2", "_sigs"])
+            yield pa.RecordBatch.from_arrays([*columns, _keys(rows, found, sizes, percent)], ["_id", "n_shingles", "_k1", "_k2", "_sigs"])
 
     return df.mapInArrow(run, f"_id {_type(df)}, n_shingles long, _k1 long, _k2 long, _sigs array<long>")
 
 
-def _finer(df: DataFrame, n_words: int, percent: int, level: int) -> DataFrame:
-    """(_id, _sigs): buckets of a finer level."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows, found, sizes in _batches(batches, n_words):
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), _keys(rows, found, sizes, percent, level)], ["_id", "_sigs"])
-
-    return df.mapInArrow(run, f"_id {_type(df)}, _sigs array<long>")
-
-
 def _profiles(df: DataFrame, n_words: int) -> DataFrame:
     """id, text, size and parity bits of the set."""
 
@@ -152,92 +137,6 @@ def _bucket_rows(sets: DataFrame) -> DataFrame:
     return out
 
 
-def _with_label(df: DataFrame, labels: DataFrame, side: str, name: str) -> DataFrame:
-    return df.join(labels.select(F.col("_id").alias(side), F.col("_c").alias(name)), side)
-
-
-def _stars(labels: DataFrame, met: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``labels``, of which none is joined yet, after comparing sets with hubs (_id, _hub, _sigs) that outrank them: first the
-    hub that a set shares most buckets with, then the others as far as they are not connected."""
-    pair = (F.least("_id", "_hub").alias("_a"), F.greatest("_id", "_hub").alias("_b"))
-    apart = lambda df: _with_label(_with_label(df, labels, "_id", "_ci"), labels, "_hub", "_ch").where("_ci != _ch")
-    best = met.groupBy("_id").agg(F.max(F.struct("_sigs", "_hub")).getField("_hub").alias("_hub"))
-    best = stash(apart(best).select("_id", "_hub", *pair), "best")
-    linked = compare(best.select("_a", "_b").distinct())
-    up = best.join(linked, ["_a", "_b"]).select("_id", F.col("_hub").alias("_parent"))
-    labels = roots(labels.join(up, "_id", "left").select("_id", F.coalesce("_parent", "_id").alias("_parent")))
-    rest = apart(met).join(best.select("_id", "_hub"), ["_id", "_hub"], "left_anti")
-    labels = _merged(labels, compare(rest.select(*pair).distinct()))
-    drop(best)
-    return labels
-
-
-def _small_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of sets with different labels within small groups, from (_sig, _id, _c)."""
-    lists = rows.groupBy("_sig").agg(F.sort_array(F.collect_list(F.struct("_id", "_c"))).alias("_all")).select("_all").distinct()
-    each = lists.select("_all", F.posexplode("_all").alias("_at", "_one"))
-    later = F.filter(F.slice("_all", F.col("_at") + 2, F.size("_all")), lambda x: x._c != F.col("_one._c"))
-    return each.select(F.col("_one._id").alias("_a"), F.explode(F.transform(later, lambda x: x._id)).alias("_b")).distinct()
-
-
-def _hub_stars(labels: DataFrame, rows: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """``labels`` after comparing the sets of each bucket with its hub; and (_sig, _id) of the buckets without their hubs."""
-    first = F.max(F.struct("_w", (-F.hash("_id")).alias("_o"), "_id"))
-    hubs = stash(rows.groupBy("_sig").agg(first.getField("_id").alias("_hub")), "hubs")
-    met = stash(rows.join(hubs, "_sig").where("_id != _hub").groupBy("_id", "_hub").agg(F.count("*").alias("_sigs")), "met")
-    labels = _stars(labels, met, compare)
-    left = rows.join(hubs, "_sig").where("_id != _hub").select("_sig", "_id")
-    drop(met)
-    return labels, left
-
-
-def _open(labels: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(_sig, _id, _c) of buckets whose sets are not all connected, as they are left in ``rows`` (_sig, _id): small ones, and crowds.
-
-    Buckets of the same sets are one. In crowds _loose marks the sets outside the label with most of them.
-    """
-    left = _with_label(rows, labels, "_id", "_c")
-    facts = left.groupBy("_sig").agg(F.count("*").alias("_n"), F.min("_c").alias("_c1"), F.max("_c").alias("_c2"), F.sum(F.xxhash64("_id").cast("decimal(38,0)")).alias("_h")).where("_c1 != _c2")
-    facts = facts.groupBy("_n", "_h").agg(F.min("_sig").alias("_sig"))
-    found = stash(left.join(facts.select("_sig", "_n"), "_sig"), "open")
-    crowds = found.where(F.col("_n") > SMALL_GROUP)
-    most = crowds.groupBy("_sig", "_c").count().groupBy("_sig").agg(F.max(F.struct("count", "_c")).getField("_c").alias("_most"))
-    return found.where(F.col("_n") <= SMALL_GROUP), crowds.join(most, "_sig").select("_sig", "_id", "_c", (F.col("_c") != F.col("_most")).alias("_loose"))
-
-
-def _peeled(crowds: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each crowd's sets with up to ``HUBS`` of its loose sets; and (_sig, _id) without these. A pair within the largest label needs no
-    comparison, so a crowd is done when no set is loose."""
-    lot = F.xxhash64("_id", F.lit(turn))
-    hubs = crowds.where("_loose").groupBy("_sig", F.pmod(lot, F.lit(HUBS))).agg(F.max(F.struct(lot, "_id", "_c")).alias("_h")).select("_sig", F.col("_h._id").alias("_hub"), F.col("_h._c").alias("_ch"))
-    hubs = stash(hubs, "hubs")
-    pairs = crowds.join(hubs, "_sig").where("_c != _ch").select(F.least("_id", "_hub").alias("_a"), F.greatest("_id", "_hub").alias("_b")).distinct()
-    return pairs, crowds.join(hubs.select("_sig", F.col("_hub").alias("_id")), ["_sig", "_id"], "left_anti").select("_sig", "_id")
-
-
-def _connect(texts: DataFrame, profiles: DataFrame, rows: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """(_id, _c): sets with one _c are those that links connect. ``rows``: buckets of the first level."""
-    compare = lambda pairs: _compare(pairs, profiles, n_words, percent)
-    labels = stash(profiles.select("_id", F.col("_id").alias("_c")), "labels")
-    labels, left = _hub_stars(labels, rows, compare)
-    small, crowds = _open(labels, left)
-    drop(rows)
-    labels = _merged(labels, compare(_small_pairs(small)))
-    ids = stash(crowds.select("_id").distinct(), "crowd")
-    if ids.isEmpty():
-        return labels
-    left = _bucket_rows(_finer(_among(texts, ids), n_words, percent, 1)).select("_sig", "_id")
-    turn = 0
-    while True:
-        small, crowds = _open(labels, left)
-        some = not crowds.isEmpty()
-        pairs, left = _peeled(crowds, turn) if some else (small.select(F.col("_id").alias("_a"), F.col("_id").alias("_b")).limit(0), left)
-        labels = _merged(labels, compare(pairs.unionByName(_small_pairs(small)).distinct()))
-        if not some:
-            return labels
-        left, turn = stash(left, "peeled"), turn + 1
-
-
 def near_duplicates(df: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: id, n_shingles, component_id (the smallest id that links lead to), kept (that is its own)."""
     own_name(id_col, "n_shingles", "component_id", "kept")
@@ -251,8 +150,9 @@ def near_duplicates(df: DataFrame, n_words: int = 5, percent: int = 80, id_col:
     repeated = described.select("_id").distinct().count() < described.count()
     wanted = _among(texts, ids)
     profiles = stash(_profiles(wanted.dropDuplicates(["_id"]) if repeated else wanted, n_words), "profiles")
-    labels = _connect(profiles.select("_id", "text"), profiles, rows, n_words, percent)
-    drop(profiles), drop(ids)
+    labels = _connect(rows, profiles, n_words, percent)
+    for done in (rows, profiles, ids):
+        drop(done)
     least = labels.groupBy("_c").agg(F.min("_id").alias("_least"))
     found = labels.join(least, "_c").select(F.col("_id").alias("_node"), "_least")
     whole = described.select("_id", *keys).join(nodes.drop("_sigs"), keys, "left").join(found, "_node", "left")

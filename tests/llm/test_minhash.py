@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from panelmill.llm import minhash, queries
+from panelmill.llm import jaccard, minhash, queries
 from panelmill.llm.common import stash
 
 from .conftest import ODD, rows
@@ -42,25 +42,24 @@ def test_components_equal_all_pairs(make, n, percent):
     assert got(make(texts), n, percent) == want(texts, n, percent)
 
 
-def test_crowds_go_to_finer_bands_and_are_peeled(make, monkeypatch):
+def test_crowds_whose_centre_is_not_among_them(make, monkeypatch):
     rng = random.Random(5)
     texts = [x for edits in (2, 3, 4) for x in family(rng, 60, 60, edits)]
-    monkeypatch.setattr(minhash, "SMALL_GROUP", 4)
-    monkeypatch.setattr(minhash, "HUBS", 3)
+    monkeypatch.setattr(jaccard, "SMALL_GROUP", 4)
     assert got(make(texts), 3, 85) == want(texts, 3, 85)
 
 
 def test_star_edges_are_linear(make, monkeypatch):
     """A group of near copies costs about one comparison a text, not one a pair."""
     compared = []
-    real = minhash._compare
+    real = jaccard._compare
 
     def counting(pairs, *more):
         pairs = stash(pairs, "pairs")
         compared.append(pairs.count())
         return real(pairs, *more)
 
-    monkeypatch.setattr(minhash, "_compare", counting)
+    monkeypatch.setattr(jaccard, "_compare", counting)
     rng = random.Random(6)
     base = [f"b{i}" for i in range(300)]
     texts = [" ".join(base)] + [" ".join(f"e{rng.randrange(10**6)}" if i == k else w for i, w in enumerate(base)) for k in range(150)]
@@ -92,9 +91,8 @@ def test_bins_agree_as_often_as_the_sets_are_similar(sizes):
 
 
 @pytest.mark.parametrize("percent", [30, 50, 80, 85, 95, 100])
-@pytest.mark.parametrize("level", [0, 1])
-def test_bands_miss_as_seldom_as_stated(percent, level):
-    r, bands = minhash.bands_of(percent, level)
+def test_bands_miss_as_seldom_as_stated(percent):
+    r, bands = minhash.bands_of(percent)
     assert (1 - (min(percent, 99) / 100) ** r) ** bands <= minhash.MISS and r * bands < 40_000
 
 
