@@ -34,6 +34,8 @@ from .common import apart, drop, free_worker, hash_spans, lower_ascii, mix, smal
 SHARD_WORDS = 500_000
 #: The most bytes of the filter that is sent to the workers, and its bits and probes for a key.
 FILTER_BYTES, BITS, PROBES = 32 << 20, 16, 3
+#: Parts of a language of which the first ``top`` phrases are found apart.
+SALTS = 512
 #: Bytes between words of a piece, and bytes that end a piece.
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[0x20, 0x09]] = 1
@@ -252,6 +254,9 @@ def collocations(df: DataFrame, max_words: int = 3, least: int = 10, top: int =
     product = F.lit(1_000_000).cast("decimal(7,0)") * _exact("a") * _exact("a")
     scored = cuts.withColumns({"_product": product, "_parts": _exact("l") * _exact("r")}).withColumn("score", F.expr("_product div _parts"))
     best = scored.groupBy("lang", "phrase").agg(F.min_by(F.struct("a", "l", "r", "score"), F.struct("score", "_cut")).alias("_b")).select("lang", "phrase", "_b.*")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    # the first of each of SALTS parts of a language, then of these: no task orders all of its phrases
+    place = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(*order))
+    some = best.withColumn("rank", place(F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))).where(F.col("rank") <= top)
+    ranked = some.withColumn("rank", place()).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
