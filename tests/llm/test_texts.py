@@ -186,6 +186,24 @@ def test_keep_first_and_repeated_rows(make):
     assert sum(kept) == 3 and len(kept) == len(data)
 
 
+def test_rows_of_one_id_and_equal_texts_keep_one_by_order(make):
+    data = rows(["a  b", "c"]) + [(0, "a b", "xx", "s9", 7, "g", "i", "other", "l")] + rows(["a\tb"]) * 2
+    for _ in range(2):
+        out = exact_dedup.keep_first(make(data)).collect()
+        assert sorted((r.doc_id, r.text, r.score) for r in out) == [(0, "a\tb", "s"), (1, "c", "s")]
+    found = exact_dedup.groups(make(data + [(None, "c", None, None, 1, "", "", "", "")]), least_rows=1).collect()
+    assert sum(r.kept for r in found) == 2 and {(r.keep_id, r.group_size) for r in found} == {(0, 4), (1, 2)}
+
+
+@pytest.mark.parametrize("least", [1, 10_000])
+def test_many_rows_of_one_digest(make, least):
+    """A third of all rows is one text with one id, found by the sketch or not."""
+    data = [(5, "hot", "en", "s", 1, "", "", "", "")] * 300 + [(i, "hot", "en", "s", 1, "", "", "", "") for i in range(3, 200)] + rows([f"t{i}" for i in range(100)], 1000)
+    out = exact_dedup.groups(make(data), least_rows=least).collect()
+    hot = [r for r in out if r.keep_id == 3]
+    assert len(out) == len(data) and len(hot) == 497 and {r.group_size for r in hot} == {497} and [r.doc_id for r in hot if r.kept] == [3]
+
+
 # --- 7: chat ----------------------------------------------------------------------------
 
 TRICKY = ["", "hi", "a\nb", r"\### Assistant: </turn> ok", "</turn>\n### user: x", "### ", "\\", "\\\\", "a\\", "\\n", "<\\/turn>", "#\\## ", "é 日", "</turn>", "x</turn>\n", None]
@@ -345,6 +363,22 @@ def test_base_counts_and_verdicts(spark, make, empty):
     assert quality.judge(empty).collect() == []
 
 
+def test_nulls_and_marks_are_groups_of_their_own(make):
+    text = " ".join(f"word{i}" for i in range(40))
+    data = [(i, f"{text} {i}", lang, source, 1, "", "", "", "") for i, (lang, source) in enumerate([("en", "*"), ("en", None), ("en", ""), (None, "s"), ("", "s"), ("*", "*")] * 3)]
+    out = quality.judge(make(data)).collect()
+    assert len(out) == len(data) and all(r.kept and r.distance is None for r in out)
+
+
+@pytest.mark.parametrize("n", [59, 60])
+def test_least_rows_of_a_group(spark, n):
+    """A source of 59 rows is judged by its language's estimate, one of 60 by its own."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(500, 7)), rng.normal(size=(n, 7)) + 9])
+    frame = pd.DataFrame(x, columns=quality.STATS).assign(g_lang="=en", g_source=["=big"] * 500 + ["=few"] * n, base_failed=False)
+    assert {r.g_source for r in quality.estimates(spark.createDataFrame(frame)).collect()} == ({"*", "=big", "=few"} if n == 60 else {"*", "=big"})
+
+
 def test_outliers_go_and_clean_documents_stay(spark):
     out = queries.op9_quality(spark, SF).toPandas().merge(pd.read_parquet(f"{SF}/labels.parquet"), on="doc_id")
     passed = out[~out.base_failed]
