@@ -59,11 +59,11 @@ MOST_BYTES = 32 << 20
 ROW_BYTES = 64
 
 
-def small(ids: DataFrame) -> DataFrame:
-    """A written table of narrow rows, marked for broadcast if it has at most ``MOST_BYTES``: counted, not guessed."""
+def small(ids: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """A written table of rows of about ``row_bytes``, marked for broadcast if it has at most ``MOST_BYTES``: counted, not guessed."""
     strings = [F.sum(F.octet_length(f.name)) for f in ids.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
     rows, *more = ids.agg(F.count("*"), *strings).first()
-    return F.broadcast(ids) if rows * ROW_BYTES + sum(x or 0 for x in more) <= MOST_BYTES else ids
+    return F.broadcast(ids) if rows * row_bytes + sum(x or 0 for x in more) <= MOST_BYTES else ids
 
 
 def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import apart, free_worker, hash_spans, mix, small_batches, stash, utf8, windows, word_spans
+from .common import apart, free_worker, hash_spans, mix, small, small_batches, stash, utf8, windows, word_spans
 
 WINDOW = 8
 #: A group has settled when a step lowers the log determinant of its scatter by no more than this; it is bounded below, so all do.
@@ -206,6 +206,23 @@ def _moments(rows: DataFrame, weight: Column) -> DataFrame:
     )
 
 
+def _nearer_half(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Moments of the nearer half of each group, in one pass over its rows: moments by bins of distance, then bins cumulated. Of the
+    bin where the half ends, the share still needed counts."""
+    d = len(STATS)
+    names = [f"_s{i}" for i in range(d)] + [f"_q{i}_{j}" for i in range(d) for j in range(i, d)]
+    sums = [F.sum(s) for s in STATS] + [F.sum(F.col(STATS[i]) * F.col(STATS[j])) for i in range(d) for j in range(i, d)]
+    bins = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"), *[s.alias(n) for s, n in zip(sums, names)])
+    # some hundred bins a group, whatever its rows
+    own = Window.partitionBy(*keys)
+    before = F.sum("_n").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    half = F.floor((F.sum("_n").over(own) + d + 1) / 2)
+    part = F.least(F.lit(1.0), (half - before) / F.col("_n"))
+    weighed = bins.withColumn("_part", part).where("_part > 0")
+    total = lambda column: F.sum(F.col("_part") * F.col(column))
+    return weighed.groupBy(*keys).agg(total("_n").alias("n"), F.array(*map(total, names[:d])).alias("sums"), F.array(*map(total, names[d:])).alias("squares"))
+
+
 def _start(fits: DataFrame) -> DataFrame:
     """Moments, without correlations, that have each group's medians and median deviations, on a grid of hundredths."""
     keys = ["g_lang", "g_source"]
@@ -235,7 +252,8 @@ def estimates(stats: DataFrame) -> DataFrame:
         scale = F.greatest(F.exp((F.col("_middle") + 1) / 20.0) / MEDIAN, F.lit(1.0))
         return stash(fitted.join(middle, GROUP).select(*GROUP, "mean", "factor", scale.alias("scale")), "scaled")
 
-    binned = lambda fitted: fits.join(F.broadcast(fitted), GROUP).withColumn("_b", F.floor(20 * F.log(_squared_distance() + 1e-9)))
+    # a row of 42 numbers for a group and start: broadcast only up to a bound
+    binned = lambda fitted: fits.join(small(fitted, 600), GROUP).withColumn("_b", F.floor(20 * F.log(_squared_distance() + 1e-9)))
     # a start is no estimate from a half, so any first step is better
     worst = F.lit(float("inf"))
     starts = _start(fits).withColumn("g_start", F.lit(0)).unionByName(_moments(fits.withColumn("g_start", F.lit(1)), F.lit(1.0)).where(F.col("n") >= LEAST))
@@ -243,10 +261,7 @@ def estimates(stats: DataFrame) -> DataFrame:
     moving = stash(begun.mapInArrow(_factor(1.0), _FITTED), "fitted").withColumn("logdet", worst)
     settled: list[DataFrame] = []
     while not moving.isEmpty():
-        rows = binned(moving)
-        nearer = stash(_reached(rows, keys, "_b", F.floor((F.col("_all") + len(STATS) + 1) / 2), "_edge"), "edges")
-        own = rows.join(F.broadcast(nearer), keys).where(F.col("_b") <= F.col("_edge"))
-        moments = _moments(own, F.when(F.col("_b") < F.col("_edge"), 1.0).otherwise(F.col("part")))
+        moments = _nearer_half(binned(moving), keys)
         old = moving.select(*keys, F.col("mean").alias("old_mean"), F.col("factor").alias("old_factor"), F.col("logdet").alias("before"))
         stepped = stash(moments.join(old, keys).mapInArrow(_factor(CONSISTENT), _FITTED), "fitted")
         settled.append(stepped.where(~F.col("moved")))
@@ -255,7 +270,7 @@ def estimates(stats: DataFrame) -> DataFrame:
     fitted = ended.groupBy(*GROUP).agg(F.min(F.struct("logdet", "g_start", "mean", "factor")).alias("_f")).select(*GROUP, "_f.g_start", "_f.mean", "_f.factor")
     raw = scaled(stash(fitted, "fitted"))
     # reweighting: every row within the 0.975 quantile shapes the final estimate, which small groups need
-    inner = fits.join(F.broadcast(raw), GROUP).where(_squared_distance() <= NATURAL * F.col("scale"))
+    inner = fits.join(small(raw, 600), GROUP).where(_squared_distance() <= NATURAL * F.col("scale"))
     begun = _moments(inner.withColumn("g_start", F.lit(2)), F.lit(1.0)).withColumns({"old_mean": no, "old_factor": no, "before": worst})
     final = scaled(stash(begun.mapInArrow(_factor(NATURAL_CONSISTENT), _FITTED), "fitted"))
     size = fits.groupBy(*GROUP).agg(F.count("*").alias("n"))
@@ -264,7 +279,9 @@ def estimates(stats: DataFrame) -> DataFrame:
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per document: id, base columns, base_failed, kept, distance (squared, scaled; null where no estimate)."""
-    counted = count_base(df.select(F.col(id_col).alias("_id"), F.coalesce(lang_col, F.lit("")).alias("g_lang"), F.coalesce(source_col, F.lit("")).alias("g_source"), F.col(text_col).alias("text")))
+    # a null is no name, nor is the mark of a whole language
+    named = lambda column: F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+    counted = count_base(df.select(F.col(id_col).alias("_id"), named(lang_col).alias("g_lang"), named(source_col).alias("g_source"), F.col(text_col).alias("text")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     stats = stash(counted.withColumns(_statistics()).withColumn("base_failed", failed), "statistics")
     found = estimates(stats)
