@@ -15,7 +15,9 @@ the smallest hashes, each of them whole and once however many copies it has. Con
 counts reach the driver. Scoring reads whole texts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; ties go to the language
-that sorts first; repeated rows are scored each; no training rows at all: everything is ``und``.
+that sorts first; repeated rows are scored each; no training rows at all: everything is ``und``; an empty table gives no rows; a
+text of any length is scored whole, in one task's memory; other columns pass, but those named ``lang_pred``, ``score`` or
+``bits_per_byte`` are replaced by the results (the pipeline hands rows over as one value, so there they pass).
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ section of the character that it ends within. So the sections' counts add up to
 
 Sections are the document's lines, each with its line feed; other spans come through ``attribute``.
 Defined cases: a null or empty text is one empty section with no tokens; repeated rows are counted each;
-extra columns pass by; an empty table gives no rows.
+extra columns pass by, and an id column named like a result raises; an empty table gives no rows; a text of any length is
+encoded whole, in one task's memory.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@
 
 Labels come only from rows that the caller's condition lets through; scores see only text.
 Defined cases: a null text counts as empty and scores as a text without hits; no labelled row, or labels of
-one kind only: every score is that kind's smoothed share; repeated rows score alike.
+one kind only: every score is that kind's smoothed share; repeated rows score alike; an empty table gives no rows; extra
+columns of any name are ignored; a text of any length is scored whole, in one task's memory.
 """
 
 from __future__ import annotations
