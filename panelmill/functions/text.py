@@ -57,3 +57,11 @@ def year_ranges(spec: str) -> list[int]:
             raise ValueError(f"the range {part} runs backwards")
         years.update(range(int(first), int(last or first) + 1))
     return sorted(years)
+
+
+def year_list(spec: Column) -> Column:
+    """The years of a text like ``2016-2019,2022``, ascending, once each; a range that runs backwards raises."""
+    years = lambda part, i: F.trim(F.element_at(F.split(part, "-"), i)).cast("int")
+    one = lambda part: F.when(years(part, 1) > years(part, -1), F.raise_error(F.concat(F.lit("the range runs backwards: "), part)).cast("array<int>")).otherwise(F.sequence(years(part, 1), years(part, -1)))
+    parts = F.filter(F.split(spec, ","), lambda p: F.trim(p) != "")
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, one))))

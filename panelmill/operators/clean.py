@@ -88,6 +88,12 @@ def lookup(keys: Column, table: Mapping, default: Column | None = None) -> Colum
     return found if default is None else F.coalesce(found, default)
 
 
+def few(df: DataFrame, most: int = 100_000) -> tuple[DataFrame, list | None]:
+    """A small result as a broadcast table and its rows, at most ``most``; where there are more, as it is (the join is a shuffle then)."""
+    rows = df.limit(most + 1).collect()
+    return (F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows) if len(rows) <= most else (df, None)
+
+
 # --- names and schemas ------------------------------------------------------
 
 

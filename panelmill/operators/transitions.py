@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .clean import few
+
 
 def grid(spark, states: Sequence[str], *names: str) -> DataFrame:
     """Every combination of the states: fixed rows so that absent cells show as 0."""
@@ -50,7 +52,7 @@ def composition(df: DataFrame, period: str, state: str, states: Sequence[str]) -
 def flows(df: DataFrame, person: str, period: str, state: str) -> DataFrame:
     """Flows from each observed period to the next one in the list of periods, by state pair."""
     periods = df.select(period).distinct().withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(period)))
-    rows = df.join(F.broadcast(periods), period)
+    rows = df.join(few(periods)[0], period)
     nxt = rows.select(person, (F.col("_i") - 1).alias("_i"), F.col(period).alias("period_to"), F.col(state).alias("state_to"))
     both = rows.join(nxt, [person, "_i"])
     return both.groupBy(F.col(period).alias("period_from"), "period_to", F.col(state).alias("state_from"), "state_to").agg(F.count("*").alias("n"))

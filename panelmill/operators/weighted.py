@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clean import clip
+from .clean import clip, few
 
 
 def valid(x: str, w: str) -> Column:
@@ -40,12 +40,6 @@ def _block(x: str) -> Column:
     return F.when(F.isnan(v), F.lit(800_000)).otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v)) * 1024)).cast("long")
 
 
-def _few(df: DataFrame, most: int = 100_000) -> tuple[DataFrame, list | None]:
-    """A small result as a broadcast table and its rows, at most ``most``; where there are more, as it is (the join is a shuffle then)."""
-    rows = df.limit(most + 1).collect()
-    return (F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows) if len(rows) <= most else (df, None)
-
-
 def _collapsed(df: DataFrame, x: str, w: Column, by: Sequence[str], aims: Callable[[Column], list[Column]]) -> DataFrame:
     """Distinct values near the wanted places, with the weight up to and with them (_cum) and in all (_all).
 
@@ -80,7 +74,7 @@ def _collapsed(df: DataFrame, x: str, w: Column, by: Sequence[str], aims: Callab
             *[F.col(k).alias(f"_key{i}") for i, k in enumerate([*by, "_b0"])], F.coalesce(low, "_least").alias("_low"), F.coalesce(high, "_greatest").alias("_high"),
             F.col("_before").alias("_from"), F.when(low.isNotNull(), end).alias("_end"), "_all", "_b", F.when(all_of_it & (F.col("_least") < F.col("_greatest")), F.col("_rows")).otherwise(0).alias("_many"),
         )
-        kept, known = _few(kept)
+        kept, known = few(kept)
         found = weighed.join(kept, met & F.col(x).between(F.col("_low"), F.col("_high")))
         wide = kept.where(F.col("_many") > BRACKET_ROWS)
         if level == 2 or (wide.isEmpty() if known is None else all(k["_many"] <= BRACKET_ROWS for k in known)):

@@ -93,8 +93,10 @@ def sanity_gate(s: S, d: str) -> D:
     return rows.where("p_size < 10").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""select p_partkey, 2 n_rings, round(p_size * p_retailprice, 6) area, round(p_partkey + p_size / 2, 6) x, round(p_retailprice / 2, 6) y from part""")
 def wkt_centroid(s: S, d: str) -> D:
-    """Rings and centroid of polygon texts (fixed examples): higher-order functions only."""
-    rows = s.createDataFrame([(1, "MULTIPOLYGON (((0 0, 4 0, 4 2, 0 2, 0 0)), ((9 9, 10 9, 10 10, 9 9)))"), (2, "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"), (3, "POLYGON ((1 1, 3 3, 1 1))")], "id int, wkt string")
-    return rows.withColumn("c", wkt.centroid(F.col("wkt"))).select("id", F.size(wkt.rings(F.col("wkt"))).alias("n_rings"), "c.area", "c.x", "c.y")
+    """Rings and centroid of polygon texts, a place a part: a rectangle by size and price, and a smaller island that does not count."""
+    a, b, h = F.col("p_partkey"), F.col("p_partkey") + F.col("p_size"), F.col("p_retailprice")
+    text = F.format_string("MULTIPOLYGON (((%s 0, %s 0, %s %s, %s %s, %s 0)), ((-9 -9, -8 -9, -8 -8, -9 -9)))", *[c.cast("string") for c in (a, b, b, h, a, h, a)])
+    rows = table(s, d, "part").select("p_partkey", text.alias("wkt")).withColumn("c", wkt.centroid(F.col("wkt")))
+    return rows.select("p_partkey", F.size(wkt.rings(F.col("wkt"))).alias("n_rings"), r(F.col("c.area")).alias("area"), r(F.col("c.x")).alias("x"), r(F.col("c.y")).alias("y"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import clean, panel as pan
-from ..sources import readers
+from ..sources import readers, sinks
 from .base import big, r, table, year
 
 S, D = SparkSession, DataFrame
@@ -63,10 +63,11 @@ def scan_year_in(s: S, d: str) -> D:
     return table(s, d, "orders").where(years).groupBy(year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("select r_regionkey, r_name from region")
+@query("select c_custkey, c_name, c_nationkey, c_acctbal from customer")
 def dta_source(s: S, d: str) -> D:
-    """A Stata file read by the Python data source. The file is made here from ``region``, five rows whatever the scale."""
-    return readers.round_trip_dta(s, table(s, d, "region").orderBy("r_regionkey"))
+    """Stata files, one of a bounded number of rows each, written and read by tasks."""
+    rows = table(s, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    return readers.read_dta_bytes(sinks.stata_files(rows), rows.schema)
 
 
 @query("""with a as (select n_regionkey, count(*) n, round(sum(c_acctbal), 2) total from customer join nation on c_nationkey = n_nationkey group by 1)
@@ -308,11 +309,12 @@ def region_lookup_join(s: S, d: str) -> D:
     return by.join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", "n", "n_unmatched")
 
 
-@query("""select a::double alpha, l::double rate, round(a * l, 6) z from (values (0.5), (1.0), (2.0)) t(a) cross join (values (0.1), (0.2)) u(l)""")
+@query("""with a as (select distinct l_discount a from lineitem), b as (select distinct l_tax b from lineitem) select a alpha, b rate, round(a * b, 6) z from a, b""")
 def param_grid(s: S, d: str) -> D:
-    """The one genuine cross product: two tiny parameter lists."""
-    a, b = s.createDataFrame([(0.5,), (1.0,), (2.0,)], "alpha double"), s.createDataFrame([(0.1,), (0.2,)], "rate double")
-    return a.crossJoin(F.broadcast(b)).withColumn("z", r(F.col("alpha") * F.col("rate")))
+    """The one genuine cross product: two short lists of parameters, here the discounts and taxes that occur."""
+    lines = table(s, d, "lineitem")
+    a, b = lines.select(F.col("l_discount").alias("alpha")).distinct(), lines.select(F.col("l_tax").alias("rate")).distinct()
+    return a.crossJoin(clean.few(b)[0]).withColumn("z", r(F.col("alpha") * F.col("rate")))
 
 
 @query("""with a as (select n_regionkey k, avg(c_acctbal) m from customer join nation on c_nationkey = n_nationkey group by 1)

@@ -34,6 +34,10 @@ def replace_longest_first(s: S, d: str) -> D:
     return table(s, d, "nation").select("n_nationkey", tx.replace_all(F.col("n_name"), {"NATION": "Other", "NATION_1": "First ", "NATION_2": "Second "}).alias("shown"))
 
 
-@query()
+@query("""with a as (select o_custkey k, min(year(o_orderdate))::int lo, max(year(o_orderdate))::int hi from orders group by 1) select distinct k, unnest([lo, lo + 1, hi])::int y from a""")
 def year_ranges(s: S, d: str) -> D:
-    return s.createDataFrame([(y,) for y in tx.year_ranges("2016-2019,2022")], "y int")
+    """Each customer's years by a text such as ``1995-1996, 2000,``: the first two and the last one."""
+    year = F.year("o_orderdate")
+    spec = F.concat(F.min(year), F.lit("-"), F.min(year) + 1, F.lit(", "), F.max(year), F.lit(","))
+    by = table(s, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(spec.alias("spec"))
+    return by.select("k", F.explode(tx.year_list(F.col("spec"))).alias("y"))

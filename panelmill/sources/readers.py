@@ -142,39 +142,22 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], rebuil
     return spark.read.parquet(path)
 
 
-def _read_stata(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for content in batch.column("content").to_pylist():
-            for chunk in pd.read_stata(io.BytesIO(content), convert_categoricals=False, chunksize=100_000):
-                yield pa.RecordBatch.from_pandas(chunk[names], preserve_index=False)
-
-
 def read_dta(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
     """Stata files, codes not labels; one file is one task, so large inputs belong in many files."""
-    names = schema.fieldNames()
-    files = spark.read.format("binaryFile").load(paths).select("content")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
+    return read_dta_bytes(spark.read.format("binaryFile").load(paths).select("content"), schema)
 
-        for batch in _read_stata(iter(batches), names):
-            yield pa.Table.from_batches([batch]).cast(to_arrow_schema(schema)).combine_chunks().to_batches()[0]
 
-    return files.mapInArrow(run, schema)
-
-
-def round_trip_dta(spark: SparkSession, small: DataFrame) -> DataFrame:
-    """Writes a small table as a Stata file (as bytes through Spark, so that executors see it) and reads it back."""
-    from . import sinks
-
-    content = sinks.stata_bytes(small.toPandas())
-    names, schema = small.columns, small.schema
-    one = spark.createDataFrame([(bytearray(content),)], "content binary")
+def read_dta_bytes(files: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of Stata files given as bytes (``content``), in pieces; columns that are not in the schema are not kept."""
+    names = schema.fieldNames()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        for batch in _read_stata(iter(batches), names):
-            yield pa.Table.from_batches([batch]).cast(to_arrow_schema(schema)).combine_chunks().to_batches()[0]
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                for chunk in pd.read_stata(io.BytesIO(content), convert_categoricals=False, chunksize=100_000):
+                    piece = pa.RecordBatch.from_pandas(chunk[names], preserve_index=False)
+                    yield pa.Table.from_batches([piece]).cast(to_arrow_schema(schema)).combine_chunks().to_batches()[0]
 
-    return one.mapInArrow(run, schema)
+    return files.mapInArrow(run, schema)

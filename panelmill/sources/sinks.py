@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote, unquote
 
@@ -154,6 +154,18 @@ def stata_bytes(rows: pd.DataFrame, labels: Mapping[str, str] | None = None) ->
     return out.getvalue()
 
 
+def stata_files(df: DataFrame, labels: Mapping[str, str] | None = None) -> DataFrame:
+    """(content, n_rows): the rows as Stata files, one for each Arrow batch of a task (``spark.sql.execution.arrow.maxRecordsPerBatch``
+    rows at most), so a file is bounded whatever the table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                yield pd.DataFrame({"content": [stata_bytes(rows, labels)], "n_rows": [len(rows)]})
+
+    return df.mapInPandas(run, "content binary, n_rows long")
+
+
 _ESCAPES = str.maketrans({"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"})
 
 

@@ -10,25 +10,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def transitions(stream: DataFrame, person: str, time: str, state: str) -> DataFrame:
-    """(person, time, state, next) for consecutive rows of a person as they arrive; a person's last row is the only
-    state kept, so memory grows with people, not with rows. Rows of a person must arrive in time order across
-    batches; within a batch they are sorted."""
-    rows = stream.select(F.col(person).cast("long").alias("person"), F.col(time).cast("long").alias("t"), F.col(state).alias("s")).where("person is not null")
+def transitions(stream: DataFrame, person: str, time: str, state: str, idle: str | None = None) -> DataFrame:
+    """(person, time, state, next) for consecutive rows of a person as they arrive.
+
+    A person's last row is the only state kept, so memory grows with people, not with rows; with ``idle`` (as ``2 hours``) the row of
+    a person of whom nothing came for so long is forgotten. Rows of a person must arrive in time order across batches; within
+    a batch they are sorted. Rows without a person or a time are left out; of rows of one time the last one stands.
+    """
+    rows = stream.select(F.col(person).cast("long").alias("person"), F.col(time).cast("long").alias("t"), F.col(state).alias("s")).where("person is not null and t is not null")
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(batches)).sort_values("t", kind="stable")
-        last = kept.get if kept.exists else None
-        out = []
-        for t, s in zip(new["t"], new["s"]):
-            if last is not None and t == last[0] + 1:
-                out.append((key[0], last[0], last[1], s))
-            if last is None or t >= last[0]:
-                last = (int(t), s)
-        kept.update(last)
-        yield pd.DataFrame(out, columns=["person", "t", "state", "next"])
-
-    return rows.groupBy("person").applyInPandasWithState(step, "person long, t long, state string, next string", "t long, s string", "append", GroupStateTimeout.NoTimeout)
+        if kept.hasTimedOut:
+            kept.remove()
+            return
+        new = pd.concat(list(batches))[["t", "s"]]
+        if kept.exists:
+            last = kept.get
+            new = pd.concat([pd.DataFrame({"t": [last[0]], "s": [last[1]]}), new[new["t"] >= last[0]]])
+        new = new.sort_values("t", kind="stable").drop_duplicates("t", keep="last")
+        after = new.shift(-1)
+        out = pd.DataFrame({"person": key[0], "t": new["t"], "state": new["s"], "next": after["s"]})[(after["t"] - new["t"] == 1).to_numpy()]
+        kept.update((int(new["t"].iloc[-1]), new["s"].iloc[-1]))
+        if wait:
+            kept.setTimeoutDuration(wait)
+        yield out
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout
+    return rows.groupBy("person").applyInPandasWithState(step, "person long, t long, state string, next string", "t long, s string", "append", timeout)
 
 
 def windowed_counts(stream: DataFrame, time: str, kind: str, window: str = "1 day", late: str = "2 hours") -> DataFrame:
