@@ -36,3 +36,25 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 
 def test_funnel_reads_once(spark, sf):
     assert run(spark, sf, "filter_funnel").count("lineitem.parquet") == 1
+
+
+def test_quantiles_read_twice_and_shuffle_only_brackets(spark, sf):
+    from panelmill.operators import weighted
+
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    out = weighted.quantile_linear(rows, "l_extendedprice", (0.1, 0.5), "l_returnflag")
+    text = plan(out)
+    # the first scan is over when the plan is made; in the second the brackets meet the rows before any exchange of them
+    assert text.count("lineitem.parquet") == 1 and "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    below = text[text.index("BroadcastHashJoin") :]
+    assert "Exchange hashpartitioning" not in below
+
+
+def test_bootstraps_make_a_row_a_replication_not_a_draw(spark, sf):
+    text = run(spark, sf, "cluster_bootstrap")
+    assert "Range (0, 300" in text and "CoGroup" in text and not re.search(r"Range \(0, (?!300)\d", text)
+
+
+def test_labels_of_four_columns_are_one_join(spark, sf):
+    text = run(spark, sf, "decode_lagged")
+    assert text.count("Join") == 1 and "BroadcastExchange" in text
