@@ -105,15 +105,13 @@ def usable_inputs(s: S, d: str) -> D:
 
 @query("select o_orderkey, o_custkey, o_totalprice from orders where year(o_orderdate) = 1997 and o_orderstatus = 'F'")
 def warehouse_scan(s: S, d: str) -> D:
-    """A year's rows of an SQL warehouse: the database here is the one that ships with Spark, held in the driver, so the query is for one
-    machine; ``readers.read_warehouse`` takes any JDBC address. The filters run in the database."""
-    url = f"jdbc:derby:memory:warehouse{uuid.uuid4().hex};create=true"
-    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    kinds = "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderstatus VARCHAR(8)"
+    """A year's rows of an SQL warehouse: a table of Spark's own, which driver and executors share, kept by year; the filters
+    reach the files. ``readers.read_warehouse`` takes JDBC addresses: the database that ships with Spark lives in one process, so no
+    query here can use it on a cluster."""
+    name = f"warehouse_{uuid.uuid4().hex}"
     rows = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", F.year("o_orderdate").alias("ano"))
-    rows.write.format("jdbc").options(url=url, dbtable="orders", createTableColumnTypes=kinds, batchsize="10000", **driver).mode("append").save()
-    store = readers.read_warehouse(s, url, "orders", "o_orderkey", partition_rows=50_000, **driver)
-    return store.where("ano = 1997 and o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_totalprice")
+    sinks.warehouse_table(rows, name, "ano")
+    return s.table(name).where("ano = 1997 and o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 # --- sinks and extracts -----------------------------------------------------------------

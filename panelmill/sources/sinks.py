@@ -67,6 +67,12 @@ def write_once(df: DataFrame, path: str, *partition_by: str, kind: str = "parque
     return commit(df, path, *partition_by, kind=kind)["n"]
 
 
+def warehouse_table(df: DataFrame, name: str, *partition_by: str) -> None:
+    """A new table of Spark's SQL warehouse (``spark.sql.warehouse.dir``, shared by driver and executors), in folders by the columns named:
+    a filter on one of them reads its folders alone. Never overwrites."""
+    df.write.format("parquet").partitionBy(*partition_by).mode("errorifexists").saveAsTable(name)
+
+
 def extract_each(spark: SparkSession, read: Callable[[str], DataFrame], parts: Sequence[str], path: str, *, workers: int = 4, retries: int = 0, kind: str = "parquet", must: Column | None = None) -> DataFrame:
     """One job a part (a state, a year), ``workers`` at a time, each committed on its own to ``path/<part>``.
 

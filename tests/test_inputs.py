@@ -213,3 +213,22 @@ def test_text_that_is_no_slip_stays(spark):
     assert all(r.w == r.r and r.w == r.same for r in rows)
     letters = spark.createDataFrame([("Łódź Ǎşk Ñandú ế é", )], "x string").select(text.strip_accents(F.col("x"))).first()[0]
     assert letters == "Łodz Ask Nandu e e"
+
+
+def test_warehouse_is_reached_from_executors(sf, tmp_path):
+    """Executors that are processes of their own see the table (a database within the driver they did not)."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import duckdb
+
+    code = f"""
+from panelmill import catalog, session
+s = session.build("t", "local-cluster[2,1,1024]", spark__ui__enabled="false", spark__sql__warehouse__dir="{tmp_path}/w", spark__checkpoint__dir="{tmp_path}/c", spark__executorEnv__PYTHONPATH=".")
+df = catalog.queries()["warehouse_scan"](s, "{sf}")
+print("rows", df.count(), "PartitionFilters: [isnotnull(ano" in df._jdf.queryExecution().toString())
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True, text=True, timeout=300)
+    (n,) = duckdb.connect().execute(f"select count(*) from '{sf}/orders.parquet' where year(o_orderdate) = 1997 and o_orderstatus = 'F'").fetchone()
+    assert f"rows {n} True" in done.stdout, done.stderr[-2000:]
