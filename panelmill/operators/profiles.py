@@ -28,8 +28,19 @@ def stacked_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def quantiles(x: Column, *ps: float) -> Column:
-    """Linear quantiles of a column in one aggregate, for groups of bounded size (``weighted.quantile_linear`` for any)."""
-    return F.percentile(x, F.array(*[F.lit(float(p)) for p in ps]))
+    """Linear quantiles of a column in one aggregate, for groups of bounded size (``weighted.quantile_linear`` for any).
+
+    Between two values they are low * (1 - d) + high * d with one rounding of the last product and sum (``fma``), to the bit what DuckDB's
+    ``quantile_cont`` gives: replications lie on grids, so their quantiles are often half-way cases of a rounding that follows.
+    """
+    values = F.array_sort(F.collect_list(x.cast("double")))
+
+    def at(p: float):
+        place = (F.size(values) - 1) * F.lit(float(p))
+        low, d = F.get(values, F.floor(place).cast("int")), place - F.floor(place)
+        return F.java_method(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - d, F.get(values, F.ceil(place).cast("int")) * d).cast("double")
+
+    return F.array(*[F.when(F.size(values) > 0, at(p)) for p in ps])
 
 
 def explode_band(df: DataFrame, column: str, half_width: int, low: int, high: int, out: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import numeric
 from ..operators import clean, estimate as es, profiles as pr, resample as rs, transitions as tr, weighted as wt
-from .base import PANEL, STATES, panel, r, table
+from .base import PANEL, STATES, panel, r, r_double, table
 from .panels import COUNTS, NEXT, pairs
 
 S, D = SparkSession, DataFrame
@@ -204,7 +204,7 @@ def cluster_bootstrap(s: S, d: str) -> D:
 @query(f"{BOOT}, x as (select n_op / n_o v from bs) select round(quantile_cont(v, 0.025), 6) lo, round(quantile_cont(v, 0.5), 6) mid, round(quantile_cont(v, 0.975), 6) hi from x")
 def bootstrap_ci(s: S, d: str) -> D:
     q = _bootstrap(s, d).agg(pr.quantiles(F.col("n_op") / F.col("n_o"), 0.025, 0.5, 0.975).alias("q"))
-    return q.select(*[r(F.col("q")[i]).alias(n) for i, n in enumerate(("lo", "mid", "hi"))])
+    return q.select(*[r_double(F.col("q")[i]).alias(n) for i, n in enumerate(("lo", "mid", "hi"))])
 
 
 VALUES = "select row_number() over (order by c_acctbal) - 1 i, c_acctbal v, count(*) c, sum(count(*)) over (order by c_acctbal desc) w from customer where c_nationkey = 3 group by c_acctbal"
@@ -222,4 +222,4 @@ def belief_bootstrap(s: S, d: str) -> D:
     values = table(s, d, "customer").where("c_nationkey = 3").select("c_acctbal")
     each = rs.winsorised_bootstrap(values, "c_acctbal", DRAWS, 0.05, 0.95)
     out = each.agg(pr.quantiles(F.col("median"), 0.05, 0.95).alias("m"), pr.quantiles(F.col("mean"), 0.05, 0.95).alias("w"))
-    return out.select(*[r(F.col(c)[i], 4).alias(n) for c, i, n in (("m", 0, "median_lo"), ("m", 1, "median_hi"), ("w", 0, "mean_lo"), ("w", 1, "mean_hi"))])
+    return out.select(*[r_double(F.col(c)[i], 4).alias(n) for c, i, n in (("m", 0, "median_lo"), ("m", 1, "median_hi"), ("w", 0, "mean_lo"), ("w", 1, "mean_hi"))])

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from panelmill.operators import resample
 
@@ -72,3 +74,21 @@ def test_winsorised_means_and_medians_of_the_dealt_values(spark, n):
         assert np.allclose(found[b], (mid, np.clip(drawn, low, high).mean()))
     many = resample.winsorised_bootstrap(df, "x", 40, 0.05, 0.95, cells=400).collect()
     assert len(many) == 40 and abs(np.mean([r["mean"] for r in many]) - values.mean()) < 20 / math.sqrt(n) + 1e-9
+
+
+def test_quantiles_of_replications_are_those_of_the_sql_to_the_bit(spark):
+    """Half cents at 0.05 and 0.95 of 2,000 are half-way cases of four digits."""
+    import duckdb
+
+    from panelmill.operators import profiles
+    from panelmill.plans.base import r_double
+
+    rng, con = np.random.default_rng(3), duckdb.connect()
+    frame = pd.DataFrame({"g": np.repeat(np.arange(200), 300), "v": rng.integers(-200_000, 2_000_000, 60_000) / 200})
+    got = spark.createDataFrame(frame).groupBy("g").agg(profiles.quantiles(F.col("v"), 0.05, 0.5, 0.95).alias("q"))
+    got = {x.g: tuple(x)[1:] for x in got.select("g", *[F.col("q")[i] for i in range(3)], *[r_double(F.col("q")[i], 4) for i in range(3)]).collect()}
+    con.register("frame", frame)
+    sql = ", ".join(f"quantile_cont(v, {p})" for p in (0.05, 0.5, 0.95)) + ", " + ", ".join(f"round(quantile_cont(v, {p}), 4)" for p in (0.05, 0.5, 0.95))
+    assert got == {x[0]: x[1:] for x in con.execute(f"select g, {sql} from frame group by g").fetchall()}
+    none = spark.createDataFrame([(None,)], "v double").agg(profiles.quantiles(F.col("v"), 0.5).alias("q")).first().q
+    assert none == [None]
