@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: a column named twice in an expression of lambdas is computed twice."""
+    return F.transform(F.array(value), use)[0]
+
+
 def rings(text: Column) -> Column:
     """``array<array<struct<x, y>>>`` of the rings of a POLYGON or MULTIPOLYGON text."""
     inner = F.regexp_extract_all(text, F.lit(r"\(([^()]+)\)"), F.lit(1))
@@ -13,8 +18,7 @@ def rings(text: Column) -> Column:
 
 
 def _point(text: Column) -> Column:
-    parts = F.split(F.trim(text), r"\s+")
-    return F.struct(parts[0].cast("double").alias("x"), parts[1].cast("double").alias("y"))
+    return _let(F.split(F.trim(text), r"\s+"), lambda parts: F.struct(parts[0].cast("double").alias("x"), parts[1].cast("double").alias("y")))
 
 
 def _edges(ring: Column) -> Column:
@@ -29,10 +33,20 @@ def _sum(items: Column, value) -> Column:
 
 def centroid(text: Column) -> Column:
     """Area (absolute) and centroid of the ring with the most points; the mean point where the area vanishes."""
-    by_size = F.array_sort(F.transform(rings(text), lambda ring: F.struct((-F.size(ring)).alias("n"), ring.alias("ring"))))
-    ring = by_size[0]["ring"]
-    edges = _edges(ring)
-    twice = _sum(edges, lambda e: e.c)
+    return _of_rings(rings(text))
+
+
+def measured(text: Column) -> Column:
+    """``centroid`` with ``n_rings``, the number of rings: the text is taken apart once."""
+    return _let(rings(text), lambda found: _let(_of_rings(found), lambda c: F.struct(F.size(found).alias("n_rings"), c.area.alias("area"), c.x.alias("x"), c.y.alias("y"))))
+
+
+def _of_rings(found: Column) -> Column:
+    by_size = F.array_sort(F.transform(found, lambda ring: F.struct((-F.size(ring)).alias("n"), ring.alias("ring"))))
+    return _let(by_size[0]["ring"], lambda ring: _let(_edges(ring), lambda edges: _let(_sum(edges, lambda e: e.c), lambda twice: _centre(ring, edges, twice))))
+
+
+def _centre(ring: Column, edges: Column, twice: Column) -> Column:
     flat = F.abs(twice) < 1e-12
     count = F.size(ring)
     x = F.when(flat, _sum(ring, lambda p: p.x) / count).otherwise(_sum(edges, lambda e: e.sx * e.c) / (3 * twice))

@@ -98,5 +98,7 @@ def wkt_centroid(s: S, d: str) -> D:
     """Rings and centroid of polygon texts, a place a part: a rectangle by size and price, and a smaller island that does not count."""
     a, b, h = F.col("p_partkey"), F.col("p_partkey") + F.col("p_size"), F.col("p_retailprice")
     text = F.format_string("MULTIPOLYGON (((%s 0, %s 0, %s %s, %s %s, %s 0)), ((-9 -9, -8 -9, -8 -8, -9 -9)))", *[c.cast("string") for c in (a, b, b, h, a, h, a)])
-    rows = table(s, d, "part").select("p_partkey", text.alias("wkt")).withColumn("c", wkt.centroid(F.col("wkt")))
-    return rows.select("p_partkey", F.size(wkt.rings(F.col("wkt"))).alias("n_rings"), r(F.col("c.area")).alias("area"), r(F.col("c.x")).alias("x"), r(F.col("c.y")).alias("y"))
+    rows = table(s, d, "part").select("p_partkey", text.alias("wkt"))
+    # a file of a few MB is one task, and each of its rows takes long
+    rows = rows.repartition(-(-rows.count() // 50_000) or 1, "p_partkey").withColumn("c", wkt.measured(F.col("wkt")))
+    return rows.select("p_partkey", "c.n_rings", r(F.col("c.area")).alias("area"), r(F.col("c.x")).alias("x"), r(F.col("c.y")).alias("y"))

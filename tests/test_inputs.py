@@ -232,3 +232,10 @@ print("rows", df.count(), "PartitionFilters: [isnotnull(ano" in df._jdf.queryExe
     done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True, text=True, timeout=300)
     (n,) = duckdb.connect().execute(f"select count(*) from '{sf}/orders.parquet' where year(o_orderdate) = 1997 and o_orderstatus = 'F'").fetchone()
     assert f"rows {n} True" in done.stdout, done.stderr[-2000:]
+
+
+def test_polygon_texts_are_taken_apart_once(spark, sf):
+    from panelmill import catalog
+
+    df = catalog.queries()["wkt_centroid"](spark, sf)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
