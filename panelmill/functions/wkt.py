@@ -21,6 +21,11 @@ def _point(text: Column) -> Column:
     return _let(F.split(F.trim(text), r"\s+"), lambda parts: F.struct(parts[0].cast("double").alias("x"), parts[1].cast("double").alias("y")))
 
 
+def _from(ring: Column, origin: Column) -> Column:
+    """The points seen from another one: far from the origin, products of whole coordinates would leave no digits for the area."""
+    return F.transform(ring, lambda p: F.struct((p.x - origin.x).alias("x"), (p.y - origin.y).alias("y")))
+
+
 def _edges(ring: Column) -> Column:
     """Each point with its cross product and sums with the next one around the ring."""
     turned = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
@@ -43,12 +48,12 @@ def measured(text: Column) -> Column:
 
 def _of_rings(found: Column) -> Column:
     by_size = F.array_sort(F.transform(found, lambda ring: F.struct((-F.size(ring)).alias("n"), ring.alias("ring"))))
-    return _let(by_size[0]["ring"], lambda ring: _let(_edges(ring), lambda edges: _let(_sum(edges, lambda e: e.c), lambda twice: _centre(ring, edges, twice))))
+    return _let(by_size[0]["ring"], lambda ring: _let(_let(_from(ring, ring[0]), _edges), lambda edges: _let(_sum(edges, lambda e: e.c), lambda twice: _centre(ring, edges, twice))))
 
 
 def _centre(ring: Column, edges: Column, twice: Column) -> Column:
     flat = F.abs(twice) < 1e-12
     count = F.size(ring)
-    x = F.when(flat, _sum(ring, lambda p: p.x) / count).otherwise(_sum(edges, lambda e: e.sx * e.c) / (3 * twice))
-    y = F.when(flat, _sum(ring, lambda p: p.y) / count).otherwise(_sum(edges, lambda e: e.sy * e.c) / (3 * twice))
+    x = F.when(flat, _sum(ring, lambda p: p.x) / count).otherwise(ring[0].x + _sum(edges, lambda e: e.sx * e.c) / (3 * twice))
+    y = F.when(flat, _sum(ring, lambda p: p.y) / count).otherwise(ring[0].y + _sum(edges, lambda e: e.sy * e.c) / (3 * twice))
     return F.struct((F.abs(twice) / 2).alias("area"), x.alias("x"), y.alias("y"))

@@ -239,3 +239,11 @@ def test_polygon_texts_are_taken_apart_once(spark, sf):
 
     df = catalog.queries()["wkt_centroid"](spark, sf)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
+def test_centroid_far_from_the_origin(spark):
+    from panelmill.functions import wkt
+
+    far = "POLYGON ((59000000 0, 59000001 0, 59000001 901.37, 59000000 901.37, 59000000 0))"
+    c = spark.createDataFrame([(far,)], "w string").select(wkt.measured(F.col("w")).alias("c")).first().c
+    assert tuple(c) == (1, pytest.approx(901.37, rel=1e-12), pytest.approx(59000000.5, rel=1e-14), pytest.approx(450.685, rel=1e-12))
