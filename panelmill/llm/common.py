@@ -136,6 +136,26 @@ class Memo:
             self.held = 0
 
 
+class AgedMemo(Memo):
+    """A memo of two ages of half of ``most`` bytes each: where the young words are too many they become the old ones, and the former old
+    ones are forgotten; an old word that is met again is young. So frequent words stay and only rare ones go."""
+
+    def __init__(self, most: int = 40 << 20):
+        super().__init__(most // 2)
+        self.old: dict = {}
+
+    def missing(self, words: set) -> list:
+        """Those of ``words`` that are not remembered; the others are young from now on."""
+        words = words.difference(self.known)
+        again = {w: self.old[w] for w in words if w in self.old}
+        self.learn(again.items())
+        return list(words.difference(again))
+
+    def trim(self) -> None:
+        if self.held > self.most:
+            self.old, self.known, self.held = self.known, {}, 0
+
+
 # --- vectorised hashing ----------------------------------------------------
 
 

@@ -20,8 +20,10 @@ text (``<|endoftext|>``) stands for its id, the library's default.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, small_batches, stash, utf8, worker_cache
+from .common import AgedMemo, small_batches, stash, utf8, worker_cache
 
 #: The most frequent lengths that triples are built from.
 TRIPLE_LENGTHS = 72
@@ -213,9 +215,24 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK[list(MARKS.encode())] = True
 
 
+#: Words of these letters are one pre-token, which no normal form changes but for the case.
+_PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: The normalisers and pre-tokenisers for which that holds.
+_PLAIN_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PLAIN_SPLIT = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The character that stands for each byte in a byte-level vocabulary.
+_BYTE_LEVEL = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 class WordIds:
     """Ids by a lower-casing ``tokenizers`` file whose pre-tokens never span white space nor join letters to
-    marks: texts fall apart at both, and each distinct part is encoded once. The file's special strings
+    marks: texts fall apart at both, and each distinct part is encoded once, plain words by the library's model alone where the
+    file's normaliser and pre-tokeniser leave them whole. The file's special strings
     stand for their ids, as the library has it by default; texts fall apart at them first."""
 
     def __init__(self, spec: str):
@@ -225,7 +242,10 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(spec)
         self.special = {t.content: int(i).to_bytes(4, "little") for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
-        self.memo = Memo()
+        self.memo = AgedMemo()
+        parts = json.loads(spec)
+        steps = (parts.get("normalizer") or {}).get("normalizers"), (parts.get("pre_tokenizer") or {}).get("pretokenizers"), parts.get("post_processor")
+        self.model = self.tokenizer.model if steps == (_PLAIN_NORMAL, _PLAIN_SPLIT, None) else None
 
     @staticmethod
     def words(texts: pa.Array) -> list[list[bytes]]:
@@ -250,12 +270,29 @@ class WordIds:
                 return [b"".join(self.special[p] if i % 2 else next(coded) for i, p in enumerate(parts)) for parts in cut]
         return self._ordinary(texts)
 
+    def _by_model(self, words: list[bytes], others: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words with their ids; those that are not plain go to ``others``."""
+        tokenize, plain = self.model.tokenize, _PLAIN
+        for word in words:
+            text = word.decode()
+            if not plain(text) or len(word) >= len(_PACK):
+                others.append(word)
+                continue
+            if not text.isascii():
+                text = text.lower().encode().decode("latin-1").translate(_BYTE_LEVEL)
+            ids = [x.id for x in tokenize(text)]
+            yield word, _PACK[len(ids)](*ids)
+
     def _ordinary(self, texts: pa.Array) -> list[bytes]:
         split, memo = self.words(texts), self.memo.known
-        missing: set[bytes] = set()
+        met: set[bytes] = set()
         for words in split:
-            missing.update(set(words).difference(memo))
-        new = list(missing)
+            met.update(set(words).difference(memo))
+        new = self.memo.missing(met)
+        if self.model is not None:
+            rare = []
+            self.memo.learn(self._by_model(new, rare))
+            new = rare
         for at in range(0, len(new), 4096):  # the library's results are large
             part = new[at : at + 4096]
             coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)

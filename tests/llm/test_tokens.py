@@ -225,3 +225,26 @@ def test_boundary_rule():
 def test_multi_byte_tokens_add_up(make, text):
     out = token_counts.count_tokens(make([text]), queries.BYTE_BPE, P.PATTERN).toPandas()
     assert out.n_tokens.sum() == len(TIKTOKEN.encode_ordinary(text)) and out.n_chars.tolist() == [len(x) for x in text.splitlines(True)]
+
+
+def test_frequent_words_outlast_rare_ones():
+    from panelmill.llm.common import AgedMemo
+
+    memo, asked = AgedMemo(8_000), []
+    for i in range(200):
+        new = memo.missing({b"often", b"rare%d" % i, b"seldom%d" % i})
+        asked += new
+        memo.learn((w, b"1234") for w in new)
+        memo.trim()
+    assert asked.count(b"often") == 1 and len(asked) == 401 and len(memo.known) + len(memo.old) < 40
+
+
+def test_plain_words_by_the_model_alone():
+    """Every letter of Latin-1 in every place, repeated letters, and long words, as the whole library has them."""
+    letters = [chr(c) for c in (*range(97, 123), *range(0xC0, 0x100))]
+    words = [p % c for c in letters for p in ("%s", "a%sb", "%sund", "tion%s", "%s" * 2 % ("%s", "e"))] + ["ab" * n for n in range(1, 40)]
+    rare: list[bytes] = []
+    got = dict(WORDS._by_model([w.encode() for w in words], rare))
+    assert WORDS.model is not None and len(got) > 400 and "×".encode() in rare
+    for word, ids in got.items():
+        assert list(np.frombuffer(ids, "<u4")) == WORDS.tokenizer.encode(word.decode(), add_special_tokens=False).ids
