@@ -425,9 +425,9 @@ def _connect(rows: DataFrame, profiles: DataFrame, n_words: int, percent: int) -
     labels = stash(profiles.select("_id", F.col("_id").alias("_c")), "labels")
     for turn in range(1, ROUNDS + 1):
         hub = F.max(F.struct("_w", (-F.hash("_id")).alias("_o"), "_id"))
-        hubs = stash(rows.groupBy("_sig").agg(hub.getField("_id").alias("_hub"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows"), "hubs")
-        met = rows.join(hubs, "_sig").where("_id != _hub").groupBy("_id", "_hub").agg(F.count("*").alias("_sigs"))
-        met = stash(met, "met")
+        hubs = rows.groupBy("_sig").agg(hub.getField("_id").alias("_hub"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
+        around = stash(rows.join(hubs, "_sig"), "around")
+        met = stash(around.where("_id != _hub").groupBy("_id", "_hub").agg(F.count("*").alias("_sigs")), "met")
         if met.isEmpty():
             break
         # each set with the hub it shares most signatures with; a hub outranks its sets, so these links make a forest
@@ -457,7 +457,8 @@ def _connect(rows: DataFrame, profiles: DataFrame, n_words: int, percent: int) -
             break
         centres = crowds.groupBy("_ch", "_hub").count().groupBy("_ch").agg(F.max(F.struct("count", "_hub")).getField("_hub").alias("_centre"))
         places = stash(crowds.select("_hub", "_ch").distinct().join(centres, "_ch").select("_hub", "_centre"), "places")
-        members = stash(crowds.join(places, "_hub").select("_id", "_centre").where("_id != _centre").distinct(), "members")
+        inside = stash(crowds.join(places, "_hub").select("_id", "_hub", "_centre"), "inside")
+        members = stash(inside.select("_id", "_centre").where("_id != _centre").distinct(), "members")
         loose = with_label(with_label(members, "_id", "_ci"), "_centre", "_cc").where("_ci != _cc")
         labels = _merged(labels, compare(loose.select(F.least("_id", "_centre").alias("_a"), F.greatest("_id", "_centre").alias("_b")).distinct()))
         members = with_label(with_label(members, "_id", "_ci"), "_centre", "_cc").select("_id", F.col("_centre").alias("_hub"), (F.col("_ci") == F.col("_cc")).alias("_linked"))
@@ -468,8 +469,8 @@ def _connect(rows: DataFrame, profiles: DataFrame, n_words: int, percent: int) -
         close = bound if turn == ROUNDS else bound.where("not _is_far")
         wanted = stash(close.select("_id").unionByName(close.select(F.col("_hub").alias("_id"))).distinct(), "wanted")
         sets = stash(_sets(_among(profiles.select("_id", "text"), wanted), n_words), "sets")
-        around = close.drop("_is_far").join(sets, "_id").join(sets.select(F.col("_id").alias("_hub"), F.col("_set").alias("_cset")), "_hub")
-        spaces = stash(_spaces(around, percent, turn == ROUNDS), "spaces")
+        beside = close.drop("_is_far").join(sets, "_id").join(sets.select(F.col("_id").alias("_hub"), F.col("_set").alias("_cset")), "_hub")
+        spaces = stash(_spaces(beside, percent, turn == ROUNDS), "spaces")
         drop(sets)
         labels = _merged(labels, compare(_candidates(spaces.where("space >= 0"), percent)))
         if turn == ROUNDS:
@@ -478,10 +479,13 @@ def _connect(rows: DataFrame, profiles: DataFrame, n_words: int, percent: int) -
         drop(spaces)
         if far.isEmpty():
             break
-        # only signatures whose hub stands for such a group go on
-        onward = hubs.join(places.join(far.select("_centre").distinct(), "_centre", "left_semi"), "_hub").select("_sig", "_centre")
-        rows = _among(rows, stash(far.select("_id").distinct(), "far")).join(stash(onward, "onward"), "_sig")
-        rows = stash(rows.join(far, ["_id", "_centre"], "left_semi").drop("_centre"), "rows")
+        # only rows of a far set whose hub stands for its group go on; set and hub are looked up together, as far sets stand in
+        # many other buckets and these hubs' buckets hold many other sets
+        own = inside.unionByName(places.select(F.col("_hub").alias("_id"), "_hub", "_centre"))
+        onward = stash(own.join(far, ["_id", "_centre"], "left_semi").select("_id", "_hub"), "onward")
+        rows = stash(around.join(small(onward), ["_id", "_hub"], "left_semi").drop("_hub"), "rows")
+        drop(around)
+    drop(around)
     return labels
 
 

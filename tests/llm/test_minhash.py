@@ -49,6 +49,25 @@ def test_crowds_whose_centre_is_not_among_them(make, monkeypatch):
     assert got(make(texts), 3, 85) == want(texts, 3, 85)
 
 
+def test_later_rounds_look_up_set_and_hub_at_once(make, monkeypatch):
+    """Neither the far sets' other buckets nor the other sets of their hubs' buckets are made on the way to a later round."""
+    plans = []
+    real = jaccard.stash
+
+    def noting(df, name):
+        if name == "rows":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(jaccard, "stash", noting)
+    monkeypatch.setattr(jaccard, "SMALL_GROUP", 4)
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(12)]
+    texts = [" ".join(common + [f"w{g}-{i}" for i in range(30)][: rng.randrange(5, 30)]) for g in range(12) for _ in range(6)]
+    assert got(make(texts), 1, 50) == want(texts, 1, 50)
+    assert plans and all([("_id" in x, "_hub" in x) for x in plan.split("\n") if "Join" in x] == [(True, True)] for plan in plans)
+
+
 def test_star_edges_are_linear(make, monkeypatch):
     """A group of near copies costs about one comparison a text, not one a pair."""
     compared = []
