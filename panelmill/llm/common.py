@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
 import re
 import uuid
 
@@ -59,11 +60,21 @@ MOST_BYTES = 32 << 20
 ROW_BYTES = 64
 
 
-def small(ids: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
-    """A written table of rows of about ``row_bytes``, marked for broadcast if it has at most ``MOST_BYTES``: counted, not guessed."""
+def held(ids: DataFrame, row_bytes: int = ROW_BYTES) -> int:
+    """Bytes that a written table of rows of about ``row_bytes`` takes in a broadcast: counted, not guessed."""
     strings = [F.sum(F.octet_length(f.name)) for f in ids.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
     rows, *more = ids.agg(F.count("*"), *strings).first()
-    return F.broadcast(ids) if rows * row_bytes + sum(x or 0 for x in more) <= MOST_BYTES else ids
+    return rows * row_bytes + sum(x or 0 for x in more)
+
+
+def fitting(df: DataFrame, n_bytes: int) -> DataFrame:
+    """``df`` marked for broadcast if ``n_bytes``, counted before for all broadcasts of its plan, are at most ``MOST_BYTES``."""
+    return F.broadcast(df) if n_bytes <= MOST_BYTES else df
+
+
+def small(ids: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """A written table of rows of about ``row_bytes``, marked for broadcast if it has at most ``MOST_BYTES``."""
+    return fitting(ids, held(ids, row_bytes))
 
 
 def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
@@ -89,11 +100,16 @@ def crc_bucket(key: str, n: int) -> Column:
 
 
 _KEPT: dict[tuple, object] = {}
+_FROZEN: list[int] = []
 
 
 def _give_back() -> None:
     """Returns freed memory to the system, as far as the allocators can."""
     gc.collect()
+    if os.getpid() not in _FROZEN:
+        # what is there at a worker's first task, modules for the most part, stays: later collections need not look at it
+        _FROZEN[:] = [os.getpid()]
+        gc.freeze()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

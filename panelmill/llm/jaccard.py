@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apart, drop, free_worker, hash_spans, lower_ascii, mix, small, small_batches, stash, utf8, windows, word_spans
+from .common import apart, drop, fitting, free_worker, hash_spans, held, lower_ascii, mix, small, small_batches, stash, utf8, windows, word_spans
 
 #: Cells of a group (n2); bands of small sets have smaller groups.
 WIDE = 6
@@ -232,16 +232,17 @@ def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
 # --- components --------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(_id, _c): the smallest id that each endpoint of ``edges`` (_a, _b) reaches. Labels spread and jump in rounds; each round is a written table."""
+def components(edges: DataFrame, size: int) -> DataFrame:
+    """(_id, _c): the smallest id that each endpoint of ``edges`` (_a, _b) reaches. Labels spread and jump in rounds; each round is a
+    written table. ``size``: bytes of three tables of labels, at most."""
     both = stash(edges.select(F.col("_a").alias("_id"), F.col("_b").alias("_to")).unionByName(edges.select(F.col("_b").alias("_id"), F.col("_a").alias("_to"))).distinct(), "edges")
     labels = stash(both.groupBy("_id").agg(F.least(F.col("_id"), F.min("_to")).alias("_c")), "labels")
     while True:
         # the least label among the neighbours, then the label of that label
-        near = both.join(labels.withColumnRenamed("_id", "_to"), "_to").groupBy("_id").agg(F.min("_c").alias("_near"))
-        step = labels.join(near, "_id").select("_id", F.col("_c").alias("_old"), F.least("_c", "_near").alias("_c"))
+        near = both.join(fitting(labels.withColumnRenamed("_id", "_to"), size), "_to").groupBy("_id").agg(F.min("_c").alias("_near"))
+        step = near.join(fitting(labels, size), "_id").select("_id", F.col("_c").alias("_old"), F.least("_c", "_near").alias("_c"))
         jump = labels.select(F.col("_id").alias("_c"), F.col("_c").alias("_far"))
-        after = stash(step.join(jump, "_c", "left").select("_id", "_old", F.least("_c", "_far").alias("_c")), "labels")
+        after = stash(step.join(fitting(jump, size), "_c", "left").select("_id", "_old", F.least("_c", "_far").alias("_c")), "labels")
         drop(labels)
         labels = after
         if after.where("_c != _old").isEmpty():
@@ -249,28 +250,29 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("_id", "_c")
 
 
-def roots(parents: DataFrame) -> DataFrame:
-    """(_id, _c): the root above each id of a forest (_id, _parent; a root is its own parent), in rounds that double the reach."""
+def roots(parents: DataFrame, size: int) -> DataFrame:
+    """(_id, _c): the root above each id of a forest (_id, _parent; a root is its own parent), in rounds that double the reach.
+    ``size``: see ``components``."""
     labels = stash(parents.select("_id", F.col("_parent").alias("_c")), "labels")
     while True:
         above = labels.select(F.col("_id").alias("_c"), F.col("_c").alias("_up"))
-        after = stash(labels.join(above, "_c").select("_id", F.col("_c").alias("_old"), F.col("_up").alias("_c")), "labels")
+        after = stash(labels.join(fitting(above, size), "_c").select("_id", F.col("_c").alias("_old"), F.col("_up").alias("_c")), "labels")
         drop(labels)
         labels = after
         if after.where("_c != _old").isEmpty():
             return labels.select("_id", "_c")
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (_id, _c) after joining what ``links`` (_a, _b) connect: only edges between labels are spread."""
+def _merged(labels: DataFrame, links: DataFrame, size: int) -> DataFrame:
+    """``labels`` (_id, _c) after joining what ``links`` (_a, _b) connect: only edges between labels are spread. ``size``: see ``components``."""
     ends = links
     for side in ("_a", "_b"):
-        ends = ends.join(labels.select(F.col("_id").alias(side), F.col("_c").alias(f"_c{side}")), side)
+        ends = ends.join(fitting(labels.select(F.col("_id").alias(side), F.col("_c").alias(f"_c{side}")), size), side)
     ends = stash(ends.where("_c_a != _c_b").select(F.least("_c_a", "_c_b").alias("_a"), F.greatest("_c_a", "_c_b").alias("_b")).distinct(), "ends")
     if ends.isEmpty():
         return labels
-    new = components(ends).select(F.col("_id").alias("_c"), F.col("_c").alias("_new"))
-    return stash(labels.join(new, "_c", "left").select("_id", F.coalesce("_new", "_c").alias("_c")), "labels")
+    new = components(ends, size).select(F.col("_id").alias("_c"), F.col("_c").alias("_new"))
+    return stash(labels.join(fitting(new, size), "_c", "left").select("_id", F.coalesce("_new", "_c").alias("_c")), "labels")
 
 
 # --- candidates --------------------------------------------------------------
@@ -317,10 +319,11 @@ def _signatures(shared: DataFrame, profiles: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.flatten(F.transform("_all", subsets))).alias("_sig"), "_id", weight.alias("_w"))
 
 
-def _bounded(pairs: DataFrame, profiles: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` of ids with both sizes (``_n`` and the id's name) and ``_differ``: a lower bound of how many shingles they differ in."""
+def _bounded(pairs: DataFrame, profiles: DataFrame, a: str, b: str, size: int) -> DataFrame:
+    """``pairs`` of ids with both sizes (``_n`` and the id's name) and ``_differ``: a lower bound of how many shingles they differ in.
+    ``size``: bytes of two tables of parity bits."""
     for side in (a, b):
-        pairs = pairs.join(profiles.select(F.col("_id").alias(side), F.col("_n").alias(f"_n{side}"), F.col("_bits").alias(f"_bits{side}")), side)
+        pairs = pairs.join(fitting(profiles.select(F.col("_id").alias(side), F.col("_n").alias(f"_n{side}"), F.col("_bits").alias(f"_bits{side}")), size), side)
     half = lambda bits: F.shiftright(F.size(bits), 1)
     fold = lambda bits: F.zip_with(F.slice(bits, 1, half(bits)), F.slice(bits, half(bits) + 1, half(bits)), lambda x, y: x.bitwiseXOR(y))
     x, y = F.col(f"_bits{a}"), F.col(f"_bits{b}")
@@ -333,16 +336,18 @@ def _bounded(pairs: DataFrame, profiles: DataFrame, a: str, b: str) -> DataFrame
     return pairs.withColumn("_differ", F.when(alike, F.greatest(bits, by_size)).otherwise(by_size)).drop(f"_bits{a}", f"_bits{b}")
 
 
-def _compare(pairs: DataFrame, profiles: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The pairs (_a, _b) that link, as a written table: first by a lower bound of the distance, then by whole texts."""
-    pairs = _bounded(pairs, profiles, "_a", "_b")
+def _compare(pairs: DataFrame, profiles: DataFrame, n_words: int, percent: int, bits: int) -> DataFrame:
+    """The pairs (_a, _b) that link, as a written table: first by a lower bound of the distance, then by whole texts. ``bits``: see ``_bounded``."""
+    pairs = _bounded(pairs, profiles, "_a", "_b", bits)
     pairs = pairs.where(100 * F.least("_n_a", "_n_b") >= percent * F.greatest("_n_a", "_n_b"))
     near = stash(pairs.where((100 + percent) * F.col("_differ") <= (100 - percent) * (F.col("_n_a") + F.col("_n_b"))).select("_a", "_b"), "near")
-    if near.isEmpty():
+    size = 2 * held(near)
+    if not size:
         return near
-    texts = _among(profiles.select("_id", "text"), stash(near.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct(), "ids"))
-    for side in ("_a", "_b"):
-        near = near.join(texts.select(F.col("_id").alias(side), F.col("text").alias(f"_text{side}")), side)
+    # where the pairs are few they go to the texts, which are dealt by one of their ends alone
+    text_a, text_b = (profiles.select(F.col("_id").alias(side), F.col("text").alias(f"_text{side}")) for side in ("_a", "_b"))
+    text_b = text_b.join(fitting(near.select("_b"), size), "_b", "left_semi")
+    near = text_a.join(fitting(near, size), "_a").join(text_b, "_b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
@@ -419,8 +424,11 @@ def _candidates(met: DataFrame, percent: int) -> DataFrame:
 
 def _connect(rows: DataFrame, profiles: DataFrame, n_words: int, percent: int) -> DataFrame:
     """(_id, _c): sets with one _c are those that links connect. ``rows``: _sig, _id, _w."""
-    compare = lambda pairs: _compare(pairs, profiles, n_words, percent)
-    with_label = lambda df, side, name: df.join(labels.select(F.col("_id").alias(side), F.col("_c").alias(name)), side)
+    # a plan has three tables of a row a set at most, or two of parity bits
+    size = 3 * held(profiles.select("_id"))
+    bits = size + 2 * 8 * (profiles.agg(F.sum(F.size("_bits"))).first()[0] or 0)
+    compare = lambda pairs: _compare(pairs, profiles, n_words, percent, bits)
+    with_label = lambda df, side, name: df.join(fitting(labels.select(F.col("_id").alias(side), F.col("_c").alias(name)), size), side)
     pair = (F.least("_id", "_hub").alias("_a"), F.greatest("_id", "_hub").alias("_b"))
     labels = stash(profiles.select("_id", F.col("_id").alias("_c")), "labels")
     for turn in range(1, ROUNDS + 1):
@@ -434,45 +442,50 @@ def _connect(rows: DataFrame, profiles: DataFrame, n_words: int, percent: int) -
         best = met.groupBy("_id").agg(F.max(F.struct("_sigs", "_hub")).getField("_hub").alias("_hub"))
         best = stash(with_label(with_label(best, "_id", "_ci"), "_hub", "_ch").where("_ci != _ch").select("_id", "_hub", *pair), "best")
         linked = compare(best.select("_a", "_b"))
-        up = best.join(linked, ["_a", "_b"]).select("_id", F.col("_hub").alias("_parent"))
+        # at most a link a set
+        up = best.join(fitting(linked, size), ["_a", "_b"]).select("_id", F.col("_hub").alias("_parent"))
         if turn == 1:
-            labels = roots(labels.join(up, "_id", "left").select("_id", F.coalesce("_parent", "_id").alias("_parent")))
+            labels = roots(labels.join(fitting(up, size), "_id", "left").select("_id", F.coalesce("_parent", "_id").alias("_parent")), size)
         else:
-            labels = _merged(labels, linked)
+            labels = _merged(labels, linked, size)
         # then the other hubs, as far as sets are not connected with them
-        rest = with_label(with_label(met, "_id", "_ci"), "_hub", "_ch").where("_ci != _ch").join(best.select("_id", "_hub"), ["_id", "_hub"], "left_anti")
-        labels = _merged(labels, compare(rest.select(*pair).distinct()))
+        rest = with_label(with_label(met, "_id", "_ci"), "_hub", "_ch").where("_ci != _ch").join(fitting(best.select("_id", "_hub"), size), ["_id", "_hub"], "left_anti")
+        labels = _merged(labels, compare(rest.select(*pair).distinct()), size)
         # groups with a set that is not connected with the hub, and another that it could link with
         groups = stash(with_label(with_label(met, "_id", "_ci"), "_hub", "_ch").select("_id", "_hub", "_ci", (F.col("_ci") == F.col("_ch")).alias("_linked")), "groups")
         counts = groups.groupBy("_hub").agg(F.count("*").alias("_all"), F.count(F.when(~F.col("_linked"), 1)).alias("_loose")).where("_all > 1 and _loose > 0")
         counts = stash(counts, "counts")
-        few = groups.join(counts.where(F.col("_all") <= SMALL_GROUP).select("_hub"), "_hub", "left_semi")
+        if counts.isEmpty():
+            break
+        few = groups.join(fitting(counts.where(F.col("_all") <= SMALL_GROUP).select("_hub"), size), "_hub", "left_semi")
         one, other = few.where("not _linked").select("_hub", F.col("_id").alias("_x"), F.col("_ci").alias("_cx")), few.select(F.col("_hub").alias("_hub2"), F.col("_id").alias("_y"), F.col("_ci").alias("_cy"))
         pairs = one.join(other, (F.col("_hub") == F.col("_hub2")) & (F.col("_cx") != F.col("_cy"))).select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct()
-        labels = _merged(labels, compare(pairs))
+        labels = _merged(labels, compare(pairs), size)
         # large groups whose hubs are connected are one group around one of these hubs
-        crowds = groups.join(counts.where(F.col("_all") > SMALL_GROUP).select("_hub"), "_hub", "left_semi").select("_id", "_hub")
+        crowds = groups.join(fitting(counts.where(F.col("_all") > SMALL_GROUP).select("_hub"), size), "_hub", "left_semi").select("_id", "_hub")
         crowds = stash(with_label(crowds, "_hub", "_ch"), "crowds")
         if crowds.isEmpty():
             break
         centres = crowds.groupBy("_ch", "_hub").count().groupBy("_ch").agg(F.max(F.struct("count", "_hub")).getField("_hub").alias("_centre"))
-        places = stash(crowds.select("_hub", "_ch").distinct().join(centres, "_ch").select("_hub", "_centre"), "places")
-        inside = stash(crowds.join(places, "_hub").select("_id", "_hub", "_centre"), "inside")
+        places = stash(crowds.select("_hub", "_ch").distinct().join(fitting(centres, size), "_ch").select("_hub", "_centre"), "places")
+        inside = stash(crowds.join(fitting(places, size), "_hub").select("_id", "_hub", "_centre"), "inside")
         members = stash(inside.select("_id", "_centre").where("_id != _centre").distinct(), "members")
         loose = with_label(with_label(members, "_id", "_ci"), "_centre", "_cc").where("_ci != _cc")
-        labels = _merged(labels, compare(loose.select(F.least("_id", "_centre").alias("_a"), F.greatest("_id", "_centre").alias("_b")).distinct()))
+        labels = _merged(labels, compare(loose.select(F.least("_id", "_centre").alias("_a"), F.greatest("_id", "_centre").alias("_b")).distinct()), size)
         members = with_label(with_label(members, "_id", "_ci"), "_centre", "_cc").select("_id", F.col("_centre").alias("_hub"), (F.col("_ci") == F.col("_cc")).alias("_linked"))
         left = members.groupBy("_hub").agg(F.count("*").alias("_all"), F.count(F.when(~F.col("_linked"), 1)).alias("_loose")).where("_all > 1 and _loose > 0")
         many = stash(members.join(left.select("_hub"), "_hub", "left_semi"), "many")
+        if many.isEmpty():
+            break
         # what is too far from the hub for its differences to tell goes on to the next round, without its set
-        bound = stash(_bounded(many, profiles, "_id", "_hub").withColumn("_is_far", (200 - NEAR) * F.col("_differ") > NEAR * (F.col("_n_id") + F.col("_n_hub"))).select("_id", "_hub", "_linked", "_is_far"), "bound")
+        bound = stash(_bounded(many, profiles, "_id", "_hub", bits).withColumn("_is_far", (200 - NEAR) * F.col("_differ") > NEAR * (F.col("_n_id") + F.col("_n_hub"))).select("_id", "_hub", "_linked", "_is_far"), "bound")
         close = bound if turn == ROUNDS else bound.where("not _is_far")
         wanted = stash(close.select("_id").unionByName(close.select(F.col("_hub").alias("_id"))).distinct(), "wanted")
         sets = stash(_sets(_among(profiles.select("_id", "text"), wanted), n_words), "sets")
         beside = close.drop("_is_far").join(sets, "_id").join(sets.select(F.col("_id").alias("_hub"), F.col("_set").alias("_cset")), "_hub")
         spaces = stash(_spaces(beside, percent, turn == ROUNDS), "spaces")
         drop(sets)
-        labels = _merged(labels, compare(_candidates(spaces.where("space >= 0"), percent)))
+        labels = _merged(labels, compare(_candidates(spaces.where("space >= 0"), percent)), size)
         if turn == ROUNDS:
             break
         far = stash(spaces.where("space = -1").select("_id", "_hub").unionByName(bound.where("_is_far").select("_id", "_hub")).withColumnRenamed("_hub", "_centre"), "far")
@@ -482,7 +495,7 @@ def _connect(rows: DataFrame, profiles: DataFrame, n_words: int, percent: int) -
         # only rows of a far set whose hub stands for its group go on; set and hub are looked up together, as far sets stand in
         # many other buckets and these hubs' buckets hold many other sets
         own = inside.unionByName(places.select(F.col("_hub").alias("_id"), "_hub", "_centre"))
-        onward = stash(own.join(far, ["_id", "_centre"], "left_semi").select("_id", "_hub"), "onward")
+        onward = stash(own.join(small(far), ["_id", "_centre"], "left_semi").select("_id", "_hub"), "onward")
         rows = stash(around.join(small(onward), ["_id", "_hub"], "left_semi").drop("_hub"), "rows")
         drop(around)
     drop(around)

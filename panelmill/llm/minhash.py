@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, free_worker, mix, own_name, small_batches, stash, without
+from .common import drop, free_worker, mix, own_name, small, small_batches, stash, without
 from .jaccard import _among, _connect, _lists, _parity, _type, shingle_sets
 
 #: How often, about, two sets at the least similarity agree on a band; and how often they may share no bucket.
@@ -126,15 +126,16 @@ def _profiles(df: DataFrame, n_words: int) -> DataFrame:
     return df.mapInArrow(run, f"_id {_type(df)}, text string, _n int, _bits array<long>")
 
 
-def _bucket_rows(sets: DataFrame) -> DataFrame:
-    """(_sig, _id, _w) of buckets with two sets or more, from (_id, _sigs); _w: how many sets stand in a set's buckets. A written table."""
+def _bucket_rows(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_sig, _id, _w) of buckets with two sets or more, from (_id, _sigs); _w: how many sets stand in a set's buckets; and the _id of
+    those sets. Written tables."""
     rows = sets.select(F.explode("_sigs").alias("_sig"), "_id")
     sizes = rows.groupBy("_sig").count().where("count > 1")
     shared = stash(rows.join(sizes, "_sig"), "shared")
-    weights = shared.groupBy("_id").agg(F.sum("count").alias("_w"))
-    out = stash(shared.join(weights, "_id").select("_sig", "_id", "_w"), "buckets")
+    weights = stash(shared.groupBy("_id").agg(F.sum("count").alias("_w")), "weights")
+    out = stash(shared.join(small(weights), "_id").select("_sig", "_id", "_w"), "buckets")
     drop(shared)
-    return out
+    return out, weights.select("_id")
 
 
 def near_duplicates(df: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,19 +144,19 @@ def near_duplicates(df: DataFrame, n_words: int = 5, percent: int = 80, id_col:
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     described = stash(_describe(texts, n_words, percent), "described")
     keys = ["n_shingles", "_k1", "_k2"]
-    # equal sets have equal buckets
-    nodes = stash(described.where("n_shingles > 0").groupBy(*keys).agg(F.min("_id").alias("_node"), F.first("_sigs").alias("_sigs")), "nodes")
-    rows = _bucket_rows(nodes.select(F.col("_node").alias("_id"), "_sigs"))
-    ids = stash(rows.select("_id").distinct(), "ids")
+    # equal sets have equal buckets: those of one stand for all, and no list of buckets is shuffled
+    nodes = stash(described.where("n_shingles > 0").groupBy(*keys).agg(F.min("_id").alias("_node")), "nodes")
     repeated = described.select("_id").distinct().count() < described.count()
+    firsts = _among(described.select("_id", "_sigs"), nodes.select(F.col("_node").alias("_id")))
+    rows, ids = _bucket_rows(firsts.dropDuplicates(["_id"]) if repeated else firsts)
     wanted = _among(texts, ids)
     profiles = stash(_profiles(wanted.dropDuplicates(["_id"]) if repeated else wanted, n_words), "profiles")
     labels = _connect(rows, profiles, n_words, percent)
-    for done in (rows, profiles, ids):
+    for done in (rows, profiles):
         drop(done)
     least = labels.groupBy("_c").agg(F.min("_id").alias("_least"))
     found = labels.join(least, "_c").select(F.col("_id").alias("_node"), "_least")
-    whole = described.select("_id", *keys).join(nodes.drop("_sigs"), keys, "left").join(found, "_node", "left")
+    whole = described.select("_id", *keys).join(nodes, keys, "left").join(found, "_node", "left")
     component = F.coalesce("_least", "_node", "_id")
     return whole.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept"))
 

@@ -68,6 +68,23 @@ def test_later_rounds_look_up_set_and_hub_at_once(make, monkeypatch):
     assert plans and all([("_id" in x, "_hub" in x) for x in plan.split("\n") if "Join" in x] == [(True, True)] for plan in plans)
 
 
+def test_labels_of_few_sets_are_not_shuffled(make, monkeypatch):
+    """Joins with a row a set are broadcasts while a count allows it: with many partitions each shuffle costs seconds."""
+    joins = []
+    real = jaccard.stash
+
+    def noting(df, name):
+        if name in ("best", "groups", "near", "labels"):
+            joins.extend(x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x)
+        return real(df, name)
+
+    monkeypatch.setattr(jaccard, "stash", noting)
+    texts = list(family(random.Random(9), 8, 60, 2))
+    assert got(make(texts), 3, 85) == want(texts, 3, 85)
+    hinted = [x for x in joins if "strategy=broadcast" in x]
+    assert hinted and all("strategy=broadcast" in x or "_hub2" in x for x in joins)
+
+
 def test_star_edges_are_linear(make, monkeypatch):
     """A group of near copies costs about one comparison a text, not one a pair."""
     compared = []
