@@ -25,7 +25,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import Memo, own_name, hash_spans, mix, small_batches, utf8, worker_cache
+from .common import AgedMemo, own_name, hash_spans, mix, small_batches, utf8, worker_cache
+
+#: Bytes that a worker's memory of words, and that of pieces between spaces, may take.
+MEMO_BYTES = 80 << 20
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -132,10 +135,11 @@ class Codec:
         space = r"\p{White_Space}"
         self.find = regex.compile(pattern.replace(r"\s", space).replace(r"\S", space.replace("p", "P", 1))).findall
         self.cut = regex.compile(rf"(?= \P{{White_Space}})", regex.V1).split
-        self.words, self.memo = Memo(), Memo()
+        # of two ages, so rare words do not push out frequent ones
+        self.words, self.memo = AgedMemo(MEMO_BYTES), AgedMemo(MEMO_BYTES)
 
     def _resolve(self, words: set[str]) -> None:
-        words = [w for w in words if w not in self.words.known]
+        words = self.words.missing(words)
         if not words:
             return
         raw = [w.encode() for w in words]
@@ -158,7 +162,7 @@ class Codec:
         missing: set[str] = set()
         for pieces in cut:
             missing.update(set(pieces[1:]).difference(memo))
-        self.memo.learn(self._learn(missing, " ").items())
+        self.memo.learn(self._learn(set(self.memo.missing(missing)), " ").items())
         heads = self._learn({pieces[0] for pieces in cut}, "")
         out = []
         for t, pieces in zip(texts, cut):

@@ -239,6 +239,18 @@ def test_frequent_words_outlast_rare_ones():
     assert asked.count(b"often") == 1 and len(asked) == 401 and len(memo.known) + len(memo.old) < 40
 
 
+@pytest.mark.parametrize("most", (4_000, 1 << 20))
+def test_frequent_words_are_merged_once(monkeypatch, most):
+    """Rare words that fill the codec's memory do not push out frequent ones; ids stay those of tiktoken."""
+    codec, asked, merge = bpe.Codec(CODEC.table, P.PATTERN), [], bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda word, rank: asked.append(word) or merge(word, rank))
+    codec.words.most = codec.memo.most = most
+    texts = [f"xqzoftenq xqzoftenq, xqz{i}vw  zqx{i}" for i in range(200)]
+    coded = [codec.encode_texts([t])[0] for t in texts]
+    assert [ids(c) for c in coded] == [TIKTOKEN.encode_ordinary(t) for t in texts]
+    assert asked.count(b" xqzoftenq") == 1
+
+
 def test_plain_words_by_the_model_alone():
     """Every letter of Latin-1 in every place, repeated letters, and long words, as the whole library has them."""
     letters = [chr(c) for c in (*range(97, 123), *range(0xC0, 0x100))]
