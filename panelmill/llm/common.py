@@ -10,7 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,19 +32,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+def _strings(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read and no earlier stage runs twice.
+    This cuts the lineage: a lost executor costs a re-read and no earlier stage runs twice. Rows and bytes of strings are counted while
+    it is written, so ``rows`` and ``held`` start no job for it: a job's plan, task and broadcasts all pass the driver's memory.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    counts = Observation()
+    df.observe(counts, F.count("*").alias("rows"), *[x.alias(f"bytes{i}") for i, x in enumerate(_bytes(df))]).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
+    out._stash_path, out._stash_counts = path, counts
     return out
 
 
+def _bytes(df: DataFrame) -> list[Column]:
+    """Sums of the bytes of each column of strings."""
+    return [F.sum(F.octet_length(F.col(f"`{f.name}`"))) for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+
+
+def rows(table: DataFrame) -> int:
+    """The number of rows of a table that ``stash`` returned."""
+    return table._stash_counts.get["rows"]
+
+
 def drop(df: DataFrame) -> None:
     """Delete the table behind a DataFrame that ``stash`` returned; no lazy plan may still need it."""
     path = getattr(df, "_stash_path", None)
@@ -62,9 +78,12 @@ ROW_BYTES = 64
 
 def held(ids: DataFrame, row_bytes: int = ROW_BYTES) -> int:
     """Bytes that a written table of rows of about ``row_bytes`` takes in a broadcast: counted, not guessed."""
-    strings = [F.sum(F.octet_length(f.name)) for f in ids.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    rows, *more = ids.agg(F.count("*"), *strings).first()
-    return rows * row_bytes + sum(x or 0 for x in more)
+    if hasattr(ids, "_stash_counts"):
+        counts = ids._stash_counts.get
+        n, strings = counts["rows"], [x for name, x in counts.items() if name != "rows"]
+    else:
+        n, *strings = ids.agg(F.count("*"), *_bytes(ids)).first()
+    return n * row_bytes + sum(x or 0 for x in strings)
 
 
 def fitting(df: DataFrame, n_bytes: int) -> DataFrame:

@@ -34,10 +34,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import apart, drop, fitting, free_worker, hash_spans, held, lower_ascii, mix, small, small_batches, stash, utf8, windows, word_spans
+from .common import apart, drop, fitting, free_worker, hash_spans, held, lower_ascii, mix, rows as rows_of, small, small_batches, stash, utf8, windows, word_spans
 
 #: Cells of a group (n2); bands of small sets have smaller groups.
 WIDE = 6
@@ -242,10 +242,12 @@ def components(edges: DataFrame, size: int) -> DataFrame:
         near = both.join(fitting(labels.withColumnRenamed("_id", "_to"), size), "_to").groupBy("_id").agg(F.min("_c").alias("_near"))
         step = near.join(fitting(labels, size), "_id").select("_id", F.col("_c").alias("_old"), F.least("_c", "_near").alias("_c"))
         jump = labels.select(F.col("_id").alias("_c"), F.col("_c").alias("_far"))
-        after = stash(step.join(fitting(jump, size), "_c", "left").select("_id", "_old", F.least("_c", "_far").alias("_c")), "labels")
+        moved = Observation()
+        after = step.join(fitting(jump, size), "_c", "left").select("_id", "_old", F.least("_c", "_far").alias("_c"))
+        after = stash(after.observe(moved, F.count_if(F.col("_c") != F.col("_old")).alias("n")), "labels")
         drop(labels)
         labels = after
-        if after.where("_c != _old").isEmpty():
+        if not moved.get["n"]:
             drop(both)
             return labels.select("_id", "_c")
 
@@ -256,10 +258,12 @@ def roots(parents: DataFrame, size: int) -> DataFrame:
     labels = stash(parents.select("_id", F.col("_parent").alias("_c")), "labels")
     while True:
         above = labels.select(F.col("_id").alias("_c"), F.col("_c").alias("_up"))
-        after = stash(labels.join(fitting(above, size), "_c").select("_id", F.col("_c").alias("_old"), F.col("_up").alias("_c")), "labels")
+        moved = Observation()
+        after = labels.join(fitting(above, size), "_c").select("_id", F.col("_c").alias("_old"), F.col("_up").alias("_c"))
+        after = stash(after.observe(moved, F.count_if(F.col("_c") != F.col("_old")).alias("n")), "labels")
         drop(labels)
         labels = after
-        if after.where("_c != _old").isEmpty():
+        if not moved.get["n"]:
             return labels.select("_id", "_c")
 
 
@@ -269,7 +273,7 @@ def _merged(labels: DataFrame, links: DataFrame, size: int) -> DataFrame:
     for side in ("_a", "_b"):
         ends = ends.join(fitting(labels.select(F.col("_id").alias(side), F.col("_c").alias(f"_c{side}")), size), side)
     ends = stash(ends.where("_c_a != _c_b").select(F.least("_c_a", "_c_b").alias("_a"), F.greatest("_c_a", "_c_b").alias("_b")).distinct(), "ends")
-    if ends.isEmpty():
+    if not rows_of(ends):
         return labels
     new = components(ends, size).select(F.col("_id").alias("_c"), F.col("_c").alias("_new"))
     return stash(labels.join(fitting(new, size), "_c", "left").select("_id", F.coalesce("_new", "_c").alias("_c")), "labels")
@@ -436,11 +440,13 @@ def _connect(rows: DataFrame, profiles: DataFrame, n_words: int, percent: int) -
         hubs = rows.groupBy("_sig").agg(hub.getField("_id").alias("_hub"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
         around = stash(rows.join(hubs, "_sig"), "around")
         met = stash(around.where("_id != _hub").groupBy("_id", "_hub").agg(F.count("*").alias("_sigs")), "met")
-        if met.isEmpty():
+        if not rows_of(met):
             break
         # each set with the hub it shares most signatures with; a hub outranks its sets, so these links make a forest
         best = met.groupBy("_id").agg(F.max(F.struct("_sigs", "_hub")).getField("_hub").alias("_hub"))
-        best = stash(with_label(with_label(best, "_id", "_ci"), "_hub", "_ch").where("_ci != _ch").select("_id", "_hub", *pair), "best")
+        if turn > 1:  # at first each set is on its own
+            best = with_label(with_label(best, "_id", "_ci"), "_hub", "_ch").where("_ci != _ch")
+        best = stash(best.select("_id", "_hub", *pair), "best")
         linked = compare(best.select("_a", "_b"))
         # at most a link a set
         up = best.join(fitting(linked, size), ["_a", "_b"]).select("_id", F.col("_hub").alias("_parent"))
@@ -455,7 +461,7 @@ def _connect(rows: DataFrame, profiles: DataFrame, n_words: int, percent: int) -
         groups = stash(with_label(with_label(met, "_id", "_ci"), "_hub", "_ch").select("_id", "_hub", "_ci", (F.col("_ci") == F.col("_ch")).alias("_linked")), "groups")
         counts = groups.groupBy("_hub").agg(F.count("*").alias("_all"), F.count(F.when(~F.col("_linked"), 1)).alias("_loose")).where("_all > 1 and _loose > 0")
         counts = stash(counts, "counts")
-        if counts.isEmpty():
+        if not rows_of(counts):
             break
         few = groups.join(fitting(counts.where(F.col("_all") <= SMALL_GROUP).select("_hub"), size), "_hub", "left_semi")
         one, other = few.where("not _linked").select("_hub", F.col("_id").alias("_x"), F.col("_ci").alias("_cx")), few.select(F.col("_hub").alias("_hub2"), F.col("_id").alias("_y"), F.col("_ci").alias("_cy"))
@@ -464,7 +470,7 @@ def _connect(rows: DataFrame, profiles: DataFrame, n_words: int, percent: int) -
         # large groups whose hubs are connected are one group around one of these hubs
         crowds = groups.join(fitting(counts.where(F.col("_all") > SMALL_GROUP).select("_hub"), size), "_hub", "left_semi").select("_id", "_hub")
         crowds = stash(with_label(crowds, "_hub", "_ch"), "crowds")
-        if crowds.isEmpty():
+        if not rows_of(crowds):
             break
         centres = crowds.groupBy("_ch", "_hub").count().groupBy("_ch").agg(F.max(F.struct("count", "_hub")).getField("_hub").alias("_centre"))
         places = stash(crowds.select("_hub", "_ch").distinct().join(fitting(centres, size), "_ch").select("_hub", "_centre"), "places")
@@ -475,7 +481,7 @@ def _connect(rows: DataFrame, profiles: DataFrame, n_words: int, percent: int) -
         members = with_label(with_label(members, "_id", "_ci"), "_centre", "_cc").select("_id", F.col("_centre").alias("_hub"), (F.col("_ci") == F.col("_cc")).alias("_linked"))
         left = members.groupBy("_hub").agg(F.count("*").alias("_all"), F.count(F.when(~F.col("_linked"), 1)).alias("_loose")).where("_all > 1 and _loose > 0")
         many = stash(members.join(left.select("_hub"), "_hub", "left_semi"), "many")
-        if many.isEmpty():
+        if not rows_of(many):
             break
         # what is too far from the hub for its differences to tell goes on to the next round, without its set
         bound = stash(_bounded(many, profiles, "_id", "_hub", bits).withColumn("_is_far", (200 - NEAR) * F.col("_differ") > NEAR * (F.col("_n_id") + F.col("_n_hub"))).select("_id", "_hub", "_linked", "_is_far"), "bound")
@@ -490,7 +496,7 @@ def _connect(rows: DataFrame, profiles: DataFrame, n_words: int, percent: int) -
             break
         far = stash(spaces.where("space = -1").select("_id", "_hub").unionByName(bound.where("_is_far").select("_id", "_hub")).withColumnRenamed("_hub", "_centre"), "far")
         drop(spaces)
-        if far.isEmpty():
+        if not rows_of(far):
             break
         # only rows of a far set whose hub stands for its group go on; set and hub are looked up together, as far sets stand in
         # many other buckets and these hubs' buckets hold many other sets
@@ -509,8 +515,8 @@ def join(df: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_
     keys = ["n_shingles", "_k1", "_k2"]
     nodes = stash(described.where("n_shingles > 0").groupBy(*keys).agg(F.min("_id").alias("_node")), "nodes")
     firsts = stash(nodes.select(F.col("_node").alias("_id")), "firsts")
-    sampled = F.pmod(F.xxhash64("_id"), F.lit(max(1, firsts.count() // HOT_SAMPLE))) == 0
-    repeated = described.select("_id").distinct().count() < described.count()
+    sampled = F.pmod(F.xxhash64("_id"), F.lit(max(1, rows_of(firsts) // HOT_SAMPLE))) == 0
+    repeated = described.select("_id").distinct().count() < rows_of(described)
     once = lambda rows: rows.dropDuplicates(["_id"]) if repeated else rows
     narrow = once(described.select("_id", "_band0", "_need0", "_band1", "_need1"))
     cells = lambda rows: once(_among(rows, firsts)).mapInArrow(_cell_rows(n_words, percent), f"_cell long, _id {_type(texts)}")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, free_worker, mix, own_name, small, small_batches, stash, without
+from .common import drop, free_worker, mix, own_name, rows as rows_of, small, small_batches, stash, without
 from .jaccard import _among, _connect, _lists, _parity, _type, shingle_sets
 
 #: How often, about, two sets at the least similarity agree on a band; and how often they may share no bucket.
@@ -146,7 +146,7 @@ def near_duplicates(df: DataFrame, n_words: int = 5, percent: int = 80, id_col:
     keys = ["n_shingles", "_k1", "_k2"]
     # equal sets have equal buckets: those of one stand for all, and no list of buckets is shuffled
     nodes = stash(described.where("n_shingles > 0").groupBy(*keys).agg(F.min("_id").alias("_node")), "nodes")
-    repeated = described.select("_id").distinct().count() < described.count()
+    repeated = described.select("_id").distinct().count() < rows_of(described)
     firsts = _among(described.select("_id", "_sigs"), nodes.select(F.col("_node").alias("_id")))
     rows, ids = _bucket_rows(firsts.dropDuplicates(["_id"]) if repeated else firsts)
     wanted = _among(texts, ids)

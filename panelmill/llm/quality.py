@@ -30,11 +30,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import apart, free_worker, hash_spans, mix, small, small_batches, stash, utf8, windows, word_spans
+from .common import apart, fitting, free_worker, hash_spans, held, mix, rows, small, small_batches, stash, utf8, windows, word_spans
 
 WINDOW = 8
 #: A group has settled when a step lowers the log determinant of its scatter by no more than this; it is bounded below, so all do.
@@ -247,25 +247,27 @@ def estimates(stats: DataFrame) -> DataFrame:
     no = F.array().cast("array<double>")
 
     def scaled(fitted: DataFrame) -> DataFrame:
-        middle = _reached(binned(fitted), GROUP, "_b", F.ceil(F.col("_all") / 2), "_middle")
+        middle = _reached(binned(fitted, fitted), GROUP, "_b", F.ceil(F.col("_all") / 2), "_middle")
         # a scale below 1 would only sharpen the cutoff where the floors rule the scatter
         scale = F.greatest(F.exp((F.col("_middle") + 1) / 20.0) / MEDIAN, F.lit(1.0))
         return stash(fitted.join(middle, GROUP).select(*GROUP, "mean", "factor", scale.alias("scale")), "scaled")
 
-    # a row of 42 numbers for a group and start: broadcast only up to a bound
-    binned = lambda fitted: fits.join(small(fitted, 600), GROUP).withColumn("_b", F.floor(20 * F.log(_squared_distance() + 1e-9)))
+    # a row of 42 numbers for a group and start: broadcast only up to a bound, by what the written table that they are of takes
+    binned = lambda fitted, table: fits.join(fitting(fitted, held(table, 600)), GROUP).withColumn("_b", F.floor(20 * F.log(_squared_distance() + 1e-9)))
     # a start is no estimate from a half, so any first step is better
     worst = F.lit(float("inf"))
     starts = _start(fits).withColumn("g_start", F.lit(0)).unionByName(_moments(fits.withColumn("g_start", F.lit(1)), F.lit(1.0)).where(F.col("n") >= LEAST))
     begun = starts.withColumns({"old_mean": no, "old_factor": no, "before": worst})
-    moving = stash(begun.mapInArrow(_factor(1.0), _FITTED), "fitted").withColumn("logdet", worst)
+    stepped = stash(begun.mapInArrow(_factor(1.0), _FITTED), "fitted")
+    moving, n_moving = stepped.withColumn("logdet", worst), rows(stepped)
     settled: list[DataFrame] = []
-    while not moving.isEmpty():
-        moments = _nearer_half(binned(moving), keys)
+    while n_moving:
+        moments = _nearer_half(binned(moving, stepped), keys)
         old = moving.select(*keys, F.col("mean").alias("old_mean"), F.col("factor").alias("old_factor"), F.col("logdet").alias("before"))
-        stepped = stash(moments.join(old, keys).mapInArrow(_factor(CONSISTENT), _FITTED), "fitted")
+        moved = Observation()
+        stepped = stash(moments.join(old, keys).mapInArrow(_factor(CONSISTENT), _FITTED).observe(moved, F.count_if("moved").alias("n")), "fitted")
         settled.append(stepped.where(~F.col("moved")))
-        moving = stepped.where("moved")
+        moving, n_moving = stepped.where("moved"), moved.get["n"]
     ended = reduce(DataFrame.unionAll, settled, moving)
     fitted = ended.groupBy(*GROUP).agg(F.min(F.struct("logdet", "g_start", "mean", "factor")).alias("_f")).select(*GROUP, "_f.g_start", "_f.mean", "_f.factor")
     raw = scaled(stash(fitted, "fitted"))

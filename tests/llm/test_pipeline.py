@@ -74,3 +74,24 @@ def test_values_of_clashing_columns_pass(spark, make, name):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_a_written_table_is_counted_once(spark, make):
+    """Rows, bytes for a broadcast, and whether anything moved are known from the writing: each job passes the driver's memory."""
+    from panelmill.llm import common, jaccard
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("written", "written")
+    try:
+        table, none = stash(make(["é", None, "abc"]).select("doc_id", "text"), "t"), stash(make([]).select("doc_id", "text"), "t")
+        before = len(tracker.getJobIdsForGroup("written"))
+        assert (common.rows(table), common.held(table, 10), common.rows(none), common.held(none)) == (3, 35, 0, 0)
+        common.small(table)
+        assert len(tracker.getJobIdsForGroup("written")) == before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert common.held(table.where("doc_id < 2"), 10) == 22
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 9)] + [(20, 21)], "_a long, _b long")
+    assert dict(jaccard.components(edges, 0).collect()) == {i: 1 for i in range(1, 10)} | {20: 20, 21: 20}
+    chain = spark.createDataFrame([(i, max(1, i - 1)) for i in range(1, 12)], "_id long, _parent long")
+    assert dict(jaccard.roots(chain, 0).collect()) == {i: 1 for i in range(1, 12)}
