@@ -28,10 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apart, drop, free_worker, hash_spans, lower_ascii, mix, small_batches, stash, utf8
+from .common import apart, drop, free_worker, give_back, hash_spans, lower_ascii, mix, small_batches, stash, utf8
 
 #: Words of a shard: the larger, the fewer rows for a phrase; a word takes about 100 bytes of a worker's memory.
 SHARD_WORDS = 500_000
+#: Bytes of text that are taken apart at once; hashing takes about 50 bytes of memory for each.
+BATCH_BYTES = 1 << 18
 #: The most bytes of the filter that is sent to the workers, and its bits and probes for a key.
 FILTER_BYTES, BITS, PROBES = 32 << 20, 16, 3
 #: Parts of a language of which the first ``top`` phrases are found apart.
@@ -61,30 +63,39 @@ def _words(batch: pa.RecordBatch):
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
     last = np.flatnonzero(np.diff(piece, append=-1))  # the last word of each piece
-    room = last[np.searchsorted(last, np.arange(len(starts)))] - np.arange(len(starts)) + 1
+    room = (last[np.searchsorted(last, np.arange(len(starts)))] - np.arange(len(starts)) + 1).astype(np.int32)
     row = np.searchsorted(at, starts, "right") - 1
     return buf, starts, ends, room, hash_spans(buf, starts, ends), row
 
 
 def shards(batches: Iterable[pa.RecordBatch], most: int | None = None) -> Iterator[Shard]:
     """Shards of about ``most`` words from batches with columns text and lang."""
-    parts, langs, held, size = [], {}, 0, 0
+    parts, langs, held, size = [[] for _ in Shard._fields[:-1]], {}, 0, 0
     most = most or SHARD_WORDS
 
     def joined() -> Shard:
-        return Shard(*(np.concatenate(x) for x in zip(*parts)), list(langs))
-
-    for batch in small_batches(batches, "text", 1 << 20):
+        """The shard; its parts go column by column, so that they are not there beside it while it is used."""
+        nonlocal langs, held, size
+        columns = []
+        for part in parts:
+            columns.append(np.concatenate(part))
+            part.clear()
+        names, langs, held, size = list(langs), {}, 0, 0
+        return Shard(*columns, names)
+
+    for batch in small_batches(batches, "text", BATCH_BYTES):
         buf, starts, ends, room, hashes, row = _words(batch)
         names = batch.column("lang").fill_null("und").dictionary_encode()
         code = np.array([langs.setdefault(x, len(langs)) for x in names.dictionary.to_pylist()], np.int32)
         seed = hash_spans(*(lambda b, o: (b, o[:-1], o[1:]))(*utf8(names.dictionary)))
         own = np.asarray(names.indices)[row]
-        parts.append((buf, starts + size, ends + size, room, mix(hashes + mix(seed + np.uint64(0x2545F4914F6CDD1D))[own]), code[own]))
+        for part, x in zip(parts, (buf, starts + size, ends + size, room, mix(hashes + mix(seed + np.uint64(0x2545F4914F6CDD1D))[own]), code[own])):
+            part.append(x)
         held, size = held + len(starts), size + len(buf)
+        del batch, buf, starts, ends, room, hashes, row, own, part, x
         if held >= most:
             yield joined()
-            parts, langs, held, size = [], {}, 0, 0
+            give_back()
     if held:
         yield joined()
 
@@ -204,20 +215,28 @@ def _phrase_counts(words, max_words: int):
                 for i in range(k - 1):
                     use = alive[at + i]
                     at, counts = at[use], counts[use]
-                parts = [spelled.take(pa.array(ids[at + i])) for i in range(k)]
-                phrase = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
-                yield from _sliced([langs.take(pa.array(shard.lang[at])), phrase, pa.array(np.full(len(at), k, np.int8)), pa.array(counts.astype(np.int64))], ["lang", "phrase", "_k", "_n"], 20_000)
+                for some in range(0, len(at), 20_000):
+                    where, n = at[some : some + 20_000], counts[some : some + 20_000]
+                    parts = [spelled.take(pa.array(ids[where + i])) for i in range(k)]
+                    phrase = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(shard.lang[where])), phrase, pa.array(np.full(len(where), k, np.int8)), pa.array(n.astype(np.int64))], ["lang", "phrase", "_k", "_n"])
 
     return run
 
 
+def summed(counted: DataFrame, *keys: str) -> DataFrame:
+    """Sums ``a`` of the counts _n by key. Rows are dealt out first: a shard has a key once, so a hash table of a task's keys, beside its
+    Python worker, would merge only what a task's few shards have in common (a fifth of pairs, two fifths of words and phrases)."""
+    return counted.repartition(*keys).groupBy(*keys).agg(F.sum("_n").alias("a"))
+
+
 def phrase_counts(texts: DataFrame, max_words: int, least: int) -> DataFrame:
     """(lang, phrase, _k, a): all words, and all phrases of 2 to ``max_words`` words that stand there ``least`` times; a written table."""
-    pairs = texts.mapInArrow(_pair_counts, "_h long, _n int").groupBy("_h").agg(F.sum("_n").alias("_n"))
-    keys = stash(pairs.where(F.col("_n") >= least).select("_h"), "pairs")
+    pairs = summed(texts.mapInArrow(_pair_counts, "_h long, _n int"), "_h")
+    keys = stash(pairs.where(F.col("a") >= least).select("_h"), "pairs")
     words = texts.sparkSession.sparkContext.broadcast(_filter(keys))
     counted = texts.mapInArrow(_phrase_counts(words, max_words), "lang string, phrase string, _k byte, _n long")
-    found = stash(counted.groupBy("lang", "phrase", "_k").agg(F.sum("_n").alias("a")).where((F.col("_k") == 1) | (F.col("a") >= least)), "phrases")
+    found = stash(summed(counted, "lang", "phrase", "_k").where((F.col("_k") == 1) | (F.col("a") >= least)), "phrases")
     drop(keys)
     return found
 

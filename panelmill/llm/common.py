@@ -122,7 +122,7 @@ _KEPT: dict[tuple, object] = {}
 _FROZEN: list[int] = []
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system, as far as the allocators can."""
     gc.collect()
     if os.getpid() not in _FROZEN:
@@ -139,7 +139,7 @@ def _give_back() -> None:
 def free_worker() -> None:
     """Lets go what an earlier stage left in this worker."""
     _KEPT.clear()
-    _give_back()
+    give_back()
 
 
 def worker_cache(*key, make):
@@ -283,4 +283,4 @@ def small_batches(batches, column: str = "text", most_bytes: int = 4 << 20):
             at = to
         del batch
         pa.default_memory_pool().release_unused()
-    _give_back()
+    give_back()

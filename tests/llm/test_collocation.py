@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 import re
+import weakref
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -106,3 +108,37 @@ def test_suffix_order_and_common_prefixes(depth):
         at, counts = collocation.intervals(room, order, common, k)
         grams = Counter(tuple(ids[i : i + k]) for i in range(400) if room[i] >= k)
         assert {tuple(ids[i : i + k]): n for i, n in zip(at, counts)} == grams
+
+
+def test_no_hash_table_of_a_task_beside_its_worker(spark):
+    """Rows of the workers go to the shuffle as they are; what holds a hash table comes after it."""
+    counted = spark.createDataFrame([(7, 1), (7, 2), (8, 1)], "_h long, _n int")
+    summed = collocation.summed(counted, "_h")
+    plan = summed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" in plan.split("Exchange")[0] and "Aggregate" not in plan.split("Exchange")[1]
+    assert {tuple(r) for r in summed.collect()} == {(7, 3), (8, 1)}
+
+
+def test_both_passes_deal_rows_out_before_they_are_summed(spark, monkeypatch):
+    keys = []
+    monkeypatch.setattr(collocation, "summed", lambda df, *by, f=collocation.summed: (keys.append(by), f(df, *by))[1])
+    data = [*corpus(4, 60)]
+    assert got(spark, data, least=5) == brute(data, 3, 5, 2000)
+    assert keys == [("_h",), ("lang", "phrase", "_k")]
+
+
+def test_parts_of_a_shard_go_before_it_is_used(monkeypatch):
+    alive, words = [], collocation._words
+
+    def followed(batch):
+        found = words(batch)
+        alive.extend(weakref.ref(x) for x in found)
+        return found
+
+    monkeypatch.setattr(collocation, "_words", followed)
+    batch = pa.RecordBatch.from_pydict({"text": ["one two three four. five"] * 30, "lang": ["en", None, "de"] * 10})
+    n = 0
+    for shard in collocation.shards([batch] * 4, 150):
+        assert alive and not any(x() is not None for x in alive)
+        n += len(shard.starts)
+    assert n == 4 * 30 * 5
