@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +37,8 @@ SHARD_WORDS = 500_000
 BATCH_BYTES = 1 << 18
 #: The most bytes of the filter that is sent to the workers, and its bits and probes for a key.
 FILTER_BYTES, BITS, PROBES = 32 << 20, 16, 3
+#: Words of 64 bits of the filter that come to the driver as one row of bytes.
+BLOCK = 1 << 13
 #: Parts of a language of which the first ``top`` phrases are found apart.
 SALTS = 512
 #: Bytes between words of a piece, and bytes that end a piece.
@@ -175,15 +178,26 @@ def _passes(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return found
 
 
+def _packed(masks: pd.DataFrame) -> pd.DataFrame:
+    """The bytes of one block of the filter from its words that are not 0."""
+    words = np.zeros(BLOCK, np.uint64)
+    words[masks["_word"].to_numpy() % BLOCK] = masks["_mask"].to_numpy(np.int64).view(np.uint64)
+    return pd.DataFrame({"_block": [masks["_block"].iloc[0]], "_bits": [words.tobytes()]})
+
+
 def _filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of the column _h: at most ``FILTER_BYTES`` come to the driver."""
+    """A Bloom filter of the column _h: at most ``FILTER_BYTES`` come to the driver, packed by tasks into a row of bytes a block. As rows
+    of one word they would take many times that there."""
     wanted = max(64, keys.count() * BITS)
     bits = min(8 * FILTER_BYTES, 1 << (wanted - 1).bit_length())  # both powers of two
     at = keys.select(F.explode(_probes(F.col("_h"), bits)).alias("_at"))
     mask = F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))"))
-    found = at.groupBy(F.shiftright("_at", 6).cast("int").alias("_word")).agg(mask.alias("_mask")).toPandas()
+    masks = at.groupBy(F.shiftright("_at", 6).cast("int").alias("_word")).agg(mask.alias("_mask"))
+    blocks = masks.withColumn("_block", F.floor(F.col("_word") / BLOCK).cast("int")).groupBy("_block").applyInPandas(_packed, "_block int, _bits binary")
     words = np.zeros(bits // 64, np.uint64)
-    words[found["_word"].to_numpy(np.int64)] = found["_mask"].to_numpy(np.int64).view(np.uint64)
+    for row in blocks.collect():
+        part = words[row["_block"] * BLOCK :][:BLOCK]
+        part[:] = np.frombuffer(row["_bits"], np.uint64)[: len(part)]
     return words
 
 
@@ -237,6 +251,7 @@ def phrase_counts(texts: DataFrame, max_words: int, least: int) -> DataFrame:
     words = texts.sparkSession.sparkContext.broadcast(_filter(keys))
     counted = texts.mapInArrow(_phrase_counts(words, max_words), "lang string, phrase string, _k byte, _n long")
     found = stash(summed(counted, "lang", "phrase", "_k").where((F.col("_k") == 1) | (F.col("a") >= least)), "phrases")
+    words.destroy()
     drop(keys)
     return found
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import weakref
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
@@ -142,3 +144,25 @@ def test_parts_of_a_shard_go_before_it_is_used(monkeypatch):
         assert alive and not any(x() is not None for x in alive)
         n += len(shard.starts)
     assert n == 4 * 30 * 5
+
+
+def test_filter_reaches_the_driver_as_bytes(spark):
+    """Many blocks, every bit in its place, and no object a word on the driver, also without Arrow (Spark's default)."""
+    hashes = np.random.default_rng(5).integers(-(2**63), 2**63, 200_000)
+    keys = spark.createDataFrame(pd.DataFrame({"_h": hashes})).repartition(4)
+    setting = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    tracemalloc.start()
+    try:
+        words = collocation._filter(keys)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.set(setting, before)
+    assert len(words) > 4 * collocation.BLOCK and most < 8 * words.nbytes
+    at = np.concatenate([hashes.view(np.uint64) >> np.uint64(20 * i % 33) & np.uint64(len(words) * 64 - 1) for i in range(collocation.PROBES)])
+    wanted = np.zeros(len(words) * 64, bool)
+    wanted[at] = True
+    assert np.array_equal(np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool), wanted)
+    assert collocation._passes(words, hashes.view(np.uint64)).all()
