@@ -1,10 +1,11 @@
 """Bootstraps by multinomial splitting: multiplicities are dealt, never drawn one by one.
 
-A resample of n rows with replacement is one draw from a multinomial over the rows. Rows with the same values are one class, and classes lie in
-buckets of bounded size, so a replication's n is dealt twice: to the buckets, then within each bucket to its classes. Each step
-is a chain of conditional binomials (of what is left, a class gets a binomial share by its part of what is left), by the inverse
-distribution function of a hashed uniform. Spark sees one row a class, one a bucket and replication, and never n x B rows; a class is
-one row whatever its size, so no hot value makes a hot task. Any engine that follows the same chain gets the same resamples.
+A resample of n rows with replacement is one draw from a multinomial over the rows. Rows with the same values are one class, and a
+replication's n is dealt down the classes, in their order, by a chain of conditional binomials: of what is left, a class gets a binomial share
+by its part of what is left, by the inverse distribution function of a hashed uniform. A chain needs the classes one after another, but
+replications do not need each other: groups of ``CHAINS`` of them meet the classes in tasks of their own, in rounds of bounded size that hand on
+what is left. Spark sees a row a class and group and a row a replication, and never n x B rows; a class is one row whatever its
+size, so no hot value makes a hot task. Any engine that follows the same chain gets the same resamples.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from ..sources import readers
 from .panel import positions
 
-#: Classes x replications that a task deals at once: sets the number of buckets.
+#: Classes x replications that a task deals at once.
 CELLS = 2_000_000
-#: A bucket number no class has: the hashes of the first dealing.
-TOP = "top"
+#: Replications that go down the classes together, and how many times so many classes as are dealt at once a round has.
+CHAINS, ROUND = 50, 20
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
@@ -54,55 +55,60 @@ def binomial_quantile(u: np.ndarray, m: np.ndarray, q: float) -> np.ndarray:
     return k.astype(np.int64)
 
 
-def deal(totals: np.ndarray, weights: np.ndarray, replications: np.ndarray, bucket: object) -> np.ndarray:
-    """A row for each weight, a column for each replication: how often its class is in the resample."""
+def deal(totals: np.ndarray, weights: np.ndarray, replications: np.ndarray, bucket: object, first: int = 0, beyond: int = 0) -> np.ndarray:
+    """A row for each weight, a column for each replication: how often its class is in the resample. The weights may be a part of the
+    chain, from its class number ``first`` on, with classes of ``beyond`` rows after them; then ``totals`` is what is left for both."""
     left, out = totals.astype(np.int64), np.zeros((len(weights), len(totals)), np.int64)
-    rest = np.cumsum(weights[::-1])[::-1]
+    rest = np.cumsum(weights[::-1])[::-1] + beyond
     for i, w in enumerate(weights):
         if not w:
             continue
         some = np.flatnonzero(left)
         if not len(some):
             break
-        u = np.array([uniform(b, bucket, i) for b in replications[some].tolist()])
+        u = np.array([uniform(b, bucket, first + i) for b in replications[some].tolist()])
         out[i, some] = binomial_quantile(u, left[some], float(w) / float(rest[i]))
         left = left - out[i]
     return out
 
 
-def _shared(sizes: Sequence[int], replications: int, spark) -> DataFrame:
-    """(_bucket, b, _m, _before): each replication's resamples dealt to buckets of these sizes; the sizes are one array."""
-    sent = spark.sparkContext.broadcast(np.array(sizes, np.int64))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = sent.value
-        for batch in batches:
-            b = batch["id"].to_numpy()
-            dealt = deal(np.full(len(b), int(weights.sum())), weights, b, TOP) if len(weights) > 1 else np.full((1, len(b)), int(weights.sum()))
-            before = np.cumsum(dealt, axis=0) - dealt
-            for k in range(len(weights)):
-                yield pd.DataFrame({"_bucket": k, "b": b, "_m": dealt[k], "_before": before[k]})
-
-    return spark.range(replications).mapInPandas(run, "_bucket long, b long, _m long, _before long")
-
-
-def _dealt(classes: DataFrame, order: Sequence[str], replications: int, reduce_: Callable, schema: str) -> DataFrame:
-    """What ``reduce_`` (a bucket's rows in order, multiplicities by class and replication, resamples before the bucket) makes
-    of each bucket, with the column b. ``classes`` (_bucket, _n and values) is a written table."""
+def _dealt(classes: DataFrame, order: Sequence[str], replications: int, start: dict[str, float], add: Callable, kinds: dict[str, str], cells: int) -> DataFrame:
+    """(b, *start): columns of the values ``start``, after ``add`` (columns so far, some classes in order, multiplicities by class and
+    replication, resamples before these classes) has seen all classes. ``classes`` (_n and values) is a written table."""
     spark = classes.sparkSession
-    # one number a bucket
-    sizes = {x["_bucket"]: x["n"] for x in classes.groupBy("_bucket").agg(F.sum("_n").alias("n")).collect()}
-    shared = _shared([sizes.get(k, 0) for k in range(max(sizes) + 1)], replications, spark)
-
-    def run(rows: pd.DataFrame, resamples: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or resamples.empty:
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        rows, resamples = rows.sort_values(list(order), kind="stable"), resamples.sort_values("b")
-        b = resamples["b"].to_numpy()
-        times = deal(resamples["_m"].to_numpy(), rows["_n"].to_numpy(), b, int(rows["_bucket"].iloc[0]))
-        return pd.DataFrame({"b": b, **reduce_(rows, times, resamples["_before"].to_numpy())})
-
-    return classes.groupBy("_bucket").cogroup(shared.groupBy("_bucket")).applyInPandas(run, schema)
+    n_classes, n = classes.agg(F.count("*"), F.sum("_n")).first()
+    each, groups = max(1, cells // CHAINS), -(-replications // CHAINS)
+    schema = ", ".join(["b long", "_left long", "_rest long", *[f"{c} {kinds[c]}" for c in start]])
+
+    def round_(number: int) -> Callable:
+        def run(resamples: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            rows, resamples = rows.sort_values(list(order), kind="stable"), resamples.sort_values("b")
+            b, left, rest = resamples["b"].to_numpy(), resamples["_left"].to_numpy(), int(resamples["_rest"].iloc[0])
+            found = {c: resamples[c].to_numpy(copy=True) for c in start}
+            for at in range(0, len(rows), each):
+                some = rows.iloc[at : at + each]
+                weights = some["_n"].to_numpy(np.int64)
+                rest -= int(weights.sum())
+                times = deal(left, weights, b, 0, number * ROUND * each + at, rest)
+                add(found, some, times, n - left)
+                left = left - times.sum(axis=0)
+            return pd.DataFrame({"b": b, "_left": left, "_rest": rest, **found})
+
+        return run
+
+    def grouped(df: DataFrame):
+        return df.repartitionById(groups, "_group").groupBy("_group")
+
+    parts = [classes]
+    if n_classes > ROUND * each:
+        placed = readers.saved(positions(classes, [F.col(c) for c in order], "_pos"), "classes")
+        parts = [placed.where((F.col("_pos") > k) & (F.col("_pos") <= k + ROUND * each)).drop("_pos") for k in range(0, n_classes, ROUND * each)]
+    state = spark.range(replications).select(F.col("id").alias("b"), F.lit(n).cast("long").alias("_left"), F.lit(n).cast("long").alias("_rest"), *[F.lit(x).cast(kinds[c]).alias(c) for c, x in start.items()])
+    for number, part in enumerate(parts):
+        state = state if not number else readers.saved(state, "resamples")
+        met = part.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        state = grouped(state.withColumn("_group", F.floor(F.col("b") / CHAINS).cast("int"))).cogroup(grouped(met)).applyInPandas(round_(number), schema)
+    return state.select("b", *start)
 
 
 def cluster_bootstrap(stats: DataFrame, sums: Sequence[str], replications: int, cells: int = CELLS) -> DataFrame:
@@ -110,56 +116,47 @@ def cluster_bootstrap(stats: DataFrame, sums: Sequence[str], replications: int,
     that person's sufficient statistics; a null adds nothing. Without people there are no rows."""
     known = stats.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in sums])
     counted = known.groupBy(*sums).agg(F.count("*").alias("_n"))
-    counted = readers.saved(counted, "classes")
-    buckets = max(1, -(-counted.count() * replications // cells))
-    classes = counted.withColumn("_bucket", F.pmod(F.xxhash64(*sums), F.lit(buckets)))
+    classes = readers.saved(counted, "classes")
     kinds = {f.name: "double" if f.dataType.simpleString() in ("double", "float") or f.dataType.simpleString().startswith("decimal") else "long" for f in stats.schema.fields}
     schema = ", ".join(["b long", *[f"{c} {kinds[c]}" for c in sums]])
-    if counted.isEmpty():
+    if not replications or classes.isEmpty():
         return stats.sparkSession.createDataFrame([], schema)
+    types = {c: np.int64 if kinds[c] == "long" else float for c in sums}
 
-    def reduce_(rows: pd.DataFrame, times: np.ndarray, _) -> dict:
-        return {c: rows[c].to_numpy(np.int64 if kinds[c] == "long" else float) @ times for c in sums}
+    def add(found: dict, rows: pd.DataFrame, times: np.ndarray, _) -> None:
+        for c in sums:
+            found[c] += rows[c].to_numpy(types[c]) @ times
 
-    parts = _dealt(classes, sums, replications, reduce_, schema)
-    return parts.groupBy("b").agg(*[F.sum(c).alias(c) for c in sums])
+    return _dealt(classes, sums, replications, dict.fromkeys(sums, 0), add, kinds, cells)
 
 
 def winsorised_bootstrap(values: DataFrame, x: str, replications: int, low: float, high: float, cells: int = CELLS) -> DataFrame:
     """(b, median, mean): median, and mean of the values clipped at two linear quantiles, of each resample.
 
-    Buckets are ranges of the values, so places within a resample are known from the first dealing; a bucket returns the
-    values at the wanted places that fall into it and the sum of what lies between the clipping places.
+    Classes go by in the order of the values, so places within a resample are known: some classes give the values at the wanted places that
+    fall among them, and the sum of what lies between the clipping places.
     """
     known = values.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("x")).agg(F.count("*").alias("_n"))
-    counted = readers.saved(known, "classes")
-    n_classes, n = counted.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
-    if not n:
+    classes = readers.saved(known, "classes")
+    (n,) = classes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if not n or not replications:
         return values.sparkSession.createDataFrame([], "b long, median double, mean double")
-    each = max(1, cells // replications)
-    if n_classes <= each:
-        classes = counted.withColumn("_bucket", F.lit(0).cast("long"))
-    else:
-        classes = positions(counted, [F.col("x")], "_pos").select("x", "_n", ((F.col("_pos") - 1) / each).cast("long").alias("_bucket"))
     places = [(n - 1) * p for p in (low, 0.5, high)]
     ranks = sorted({k for at in places for k in (math.floor(at), math.ceil(at))})
     first, last = math.floor(places[0]) + 1, math.floor(places[2])
 
-    def reduce_(rows: pd.DataFrame, times: np.ndarray, before: np.ndarray) -> dict:
+    def add(found: dict, rows: pd.DataFrame, times: np.ndarray, before: np.ndarray) -> None:
         v = rows["x"].to_numpy()
         end = before + np.cumsum(times, axis=0)
-        out = {}
         for i, k in enumerate(ranks):
-            at = (end <= k).sum(axis=0)
-            here = (at < len(v)) & (before <= k)
-            out[f"r{i}"] = np.where(here, v[np.minimum(at, len(v) - 1)], np.nan)
+            here = np.flatnonzero((before <= k) & (end[-1] > k))
+            if len(here):
+                found[f"r{i}"][here] = v[(end[:, here] <= k).sum(axis=0)]
         inside = np.minimum(end, last + 1) - np.maximum(end - times, first)
-        return {**out, "s": v @ np.maximum(inside, 0)}
+        found["s"] += v @ np.maximum(inside, 0)
 
-    schema = ", ".join(["b long", *[f"r{i} double" for i in range(len(ranks))], "s double"])
-    parts = _dealt(classes, ["x"], replications, reduce_, schema)
-    # exactly one bucket has a place, the others say nan
-    whole = parts.groupBy("b").agg(*[F.max(F.when(~F.isnan(f"r{i}"), F.col(f"r{i}"))).alias(f"r{i}") for i in range(len(ranks))], F.sum("s").alias("s"))
+    start = {**{f"r{i}": math.nan for i in range(len(ranks))}, "s": 0.0}
+    whole = _dealt(classes, ["x"], replications, start, add, dict.fromkeys(start, "double"), cells)
 
     def at(place: float):
         a, part = math.floor(place), place - math.floor(place)

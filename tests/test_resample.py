@@ -76,6 +76,46 @@ def test_winsorised_means_and_medians_of_the_dealt_values(spark, n):
     assert len(many) == 40 and abs(np.mean([r["mean"] for r in many]) - values.mean()) < 20 / math.sqrt(n) + 1e-9
 
 
+def dealt_by_hand(values, replications):
+    distinct, counts = np.unique(values, return_counts=True)
+    times = resample.deal(np.full(replications, len(values)), counts, np.arange(replications), 0)
+    return [np.repeat(distinct, times[:, b]) for b in range(replications)]
+
+
+@pytest.mark.parametrize("cells, batch", [(resample.CELLS, 10_000), (400, 10_000), (2_500, 7)])
+def test_resamples_follow_one_chain_however_the_work_is_cut(spark, cells, batch):
+    """More values than are dealt at once, and more replications than a task has."""
+    values = np.round(np.random.default_rng(8).normal(100, 20, 900), 1)
+    drawn = dealt_by_hand(values, 120)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(batch))
+    try:
+        df = spark.createDataFrame(pd.DataFrame({"x": values})).repartition(5)
+        found = {r.b: (r.median, r["mean"]) for r in resample.winsorised_bootstrap(df, "x", 120, 0.05, 0.95, cells).collect()}
+        sums = {r.b: (r.one, r.x) for r in resample.cluster_bootstrap(df.selectExpr("1 as one", "x"), ["x", "one"], 120, cells).collect()}
+    finally:
+        spark.conf.set(setting, before)
+    assert found.keys() == sums.keys() == set(range(120))
+    for b, x in enumerate(drawn):
+        low, mid, high = np.quantile(x, (0.05, 0.5, 0.95))
+        assert np.allclose(found[b], (mid, np.clip(x, low, high).mean())) and np.allclose(sums[b], (900, x.sum()))
+
+
+def test_many_values_are_dealt_as_the_sql_deals_them(spark):
+    import duckdb
+
+    from panelmill.plans import estimation
+
+    values = np.round(np.random.default_rng(2).normal(100, 20, 500), 2)
+    con = duckdb.connect()
+    con.register("customer", pd.DataFrame({"c_nationkey": 3, "c_acctbal": values}))
+    sql = f"with recursive {estimation._chain(estimation.VALUES, 60)}) select b, sum(x * v) from chain join cl using (i) group by 1"
+    got = resample.cluster_bootstrap(spark.createDataFrame(pd.DataFrame({"x": values})), ["x"], 60, cells=2_000)
+    got = {r.b: round(r.x, 6) for r in got.collect()}
+    assert got == {b: round(x, 6) for b, x in con.execute(sql).fetchall()}
+
+
 def test_quantiles_of_replications_are_those_of_the_sql_to_the_bit(spark):
     """Half cents at 0.05 and 0.95 of 2,000 are half-way cases of four digits."""
     import duckdb
